@@ -8,7 +8,9 @@ of one goes no further:
    hash inside it, so equal windows are filed alike and about 69 neighbouring windows share one record
    (their block, and all tokens that they span). A block found once ends there.
 2. digit two is that whole span: equal spans hold equal windows, and all but the first are repeats.
-3. where one block has several spans, the last digit is each window itself.
+3. where one block has several spans, the windows are filed again in quarters, under the longer stretch
+   that a quarter's windows have in common, and last one by one, under the window itself; whatever
+   stands alone under its stretch ends there.
 
 Every task keeps just the first of what is equal among its own rows, so that a group, however hot, sends
 at most one record a task to any digit's pass. Digits are compared by two independent 64-bit hashes.
@@ -68,7 +70,7 @@ def _sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
 def file_windows(tokens: np.ndarray, at: np.ndarray, threshold: int, block: int) -> dict[str, np.ndarray]:
     """The records of all windows of ``threshold`` tokens inside rows: row, first and last window start (in the row), block and span hash."""
     reach = threshold - block + 1
-    names = ("row", "p0", "p1", "kh", "ch")
+    names = ("row", "p0", "length", "kh", "ch")
     if len(tokens) < threshold:
         return {n: np.zeros(0, U64 if n in ("kh", "ch") else np.int64) for n in names}
     first = Roller(tokens, BASE_BLOCK)
@@ -89,11 +91,16 @@ def file_windows(tokens: np.ndarray, at: np.ndarray, threshold: int, block: int)
     span = Roller(tokens, BASE_SPAN).slices(p0, p1 + threshold)
     a = anchor[p0]
     ch = mix64(span ^ mix64(((a - p0) << 20 | (p1 - p0)).astype(U64)))
-    base = at[row[p0]]
-    return {"row": row[p0], "p0": p0 - base, "p1": p1 - base, "kh": blocks[a], "ch": ch}
+    return {"row": row[p0], "p0": p0 - at[row[p0]], "length": _shape(a - p0, p1 - p0), "kh": blocks[a], "ch": ch}
+
+
+def _shape(off: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """Of a record's windows: how far the first lies before the block, and how many follow it."""
+    return off << 10 | more
 
 
 def _pack(p0: np.ndarray, length: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
+    """length: of what is gone, in tokens; of other records their shape."""
     return p0.astype(np.int64) << 22 | length.astype(np.int64) << 2 | kind
 
 
@@ -153,7 +160,7 @@ def _settle_task(r: dict[str, np.ndarray], threshold: int) -> Iterator[pa.Record
     many = (spans > 1)[np.cumsum(new_block) - 1]
     kind = np.where(~new_span, GONE, np.where(~many, ALONE, np.where(new_block, MARKER, OPEN)))
     gone = kind == GONE
-    d, s, n = _chopped(*_merged(doc[gone], p0[gone], length[gone] + threshold))
+    d, s, n = _chopped(*_merged(doc[gone], p0[gone], (length[gone] & 1023) + threshold))
     spread = mix64(d.astype(U64))
     yield _rows(spread, np.zeros(len(d), U64), d, _pack(s, n, GONE))
     rest = ~gone
@@ -175,7 +182,7 @@ def file_documents(docs: DataFrame, unit: str, threshold: int) -> DataFrame:
             ids = batch.column(0).to_numpy()
             for lo, hi, tokens, rows in _bounded(split, raw, at):
                 r = file_windows(tokens, rows, threshold, block)
-                held.append({"kh": r["kh"], "ch": r["ch"], "doc": ids[lo:hi][r["row"]], "p0": r["p0"], "length": r["p1"] - r["p0"]})
+                held.append({"kh": r["kh"], "ch": r["ch"], "doc": ids[lo:hi][r.pop("row")], "p0": r["p0"], "length": r["length"]})
                 count += len(r["kh"])
             if count > FLUSH:
                 yield from _settle_task({n: np.concatenate([h[n] for h in held]) for n in held[0]}, threshold)
@@ -234,7 +241,7 @@ def settle_spans(filed: DataFrame, threshold: int) -> DataFrame:
             open_ = new_span & (spans > 1)[np.cumsum(new_block) - 1]
             gone = ~new_span
             out_doc += [doc[open_], doc[gone]]
-            out_pk += [_pack(p0[open_], length[open_], OPEN), _pack(p0[gone], length[gone] + threshold, GONE)]
+            out_pk += [_pack(p0[open_], length[open_], OPEN), _pack(p0[gone], (length[gone] & 1023) + threshold, GONE)]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out_pk))], names=["doc", "pk"])
 
     ordered = filed.repartition("kh").sortWithinPartitions("kh", "ch", "doc", "pk")
@@ -275,73 +282,52 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.R
             yield batch.slice(k, rows)
 
 
-def open_windows(texts: DataFrame, unit: str, threshold: int) -> DataFrame:
-    """Pass three over ``(doc, z, marks)``: hashes of open windows, and what is gone already."""
+def file_again(texts: DataFrame, unit: str, threshold: int, width: int) -> DataFrame:
+    """A later pass over ``(doc, z, marks)``: open records filed anew in ranges of ``width`` windows.
+
+    A range counts from the block, so it is the same in every text; it is filed under the stretch that
+    its windows have in common.
+    """
     split, _ = UNITS[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        held: list[dict[str, np.ndarray]] = []
         count = 0
-
-        def settled() -> Iterator[pa.RecordBatch]:
-            wh, ch, doc, p = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.lexsort((p, doc, ch, wh))
-            wh, ch, doc, p = wh[order], ch[order], doc[order], p[order]
-            new = np.ones(len(wh), bool)
-            new[1:] = (wh[1:] != wh[:-1]) | (ch[1:] != ch[:-1])
-            d, s, n = _chopped(*_merged(doc[~new], p[~new], np.full(int((~new).sum()), threshold, np.int64)))
-            yield _rows(mix64(d.astype(U64)), np.zeros(len(d), U64), d, _pack(s, n, GONE))
-            first = np.flatnonzero(new)
-            for k in range(0, len(first), 100_000):
-                x = first[k : k + 100_000]
-                yield _rows(wh[x], ch[x], doc[x], _pack(p[x], np.zeros(len(x), np.int64), ALONE))
-
         for batch in _slices(batches):
+            batch = batch.filter(batch.column(2).is_valid())
+            if not batch.num_rows:
+                continue
             ids = batch.column(0).to_numpy()
-            raw, at = _inflated(batch.column(1))
             pk, row = _lists(batch.column(2))
-            p0, length, kind = _unpack(pk)
+            p0, shape, kind = _unpack(pk)
             gone = kind == GONE
-            d, s, n = _chopped(*_merged(ids[row[gone]], p0[gone], length[gone]))
+            d, s, n = _chopped(*_merged(ids[row[gone]], p0[gone], shape[gone]))
             yield _rows(mix64(d.astype(U64)), np.zeros(len(d), U64), d, _pack(s, n, GONE))
-            p0, length, row = p0[~gone], length[~gone] + 1, row[~gone]
+            p0, off, more, row = p0[~gone], shape[~gone] >> 10, shape[~gone] & 1023, row[~gone]
             if not len(p0):
                 continue
+            raw, at = _inflated(batch.column(1))
             tokens, rows, _, _ = split(raw, at)
-            which = np.repeat(np.arange(len(p0)), length)
-            p = p0[which] + np.arange(len(which)) - np.repeat(np.cumsum(length) - length, length)
-            start = rows[row[which]] + p
-            wh = mix64(Roller(tokens, BASE_BLOCK).slices(start, start + threshold))
-            ch = mix64(Roller(tokens, BASE_SPAN).slices(start, start + threshold))
-            held.append((wh, ch, ids[row[which]], p))
-            count += len(wh)
+            top, low = off // width, (off - more) // width
+            parts = top - low + 1
+            r = np.repeat(np.arange(len(p0)), parts)
+            k = top[r] - (np.arange(len(r)) - np.repeat(np.cumsum(parts) - parts, parts))
+            first, last = np.minimum(off[r], k * width + width - 1), np.maximum((off - more)[r], k * width)
+            block = rows[row[r]] + p0[r] + off[r]
+            stretch = block - k * width - (width - 1) + threshold
+            kh = mix64(Roller(tokens, BASE_BLOCK).slices(block - k * width, stretch) ^ mix64(k.astype(U64)))
+            ch = mix64(Roller(tokens, BASE_SPAN).slices(block - first, block - last + threshold) ^ mix64(_shape(first, first - last).astype(U64)))
+            held.append({"kh": kh, "ch": ch, "doc": ids[row[r]], "p0": p0[r] + off[r] - first, "length": _shape(first, first - last)})
+            count += len(kh)
             if count > FLUSH:
-                yield from settled()
+                yield from _settle_task({n: np.concatenate([h[n] for h in held]) for n in held[0]}, threshold)
                 held, count = [], 0
         if held:
-            yield from settled()
+            yield from _settle_task({n: np.concatenate([h[n] for h in held]) for n in held[0]}, threshold)
 
     return texts.mapInArrow(run, FILED)
 
 
-def settle_windows(opened: DataFrame, threshold: int) -> DataFrame:
-    """``(doc, pk)``: spans of tokens that are gone."""
-
-    def settle(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        wh, ch, doc, pk = cols
-        p, length, kind = _unpack(pk)
-        through = kind == GONE
-        m = ~through
-        wh, ch, d, q = wh[m], ch[m], doc[m], p[m]
-        again = np.zeros(len(wh), bool)
-        again[1:] = (wh[1:] == wh[:-1]) & (ch[1:] == ch[:-1])
-        out = _chopped(*_merged(np.concatenate([doc[through], d[again]]), np.concatenate([p[through], q[again]]), np.concatenate([length[through], np.full(int(again.sum()), threshold, np.int64)])))
-        yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(_pack(out[1], out[2], GONE))], names=["doc", "pk"])
-
-    ordered = opened.repartition("kh").sortWithinPartitions("kh", "ch", "doc", "pk")
-    return ordered.mapInArrow(lambda batches: _grouped(batches, settle), "doc long, pk long")
-
-
 def _cut(texts: DataFrame, unit: str) -> DataFrame:
     split, _ = UNITS[unit]
 
@@ -397,12 +383,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     alike; other columns are not looked at; an empty table gives an empty result.
     """
     base, ranked = _keyed(docs, id_col, text_col)
-    settled = settle_spans(file_documents(base, unit, threshold), threshold)
+    reach = threshold - UNITS[unit][1] + 1
+    if not 1 < reach < 1024:
+        raise ValueError(f"threshold must exceed the block of {UNITS[unit][1]} {unit} and stay within 1023 of it")
     packed = _squeezed(base)
-    marks = settled.groupBy("doc").agg(F.collect_list("pk").alias("marks"))
-    opened = open_windows(packed.join(marks, "doc").select("doc", "z", "marks"), unit, threshold)
-    gone = settle_windows(opened, threshold).groupBy("doc").agg(F.collect_list("pk").alias("marks"))
-    out = _cut(packed.join(gone, "doc", "left").select("doc", "z", "marks"), unit)
+
+    def marked(settled: DataFrame) -> DataFrame:
+        # the same left join each time, so that one exchange of the texts serves all passes
+        return packed.join(settled.groupBy("doc").agg(F.collect_list("pk").alias("marks")), "doc", "left").select("doc", "z", "marks")
+
+    settled = settle_spans(file_documents(base, unit, threshold), threshold)
+    for width in (-(-reach // 4), 1):
+        settled = settle_spans(file_again(marked(settled), unit, threshold, width), threshold)
+    out = _cut(marked(settled), unit)
     if ranked is None:
         return out.withColumnRenamed("doc", "id")
     every = docs.select(F.col(f"`{id_col}`").cast("long").alias("rid"), F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256).alias("rdigest"))
