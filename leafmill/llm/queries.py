@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import simhash, suffix_dedup
+from leafmill.llm import decontaminate, pieces, quality, simhash, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontaminate": decontaminate.query,
+    "op5_quality": quality.query,
+    "op7_toxicity": toxicity.query,
     "op8_simhash": simhash.query,
+    "op9_pieces": pieces.query,
     "op10_suffix_dedup": suffix_dedup.query,
 }
 
