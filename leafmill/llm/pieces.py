@@ -87,6 +87,8 @@ class Vocabulary:
         if any(SPACE in p.lstrip(SPACE) for p in index):
             raise ValueError("a piece crosses words")
         inner = set("".join(p for p in index if len(p) > 1))
+        #: neighbours inside some piece; between any others no piece can lie, so words are cut there
+        self.inside = {p[i : i + 2] for p in index for i in range(len(p) - 1)}
         #: characters that no longer piece holds end a word as well, which keeps words few and short
         self.apart = "".join(c for c in "\n\t\r" if c not in inner)
         n = len(pieces)
@@ -98,6 +100,9 @@ class Vocabulary:
             self.size[k] = len(pieces[k])
         order = sorted(own, key=lambda k: int(self.hash[k]))
         self.keys, self.ids = self.hash[order], np.array(order)
+        #: whether any key has these leading bits: most substrings are no piece, and end here
+        self.leads = np.zeros(1 << 20, bool)
+        self.leads[(self.keys >> U64(44)).astype(np.int64)] = True
         self.rank, self.left, self.right = np.full(n + 1, -1), np.arange(n + 1), np.arange(n + 1)
         self.usable = np.ones(n + 1, bool)
         if self.kind == BPE:
@@ -137,6 +142,7 @@ class Encoder:
         self.v, self.most = vocabulary, most
         self.power = np.cumprod(np.concatenate([[U64(1)], np.full(vocabulary.longest * 2 + 2, U64(BASE))]), dtype=U64)
         self.known: dict[str, array] = {}
+        self.parts: dict[str, array] = {}
         #: the latest verdicts on pairs of pieces, each in the slot of its hash
         self.fits = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21, bool)
         end = re.escape(vocabulary.apart)
@@ -196,15 +202,23 @@ class Encoder:
             c = codes[:, j - 1]
             running = [h * U64(BASE) + c for h in running[-(v.longest - 1) :]] + [c.copy()]
             value = np.full(n, -np.inf)
-            for back, h in enumerate(reversed(running), 1):
-                piece = self._probe(h)
-                hit = np.flatnonzero((piece >= 0) & v.usable[piece])
+            rows = np.arange(n)
+            for back in range(len(running), 0, -1):
+                if v.kind == BPE:  # a prefix has one valid last piece
+                    rows = rows[value[rows] < 0]
+                    if not len(rows):
+                        break
+                h = running[-back][rows]
+                may = v.leads[(h >> U64(44)).astype(np.int64)]
+                at, h = rows[may], h[may]
+                if len(at):
+                    piece = self._probe(h)
+                    real = (piece >= 0) & v.usable[piece]
+                    self._take(at[real], piece[real], j, back, value, best, last, taken)
                 if back == 1:
-                    single = np.flatnonzero(piece < 0)
+                    single = rows[(value[rows] < 0) & ~np.isfinite(value[rows])]
                     if len(single):
                         self._take(single, np.full(len(single), self.unk), j, 1, value, best, last, taken)
-                if len(hit):
-                    self._take(hit, piece[hit], j, back, value, best, last, taken)
             best[j] = value
         steps, ends = taken.T.tolist(), last.T.tolist()
         for step, end, word in zip(steps, ends, words, strict=True):
@@ -218,7 +232,7 @@ class Encoder:
                 else:
                     ids.append(piece)
                 j -= k
-            self.known[word] = array("i", ids[::-1])
+            self.parts[word] = array("i", ids[::-1])
 
     def _take(self, rows, piece, j, back, value, best, last, taken) -> None:
         before = best[j - back, rows]
@@ -232,19 +246,39 @@ class Encoder:
         value[at], last[j, at], taken[j, at] = worth[better], piece[better], back
 
     def learn(self, words: set[str]) -> None:
-        by_length: dict[int, list[str]] = {}
-        for w in words:
-            if w not in self.known:
-                by_length.setdefault(len(w), []).append(w)
-        for length, same in by_length.items():
-            step = max(1, 200_000 // length)
+        inside, parts = self.v.inside, self.parts
+        new = [w for w in words if w not in self.known]
+        cuts = []
+        by_length: dict[int, set[str]] = {}
+        for w in new:
+            own, a = [], 0
+            for i in range(1, len(w)):
+                if w[i - 1 : i + 1] not in inside:
+                    own.append(w[a:i])
+                    a = i
+            own.append(w[a:])
+            cuts.append(own)
+            for part in own:
+                if part not in parts:
+                    by_length.setdefault(len(part), set()).add(part)
+        for length, found in by_length.items():
+            same, step = sorted(found), max(1, 200_000 // length)
             for k in range(0, len(same), step):
                 self._equal(same[k : k + step], length)
+        for w, own in zip(new, cuts, strict=True):
+            if len(own) == 1:
+                self.known[w] = parts[w]
+            else:
+                whole = array("i")
+                for part in own:
+                    whole.extend(parts[part])
+                self.known[w] = whole
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and row offsets into them; null reads as empty."""
         if len(self.known) > self.most:
             self.known.clear()
+            self.parts.clear()
         lead = SPACE if self.v.prefix else ""
         words = [self.split((lead + t).replace(" ", SPACE)) if t else [] for t in texts]
         self.learn(set().union(*words) if words else set())
