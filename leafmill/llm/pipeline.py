@@ -5,24 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import simhash, suffix_dedup
+from leafmill.llm import decontaminate as seeds
+from leafmill.llm import pieces, simhash, suffix_dedup, toxicity
+
+#: Near copies: five-word shingles, and differing bits of a 256-bit fingerprint. Shingle sets of
+#: similarity 0.8 lie 27 degrees apart, which is 39 of 256 bits.
+SHINGLE_WORDS, PRINT_BITS, PRINT_DISTANCE = 5, 256, 39
+#: Repeated passages: words.
+REPEAT_WORDS = 50
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", "lang", "source", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents without those that score as toxic; the model is fitted on labels of these documents."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    toxic = toxicity.score(docs, model).filter(F.col("score") >= toxicity.THRESHOLD).select(F.col("id").alias("doc_id")).distinct()
+    return _named(docs.join(toxic, "doc_id", "left_anti"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The document with the smallest id of each group of near copies; rows without an id stay."""
+    groups = simhash.simhash_groups(docs, shingle_words=SHINGLE_WORDS, n_bits=PRINT_BITS, max_distance=PRINT_DISTANCE)
+    others = groups.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
+    return _named(docs.join(others, "doc_id", "left_anti"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Texts without passages of fifty words or more that an earlier document (or place) has."""
+    cut = suffix_dedup.remove_repeats(docs, unit="words", threshold=REPEAT_WORDS)
+    changed = cut.filter("n_removed > 0").select(F.col("id").alias("doc_id"), F.col("kept").cast("string").alias("kept")).groupBy("doc_id").agg(F.first("kept").alias("kept"))
+    rows = docs.join(changed, "doc_id", "left")
+    text = F.coalesce("kept", "text")
+    return rows.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept").isNotNull(), F.length("kept").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents without those that hold part of a benchmark item."""
+    found = seeds.overlaps(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _named(docs.join(found.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_anti"))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Token ids of every document, with the round trip through decoding verified."""
+    coded = pieces.encode(docs, pieces.load())
+    return coded.select(F.col("id").alias("doc_id"), "n_tokens", "token_ids", "round_trip")

@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import decontaminate, pieces, quality, simhash, suffix_dedup, toxicity
+from leafmill.llm import decontaminate, pieces, quality, sharding, simhash, suffix_dedup, token_rollup, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": warc.query,
+    "op2_token_rollup": token_rollup.query,
+    "op3_url_filter": url_filter.query,
     "op4_decontaminate": decontaminate.query,
     "op5_quality": quality.query,
+    "op6_sharding": sharding.query,
     "op7_toxicity": toxicity.query,
     "op8_simhash": simhash.query,
     "op9_pieces": pieces.query,
     "op10_suffix_dedup": suffix_dedup.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": url_filter.SQL}
