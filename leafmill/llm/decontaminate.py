@@ -25,11 +25,16 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def _placed(rows: DataFrame, key: str) -> DataFrame:
-    """``(key, tokens, at, seed)`` for every mask at every position that it fits."""
-    at = rows.filter(F.size("tokens") >= SPAN).select(key, "tokens", F.posexplode("tokens").alias("at", "_t"))
-    at = at.filter(F.col("at") <= F.size("tokens") - SPAN)
-    seeds = [F.xxhash64(F.lit(k), *(F.get("tokens", F.col("at") + o) for o in mask)) for k, mask in enumerate(MASKS)]
+def _positions(rows: DataFrame, key: str) -> DataFrame:
+    """``(key, tokens, h, at, ends)`` for every position with room for a mask; ends: hash of a span's first and last token."""
+    hashed = rows.withColumn("h", F.transform("tokens", lambda t: F.xxhash64(t))).filter(F.size("h") >= SPAN)
+    at = hashed.select(key, "tokens", "h", F.posexplode("h").alias("at", "h0")).filter(F.col("at") <= F.size("h") - SPAN)
+    return at.select(key, "tokens", "h", "at", F.xxhash64("h0", F.get("h", F.col("at") + SPAN - 1)).alias("ends"))
+
+
+def _placed(at: DataFrame, key: str) -> DataFrame:
+    """``(key, tokens, at, seed)`` for every mask at every position."""
+    seeds = [F.xxhash64(F.lit(k), *(F.get("h", F.col("at") + o) for o in mask)) for k, mask in enumerate(MASKS)]
     return at.select(key, "tokens", "at", F.explode(F.array(*seeds)).alias("seed"))
 
 
@@ -50,11 +55,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     """
     d = docs.filter(F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("id"), tokens(F.col(f"`{text_col}`").cast("string")).alias("tokens"))
     b = benchmark.filter(F.col(f"`{item_col}`").isNotNull()).select(F.col(f"`{item_col}`").cast("long").alias("item_id"), tokens(F.col(f"`{item_text_col}`").cast("string")).alias("tokens"))
-    items = _placed(b, "item_id").select("seed", "item_id", F.col("at").alias("item_at"), _around(F.col("at")).alias("item_around"), F.size("tokens").alias("n"))
-    known = items.select("seed").distinct()
+    spans = _positions(b, "item_id")
+    items = _placed(spans, "item_id").select("seed", "item_id", F.col("at").alias("item_at"), _around(F.col("at")).alias("item_around"), F.size("tokens").alias("n"))
+    known, places = items.select("seed").distinct(), _positions(d, "id")
     if known.limit(BROADCAST_SEEDS + 1).count() <= BROADCAST_SEEDS:
         known = F.broadcast(known)
-    found = _placed(d, "id").join(known, "seed", "left_semi").select("seed", "id", "at", _around(F.col("at")).alias("around"))
+        # all masks read a span's first and last token: most positions fail on these two
+        places = places.join(F.broadcast(spans.select("ends").distinct()), "ends", "left_semi")
+    found = _placed(places, "id").join(known, "seed", "left_semi").select("seed", "id", "at", _around(F.col("at")).alias("around"))
     both = found.join(items, "seed")
     # one bit for each aligned token that agrees; a window is thirteen neighbouring bits
     agree = [F.coalesce((F.get("around", F.lit(k)) == F.get("item_around", F.lit(k))).cast("int"), F.lit(0)) * (1 << k) for k in range(2 * WINDOW - SPAN)]
