@@ -2,5 +2,704 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from leafmill.config import Limits, OcrOptions
+from leafmill.functions import scores
+from leafmill.functions.geometry import box, expanded, flipped, over_self
+from leafmill.functions.text import clean_lines, joined, quality
+from leafmill.operators import assemble, layout, ocr, reading, status
+from leafmill.plans import oracle as o
+from leafmill.sources import formats, html
+from leafmill.sources import text_pages as tp
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+PAGE = ["doc_id", "page_no"]
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of (table reader) under a name."""
+
+    def wrap(make: Callable[[Callable[[str], DataFrame]], DataFrame]):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            out = make(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            casts = {c: F.col(c).cast("long") for c, t in out.dtypes if t in ("int", "smallint", "tinyint")}
+            rounds = {c: F.round(c, 6) for c, t in out.dtypes if t == "double"}
+            return out.withColumns(casts | rounds)
+
+        QUERIES[name] = run
+        if sql:
+            ORACLE_SQL[name] = sql
+        return make
+
+    return wrap
+
+
+# ---- sources
+
+def _mime_case(ext: str) -> str:
+    return "case " + " ".join(f"when {ext} = '{k}' then '{v}'" for k, v in formats.mime_of_extension().items()) + " else 'text/plain' end"
+
+
+def _format_case(mime: str) -> str:
+    return "case " + " ".join(f"when {mime} = '{k}' then '{v}'" for k, v in formats.format_of_mime().items()) + " end"
+
+
+_URL_NAME = "split_part(split_part(url, '?', 1), '#', 1)"
+
+
+@query("format_detect", f"""
+with n as (select page_id, list_last(string_split({_URL_NAME}, '/')) as name from pages),
+x as (select page_id, name, case when contains(name, '.') then list_last(string_split(name, '.')) else '' end ext from n),
+m as (select page_id, name, {_mime_case('ext')} as mime from x)
+select page_id, name, mime, {_format_case('mime')} as format from m""")
+def _(t):
+    name = F.substring_index(F.regexp_replace("url", r"[?#].*$", ""), "/", -1)
+    mime, fmt = formats.detect_format(F.col("name"))
+    return t("pages").select("page_id", name.alias("name")).select("page_id", "name", mime.alias("mime"), fmt.alias("format"))
+
+
+@query("content_hash_dups", """
+select sha256(text) as document_hash, count(*) as n_docs, min(doc_id) as first_doc from documents where text is not null group by 1 having count(*) > 1""")
+def _(t):
+    own = t("documents").filter("text is not null").select("doc_id", formats.content_hash(F.col("text")).alias("document_hash"))
+    return own.groupBy("document_hash").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter("n_docs > 1")
+
+
+_ADMISSION = """adm as (select doc_id, concat('doc', doc_id::varchar, '.', (['docx', 'pptx', 'html', 'png', 'pdf', 'adoc', 'md', 'csv', 'xlsx', 'txt', 'xml', 'tar.gz', 'json', 'wav', 'vtt', 'PDF'])[1 + doc_id % 16]) file,
+  n_chars filesize, ceil(len(string_split(text, chr(10))) / 40.0)::bigint page_count from documents)"""
+_ADMITTED = _ADMISSION + """,
+ok as (select *, case when page_count is null then 'unreadable' when page_count > 2 then 'too many pages' when page_count < 1 then 'page range beyond end' when filesize > 20000 then 'file too large' end reason from adm)"""
+_LIMITS = Limits(max_num_pages=2, max_file_size=20000)
+_ALLOWED = ("pdf", "html", "image", "md", "docx")
+
+
+@query("admission", f"with {_ADMITTED} select doc_id, file, filesize, page_count, reason, reason is null as valid from ok")
+def _(t):
+    return formats.admit(tp.admission(t("documents")), _LIMITS)
+
+
+@query("format_gate_status", f"""
+with {_ADMITTED}, f as (select *, list_last(string_split(file, '.')) ext from ok), m as (select *, {_mime_case('ext')} mime from f), g as (select *, {_format_case('mime')} as format from m)
+select doc_id, format, case when format is null or format not in {_ALLOWED} then 'skipped' when reason is not null then 'failure' else 'pending' end as status,
+  case when format is null or format not in {_ALLOWED} then 'File format not allowed: ' || file when reason is not null then 'Input document is not valid: ' || file end as error from g""")
+def _(t):
+    mime, fmt = formats.detect_format(F.col("file"))
+    docs = formats.admit(tp.admission(t("documents")).withColumn("format", fmt), _LIMITS)
+    return formats.gate(docs, _ALLOWED).select("doc_id", "format", "status", "error")
+
+
+@query("page_expand", f"with {_ADMISSION} select doc_id, unnest(range(1, least(2, page_count) + 1)) as page_no from adm where page_count >= 1")
+def _(t):
+    return formats.expand_pages(tp.admission(t("documents")), Limits(page_range=(1, 2))).select("doc_id", "page_no")
+
+
+@query("doc_chunks", "select doc_id, (row_number() over (order by doc_id) - 1) // 32 as chunk from documents")
+def _(t):
+    # ordinals by prefix sums over id ranges, so that no task numbers all rows
+    docs = t("documents").select("doc_id", F.expr("doc_id div 100000").alias("bucket"))
+    counts = docs.groupBy("bucket").agg(F.count("*").alias("n"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("doc_id")) - 1
+    return docs.withColumn("nth", nth).join(starts, "bucket").select("doc_id", F.expr("(start + nth) div 32").alias("chunk"))
+
+
+@query("string_docs", """
+with s as (select conv_id, string_agg(text, chr(10) order by turn) content, count(*) n_pages from conversations where text is not null group by conv_id)
+select conv_id, 'conv-' || conv_id::varchar || '.md' as file, strlen(content) as filesize, n_pages, 'md' as format, sha256(content) as document_hash from s""")
+def _(t):
+    turns = t("conversations").filter("text is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("ts"))
+    rows = turns.select("conv_id", F.array_join(F.transform("ts", lambda x: x["text"]), "\n").alias("content"), F.size("ts").alias("n_pages"), F.concat(F.lit("conv-"), F.col("conv_id").cast("string")).alias("name"))
+    return formats.from_strings(rows, "content", "md", "name").select("conv_id", "file", "filesize", "n_pages", "format", "document_hash")
+
+
+# ---- text
+
+def _corrupt(t) -> DataFrame:
+    return tp.corrupted(tp.cells(t("documents")))
+
+
+@query("text_quality", f"with {o.CORRUPT} select doc_id, page_no, idx, round(score, 6) as score from rated")
+def _(t):
+    return _corrupt(t).select(*PAGE, "idx", quality(F.col("text")).alias("score"))
+
+
+_GRADE = "case when {0} is null then 'unspecified' when {0} >= 0.9 then 'excellent' when {0} >= 0.8 then 'good' when {0} >= 0.5 then 'fair' else 'poor' end"
+
+
+@query("page_parse_score", f"""
+with {o.CORRUPT}, p as (select doc_id, page_no, count(*) n_cells, quantile_cont(score, 0.1) s from rated group by all)
+select doc_id, page_no, n_cells, round(s, 6) as parse_score, {_GRADE.format('s')} as grade from p""")
+def _(t):
+    own = _corrupt(t).withColumn("q", quality(F.col("text"))).groupBy(*PAGE).agg(F.count("*").alias("n_cells"), F.expr("percentile(q, 0.1)").alias("parse_score"))
+    return own.withColumn("grade", scores.grade(F.col("parse_score")))
+
+
+_LINES = o.CORRUPT + r""",
+lc as (select doc_id, page_no, idx, regexp_replace(replace(text, chr(2), '-'), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') line from cc)"""
+
+
+@query("clean_lines", f"with {_LINES} select doc_id, page_no, count(*) filter (line <> '') as n_lines, coalesce(string_agg(line, ' ' order by idx) filter (line <> ''), '') as text from lc group by all")
+def _(t):
+    pages = _corrupt(t).groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("idx", "text"))).alias("xs"))
+    lines = clean_lines(F.transform("xs", lambda x: x["text"]))
+    return pages.select(*PAGE, F.size(lines).alias("n_lines"), F.array_join(lines, " ").alias("text"))
+
+
+_JOIN = _LINES + """,
+lj as (select *, lead(line) over z nxt, count(*) over (partition by doc_id, page_no) n from lc where line <> '' window z as (partition by doc_id, page_no order by idx)),
+lt as (select doc_id, page_no, any_value(n) n, string_agg(case when nxt is null then line
+    when ends_with(line, '-') then case when regexp_matches(regexp_extract(line, '([\\p{L}\\p{N}_]+)[^\\p{L}\\p{N}_]*$', 1), '^[\\p{L}\\p{N}]+$')
+      and regexp_matches(regexp_extract(nxt, '^[^\\p{L}\\p{N}_]*([\\p{L}\\p{N}_]+)', 1), '^[\\p{L}\\p{N}]+$') then line[:-2] else line end
+    else line || ' ' end, '' order by idx) raw from lj group by doc_id, page_no)
+select p.doc_id, p.page_no, coalesce(case when n <= 1 then raw else regexp_replace(translate(raw, '⁄’‘“”•', '/''''""·'), '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g') end, '') as text
+from (select distinct doc_id, page_no from cells) p left join lt using (doc_id, page_no)"""
+
+
+@query("dehyphenate_join", f"with {_JOIN}")
+def _(t):
+    pages = _corrupt(t).groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("idx", "text"))).alias("xs"))
+    lines = pages.select(*PAGE, clean_lines(F.transform("xs", lambda x: x["text"])).alias("lines"))
+    return lines.select(*PAGE, joined(F.col("lines")).alias("text"))
+
+
+@query("text_in_rect", f"""
+with {o.CELLS}, q as (select distinct doc_id, page_no, 72.0::double l, 80.0::double t, 300.0::double r, 240.0::double b from cells)
+select q.doc_id, q.page_no, string_agg(c.text, ' ' order by c.idx) as text from q join cells c on q.doc_id = c.doc_id and q.page_no = c.page_no
+where {o.area('c')} > 0 and ({o.inter('c', 'q')}) / {o.area('c')} > 0.5 group by all""")
+def _(t):
+    rect = tuple(F.lit(x) for x in (72.0, 80.0, 300.0, 240.0))
+    own = tp.cells(t("documents")).filter(over_self(box(), rect) > 0.5)
+    return own.groupBy(*PAGE).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ").alias("text"))
+
+
+@query("bbox_flip", f"with {o.CELLS} select doc_id, page_no, idx, l, 792.0 - t as top, r, 792.0 - b as bottom, l * 2 as l2, (792.0 - t) * 2 as top2 from cells")
+def _(t):
+    h = F.lit(tp.HEIGHT)
+    return tp.cells(t("documents")).select(*PAGE, "idx", "l", flipped(F.col("t"), h).alias("top"), "r", flipped(F.col("b"), h).alias("bottom"), (F.col("l") * 2).alias("l2"), (flipped(F.col("t"), h) * 2).alias("top2"))
+
+
+@query("bbox_expand", f"with {o.DETS} select doc_id, page_no, id, round(l - (r - l) * 0.1, 6) as l, round(t - (b - t) * 0.1, 6) as t, round(r + (r - l) * 0.1, 6) as r, round(b + (b - t) * 0.1, 6) as b from dets")
+def _(t):
+    grown = expanded(box(), 0.1)
+    return _dets(t).select(*PAGE, "id", *(x.alias(c) for x, c in zip(grown, "ltrb", strict=True)))
+
+
+# ---- OCR
+
+def _pages(t) -> DataFrame:
+    return tp.page_dim(tp.cells(t("documents")))
+
+
+_OCR_BASE = f"{o.CELLS}, {o.PAGES}, {o.BITMAPS}"
+_COVER = _OCR_BASE + f""",
+cov as (select p.doc_id, p.page_no, least(1.0, coalesce(sum({o.area('x')}) / (612.0 * 792.0), 0)) coverage from page_dim p left join rects x on x.doc_id = p.doc_id and x.page_no = p.page_no and {o.area('x')} > 0 group by all)"""
+
+
+@query("ocr_rect_decision", f"with {_COVER} select doc_id, page_no, round(coverage, 6) as coverage, case when coverage > 0.75 then 'full_page' when coverage > 0.05 then 'regions' else 'none' end as ocr_mode from cov")
+def _(t):
+    pages = _pages(t)
+    return ocr.decide(ocr.coverage(ocr.bitmap_rects(tp.bitmaps(pages)), pages), OcrOptions()).select(*PAGE, "coverage", "ocr_mode")
+
+
+@query("ocr_region_components", f"""
+with recursive {_OCR_BASE},
+ed as (select a.doc_id, a.page_no, a.rect_id x, b.rect_id y from rects a join rects b on a.doc_id = b.doc_id and a.page_no = b.page_no and a.rect_id <> b.rect_id
+  where a.l <= b.r + 20 and b.l <= a.r + 20 and a.t <= b.b + 20 and b.t <= a.b + 20),
+gr as (select doc_id, page_no, rect_id node, rect_id root from rects union select g.doc_id, g.page_no, e.y, g.root from gr g join ed e on g.doc_id = e.doc_id and g.page_no = e.page_no and g.node = e.x),
+mm as (select doc_id, page_no, node rect_id, min(root) region from gr group by all)
+select doc_id, page_no, region, min(l) as l, min(t) as t, max(r) as r, max(b) as b from rects join mm using (doc_id, page_no, rect_id) group by all""")
+def _(t):
+    return ocr.regions(ocr.bitmap_rects(tp.bitmaps(_pages(t))))
+
+
+_OCR_CELLS = f"{o.CELLS}, {o.OCR_CELLS}"
+_FREE = _OCR_CELLS + """,
+free as (select * from ocr a where not exists (select 1 from cells b where a.doc_id = b.doc_id and a.page_no = b.page_no and a.l <= b.r and b.l <= a.r and a.t <= b.b and b.t <= a.b))"""
+
+
+@query("ocr_filter_anti", f"with {_FREE} select doc_id, page_no, idx, l, t, r, b from free")
+def _(t):
+    cells = tp.cells(t("documents"))
+    return ocr.without_covered(tp.ocr_cells(cells), cells).select(*PAGE, "idx", *"ltrb")
+
+
+@query("ocr_combine_reindex", f"""
+with {_FREE}, u as (select 0 src, doc_id, page_no, idx, text, from_ocr from cells union all select 1, doc_id, page_no, idx, text, from_ocr from free)
+select doc_id, page_no, row_number() over (partition by doc_id, page_no order by src, idx) - 1 as idx, text, from_ocr from u""")
+def _(t):
+    cells = tp.cells(t("documents"))
+    return ocr.combine(cells, ocr.without_covered(tp.ocr_cells(cells), cells)).select(*PAGE, "idx", "text", "from_ocr")
+
+
+@query("ocr_forced_cells", f"with {o.CELLS}, {o.PAGES} select p.doc_id, p.page_no, count(c.idx) as n_cells, count(c.idx) > 0 as has_cells from page_dim p left join (select * from cells where from_ocr) c using (doc_id, page_no) group by all")
+def _(t):
+    cells = tp.cells(t("documents"))
+    return ocr.page_flags(cells, tp.page_dim(cells), forced=True)
+
+
+# ---- layout
+
+def _dets(t) -> DataFrame:
+    return tp.detections(tp.cells(t("documents")))
+
+
+def _gated(t) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Cells, detections, regular clusters and specials."""
+    cells = tp.cells(t("documents"))
+    dets = tp.detections(cells)
+    kept = layout.gated(layout.ingest(dets))
+    return cells, dets, layout.remapped(kept.filter(~layout.is_special())), kept.filter(layout.is_special())
+
+
+@query("label_gate_remap", f"with {o.GATED} select doc_id, page_no, id, label, round(conf, 6) as conf from gated")
+def _(t):
+    return layout.remapped(layout.gated(layout.ingest(_dets(t)))).select(*PAGE, "id", "label", "conf")
+
+
+@query("class_split", f"with {o.GATED} select doc_id, page_no, count(*) filter (label not in {o.SPECIALS}) as n_regular, count(*) filter (label in {o.SPECIALS}) as n_special from gated group by all")
+def _(t):
+    own = layout.gated(layout.ingest(_dets(t))).withColumn("special", layout.is_special())
+    return own.groupBy(*PAGE).agg(F.count_if(~F.col("special")).alias("n_regular"), F.count_if("special").alias("n_special"))
+
+
+@query("assign_cells", f"with {o.ASSIGNED} select doc_id, page_no, idx, id from assigned")
+def _(t):
+    cells, _, regular, _ = _gated(t)
+    return layout.assign_cells(regular, cells)
+
+
+@query("orphan_clusters", f"with {o.ASSIGNED} select doc_id, page_no, id, label, round(conf, 6) as conf, idx from orphan")
+def _(t):
+    cells, dets, regular, _ = _gated(t)
+    return layout.orphans(layout.assign_cells(regular, cells), cells, dets).select(*PAGE, "id", "label", "conf", "idx")
+
+
+def _start(t) -> DataFrame:
+    cells, dets, regular, _ = _gated(t)
+    return layout.with_cells(regular, layout.assign_cells(regular, cells), cells, dets)
+
+
+_P1 = f"with recursive {o.ASSIGNED}, {o.one_pass(1, 'k0', 'b0')}"
+
+
+@query("tighten_bbox", f"{_P1} select doc_id, page_no, id, l, t, r, b from t1")
+def _(t):
+    return layout.tightened(_start(t)).select(*PAGE, "id", *"ltrb")
+
+
+def _tight(t) -> DataFrame:
+    return layout.tightened(_start(t).withColumn("cls", F.lit("regular")))
+
+
+@query("overlap_edges", f"{_P1} select doc_id, page_no, a, b from e1 where a < b")
+def _(t):
+    return layout.overlap_pairs(_tight(t)).select(*PAGE, "a", "b")
+
+
+@query("overlap_components", f"{_P1} select doc_id, page_no, id, comp from m1")
+def _(t):
+    groups = layout.grouped(_tight(t)).select(*PAGE, F.transform("members", lambda m: m["id"]).alias("ids"))
+    return groups.select(*PAGE, F.explode("ids").alias("id"), F.array_min("ids").alias("comp"))
+
+
+@query("prefer_pairs", f"{_P1} select doc_id, page_no, id, ok from p1")
+def _(t):
+    groups = layout.grouped(_tight(t)).filter(F.size("members") > 1)
+    ratio, conf = F.lit(1.3), F.lit(0.05)
+    ok = F.transform("members", lambda c: F.struct(c["id"].alias("id"), F.forall("members", lambda x: (x["id"] == c["id"]) | layout.preferred(c, x, ratio, conf)).alias("ok")))
+    return groups.select(*PAGE, F.inline(ok))
+
+
+@query("group_winners", f"{_P1} select doc_id, page_no, comp, size, win from w1")
+def _(t):
+    g = layout.grouped(_tight(t))
+    return g.select(*PAGE, F.array_min(F.transform("members", lambda m: m["id"])).alias("comp"), F.size("members").alias("size"), layout.winner(F.col("members"), F.col("cls"))["id"].alias("win"))
+
+
+@query("merge_cells", f"{_P1} select doc_id, page_no, id, idx from b1")
+def _(t):
+    out = layout.merged(_tight(t))
+    return out.select(*PAGE, "id", F.explode("cells").alias("c")).select(*PAGE, "id", F.col("c.idx").alias("idx"))
+
+
+@query("refine_regular", f"with recursive {o.REFINED} select k.doc_id, k.page_no, k.id, k.label, k.l, k.t, k.r, k.b, round(k.conf, 6) as conf, count(b.idx) as n_cells from k3 k left join b3 b using (doc_id, page_no, id) group by all")
+def _(t):
+    return layout.refined(_start(t)).select(*PAGE, "id", "label", *"ltrb", "conf", F.size("cells").alias("n_cells"))
+
+
+@query("cross_type_noop", f"with {o.GATED} select count(*) as n_tables from regular where label = 'table'")
+def _(t):
+    _, _, regular, _ = _gated(t)
+    return regular.filter("label = 'table'").agg(F.count("*").alias("n_tables"))
+
+
+_SPEC = f"{o.GATED}, spec as (select * from special s where not (label = 'picture' and {o.area('s')} / (612.0 * 792.0) > 0.90))"
+
+
+@query("full_page_picture", f"with {_SPEC} select doc_id, page_no, id, label from spec")
+def _(t):
+    cells, _, _, special = _gated(t)
+    return layout.not_full_page(special, tp.page_dim(cells)).select(*PAGE, "id", "label")
+
+
+def _clean(t):
+    """Refined regular clusters, specials before and after their boxes, and the children."""
+    cells, dets, regular, special = _gated(t)
+    regular = layout.refined(layout.with_cells(regular, layout.assign_cells(regular, cells), cells, dets))
+    special = layout.not_full_page(special.select(*PAGE, "id", "label", *"ltrb", "conf"), tp.page_dim(cells))
+    kids = layout.children(special, regular)
+    return cells, regular, layout.special_boxes(special, kids), kids
+
+
+_FINAL = f"with recursive {o.FINAL}"
+
+
+@query("special_children", f"{_FINAL} select doc_id, page_no, parent_id, child_id from kids")
+def _(t):
+    return _clean(t)[3].select(*PAGE, "parent_id", "child_id")
+
+
+@query("special_bbox_cells", f"{_FINAL} select s.doc_id, s.page_no, s.id, s.label, s.l, s.t, s.r, s.b, count(x.idx) as n_cells from sk s left join sb x using (doc_id, page_no, id) group by all")
+def _(t):
+    return _clean(t)[2].select(*PAGE, "id", "label", *"ltrb", F.size("cells").alias("n_cells"))
+
+
+@query("deoverlap_special", f"{_FINAL} select doc_id, page_no, id, label, l, t, r, b from k4")
+def _(t):
+    return layout.deoverlapped(_clean(t)[2]).select(*PAGE, "id", "label", *"ltrb")
+
+
+def _final(t) -> tuple[DataFrame, DataFrame]:
+    cells = tp.cells(t("documents"))
+    return cells, layout.postprocess(tp.detections(cells), cells, tp.page_dim(cells))
+
+
+@query("final_clusters", f"{_FINAL} select doc_id, page_no, id, label, l, t, r, b, round(conf, 6) as conf, n_cells, pos from fo")
+def _(t):
+    return _final(t)[1].select(*PAGE, "id", "label", *"ltrb", "conf", F.size("cells").alias("n_cells"), "pos")
+
+
+@query("cluster_sort_modes", f"{_FINAL} select doc_id, page_no, id, pos as pos_id, row_number() over (partition by doc_id, page_no order by t, l, id) - 1 as pos_tblr, row_number() over (partition by doc_id, page_no order by l, t, id) - 1 as pos_lrtb from fo")
+def _(t):
+    out = _final(t)[1].withColumnRenamed("pos", "pos_id")
+    for mode in ("tblr", "lrtb"):
+        out = layout.ordered(out, mode).withColumnRenamed("pos", f"pos_{mode}")
+    return out.select(*PAGE, "id", "pos_id", "pos_tblr", "pos_lrtb")
+
+
+_SCORES = f"""{_FINAL}, {o.PAGES},
+ls as (select doc_id, page_no, avg(conf) s from fo group by all), os as (select doc_id, page_no, avg(conf) s from cells where from_ocr group by all)"""
+
+
+@query("layout_ocr_scores", f"{_SCORES} select p.doc_id, p.page_no, round(ls.s, 6) as layout_score, round(os.s, 6) as ocr_score from page_dim p left join ls using (doc_id, page_no) left join os using (doc_id, page_no)")
+def _(t):
+    cells, clusters = _final(t)
+    return layout.page_scores(clusters, cells, tp.page_dim(cells))
+
+
+@query("skip_cell_assignment", f"""
+with recursive {o.GATED}, k0 as (select doc_id, page_no, id, label, l, t, r, b, conf, id ord, false orphan, 'regular' cls from regular), b0 as (select 0::bigint doc_id, 0 page_no, 0 id, 0 idx where false), {o.one_pass(1, 'k0', 'b0')}
+select doc_id, page_no, id, label, l, t, r, b from k1""")
+def _(t):
+    _, _, regular, _ = _gated(t)
+    none = "array<struct<idx:int,l:double,t:double,r:double,b:double>>"
+    own = regular.select(*PAGE, "id", "label", *"ltrb", "conf").withColumn("cells", F.array().cast(none)).withColumn("is_orphan", F.lit(False)).withColumn("ord", F.col("id"))
+    return layout.refined(own, 1).select(*PAGE, "id", "label", *"ltrb")
+
+
+# ---- assembly
+
+def _elements(t) -> tuple[DataFrame, DataFrame]:
+    cells, clusters = _final(t)
+    return cells, assemble.texts(assemble.routed(clusters), cells)
+
+
+@query("element_routing", f"{_FINAL} select doc_id, page_no, id, label, {o.KIND} as kind from fo where {o.KIND} is not null")
+def _(t):
+    return assemble.routed(_final(t)[1]).select(*PAGE, "id", "label", "kind")
+
+
+@query("headers_body", f"with recursive {o.ELEMENTS} select doc_id, page_no, id, label in ('page_header', 'page_footer') as is_header, text from ex")
+def _(t):
+    return _elements(t)[1].select(*PAGE, "id", "is_header", "text")
+
+
+_TABLE_PRED = """tpred as (select doc_id, page_no, id cluster_id, 1 + (doc_id + id) % 4 num_rows, 2 + id % 3 num_cols from dets where label in ('table', 'document_index') and (doc_id + id) % 2 = 0),
+fpred as (select doc_id, page_no, id cluster_id, (['chart', 'logo', 'photo'])[1 + (doc_id + id) % 3] figure_class from dets where label = 'picture' and (doc_id + id) % 2 = 0)"""
+
+
+def _predictions(t) -> tuple[DataFrame, DataFrame]:
+    """Made-up model output for half of the tables and pictures."""
+    half = _dets(t).filter("(doc_id + id) % 2 = 0")
+    tables = half.filter("label in ('table', 'document_index')").selectExpr("doc_id", "page_no", "id cluster_id", "1 + (doc_id + id) % 4 num_rows", "cast(2 + id % 3 as long) num_cols")
+    figures = half.filter("label = 'picture'").selectExpr("doc_id", "page_no", "id cluster_id", "element_at(array('chart', 'logo', 'photo'), cast(1 + (doc_id + id) % 3 as int)) figure_class")
+    return tables, figures
+
+
+@query("table_fallback", f"{_FINAL}, {_TABLE_PRED} select f.doc_id, f.page_no, f.id, coalesce(p.num_rows, 0) as num_rows, coalesce(p.num_cols, 0) as num_cols from fo f left join tpred p on f.doc_id = p.doc_id and f.page_no = p.page_no and f.id = p.cluster_id where {o.KIND} = 'table'")
+def _(t):
+    own = assemble.routed(_final(t)[1])
+    return assemble.with_tables(own, _predictions(t)[0]).filter("kind = 'table'").select(*PAGE, "id", "num_rows", "num_cols")
+
+
+@query("figure_fallback", f"{_FINAL}, {_TABLE_PRED} select f.doc_id, f.page_no, f.id, coalesce(p.figure_class, 'unclassified') as figure_class from fo f left join fpred p on f.doc_id = p.doc_id and f.page_no = p.page_no and f.id = p.cluster_id where {o.KIND} = 'figure'")
+def _(t):
+    own = assemble.routed(_final(t)[1])
+    return assemble.with_figures(own, _predictions(t)[1]).filter("kind = 'figure'").select(*PAGE, "id", "figure_class")
+
+
+@query("pipe_table_cells", f"""
+with {o.CELLS}, rw as (select doc_id, line, row_number() over (partition by doc_id order by li) - 1 as row_no from ln where contains(line, ' | ')),
+cs as (select doc_id, row_no, string_split(line, ' | ') parts from rw)
+select doc_id, row_no as row, unnest(range(len(parts))) as col, unnest(parts) as text from cs""")
+def _(t):
+    return tp.pipe_tables(t("documents"))
+
+
+@query("doc_elements", f"with recursive {o.ELEMENTS} select doc_id, page_no, id, kind, row_number() over (partition by doc_id order by page_no, pos, id) - 1 as seq from ex")
+def _(t):
+    return assemble.in_document_order(assemble.routed(_final(t)[1])).select(*PAGE, "id", "kind", "seq")
+
+
+# ---- reading
+
+_READ = f"with recursive {o.READING}"
+
+
+def _reading(t) -> DataFrame:
+    return reading.reading_order(_elements(t)[1])
+
+
+@query("reading_order", f"{_READ} select doc_id, page_no, id, seq, zone, col as \"column\" from ro")
+def _(t):
+    return _reading(t).select(*PAGE, "id", "seq", "zone", "column")
+
+
+_NEAR = f"""{_READ}, nb as (select *, lag(kind) over d pk, lag(label) over d pl, lag(page_no) over d pp, lag(id) over d pid, lead(kind) over d nk, lead(label) over d nl, lead(page_no) over d np, lead(id) over d nid from ro window d as (partition by doc_id order by seq))"""
+
+
+@query("caption_links", f"""{_NEAR} select * from (select doc_id, page_no, id, case when (nk in ('table', 'figure') or nl = 'code') and np = page_no then nid when (pk in ('table', 'figure') or pl = 'code') and pp = page_no then pid end as target_id from nb where label = 'caption') where target_id is not null""")
+def _(t):
+    return reading.caption_links(_reading(t))
+
+
+@query("footnote_links", f"""{_READ}, fn as (select *, max(case when label <> 'footnote' then seq end) over (partition by doc_id, page_no order by seq rows between unbounded preceding and 1 preceding) a from ro)
+select f.doc_id, f.page_no, f.id, x.id as target_id from fn f join ro x on f.doc_id = x.doc_id and f.a = x.seq where f.label = 'footnote' and (x.kind in ('table', 'figure') or x.label = 'code')""")
+def _(t):
+    return reading.footnote_links(_reading(t))
+
+
+_MERGE = f"""{_READ}, mg as (select *, coalesce(label = 'text' and lag(label) over d = 'text' and (lag(page_no) over d < page_no or lag(col) over d < col)
+  and not regexp_matches(lag(text) over d, '[.!?:;]\\s*$') and lag(text) over d <> '' and regexp_matches(text, '^\\p{{Ll}}'), false) goes from ro window d as (partition by doc_id order by seq)),
+mh as (select *, max(case when not goes then seq end) over (partition by doc_id order by seq rows between unbounded preceding and current row) head from mg)"""
+
+
+@query("text_merges", f"""{_MERGE} select doc_id, head as seq, string_agg(text, ' ' order by seq) as text, count(*) as n_parts, string_agg(page_no::varchar || ':' || st::varchar || '-' || (st + length(text))::varchar, ',' order by seq) as prov
+from (select *, coalesce(sum(length(text) + 1) over (partition by doc_id, head order by seq rows between unbounded preceding and 1 preceding), 0)::bigint st from mh) group by doc_id, head""")
+def _(t):
+    out = reading.merged_texts(_reading(t))
+    span = F.transform("prov", lambda p: F.concat(p["page_no"].cast("string"), F.lit(":"), p["start"].cast("string"), F.lit("-"), p["end"].cast("string")))
+    return out.withColumn("prov", F.array_join(span, ","))
+
+
+_LISTS = f"{_READ}, lr as (select *, sum(case when kind = 'text' and label not in ('list_item', 'code') then 1 else 0 end) over (partition by doc_id order by seq) run from ro)"
+
+
+@query("list_groups", f"{_LISTS} select doc_id, page_no, id, dense_rank() over (partition by doc_id order by run) - 1 as group_no from lr where label = 'list_item'")
+def _(t):
+    return reading.list_groups(_reading(t)).select(*PAGE, "id", "group_no")
+
+
+@query("content_layers", f"{_READ} select doc_id, seq, case when label = 'section_header' then 'heading' when kind = 'text' then label else kind end as type, case when label in ('page_header', 'page_footer') then 'furniture' else 'body' end as content_layer, case when label = 'formula' then '' else text end as text, text as orig from ro")
+def _(t):
+    return reading.items(_reading(t)).select("doc_id", "seq", "type", "content_layer", "text", "orig")
+
+
+@query("provenance", f"{_READ} select doc_id, seq, '#/' || page_no::varchar || '/' || id::varchar as item_ref, page_no, length(text) as charspan_end, l, 792.0 - t as top, r, 792.0 - b as bottom from ro")
+def _(t):
+    p = F.col("prov")
+    return reading.items(_reading(t)).select("doc_id", "seq", "item_ref", p["page_no"].alias("page_no"), p["end"].alias("charspan_end"), p["l"].alias("l"), p["t"].alias("top"), p["r"].alias("r"), p["b"].alias("bottom"))
+
+
+_KID_COUNT = "kc as (select doc_id, page_no, parent_id id, count(*) n from kids group by all)"
+
+
+@query("table_emit", f"""{_FINAL}, {_TABLE_PRED}, {_KID_COUNT}
+select f.doc_id, f.page_no, f.id, case when coalesce(p.num_rows, 0) > 0 then 'structure' when coalesce(c.n, 0) > 0 then 'rich_cell' else 'empty' end as form, case when coalesce(p.num_rows, 0) > 0 then p.num_rows when coalesce(c.n, 0) > 0 then 1 else 0 end as num_rows
+from fo f left join tpred p on f.doc_id = p.doc_id and f.page_no = p.page_no and f.id = p.cluster_id left join kc c on f.doc_id = c.doc_id and f.page_no = c.page_no and f.id = c.id where {o.KIND} = 'table'""")
+def _(t):
+    _, regular, special, kids = _clean(t)
+    own = assemble.with_tables(assemble.routed(layout.deoverlapped(special)).filter("kind = 'table'"), _predictions(t)[0])
+    n = kids.groupBy(*PAGE, F.col("parent_id").alias("id")).agg(F.count("*").alias("n"))
+    own = own.join(n, [*PAGE, "id"], "left")
+    has = F.coalesce("n", F.lit(0)) > 0
+    form = F.when(F.col("num_rows") > 0, "structure").when(has, "rich_cell").otherwise("empty")
+    rows = F.when(F.col("num_rows") > 0, F.col("num_rows")).when(has, 1).otherwise(0)
+    return own.select(*PAGE, "id", form.alias("form"), rows.alias("num_rows"))
+
+
+_CHILD_TYPE = "case when k.label = 'list_item' then 'list_item' when k.label = 'section_header' then 'heading' else 'text' end"
+
+
+@query("children_emit", f"{_FINAL} select q.doc_id, q.page_no, q.parent_id, q.child_id, {_CHILD_TYPE} as type from kids q join k4 s on q.doc_id = s.doc_id and q.page_no = s.page_no and q.parent_id = s.id join k3 k on q.doc_id = k.doc_id and q.page_no = k.page_no and q.child_id = k.id")
+def _(t):
+    _, _, special, kids = _clean(t)
+    alive = layout.deoverlapped(special).select(*PAGE, F.col("id").alias("parent_id"))
+    kind = F.when(F.col("child_label") == "list_item", "list_item").when(F.col("child_label") == "section_header", "heading").otherwise("text")
+    return kids.join(alive, [*PAGE, "parent_id"], "left_semi").select(*PAGE, "parent_id", "child_id", kind.alias("type"))
+
+
+@query("container_groups", f"{_FINAL} select doc_id, page_no, id, case label when 'form' then 'form_area' when 'key_value_region' then 'key_value_area' end as group_label from fo where label in ('form', 'key_value_region')")
+def _(t):
+    own = assemble.routed(_final(t)[1]).filter("kind = 'container'")
+    return own.select(*PAGE, "id", reading.container_label(F.col("label")).alias("group_label"))
+
+
+@query("list_markers", rf"""
+with {o.CELLS}, mk as (select doc_id, page_no, idx, case idx % 4 when 0 then '- ' when 1 then '12) ' when 2 then '•  ' else '' end || text as text from cells)
+select doc_id, page_no, idx, regexp_extract(text, '^\s*([-*•·]|\d+[.)])\s+', 1) as marker, regexp_replace(text, '^\s*([-*•·]|\d+[.)])\s+', '') as text from mk""")
+def _(t):
+    lead = F.expr("case idx % 4 when 0 then '- ' when 1 then '12) ' when 2 then '•  ' else '' end")
+    mark, rest = reading.marker(F.concat(lead, "text"))
+    return tp.cells(t("documents")).select(*PAGE, "idx", mark.alias("marker"), rest.alias("text"))
+
+
+@query("missing_pages", f"""
+with {o.CELLS}, {o.PAGES}, {_ADMISSION}, ex as (select doc_id, unnest(range(1, page_count + 1)) page_no from adm), dn as (select * from page_dim where backend_ok)
+select e.doc_id, e.page_no, coalesce(d.width, 0) as width, coalesce(d.height, 0) as height, d.width is null as missing from ex e left join dn d using (doc_id, page_no)""")
+def _(t):
+    expected = formats.expand_pages(tp.admission(t("documents")), Limits())
+    return reading.all_pages(expected, _pages(t).filter("backend_ok"))
+
+
+@query("crop_rects", f"{_FINAL} select doc_id, page_no, id, l * 2 as l, t * 2 as t, r * 2 as r, b * 2 as b, 144 as dpi from fo where {o.KIND} in ('table', 'figure')")
+def _(t):
+    own = assemble.routed(_final(t)[1]).filter("kind in ('table', 'figure')")
+    return own.select(*PAGE, "id", *((F.col(c) * 2).alias(c) for c in "ltrb"), F.lit(144).alias("dpi"))
+
+
+# ---- confidence and status
+
+def _page_scores(t) -> DataFrame:
+    """Page scores from cells and raw detections; no table model, so no table score."""
+    cells = _corrupt(t)
+    parse = cells.withColumn("q", quality(F.col("text"))).groupBy(*PAGE).agg(F.expr("percentile(q, 0.1)").alias("parse_score"))
+    dets = layout.gated(_dets(t)).groupBy(*PAGE).agg(F.avg("conf").alias("layout_score"))
+    read = cells.filter("from_ocr").groupBy(*PAGE).agg(F.avg("conf").alias("ocr_score"))
+    return parse.join(dets, PAGE, "left").join(read, PAGE, "left").withColumn("table_score", F.lit(None).cast("double"))
+
+
+_PS = f"""{o.GATED}, {o.CORRUPT.removeprefix(o.CELLS).lstrip(',')},
+ps as (select p.doc_id, p.page_no, p.s parse, d.s lay, r.s ocrs from (select doc_id, page_no, quantile_cont(score, 0.1) s from rated group by all) p
+  left join (select doc_id, page_no, avg(conf) s from gated group by all) d using (doc_id, page_no) left join (select doc_id, page_no, avg(conf) s from cc where from_ocr group by all) r using (doc_id, page_no)),
+pl as (select *, list_filter([parse, lay, ocrs], lambda x: x is not null) xs from ps),
+pc as (select *, list_avg(xs) mean_score, (select quantile_cont(u.x, 0.05) from (select unnest(xs) x) u) low_score from pl)"""
+
+
+@query("page_mean_low", f"with {_PS} select doc_id, page_no, round(mean_score, 6) as mean_score, round(low_score, 6) as low_score from pc")
+def _(t):
+    return status.page_confidence(_page_scores(t)).select(*PAGE, "mean_score", "low_score")
+
+
+@query("grades", f"with {_PS} select doc_id, page_no, {_GRADE.format('mean_score')} as mean_grade, {_GRADE.format('low_score')} as low_grade, {_GRADE.format('ocrs')} as ocr_grade from pc")
+def _(t):
+    return status.page_confidence(_page_scores(t)).select(*PAGE, "mean_grade", "low_grade", scores.grade(F.col("ocr_score")).alias("ocr_grade"))
+
+
+_DC = f"{_PS}, dc as (select doc_id, quantile_cont(parse, 0.1) parse_score, avg(lay) layout_score, avg(ocrs) ocr_score, avg(mean_score) mean_score, avg(low_score) low_score from pc group by doc_id)"
+
+
+@query("doc_confidence", f"with {_DC} select doc_id, round(parse_score, 6) as parse_score, round(layout_score, 6) as layout_score, round(ocr_score, 6) as ocr_score from dc")
+def _(t):
+    return status.document_confidence(status.page_confidence(_page_scores(t))).select("doc_id", "parse_score", "layout_score", "ocr_score")
+
+
+@query("report_mean_low", f"with {_DC} select doc_id, round(mean_score, 6) as mean_score, round(low_score, 6) as low_score, {_GRADE.format('mean_score')} as mean_grade, {_GRADE.format('low_score')} as low_grade from dc")
+def _(t):
+    return status.document_confidence(status.page_confidence(_page_scores(t))).select("doc_id", "mean_score", "low_score", "mean_grade", "low_grade")
+
+
+@query("grade_vs_label", f"with {_DC} select {_GRADE.format('mean_score')} as mean_grade, quality, count(*) as n_docs from dc join labels using (doc_id) group by 1, 2")
+def _(t):
+    docs = status.document_confidence(status.page_confidence(_page_scores(t)))
+    return docs.join(t("labels"), "doc_id").groupBy("mean_grade", "quality").agg(F.count("*").alias("n_docs"))
+
+
+def _outcome(t) -> DataFrame:
+    return _pages(t).select(*PAGE, F.col("backend_ok").alias("ok"), F.when(~F.col("backend_ok"), "page backend failed").alias("error"))
+
+
+@query("doc_status", f"""with {o.CELLS}, {o.PAGES} select doc_id, count(*) filter (backend_ok) as n_ok, count(*) filter (not backend_ok) as n_failed, count(*) as n_expected,
+case when count(*) filter (backend_ok) = 0 then 'failure' when count(*) filter (backend_ok) < count(*) then 'partial_success' else 'success' end as status from page_dim group by doc_id""")
+def _(t):
+    return status.document_status(_outcome(t))
+
+
+@query("page_errors", f"with {o.CELLS}, {o.PAGES} select doc_id, count(*) as n_errors, string_agg('Page ' || page_no::varchar || ': page backend failed', '; ' order by page_no) as messages from page_dim where not backend_ok group by doc_id")
+def _(t):
+    e = status.page_errors(_outcome(t))
+    return e.select("doc_id", F.size("errors").alias("n_errors"), F.array_join(F.transform("errors", lambda x: x["error_message"]), "; ").alias("messages"))
+
+
+@query("page_load_status", f"with {o.CELLS}, {o.PAGES} select doc_id, case when bool_and(backend_ok) then 'success' else 'partial_success' end as status, count(*) filter (not backend_ok) as n_invalid from page_dim group by doc_id")
+def _(t):
+    own = _pages(t).groupBy("doc_id").agg(F.bool_and("backend_ok").alias("all_ok"), F.count_if(~F.col("backend_ok")).alias("n_invalid"))
+    return own.select("doc_id", F.when(F.col("all_ok"), "success").otherwise("partial_success").alias("status"), "n_invalid")
+
+
+@query("stage_timings", """select event_type as key, 'page' as scope, count(*) as n, round(sum(value), 6) as total, round(avg(value), 6) as mean, round(stddev_pop(value), 6) as std, round(quantile_cont(value, 0.9), 6) as p90 from events group by 1""")
+def _(t):
+    rows = t("events").select(F.col("event_type").alias("key"), F.lit("page").alias("scope"), F.col("value").alias("elapsed"))
+    return status.timings(rows)
+
+
+@query("result_json", f"""with {o.CELLS}, {o.PAGES}, st as (select doc_id, count(*) n, case when count(*) filter (backend_ok) = 0 then 'failure' when count(*) filter (backend_ok) < count(*) then 'partial_success' else 'success' end status from page_dim group by doc_id)
+select doc_id, '{{"doc_id":' || doc_id::varchar || ',"status":"' || status || '","page_count":' || n::varchar || ',"filesize":' || n_chars::varchar || '}}' as summary from st join documents using (doc_id)""")
+def _(t):
+    st = status.document_status(_outcome(t)).join(t("documents").select("doc_id", F.col("n_chars").alias("filesize")), "doc_id")
+    return st.select("doc_id", F.to_json(F.struct("doc_id", "status", F.col("n_expected").alias("page_count"), "filesize")).alias("summary"))
+
+
+@query("json_roundtrip", f"with {o.CELLS} select doc_id, page_no, count(*) as n_cells, sum(length(text)) as n_chars, round(avg(conf), 6) as conf, true as same from cells group by all")
+def _(t):
+    own = tp.cells(t("documents")).groupBy(*PAGE).agg(F.count("*").alias("n_cells"), F.sum(F.length("text")).alias("n_chars"), F.round(F.avg("conf"), 6).alias("conf"))
+    text = F.to_json(F.struct(*own.columns))
+    back = own.withColumn("back", F.from_json(text, own.schema, {"mode": "PERMISSIVE"}))
+    same = F.lit(True)
+    for c in own.columns:
+        same = same & F.col(c).eqNullSafe(F.col("back")[c])
+    return back.select(*(F.col("back")[c].alias(c) for c in own.columns), same.alias("same"))
+
+
+# ---- HTML
+
+_BLOCKS = r"""raw as (select page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g') h from pages),
+cut as (select page_id, unnest(string_split(regexp_replace(h, '(?i)(</?(?:title|h1|p|li|footer|nav|ul|article|div|body|html|head)\b)', chr(1) || '\1', 'g'), chr(1))) part,
+  generate_subscripts(string_split(regexp_replace(h, '(?i)(</?(?:title|h1|p|li|footer|nav|ul|article|div|body|html|head)\b)', chr(1) || '\1', 'g'), chr(1)), 1) n from raw),
+blk as (select page_id, n, lower(regexp_extract(part, '(?is)^<(title|h1|p|li|footer|nav)(\s[^>]*)?>', 1)) tag, regexp_replace(part, '(?is)^<(title|h1|p|li|footer|nav)(\s[^>]*)?>', '') body from cut
+  where regexp_matches(part, '(?is)^<(title|h1|p|li|footer|nav)(\s[^>]*)?>')),
+vis as (select page_id, row_number() over (partition by page_id order by n) - 1 as ord, tag,
+  case tag when 'title' then 'title' when 'h1' then 'section_header' when 'p' then 'text' when 'li' then 'list_item' when 'footer' then 'page_footer' else 'page_header' end as label,
+  trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(body, '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) as text from blk)"""
+
+
+@query("html_elements", f"with {_BLOCKS} select page_id, ord, tag, label, text from vis where text <> ''")
+def _(t):
+    return html.elements(t("pages"))
+
+
+@query("html_lists", f"with {_BLOCKS} select page_id, count(*) as n_items, min(ord) as first_ord, string_agg(text, ' / ' order by ord) as items from vis where text <> '' and tag = 'li' group by page_id")
+def _(t):
+    own = html.elements(t("pages")).filter("tag = 'li'").groupBy("page_id").agg(F.count("*").alias("n_items"), F.min("ord").alias("first_ord"), F.sort_array(F.collect_list(F.struct("ord", "text"))).alias("xs"))
+    return own.select("page_id", "n_items", "first_ord", F.array_join(F.transform("xs", lambda x: x["text"]), " / ").alias("items"))
+
+
+@query("html_text", f"with {_BLOCKS} select p.page_id, coalesce(string_agg(v.text, chr(10) order by v.ord), '') as text from pages p left join (select * from vis where text <> '') v using (page_id) group by p.page_id")
+def _(t):
+    return html.page_text(t("pages"))
