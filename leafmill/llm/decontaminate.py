@@ -27,8 +27,9 @@ def tokens(text: Column) -> Column:
 
 def _positions(rows: DataFrame, key: str) -> DataFrame:
     """``(key, tokens, h, at, ends)`` for every position with room for a mask; ends: hash of a span's first and last token."""
-    hashed = rows.withColumn("h", F.transform("tokens", lambda t: F.xxhash64(t))).filter(F.size("h") >= SPAN)
-    at = hashed.select(key, "tokens", "h", F.posexplode("h").alias("at", "h0")).filter(F.col("at") <= F.size("h") - SPAN)
+    hashed = rows.withColumn("h", F.transform("tokens", lambda t: F.xxhash64(t)))
+    # the outer form: for the inner one a filter on the array's size is inferred, and splits every text twice
+    at = hashed.select(key, "tokens", "h", F.posexplode_outer("h").alias("at", "h0")).filter(F.col("at") <= F.size("h") - SPAN)
     return at.select(key, "tokens", "h", "at", F.xxhash64("h0", F.get("h", F.col("at") + SPAN - 1)).alias("ends"))
 
 
@@ -63,7 +64,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         # all masks read a span's first and last token: most positions fail on these two
         places = places.join(F.broadcast(spans.select("ends").distinct()), "ends", "left_semi")
     found = _placed(places, "id").join(known, "seed", "left_semi").select("seed", "id", "at", _around(F.col("at")).alias("around"))
-    both = found.join(items, "seed")
+    # an exchange of the few hits keeps their verification out of the scan's generated code, which stays small enough to compile
+    both = found.repartition("id", "at").join(items, "seed")
     # one bit for each aligned token that agrees; a window is thirteen neighbouring bits
     agree = [F.coalesce((F.get("around", F.lit(k)) == F.get("item_around", F.lit(k))).cast("int"), F.lit(0)) * (1 << k) for k in range(2 * WINDOW - SPAN)]
     bits = agree[0]
