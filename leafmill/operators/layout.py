@@ -13,6 +13,7 @@ from leafmill.config import LayoutOptions
 from leafmill.functions.geometry import area, box, fields, over_self, overlaps
 from leafmill.functions.text import strip
 from leafmill.operators.ocr import member, merged_sets
+from leafmill.storage import stored
 
 PAGE = ("doc_id", "page_no")
 #: Labels that need a confidence of 0.45 only; all others need 0.5.
@@ -152,10 +153,12 @@ def winner(members: Column, cls: Column) -> Column:
 
 def merged(clusters: DataFrame) -> DataFrame:
     """One cluster of each group, with the cells of all, in the place of the group's first."""
-    g = grouped(clusters).withColumn("best", winner(F.col("members"), F.col("cls")))
+    g = grouped(clusters)
     cells = F.array_sort(F.array_distinct(F.flatten(F.transform("members", lambda m: m["cells"]))))
     first = F.array_min(F.transform("members", lambda m: m["ord"]))
-    return g.select(*PAGE, F.col("best.id").alias("id"), F.col("best.label").alias("label"), *(F.col(f"best.{c}").alias(c) for c in "ltrb"), F.col("best.conf").alias("conf"), cells.alias("cells"), F.col("best.is_orphan").alias("is_orphan"), first.alias("ord"), "cls")
+    # a generator of one row: the winner is worked out once, not once for each of its fields
+    best = g.select(*PAGE, "cls", cells.alias("cells"), first.alias("ord"), F.explode(F.array(winner(F.col("members"), F.col("cls")))).alias("best"))
+    return best.select(*PAGE, *(F.col(f"best.{c}").alias(c) for c in ("id", "label", *"ltrb", "conf")), "cells", F.col("best.is_orphan").alias("is_orphan"), "ord", "cls")
 
 
 def refined(clusters: DataFrame, passes: int = 3) -> DataFrame:
@@ -220,8 +223,11 @@ def page_scores(clusters: DataFrame, cells: DataFrame, pages: DataFrame) -> Data
     return pages.select(*PAGE).join(layout, list(PAGE), "left").join(ocr, list(PAGE), "left")
 
 
-def postprocess(dets: DataFrame, cells: DataFrame, pages: DataFrame, options: LayoutOptions = LayoutOptions()) -> DataFrame:
-    """The whole clean-up: ``clusters`` of every page in reading position."""
+def clean(dets: DataFrame, cells: DataFrame, pages: DataFrame, options: LayoutOptions = LayoutOptions()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Refined regular clusters, special ones with their boxes and cells, and the children that link them.
+
+    The regular clusters are read three times from here on, so they are written to the shared folder once.
+    """
     kept = gated(ingest(dets))
     regular = remapped(kept.filter(~is_special()))
     if options.skip_cell_assignment:
@@ -229,8 +235,13 @@ def postprocess(dets: DataFrame, cells: DataFrame, pages: DataFrame, options: La
         regular = regular.select(*PAGE, "id", "label", *"ltrb", "conf").withColumn("cells", F.array().cast(none)).withColumn("is_orphan", F.lit(False)).withColumn("ord", F.col("id"))
     else:
         regular = with_cells(regular, assign_cells(regular, cells), cells, dets, options)
-    regular = refined(regular, options.passes)
+    regular = stored(refined(regular, options.passes), "regular-clusters")
     special = not_full_page(kept.filter(is_special()).select(*PAGE, "id", "label", *"ltrb", "conf"), pages)
     kids = children(special, regular)
-    special = deoverlapped(special_boxes(special, kids))
-    return ordered(final(regular, special, kids))
+    return regular, special_boxes(special, kids), kids
+
+
+def postprocess(dets: DataFrame, cells: DataFrame, pages: DataFrame, options: LayoutOptions = LayoutOptions()) -> DataFrame:
+    """The whole clean-up: ``clusters`` of every page in reading position."""
+    regular, special, kids = clean(dets, cells, pages, options)
+    return ordered(final(regular, deoverlapped(special), kids))

@@ -349,12 +349,9 @@ def _(t):
 
 
 def _clean(t):
-    """Refined regular clusters, specials before and after their boxes, and the children."""
-    cells, dets, regular, special = _gated(t)
-    regular = layout.refined(layout.with_cells(regular, layout.assign_cells(regular, cells), cells, dets))
-    special = layout.not_full_page(special.select(*PAGE, "id", "label", *"ltrb", "conf"), tp.page_dim(cells))
-    kids = layout.children(special, regular)
-    return cells, regular, layout.special_boxes(special, kids), kids
+    """Cells, refined regular clusters, specials with their boxes, and the children."""
+    cells = tp.cells(t("documents"))
+    return cells, *layout.clean(tp.detections(cells), cells, tp.page_dim(cells))
 
 
 _FINAL = f"with recursive {o.FINAL}"
