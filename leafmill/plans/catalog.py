@@ -13,6 +13,7 @@ from leafmill.functions.geometry import box, expanded, flipped, over_self
 from leafmill.functions.text import clean_lines, joined, quality
 from leafmill.operators import assemble, layout, ocr, reading, status
 from leafmill.plans import oracle as o
+from leafmill.plans import plugins
 from leafmill.sources import formats, html
 from leafmill.sources import text_pages as tp
 
@@ -700,3 +701,9 @@ def _(t):
 @query("html_text", f"with {_BLOCKS} select p.page_id, coalesce(string_agg(v.text, chr(10) order by v.ord), '') as text from pages p left join (select * from vis where text <> '') v using (page_id) group by p.page_id")
 def _(t):
     return html.page_text(t("pages"))
+
+
+# ---- plug-ins
+
+QUERIES |= {"batch_scorer": plugins.scored_embeddings, "udtf_chunks": plugins.chunked_documents, "binary_image_headers": plugins.header_sizes}
+ORACLE_SQL |= {"batch_scorer": plugins.SCORE_SQL, "udtf_chunks": plugins.CHUNK_SQL, "binary_image_headers": plugins.HEADER_SQL}

@@ -7,6 +7,8 @@ the tasks it ran.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -38,11 +40,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def add_package(spark: SparkSession) -> None:
-    """Ship this package to executors that do not share the driver's source tree."""
-    import os
-    import shutil
+_shipped: set[str] = set()
+
 
-    root = os.path.dirname(os.path.abspath(__file__))
-    target = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "leafmill"), "zip", os.path.dirname(root), "leafmill")
+def add_package(spark: SparkSession) -> None:
+    """Ship this package to executors that do not see the driver's source tree; once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    target = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="leafmill-"), "leafmill"), "zip", root, "leafmill")
     spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
