@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PAGE = ("doc_id", "page_no")
-DOC = Window.partitionBy("doc_id").orderBy("seq")
 #: What a bullet or number in front of a list item looks like.
 MARKER = r"^\s*([-*•·]|\d+[.)])\s+"
 CAPTIONED = ("table", "figure")
 
 
+def in_document():
+    """A document's elements in reading order."""
+    return Window.partitionBy("doc_id").orderBy("seq")
+
+
 def reading_order(elements: DataFrame, width: float = 612.0) -> DataFrame:
     """Adds ``seq``: page headers, then body by column, top and left, then page footers.
 
@@ -32,7 +36,7 @@ def reading_order(elements: DataFrame, width: float = 612.0) -> DataFrame:
 def neighbours(ordered: DataFrame) -> DataFrame:
     """Adds kind, label, page and id of the elements before and after in the document."""
     cols = ("kind", "label", "page_no", "id")
-    return ordered.withColumns({f"prev_{c}": F.lag(c).over(DOC) for c in cols} | {f"next_{c}": F.lead(c).over(DOC) for c in cols})
+    return ordered.withColumns({f"prev_{c}": F.lag(c).over(in_document()) for c in cols} | {f"next_{c}": F.lead(c).over(in_document()) for c in cols})
 
 
 def takes_caption(kind: Column, label: Column) -> Column:
@@ -63,11 +67,11 @@ def merge_heads(ordered: DataFrame) -> DataFrame:
     A text goes on in the next element if that is a text on the next page (or column), the first lacks
     end punctuation and the second starts in lower case.
     """
-    same = (F.col("label") == "text") & (F.lag("label").over(DOC) == "text")
-    moved = (F.lag("page_no").over(DOC) < F.col("page_no")) | (F.lag("column").over(DOC) < F.col("column"))
-    open_end = ~F.lag("text").over(DOC).rlike(r"[.!?:;]\s*$") & (F.lag("text").over(DOC) != "")
+    same = (F.col("label") == "text") & (F.lag("label").over(in_document()) == "text")
+    moved = (F.lag("page_no").over(in_document()) < F.col("page_no")) | (F.lag("column").over(in_document()) < F.col("column"))
+    open_end = ~F.lag("text").over(in_document()).rlike(r"[.!?:;]\s*$") & (F.lag("text").over(in_document()) != "")
     goes_on = F.coalesce(same & moved & open_end & F.col("text").rlike(r"^\p{Ll}"), F.lit(False))
-    heads = F.max(F.when(~goes_on, F.col("seq"))).over(DOC.rowsBetween(Window.unboundedPreceding, 0))
+    heads = F.max(F.when(~goes_on, F.col("seq"))).over(in_document().rowsBetween(Window.unboundedPreceding, 0))
     return ordered.withColumn("head", heads)
 
 
@@ -86,7 +90,7 @@ def merged_texts(ordered: DataFrame) -> DataFrame:
 def list_groups(ordered: DataFrame) -> DataFrame:
     """List items with ``group_no``: a text other than an item or code closes a group; tables and figures do not."""
     closes = (F.col("kind") == "text") & ~F.col("label").isin("list_item", "code")
-    run = F.sum(F.when(closes, 1).otherwise(0)).over(DOC.rowsBetween(Window.unboundedPreceding, 0))
+    run = F.sum(F.when(closes, 1).otherwise(0)).over(in_document().rowsBetween(Window.unboundedPreceding, 0))
     items = ordered.withColumn("run", run).filter("label = 'list_item'")
     return items.withColumn("group_no", (F.dense_rank().over(Window.partitionBy("doc_id").orderBy("run")) - 1).cast("int")).drop("run")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.scores import grade, mean_of, quantile_of
@@ -26,9 +26,9 @@ def document_confidence(pages: DataFrame) -> DataFrame:
     return out.withColumn("mean_grade", grade(F.col("mean_score"))).withColumn("low_grade", grade(F.col("low_score")))
 
 
-def document_status(pages: DataFrame, timed_out=F.lit(False)) -> DataFrame:
+def document_status(pages: DataFrame, timed_out: Column | None = None) -> DataFrame:
     """``(doc_id, n_ok, n_failed, n_expected, status)`` from page outcomes (ok: true, false, or null if never fed)."""
-    out = pages.groupBy("doc_id").agg(F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_failed"), F.count("*").alias("n_expected"), F.max(timed_out).alias("timed_out"))
+    out = pages.groupBy("doc_id").agg(F.count_if("ok").alias("n_ok"), F.count_if(~F.col("ok")).alias("n_failed"), F.count("*").alias("n_expected"), F.max(F.lit(False) if timed_out is None else timed_out).alias("timed_out"))
     status = F.when(F.col("timed_out"), "partial_success").when((F.col("n_ok") == 0) & (F.col("n_failed") > 0), "failure").when(F.col("n_ok") < F.col("n_expected"), "partial_success").otherwise("success")
     return out.withColumn("status", status).drop("timed_out")
 

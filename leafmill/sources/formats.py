@@ -133,7 +133,7 @@ def expand_pages(docs: DataFrame, limits: Limits) -> DataFrame:
     """A row for each page in range."""
     start, end = limits.page_range
     last = F.least(F.lit(end), F.col("page_count")).cast("int")
-    pages = F.when(last >= start, F.sequence(F.lit(start), last))
+    pages = F.when(F.col("page_count").isNotNull() & (last >= start), F.sequence(F.lit(start), last))
     return docs.select("*", F.explode(pages).alias("page_no"))
 
 

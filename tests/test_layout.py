@@ -19,10 +19,10 @@ def test_larger_box_wins_unless_unsure(spark):
     assert kept(spark, ("text", (0, 0, 10, 10), 0.9, False), ("text", (0, 0, 10, 11), 0.6, False)) == [0]
 
 
-@pytest.mark.parametrize(("width", "winner"), [(81, [0]), (79, [1])])
+@pytest.mark.parametrize(("width", "winner"), [(85, [0]), (82, [1])])
 def test_list_item_over_text_of_like_size(spark, width, winner):
-    # by size and confidence alone the text would win
-    assert kept(spark, ("list_item", (0, 0, width, 10), 0.6, False), ("text", (0, 0, 100, 10), 0.9, False)) == winner
+    # by size and confidence alone the item would yield
+    assert kept(spark, ("list_item", (0, 0, 100, 10), 0.6, False), ("text", (0, 0, width, 10), 0.9, False)) == winner
 
 
 def test_code_over_what_it_holds(spark):
