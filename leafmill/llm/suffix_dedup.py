@@ -368,7 +368,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Data
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     pairs = base.select("id", digest.alias("digest")).distinct().sort(F.col("id").asc_nulls_last(), "digest")
     ranked = pairs.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("id long, digest string, doc long")
-    texts = base.withColumn("digest", digest).join(ranked.withColumnRenamed("id", "rid"), F.expr("id <=> rid") & (F.col("digest") == ranked["digest"]))
+    named = ranked.select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "doc")
+    texts = base.withColumn("digest", digest).join(named, F.expr("id <=> rid and digest = rdigest"))
     return texts.groupBy("doc").agg(F.first("text").alias("text")), ranked
 
 
