@@ -12,7 +12,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 #: Fixed values: (action, host, path prefix).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -49,7 +49,7 @@ def _rule(host: Column, path: Column, rules) -> tuple[Column, Column]:
 def scan_terms(urls: DataFrame, strict=STRICT, soft=None) -> DataFrame:
     """Adds ``strict_hits array<string>`` and ``soft_hits array<string>`` (distinct, sorted) for column ``url``."""
     soft = SOFT if soft is None else soft
-    schema = urls.schema.add("strict_hits", ArrayType(StringType())).add("soft_hits", ArrayType(StringType()))
+    schema = StructType([*urls.schema.fields, StructField("strict_hits", ArrayType(StringType())), StructField("soft_hits", ArrayType(StringType()))])
     where = urls.columns.index("url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
