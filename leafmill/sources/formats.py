@@ -10,7 +10,7 @@ from leafmill.config import Limits
 #: Input formats in declaration order.
 FORMATS = (
     "docx", "pptx", "html", "image", "pdf", "asciidoc", "md", "csv", "xlsx", "xml_uspto", "xml_jats", "mets_gbs",
-    "json_docling", "audio", "vtt", "latex",
+    "json_document", "audio", "vtt", "latex",
 )
 OUTPUT_FORMATS = ("md", "json", "yaml", "html", "html_split_page", "text", "doctags")
 #: File extensions of each format.
@@ -27,7 +27,7 @@ EXTENSIONS = {
     "xml_uspto": "xml txt",
     "xml_jats": "xml nxml",
     "mets_gbs": "tar.gz",
-    "json_docling": "json",
+    "json_document": "json",
     "audio": "wav mp3 m4a aac ogg flac mp4 avi mov",
     "vtt": "vtt",
     "latex": "tex latex",
@@ -46,7 +46,7 @@ MIME_TYPES = {
     "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
     "xml_uspto": "application/xml text/plain",
     "mets_gbs": "application/mets+xml",
-    "json_docling": "application/json",
+    "json_document": "application/json",
     "audio": "audio/x-wav audio/mpeg audio/wav audio/mp3 audio/mp4 audio/m4a audio/aac audio/ogg audio/flac audio/x-flac video/mp4 video/avi video/x-msvideo video/quicktime",
     "vtt": "text/vtt",
     "latex": "text/x-tex application/x-tex text/x-latex",
