@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from leafmill.llm import decontaminate as seeds
 from leafmill.llm import pieces, simhash, suffix_dedup, toxicity
 
-#: Near copies: five-word shingles, and differing bits of a 256-bit fingerprint. Shingle sets of
-#: similarity 0.8 lie 27 degrees apart, which is 39 of 256 bits.
-SHINGLE_WORDS, PRINT_BITS, PRINT_DISTANCE = 5, 256, 39
+#: Near copies: similarity of sets of five-word shingles, and differing bits of a 256-bit fingerprint up to which
+#: it is counted. Sets of similarity 0.8 lie 27 degrees apart: 39 of 256 bits with a deviation of 5.7, and four of these more.
+SHINGLE_WORDS, SIMILARITY, PRINT_BITS, PRINT_DISTANCE = 5, 0.8, 256, 62
 #: Repeated passages: words.
 REPEAT_WORDS = 50
 
@@ -28,7 +28,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near copies; rows without an id stay."""
-    groups = simhash.simhash_groups(docs, shingle_words=SHINGLE_WORDS, n_bits=PRINT_BITS, max_distance=PRINT_DISTANCE)
+    groups = simhash.near_copies(docs, shingle_words=SHINGLE_WORDS, n_bits=PRINT_BITS, max_distance=PRINT_DISTANCE, similarity=SIMILARITY)
     others = groups.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
     return _named(docs.join(others, "doc_id", "left_anti"))
 

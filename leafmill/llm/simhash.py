@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.arrowtext import U64, lowered, mix64, utf8
+from leafmill.llm.arrowtext import U64, lowered, mix64, sliced, utf8
 from leafmill.operators.graph import connected_components
 from leafmill.storage import stored
 
@@ -89,15 +89,11 @@ def golay_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def fingerprint(text: bytes, shingle: int, parts: int) -> np.ndarray:
-    """Big-endian bytes of a text's fingerprint; text: A-Z already lower-cased.
-
-    A bit is set if it is set in over half the hashes. The first 64 bits use XXH64 (seed 42) itself,
-    further parts a mixed copy of it. Fewer words than a shingle: the whole sequence; none: zero.
-    """
+def shingles(text: bytes, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of every shingle in order; text: A-Z already lower-cased. Fewer words than a shingle: the whole sequence; none: none."""
     words = text.split()
     if not words:
-        return np.zeros(8 * parts, np.uint8)
+        return np.zeros(0, U64)
     joined = b" ".join(words)
     xx = xxhash.xxh64_intdigest
     if len(words) < shingle:
@@ -106,7 +102,21 @@ def fingerprint(text: bytes, shingle: int, parts: int) -> np.ndarray:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = np.concatenate([[0], ends[:-1] + 1])
         hashes = [xx(joined[a:b], 42) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
-    h = np.array(hashes, U64)
+    return np.array(hashes, U64)
+
+
+def fingerprint(text: bytes, shingle: int, parts: int) -> np.ndarray:
+    """Big-endian bytes of a text's fingerprint; text: A-Z already lower-cased.
+
+    A bit is set if it is set in over half the hashes. The first 64 bits use XXH64 (seed 42) itself,
+    further parts a mixed copy of it. Fewer words than a shingle: the whole sequence; none: zero.
+    """
+    return _majority(shingles(text, shingle), parts)
+
+
+def _majority(h: np.ndarray, parts: int) -> np.ndarray:
+    if not len(h):
+        return np.zeros(8 * parts, np.uint8)
     out = []
     for part in range(parts):
         x = h if not part else mix64(h + U64(part * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
@@ -188,49 +198,72 @@ def _as_prints(column: pa.Array, parts: int) -> np.ndarray:
     return raw.view(">u8").astype(U64).reshape(-1, parts) if len(raw) else np.zeros((0, parts), U64)
 
 
-def golay_links(prints: DataFrame, n_bits: int = 64, max_distance: int = 3) -> DataFrame:
+def links_apart(keys: np.ndarray, prints: np.ndarray, labels: np.ndarray, most: int, small: int = 24) -> tuple[np.ndarray, np.ndarray]:
+    """Of the buckets over ``small``, every link between rows of different labels (others have all their pairs in ``links_of``)."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(np.append(first, len(keys)))
+    src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for g in np.flatnonzero(sizes > small):
+        own = slice(first[g], first[g] + sizes[g])
+        if (labels[own] == labels[first[g]]).all():
+            continue
+        for x in range(own.start, own.stop - 1):
+            near = np.flatnonzero((labels[x + 1 : own.stop] != labels[x]) & (_popcount(prints[x + 1 : own.stop] ^ prints[x]) <= most))
+            src.append(np.full(len(near), x))
+            dst.append(near + x + 1)
+    return np.concatenate(src), np.concatenate(dst)
+
+
+def golay_links(prints: DataFrame, n_bits: int = 64, max_distance: int = 3, tail: int = 0) -> DataFrame:
     """Verified links ``(src, dst)`` between different fingerprints (column ``fp``, distinct values).
 
     Exact for ``n_bits=64, max_distance=3``. Wider prints are joined through the keys of each 64-bit
     part and verified on all bits: a link is found if some part has a pair of segments with two
-    differing bits or fewer.
+    differing bits or fewer. The last ``tail`` 64-bit words of fp tell prints apart but are not compared.
+
+    Buckets of over 24 prints give a spanning forest. With a column ``label`` (long) they give every link
+    between different labels instead, and smaller buckets none.
     """
     parts = n_bits // 64
+    wide = parts + tail
+    labelled = "label" in prints.columns
+    columns, schema = (["key", "fp", "label"], "key long, fp binary, label long") if labelled else (["key", "fp"], "key long, fp binary")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, keys = golay_keys(_as_prints(batch.column(0), parts))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), batch.column(0).take(pa.array(rows))], names=["key", "fp"])
+            rows, keys = golay_keys(_as_prints(batch.column(0), wide)[:, :parts])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(c.take(pa.array(rows)) for c in batch.columns)], names=columns)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
-        def done(parted: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            keys, fps = np.concatenate([k for k, _ in parted]), np.concatenate([p for _, p in parted])
-            a, b = links_of(keys, fps, max_distance)
+        def done(parted: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+            keys, fps, *labels = (np.concatenate(c) for c in zip(*parted, strict=True))
+            a, b = links_apart(keys, fps[:, :parts], labels[0], max_distance) if labelled else links_of(keys, fps[:, :parts], max_distance)
             pairs = np.concatenate([fps[a], fps[b]], axis=1)
             if len(pairs):
                 pairs = np.unique(pairs, axis=0)
             big = pairs.astype(">u8")
-            side = [pa.array([x.tobytes() for x in big[:, k * parts : (k + 1) * parts]], pa.binary()) for k in (0, 1)]
+            side = [pa.array([x.tobytes() for x in big[:, k * wide : (k + 1) * wide]], pa.binary()) for k in (0, 1)]
             return pa.RecordBatch.from_arrays(side, names=["src", "dst"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, fps = batch.column(0).to_numpy(), _as_prints(batch.column(1), parts)
+            keys, fps = batch.column(0).to_numpy(), _as_prints(batch.column(1), wide)
+            every = (keys, fps, batch.column(2).to_numpy()) if labelled else (keys, fps)
             cut = int(np.searchsorted(keys, keys[-1]))
             if cut:
-                yield done([*held, (keys[:cut], fps[:cut])])
+                yield done([*held, tuple(c[:cut] for c in every)])
                 held = []
             elif held and held[-1][0][-1] != keys[-1]:
                 yield done(held)
                 held = []
-            held.append((keys[cut:], fps[cut:]))
+            held.append(tuple(c[cut:] for c in every))
         if held:
             yield done(held)
 
-    keyed = prints.select("fp").mapInArrow(spread, "key long, fp binary")
+    keyed = prints.select(*columns[1:]).mapInArrow(spread, schema)
     return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(link, "src binary, dst binary").distinct()
 
 
@@ -252,6 +285,81 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(ids, "fp").select("id", "fp", "component_id")
 
 
+#: 64-bit words of the digest that follows a print in ``set_prints``.
+DIGEST = 2
+
+
+def set_prints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, n_bits: int) -> DataFrame:
+    """``(id, text, fp)`` for every row: the fingerprint of the distinct shingles, and a 128-bit digest of their set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            raw, at = utf8(batch.column(1))
+            data = lowered(raw).tobytes()
+            prints = []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                h = np.unique(shingles(data[a:b], shingle_words))
+                prints.append(_majority(h, n_bits // 64).tobytes() + xxhash.xxh3_128_digest(h.tobytes()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.binary())], names=["id", "text", "fp"])
+
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return source.mapInArrow(run, "id long, text string, fp binary")
+
+
+def similar_links(links: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Those links ``(src, dst)`` whose texts ``(fp, text)`` have a Jaccard similarity of distinct shingles of ``similarity`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, U64))
+        for batch in sliced(sliced(batches, "a"), "b"):
+            (raw_a, at_a), (raw_b, at_b) = utf8(batch.column(2)), utf8(batch.column(3))
+            one, two = lowered(raw_a).tobytes(), lowered(raw_b).tobytes()
+            keep = np.zeros(batch.num_rows, bool)
+            for k, src in enumerate(batch.column(0).to_pylist()):
+                if src != last[0]:
+                    last = src, np.unique(shingles(one[at_a[k] : at_a[k + 1]], shingle_words))
+                other = np.unique(shingles(two[at_b[k] : at_b[k + 1]], shingle_words))
+                both = len(np.intersect1d(last[1], other, assume_unique=True))
+                every = len(last[1]) + len(other) - both
+                keep[k] = every > 0 and both >= similarity * every
+            yield batch.select(["src", "dst"]).filter(pa.array(keep))
+
+    a, b = (texts.select(F.col("fp").alias(end), F.col("text").alias(name)) for end, name in (("src", "a"), ("dst", "b")))
+    return links.join(b, "dst").join(a, "src").select("src", "dst", "a", "b").mapInArrow(run, "src binary, dst binary")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, n_bits: int = 256, max_distance: int = 62, similarity: float = 0.8) -> DataFrame:
+    """``(id, component_id)`` for every row: the smallest id reached over links of ``similarity`` or more.
+
+    The fingerprint of the distinct shingles only proposes links, at up to ``max_distance`` bits; each is
+    recounted on the shingles of the two texts. One node stands for all texts of one shingle set. Where a dense
+    bucket proposed a forest and some of its links fail, all of its links between what is still apart are
+    proposed and recounted too. A pair that shares no Golay key is not found. Nulls as in ``simhash_groups``.
+    """
+    prints = stored(set_prints(docs, id_col, text_col, shingle_words, n_bits), "near-prints")
+    unique = stored(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "near-unique")
+
+    def proposed(nodes: DataFrame) -> DataFrame:
+        links = golay_links(nodes, n_bits, max_distance, DIGEST)
+        return links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+
+    links = stored(proposed(unique), "near-links")
+    linked = stored(links.select(F.col("src").alias("fp")).union(links.select(F.col("dst").alias("fp"))).distinct(), "near-linked")
+    texts = stored(prints.join(linked, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")), "near-texts")
+    kept = stored(similar_links(links, texts, shingle_words, similarity), "near-kept")
+    labels = connected_components(kept).select(F.col("node").alias("fp"), "component")
+    if kept.count() < links.count():
+        apart = linked.join(labels, "fp", "left").select("fp", F.xxhash64(F.coalesce("component", "fp")).alias("label"))
+        more = stored(proposed(apart).join(links, ["src", "dst"], "left_anti"), "near-more")
+        if not more.isEmpty():
+            found = similar_links(more, texts, shingle_words, similarity)
+            labels = connected_components(kept.union(found)).select(F.col("node").alias("fp"), "component")
+    classes = unique.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    roots = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    ids = classes.join(roots, "component").select("fp", "component_id")
+    return prints.select("id", "fp").join(ids, "fp").select("id", "component_id")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     groups = simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
