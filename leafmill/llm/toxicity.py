@@ -36,6 +36,9 @@ _TRIM = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "“
 _EDGE = "".join(c for c in _TRIM if c not in "@$!|+(")
 _SPACED = re.compile(r"(?<!\S)(?:\w ){2,}\w(?!\S)")
 _STRETCHED = re.compile(r"(.)\1\1")
+_RUN = re.compile(r"([^\W\d_])\1{3,}")
+#: Characters of a token that are decoded together.
+PART = 64
 _LIKE = "".join(re.escape(c) for c in LOOKALIKES)
 _MIXED = re.compile(rf"(?=.*[^\W\d_])(?=.*[{_LIKE}])")
 _DOTTED = re.compile(r"^\w(?:[.\-_*]+\w){2,}$")
@@ -140,7 +143,14 @@ class Restorer:
 
 
 def disguised(token: str) -> bool:
-    return len(token) <= 32 and bool(_STRETCHED.search(token) or _MIXED.search(token) or _DOTTED.match(token))
+    return bool(_STRETCHED.search(token) or _MIXED.search(token) or _DOTTED.match(token))
+
+
+def parts(token: str) -> list[str]:
+    """What the lattice reads of a token of any length: letter runs cut to three, and windows of ``PART`` that
+    overlap by half, so that every disguise of up to ``PART // 2`` characters lies whole in one."""
+    token = _RUN.sub(r"\1\1\1", token)
+    return [token[k : k + PART] for k in range(0, max(1, len(token) - PART // 2), PART // 2)]
 
 
 def raw_words(text: str) -> set[str]:
@@ -173,7 +183,7 @@ class Words:
             self.known[w] = (plain,) if plain else ()
             core = w.strip(_EDGE)
             if core and _ODD.search(core) and disguised(core):
-                odd.append((w, core))
+                odd += [(w, part) for part in parts(core)]
         if odd:
             for (w, _), restored in zip(odd, self.restorer.restore([c for _, c in odd]), strict=True):
                 if restored and restored not in self.known[w]:
