@@ -1,7 +1,8 @@
 """Toxicity by a noisy channel: restore disguised words, then score the restored text.
 
-A disguised token (letters mixed with look-alike digits and signs, stretched letters, spaced-out or
-dotted letters) is a lattice: each character may stand for some letters or for nothing, at a cost. Viterbi
+A disguised token (letters mixed with look-alike digits and signs, stretched or doubled letters) is a
+lattice: each character may stand for some letters or for nothing, at a cost. So is a run of fragments
+between white space or punctuation, whose separators stand for a word's edge or for nothing. Viterbi
 picks the best path under a character bigram model counted over the whole corpus. Equal-length tokens are
 decoded together. The text's words, restored and as written, are then scored by a logistic model over
 words and their 4- to 6-character substrings that are toxic in the labelled rows.
@@ -34,16 +35,18 @@ THRESHOLD = 0.7
 FEATURE_BITS = 22
 _TRIM = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "“”’‘«»…"
 _EDGE = "".join(c for c in _TRIM if c not in "@$!|+(")
-_SPACED = re.compile(r"(?<!\S)(?:\w ){2,}\w(?!\S)")
-_STRETCHED = re.compile(r"(.)\1\1")
+_DOUBLED = re.compile(r"(.)\1")
 _RUN = re.compile(r"([^\W\d_])\1{3,}")
 #: Characters of a token that are decoded together.
 PART = 64
 _LIKE = "".join(re.escape(c) for c in LOOKALIKES)
 _MIXED = re.compile(rf"(?=.*[^\W\d_])(?=.*[{_LIKE}])")
-_DOTTED = re.compile(r"^\w(?:[.\-_*]+\w){2,}$")
+#: Two neighbouring fragments of three characters at most.
+_BROKEN = re.compile(r"(?:^|[\W_])[^\W_]{1,3}[\W_]+[^\W_]{1,3}(?:[\W_]|$)")
 #: what every disguise has
-_ODD = re.compile(rf"(.)\1\1|[{_LIKE}.\-_*]")
+_ODD = re.compile(rf"(.)\1|[{_LIKE}]|[\W_]")
+#: A word of three letters at most is no fragment if it is at least this share of the corpus's words.
+COMMON_SHARE = 1e-5
 
 _CLASS_OF_BYTE = np.zeros(256, np.uint8)
 _CLASS_OF_BYTE[97:123] = np.arange(1, 27)
@@ -53,30 +56,44 @@ _GO_ON = np.zeros(256, bool)
 _GO_ON[0x80:0xC0] = True
 
 
-def count_bigrams(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Character class bigrams of all texts: a 28 x 28 table, whatever the corpus."""
+def count_characters(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, frozenset[str]]:
+    """Character class bigrams of all texts (28 x 28), and the common words of two and three letters; tables of fixed size, whatever the corpus."""
+    pairs, codes = CLASSES * CLASSES, 27**3
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CLASSES * CLASSES, np.int64)
+        total = np.zeros(pairs + codes + 1, np.int64)
         for batch in sliced(batches, "text"):
             raw, _ = utf8(batch.column(0))
             c = _CLASS_OF_BYTE[raw[~_GO_ON[raw]]].astype(np.int32)
             if len(c) > 1:
-                total += np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["pair", "n"])
+                total[:pairs] += np.bincount(c[:-1] * CLASSES + c[1:], minlength=pairs)
+                edge = np.concatenate([[0], np.flatnonzero(c == 0) + 1])
+                end = np.append(edge[1:] - 1, len(c))
+                size = end - edge
+                total[-1] += np.count_nonzero(size)
+                for n in (2, 3):
+                    letters = c[edge[size == n][:, None] + np.arange(n)]
+                    letters = letters[(letters <= 26).all(1)]
+                    total[pairs:-1] += np.bincount(letters @ (27 ** np.arange(n)), minlength=codes)
+        kept = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(total[kept])], names=["pair", "n"])
 
     source = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = source.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(CLASSES * CLASSES)
+    out = np.zeros(pairs + codes + 1)
     for pair, n in rows:
         out[pair] = n
-    return out.reshape(CLASSES, CLASSES)
+    common = np.flatnonzero(out[pairs:-1] >= max(1.0, COMMON_SHARE * out[-1]))
+    spelled = frozenset("".join(LETTERS[code // 27**k % 27 - 1] for k in range(3) if code // 27**k) for code in common.tolist())
+    return out[:pairs].reshape(CLASSES, CLASSES), spelled
 
 
 class Restorer:
     """Batched Viterbi over character lattices."""
 
-    def __init__(self, bigrams: np.ndarray):
+    def __init__(self, bigrams: np.ndarray, common: frozenset[str] | None = None):
+        #: common short words; without them only single characters are fragments
+        self.common = common
         smooth = bigrams + 1.0
         self.step = np.log(smooth / smooth.sum(1, keepdims=True))
         self.costs: dict[str, tuple[np.ndarray, float]] = {}
@@ -97,6 +114,8 @@ class Restorer:
                 emit[1:27], drop = -3.0, -0.5
             else:
                 drop = -0.5
+                if not char.isalnum():
+                    emit[0] = -0.5
             self.costs[char] = emit, drop
         return self.costs[char]
 
@@ -137,13 +156,13 @@ class Restorer:
             for i in range(length - 1, -1, -1):
                 before = back[i, row, s]
                 if before >= 0:
-                    chars.append(tokens[row][i] if s == 27 else LETTERS[s - 1])
+                    chars.append(tokens[row][i] if s == 27 else LETTERS[s - 1] if s else " ")
                     s = before
             out[k] = "".join(reversed(chars))
 
 
 def disguised(token: str) -> bool:
-    return bool(_STRETCHED.search(token) or _MIXED.search(token) or _DOTTED.match(token))
+    return bool(_DOUBLED.search(token) or _MIXED.search(token) or _BROKEN.search(token))
 
 
 def parts(token: str) -> list[str]:
@@ -153,13 +172,47 @@ def parts(token: str) -> list[str]:
     return [token[k : k + PART] for k in range(0, max(1, len(token) - PART // 2), PART // 2)]
 
 
-def raw_words(text: str) -> set[str]:
-    """A text's distinct words, lower-cased, and what spaced-out letters spell together."""
-    low = text.lower()
-    words = set(every := low.split())
-    if sum(len(w) == 1 for w in every) < 3:
+def _fragment(word: str, common: frozenset[str] | None) -> bool:
+    """A single character, or two or three letters that are no common word."""
+    core = word.strip(_EDGE)
+    return len(core) == 1 or common is not None and 2 <= len(core) <= 3 and core not in common and (core.isascii() and core.isalpha() or bool(_MIXED.search(core)))
+
+
+def raw_words(text: str, common: frozenset[str] | None = None) -> set[str]:
+    """A text's distinct words, lower-cased, and runs of fragments, joined by single spaces.
+
+    A run: three single characters or more; or words of up to four characters, of which one at least is a
+    fragment of two or three. Two of a run's characters at least are letters.
+    """
+    every = text.lower().split()
+    words = set(every)
+    odd = {w for w in words if len(w) <= 8 and _fragment(w, common)}
+    if not odd:
         return words
-    words.update(m.group().replace(" ", "") for m in _SPACED.finditer(low))
+    single, short, broken = [], [], False
+
+    def done_single() -> None:
+        if len(single) >= 3 and sum(c.isalpha() for c in single) >= 2:
+            words.add(" ".join(single))
+        single.clear()
+
+    def done_short() -> None:
+        if broken and len(short) >= 2:
+            words.add(" ".join(short))
+        short.clear()
+
+    for w in [*every, ""]:
+        core = w.strip(_EDGE) if 0 < len(w) <= 8 else ""
+        if len(core) == 1:
+            single.append(core)
+        elif single:
+            done_single()
+        if 1 <= len(core) <= 4:
+            short.append(core)
+            broken = broken or w in odd and len(core) > 1
+        elif short:
+            done_short()
+            broken = False
     return words
 
 
@@ -176,9 +229,13 @@ class Words:
         new = [w for w in words if w not in self.known]
         odd: list[tuple[str, str]] = []
         for w in new:
-            if w.isalpha() and not _STRETCHED.search(w):
+            if w.isalpha() and not _DOUBLED.search(w):
                 self.known[w] = (w,)
                 continue
+            if " " in w:
+                self.known[w] = (w.replace(" ", ""),)
+                odd += [(w, part) for part in parts(w)]
+                continue
             plain = w.strip(_TRIM)
             self.known[w] = (plain,) if plain else ()
             core = w.strip(_EDGE)
@@ -186,8 +243,9 @@ class Words:
                 odd += [(w, part) for part in parts(core)]
         if odd:
             for (w, _), restored in zip(odd, self.restorer.restore([c for _, c in odd]), strict=True):
-                if restored and restored not in self.known[w]:
-                    self.known[w] += (restored,)
+                for form in restored.split():
+                    if form not in self.known[w]:
+                        self.known[w] += (form,)
 
 
 def substrings(word: str) -> set[str]:
@@ -223,19 +281,23 @@ class Model:
         hits: dict[str, tuple[str, ...]] = {}
         weights = self.weights
 
-        def score(text: str) -> float:
-            own = raw_words(text)
-            new = {w for w in own if w not in hits}
+        def score(texts: list[str]) -> list[float]:
+            if len(hits) > 300_000:
+                hits.clear()
+            every = [raw_words(text, self.restorer.common) for text in texts]
+            # the new words of all texts are decoded together
+            new = set().union(*every) - hits.keys()
             if new:
                 words.learn(new)
                 for w in new:
                     hits[w] = tuple({s for form in words.known[w] for s in substrings(form) if s in weights})
+            return [one(own) for own in every]
+
+        def one(own: set[str]) -> float:
             found: set[str] = set()
             for w in own:
                 if h := hits[w]:
                     found.update(h)
-            if len(hits) > 300_000:
-                hits.clear()
             return round(1 / (1 + np.exp(-max(-30.0, min(30.0, self.bias + sum(weights[s] for s in sorted(found)))))), 6)
 
         return score
@@ -247,11 +309,9 @@ def fit(docs: DataFrame, labels: DataFrame, restorer: Restorer, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(restorer)
         for batch in sliced(batches, "text"):
-            forms = []
-            for text in batch.column(0).to_pylist():
-                own = raw_words(text or "")
-                words.learn(own)
-                forms.append(sorted({f for w in own for f in words.known[w]}))
+            every = [raw_words(text or "", restorer.common) for text in batch.column(0).to_pylist()]
+            words.learn(set().union(*every))
+            forms = [sorted({f for w in own for f in words.known[w]}) for own in every]
             yield pa.RecordBatch.from_arrays([pa.array(forms, pa.list_(pa.string())), batch.column(1)], names=["words", "toxic"])
 
     rows = _training_rows(docs, labels, id_col, text_col, train_rows).select("text", F.col("toxic").cast("int").alias("toxic"))
@@ -362,7 +422,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
         for batch in sliced(batches, "text"):
-            scores = [float(of(t or "")) for t in batch.column(1).to_pylist()]
+            scores = [float(x) for x in of([t or "" for t in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
 
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
@@ -376,7 +436,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     several labels the largest counts; with no labels of both kinds every text scores the prior
     (0.05 without any). Other columns are never looked at.
     """
-    restorer = Restorer(count_bigrams(docs, text_col))
+    restorer = Restorer(*count_characters(docs, text_col))
     return fit(docs, labels, restorer, id_col, text_col, train_rows)
 
 

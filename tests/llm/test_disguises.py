@@ -17,12 +17,12 @@ def restorer():
         codes = [0, *(ord(c) - 96 for c in word), 0]
         for a, b in zip(codes, codes[1:], strict=False):
             bigrams[a, b] += 1
-    return toxicity.Restorer(bigrams)
+    return toxicity.Restorer(bigrams, frozenset({"the", "is"}))
 
 
 def forms(restorer, text):
     words = toxicity.Words(restorer)
-    own = toxicity.raw_words(text)
+    own = toxicity.raw_words(text, restorer.common)
     words.learn(own)
     return " ".join(f for w in own for f in words.known[w])
 
@@ -30,3 +30,16 @@ def forms(restorer, text):
 @pytest.mark.parametrize("text, word", [("stu" + "u" * 40 + "pid", "stupid"), ("you-are-a-w0rthle$$-p1ece-of-tr@sh", "trash"), ("1d10t" + "-x1" * 3000 + "-m0r0n", "moron")])
 def test_long_tokens(restorer, text, word):
     assert word in forms(restorer, text)
+
+
+@pytest.mark.parametrize(
+    "text, word",
+    [("l o $ e r", "loser"), ("i d ! o t", "idiot"), ("i  d  i  o  t", "idiot"), ("m\to\tr\to\tn", "moron"), ("he is a m o r o n.", "moron"), ("the stu pid", "stupid"), ("stu-pid", "stupid"), ("m/o/r/o/n", "moron"), ("iddiioott", "idiot"), ("losser", "loser")],
+)
+def test_separators_and_doubled_letters(restorer, text, word):
+    assert word in forms(restorer, text)
+
+
+def test_common_short_words(spark):
+    docs = spark.createDataFrame([("the cat is 12",), ("the é",), (None,)], "text string")
+    assert toxicity.count_characters(docs)[1] == {"the", "cat", "is"}
