@@ -4,7 +4,8 @@ Rows are dealt to source buckets by a hash of their content. How many rows of ea
 shard is drawn on the driver from the exact multivariate hypergeometric law, given both margins (a table
 of buckets x shards, whatever the rows). Each bucket then permutes its rows and cuts them by those
 counts, and every shard permutes what it gets, in slices that are numbered by prefix sums. All orders come
-from seeded hashes of the rows, so a lost task repeats itself. Texts are never moved.
+from seeded hashes of the rows, so a lost task repeats itself. Whole rows move: once to their bucket, once to their
+place in a shard.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from leafmill.storage import fresh_path
+
 SHARDS = 8
 SEED = 20240
 #: Rows that a source bucket or a slice of a shard holds on average, at most.
@@ -56,16 +59,19 @@ def communication_matrix(rows: list[int], shards: list[int], seed: int) -> np.nd
 
 
 def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """``(id, size, text_crc32, shard, slot)`` for every row: shard sizes differ by one at most, and
-    slots run gapless from zero in each shard.
+    """``(id, size, text_crc32, row, shard, slot)``, written by shard: row holds all columns of docs; shard sizes
+    differ by one at most, and slots run gapless from zero in each shard.
 
     size: UTF-8 bytes of the text plus one (null: one); text_crc32: unsigned, of an empty text if null.
     Repeated rows are rows of their own; null ids are dealt like any other; empty tables give an empty
-    result; other columns are not looked at.
+    result.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"),
+        (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"),
+    )
     n = docs.count()
     buckets = max(1, min(100_000, -(-n // BUCKET_ROWS) * 8))
 
@@ -73,9 +79,10 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.xxhash64(F.lit(seed + salt), "id", "size", "text_crc32", "copy")
 
     # equal rows would all fall into one bucket: number the copies first, so that each is dealt alone
-    same = Window.partitionBy("id", "size", "text_crc32").orderBy("id")
+    every = F.xxhash64(*(F.col(f"row.`{c}`") for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()))
+    same = Window.partitionBy("id", "size", "text_crc32").orderBy("text_hash", every)
     rows = rows.withColumn("copy", F.row_number().over(same)) if _has_copies(rows) else rows.withColumn("copy", F.lit(1))
-    rows = rows.withColumn("bucket", F.pmod(hashed(0), F.lit(buckets)).cast("int"))
+    rows = rows.drop("text_hash").withColumn("bucket", F.pmod(hashed(0), F.lit(buckets)).cast("int"))
     counts = {b: c for b, c in rows.groupBy("bucket").count().collect()}  # at most 100 000 numbers
     present = sorted(counts)
     total = sum(counts.values())
@@ -87,7 +94,7 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranked = rows.withColumn("rank", F.row_number().over(order)).join(F.broadcast(cuts), "bucket")
     shard = F.size(F.filter("ends", lambda e: e < F.col("rank")))
     slices = max(1, min(100_000 // shards, -(-total // shards // BUCKET_ROWS) * 2))
-    dealt = ranked.select("id", "size", "text_crc32", "copy", shard.cast("int").alias("shard"), F.pmod(hashed(2), F.lit(slices)).cast("int").alias("slice"))
+    dealt = ranked.select("row", "id", "size", "text_crc32", "copy", shard.cast("int").alias("shard"), F.pmod(hashed(2), F.lit(slices)).cast("int").alias("slice"))
     held = {(s, k): c for s, k, c in dealt.groupBy("shard", "slice").count().collect()}
     starts, at = [], 0
     for s in range(shards):
@@ -98,7 +105,10 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     starts = spark.createDataFrame(starts, "shard int, slice int, start long")
     within = Window.partitionBy("shard", "slice").orderBy(hashed(3), "id", "size", "text_crc32", "copy")
     placed = dealt.withColumn("nth", F.row_number().over(within)).join(F.broadcast(starts), ["shard", "slice"])
-    return placed.select("id", "size", "text_crc32", "shard", (F.col("start") + F.col("nth") - 1).alias("slot"))
+    out = placed.select("id", "size", "text_crc32", "row", "shard", (F.col("start") + F.col("nth") - 1).alias("slot"))
+    path = fresh_path(spark, "shards")
+    out.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 def _has_copies(rows: DataFrame) -> bool:
