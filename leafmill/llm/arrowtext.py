@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,11 @@ def byte_values(seed: int) -> np.ndarray:
     return mix64(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed)) | U64(1)
 
 
+#: Bytes (or tokens) that are hashed at once; longer texts are cut into overlapping pieces of this size.
+PIECE = 1_000_000
+_KEPT = 1 << 20
+
+
 class Roller:
     """Polynomial hashes of any slice of a token array, modulo 2**64."""
 
@@ -43,18 +49,20 @@ class Roller:
 
     @classmethod
     def powers(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of the base and its inverse; those of up to ``_KEPT`` tokens (16 MB) are kept, longer ones are not."""
         have = cls._powers.get(base)
-        if have is None or len(have[0]) < n:
-            size = 1 << max(12, int(n - 1).bit_length())
-            inv = pow(base, -1, 1 << 64)
-            out = []
-            for b in (base, inv):
-                p = np.ones(size, U64)
-                p[1:] = U64(b)
-                np.cumprod(p, out=p)
-                out.append(p)
-            cls._powers[base] = have = (out[0], out[1])
-        return have
+        if have is not None and len(have[0]) >= n:
+            return have
+        size = 1 << max(12, int(n - 1).bit_length()) if n <= _KEPT else n
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.ones(size, U64)
+            p[1:] = U64(b)
+            np.cumprod(p, out=p)
+            out.append(p)
+        if n <= _KEPT:
+            cls._powers[base] = (out[0], out[1])
+        return out[0], out[1]
 
     def slices(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.inverse[start]
@@ -80,10 +88,10 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def sliced(batches: Iterator[pa.RecordBatch], column: str | int, most: int = PIECE) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about ``most`` bytes of ``column``, or a single row."""
     for batch in batches:
-        _, at = utf8(batch.column(batch.schema.get_field_index(column)))
+        _, at = utf8(batch.column(column if isinstance(column, int) else batch.schema.get_field_index(column)))
         row, n = 0, batch.num_rows
         while row < n:
             end = max(row + 1, int(np.searchsorted(at, at[row] + most, side="right")) - 1)
@@ -91,6 +99,18 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             row = min(end, n)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; at the end of the task its free memory goes back, since workers live on between stages."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # no glibc
+            pass
+
+
 def words_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and the offsets of each row's first word; rows never share a word."""
     if not len(raw):

@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 import zstandard
 
-from leafmill.llm.arrowtext import U64, Roller, byte_values, mix64, sliced, utf8, words_of
+from leafmill.llm.arrowtext import PIECE, U64, Roller, byte_values, mix64, released, sliced, utf8, words_of
+from leafmill.storage import stored
 
 #: Odd multipliers of the rolling hashes.
 BASE_BLOCK, BASE_SPAN, BASE_WORD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 #: Records that a task holds before it files them.
-FLUSH = 4_000_000
+FLUSH = 1_000_000
 ALONE, MARKER, OPEN, GONE = 0, 1, 2, 3
 
 Tokens = tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]
@@ -46,8 +47,15 @@ def byte_tokens(raw: np.ndarray, at: np.ndarray) -> Tokens:
 
 def word_tokens(raw: np.ndarray, at: np.ndarray) -> Tokens:
     starts, ends, rows = words_of(raw, at)
-    values = byte_values(2)[raw]
-    return mix64(Roller(values, BASE_WORD).slices(starts, ends) + (ends - starts).astype(U64)), rows, starts, ends
+    values = byte_values(2)
+    hashes = np.zeros(len(starts), U64)
+    lo = 0
+    while lo < len(starts):  # words of a piece of the bytes at a time
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + PIECE, side="right")))
+        base = starts[lo]
+        hashes[lo:hi] = Roller(values[raw[base : ends[hi - 1]]], BASE_WORD).slices(starts[lo:hi] - base, ends[lo:hi] - base)
+        lo = hi
+    return mix64(hashes + (ends - starts).astype(U64)), rows, starts, ends
 
 
 UNITS: dict[str, tuple[Callable[..., Tokens], int]] = {"bytes": (byte_tokens, 32), "words": (word_tokens, 16)}
@@ -170,35 +178,45 @@ def _settle_task(r: dict[str, np.ndarray], threshold: int) -> Iterator[pa.Record
         yield _rows(filed[part], ch[rest][part], doc[rest][part], _pack(p0[rest], length[rest], kind[rest])[part])
 
 
-def file_documents(docs: DataFrame, unit: str, threshold: int) -> DataFrame:
+def file_documents(docs: DataFrame, unit: str, threshold: int, piece: int = PIECE) -> DataFrame:
     """Pass one over ``(doc, text)``."""
     split, block = UNITS[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
         count = 0
-        for batch in sliced(batches, "text", 2 << 20):
+        for batch in sliced(batches, "text", piece):
             raw, at = utf8(batch.column(1))
             ids = batch.column(0).to_numpy()
-            for lo, hi, tokens, rows in _bounded(split, raw, at):
+            for lo, hi, skipped, _, tokens, rows in _pieces(unit, raw, at, threshold - 1, piece):
                 r = file_windows(tokens, rows, threshold, block)
-                held.append({"kh": r["kh"], "ch": r["ch"], "doc": ids[lo:hi][r.pop("row")], "p0": r["p0"], "length": r["length"]})
+                held.append({"kh": r["kh"], "ch": r["ch"], "doc": ids[lo:hi][r.pop("row")], "p0": r["p0"] + skipped, "length": r["length"]})
                 count += len(r["kh"])
-            if count > FLUSH:
-                yield from _settle_task({n: np.concatenate([h[n] for h in held]) for n in held[0]}, threshold)
-                held, count = [], 0
+                if count > FLUSH:
+                    yield from _settle_task({n: np.concatenate([h[n] for h in held]) for n in held[0]}, threshold)
+                    held, count = [], 0
         if held:
             yield from _settle_task({n: np.concatenate([h[n] for h in held]) for n in held[0]}, threshold)
 
-    return docs.select("doc", "text").mapInArrow(run, FILED)
+    return docs.select("doc", "text").mapInArrow(lambda batches: released(run(batches)), FILED)
 
 
-def _bounded(split: Callable[..., Tokens], raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """The batch at once. A text past 2**24 tokens would need wider positions: said, never truncated."""
-    tokens, rows, _, _ = split(raw, at)
-    if len(tokens) >= 1 << 24:
-        raise ValueError("a text of over 16 million tokens; split it first")
-    yield 0, len(rows) - 1, tokens, rows
+def _pieces(unit: str, raw: np.ndarray, at: np.ndarray, overlap: int, piece: int) -> Iterator[tuple[int, int, int, int, np.ndarray, np.ndarray]]:
+    """``(first row, end row, own start, own end, tokens, row offsets)``: a slice of texts at once, or a single long
+    text in pieces that overlap by ``overlap`` tokens; a piece starts at its own start in the text."""
+    split, _ = UNITS[unit]
+    if len(raw) <= 2 * piece:
+        tokens, rows, _, _ = split(raw, at)
+        yield 0, len(rows) - 1, 0, 1 << 62, tokens, rows
+        return
+    words = split(raw, at)[:2] if unit == "words" else None
+    rows = words[1] if words else at
+    for row in range(len(rows) - 1):
+        a, b = int(rows[row]), int(rows[row + 1])
+        for k in range(a, max(a + 1, b - overlap), piece):
+            end = min(b, k + piece + overlap)
+            tokens = words[0][k:end] if words else byte_values(1)[raw[k:end]]
+            yield row, row + 1, k - a, k - a + piece if end < b else 1 << 62, tokens, np.array([0, end - k])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], settle: Callable[[list[np.ndarray]], Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
@@ -253,13 +271,13 @@ def _squeezed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             raw, at = utf8(batch.column(1))
             data = raw.tobytes()
             z = [press.compress(data[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["doc", "z"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary()), pa.array(np.diff(at))], names=["doc", "z", "size"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, z binary")
+    return docs.select("doc", "text").mapInArrow(lambda batches: released(run(batches)), "doc long, z binary, size long")
 
 
 def _inflated(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -276,29 +294,33 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat.astype(np.int64), np.repeat(np.arange(len(sizes)), sizes)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], open_only: bool, piece: int) -> Iterator[pa.RecordBatch]:
+    """Batches of ``(doc, z, size, marks)`` cut to texts of ``piece`` bytes together, or a single longer one."""
     for batch in batches:
-        for k in range(0, batch.num_rows, rows):
-            yield batch.slice(k, rows)
+        if open_only:
+            batch = batch.filter(batch.column(3).is_valid())
+        ends = np.cumsum(batch.column(2).to_numpy())
+        row, n = 0, batch.num_rows
+        while row < n:
+            before = ends[row - 1] if row else 0
+            end = max(row + 1, int(np.searchsorted(ends, before + piece, side="right")))
+            yield batch.slice(row, end - row)
+            row = end
 
 
-def file_again(texts: DataFrame, unit: str, threshold: int, width: int) -> DataFrame:
-    """A later pass over ``(doc, z, marks)``: open records filed anew in ranges of ``width`` windows.
+def file_again(texts: DataFrame, unit: str, threshold: int, width: int, piece: int = PIECE) -> DataFrame:
+    """A later pass over ``(doc, z, size, marks)``: open records filed anew in ranges of ``width`` windows.
 
     A range counts from the block, so it is the same in every text; it is filed under the stretch that
     its windows have in common.
     """
-    split, _ = UNITS[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict[str, np.ndarray]] = []
         count = 0
-        for batch in _slices(batches):
-            batch = batch.filter(batch.column(2).is_valid())
-            if not batch.num_rows:
-                continue
+        for batch in _slices(batches, True, piece):
             ids = batch.column(0).to_numpy()
-            pk, row = _lists(batch.column(2))
+            pk, row = _lists(batch.column(3))
             p0, shape, kind = _unpack(pk)
             gone = kind == GONE
             d, s, n = _chopped(*_merged(ids[row[gone]], p0[gone], shape[gone]))
@@ -307,35 +329,49 @@ def file_again(texts: DataFrame, unit: str, threshold: int, width: int) -> DataF
             if not len(p0):
                 continue
             raw, at = _inflated(batch.column(1))
-            tokens, rows, _, _ = split(raw, at)
-            top, low = off // width, (off - more) // width
-            parts = top - low + 1
-            r = np.repeat(np.arange(len(p0)), parts)
-            k = top[r] - (np.arange(len(r)) - np.repeat(np.cumsum(parts) - parts, parts))
-            first, last = np.minimum(off[r], k * width + width - 1), np.maximum((off - more)[r], k * width)
-            block = rows[row[r]] + p0[r] + off[r]
-            stretch = block - k * width - (width - 1) + threshold
-            kh = mix64(Roller(tokens, BASE_BLOCK).slices(block - k * width, stretch) ^ mix64(k.astype(U64)))
-            ch = mix64(Roller(tokens, BASE_SPAN).slices(block - first, block - last + threshold) ^ mix64(_shape(first, first - last).astype(U64)))
-            held.append({"kh": kh, "ch": ch, "doc": ids[row[r]], "p0": p0[r] + off[r] - first, "length": _shape(first, first - last)})
-            count += len(kh)
-            if count > FLUSH:
-                yield from _settle_task({n: np.concatenate([h[n] for h in held]) for n in held[0]}, threshold)
-                held, count = [], 0
+            # a record lies within two thresholds of its start, so a piece's records are whole in it
+            for lo, hi, skipped, until, tokens, rows in _pieces(unit, raw, at, 2 * threshold + 2048, piece):
+                own = (row >= lo) & (row < hi) & (p0 >= skipped) & (p0 < until)
+                if not own.any():
+                    continue
+                found = _ranges(tokens, rows, row[own] - lo, p0[own] - skipped, off[own], more[own], threshold, width)
+                found["doc"], found["p0"] = ids[lo:hi][found.pop("row")], found["p0"] + skipped
+                held.append(found)
+                count += len(found["kh"])
+                if count > FLUSH:
+                    yield from _settle_task({n: np.concatenate([h[n] for h in held]) for n in held[0]}, threshold)
+                    held, count = [], 0
         if held:
             yield from _settle_task({n: np.concatenate([h[n] for h in held]) for n in held[0]}, threshold)
 
-    return texts.mapInArrow(run, FILED)
+    return texts.mapInArrow(lambda batches: released(run(batches)), FILED)
+
+
+def _ranges(tokens: np.ndarray, rows: np.ndarray, row: np.ndarray, p0: np.ndarray, off: np.ndarray, more: np.ndarray, threshold: int, width: int) -> dict[str, np.ndarray]:
+    """Records of the ranges of ``width`` windows that open records fall into."""
+    top, low = off // width, (off - more) // width
+    parts = top - low + 1
+    r = np.repeat(np.arange(len(p0)), parts)
+    k = top[r] - (np.arange(len(r)) - np.repeat(np.cumsum(parts) - parts, parts))
+    first, last = np.minimum(off[r], k * width + width - 1), np.maximum((off - more)[r], k * width)
+    block = rows[row[r]] + p0[r] + off[r]
+    stretch = block - k * width - (width - 1) + threshold
+    kh = mix64(Roller(tokens, BASE_BLOCK).slices(block - k * width, stretch) ^ mix64(k.astype(U64)))
+    ch = mix64(Roller(tokens, BASE_SPAN).slices(block - first, block - last + threshold) ^ mix64(_shape(first, first - last).astype(U64)))
+    return {"kh": kh, "ch": ch, "row": row[r], "p0": p0[r] + off[r] - first, "length": _shape(first, first - last)}
 
 
-def _cut(texts: DataFrame, unit: str) -> DataFrame:
+CUT = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+
+
+def _cut(texts: DataFrame, unit: str, piece: int, keep_digest: bool) -> DataFrame:
     split, _ = UNITS[unit]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
+        for batch in _slices(batches, False, piece):
             ids = batch.column(0)
             raw, at = _inflated(batch.column(1))
-            pk, row = _lists(batch.column(2))
+            pk, row = _lists(batch.column(3))
             start, length, _ = _unpack(pk)
             row, start, length = _merged(row, start, length)
             if unit == "bytes" or not len(row):
@@ -343,45 +379,59 @@ def _cut(texts: DataFrame, unit: str) -> DataFrame:
             else:
                 _, rows, begins, ends = split(raw, at)
                 a, b = begins[rows[row] + start], ends[rows[row] + start + length - 1]
-            edge = np.zeros(len(raw) + 1, np.int64)
-            np.add.at(edge, a, 1)
-            np.add.at(edge, b, -1)
-            keep = np.cumsum(edge[:-1]) == 0
+            keep = np.ones(len(raw), bool)
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                keep[x:y] = False
             kept = raw[keep].tobytes()
-            k_at = np.concatenate([[0], np.cumsum(keep)])[at]
             n = np.diff(at)
-            texts_out = [kept[x:y] for x, y in zip(k_at[:-1].tolist(), k_at[1:].tolist(), strict=True)]
+            left = np.add.reduceat(np.append(keep, False), at[:-1], dtype=np.int64) * (n > 0)
+            k_at = np.concatenate([[0], np.cumsum(left)]).tolist()
+            texts_out = [kept[x:y] for x, y in zip(k_at[:-1], k_at[1:], strict=True)]
             spans = np.bincount(row, minlength=len(n))
             sha = [hashlib.sha256(x).hexdigest() for x in texts_out]
-            arrays = [ids, pa.array(n), pa.array(n - np.diff(k_at)), pa.array(spans.astype(np.int64)), pa.array(sha), pa.array(texts_out, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            arrays = [ids, pa.array(n), pa.array(n - left), pa.array(spans.astype(np.int64)), pa.array(sha), pa.array(texts_out, pa.binary())]
+            if keep_digest:
+                whole = raw.tobytes()
+                digests = [hashlib.sha256(whole[x:y]).hexdigest() for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                arrays.append(pa.array(digests, pa.string()))
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    schema = CUT + (", digest string" if keep_digest else "")
+    names = [c.split()[0] for c in schema.split(", ")]
+    return texts.mapInArrow(lambda batches: released(run(batches)), schema)
 
-    return texts.mapInArrow(run, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+def text_digest(text):
+    """SHA-256 of a text column, of an empty text for null."""
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """``(doc, text)`` with one row for each doc; also ``(id, digest, doc)`` if ids had to be replaced."""
+    """``(doc, text)`` with one row for each doc; also ``(rid, rdigest, doc)`` if ids had to be replaced.
+
+    Replaced ids are positions of a range partitioning by id and digest: they keep the order, and no task numbers all rows.
+    """
     base = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     unsure = base.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").limit(1)
     if unsure.isEmpty():
         return base.select(F.col("id").alias("doc"), "text"), None
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    pairs = base.select("id", digest.alias("digest")).distinct().sort(F.col("id").asc_nulls_last(), "digest")
-    ranked = pairs.rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], x[1])).toDF("id long, digest string, doc long")
-    named = ranked.select(F.col("id").alias("rid"), F.col("digest").alias("rdigest"), "doc")
-    texts = base.withColumn("digest", digest).join(named, F.expr("id <=> rid and digest = rdigest"))
+    pairs = base.select(F.col("id").alias("rid"), text_digest(F.col("text")).alias("rdigest")).distinct()
+    order = (F.col("rid").asc_nulls_last(), F.col("rdigest"))
+    ranked = stored(pairs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("doc", F.monotonically_increasing_id()), "suffix-ranks")
+    texts = base.withColumn("digest", text_digest(F.col("text"))).join(ranked, F.expr("id <=> rid and digest = rdigest"))
     return texts.groupBy("doc").agg(F.first("text").alias("text")), ranked
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "bytes", threshold: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", unit: str = "bytes", threshold: int = 100, piece: int = PIECE, keep_digest: bool = False) -> DataFrame:
     """Texts without the tokens covered by a window of ``threshold`` tokens that also starts earlier.
 
     Earlier: in a smaller id, or in the same text at an earlier start; overlaps count, windows never
     cross texts and are judged on the input. ``unit`` is "bytes" (of UTF-8) or "words". Returns
-    ``(id, n_bytes, n_removed, n_spans, kept_sha256, kept binary)`` for every row: n_spans counts the
-    maximal runs removed, kept are the bytes left. Null texts read as empty; rows of one id
+    ``(id, n_bytes, n_removed, n_spans, kept_sha256, kept binary[, digest])`` for every row: n_spans counts the
+    maximal runs removed, kept are the bytes left, digest is the SHA-256 of the input text. Null texts read as empty; rows of one id
     are ordered by their texts' SHA-256, null ids come last, equal rows are one text and all come back
-    alike; other columns are not looked at; an empty table gives an empty result.
+    alike; other columns are not looked at; an empty table gives an empty result. A task hashes ``piece``
+    bytes or tokens at once, of a longer text in overlapping pieces; texts may be of any length.
     """
     base, ranked = _keyed(docs, id_col, text_col)
     reach = threshold - UNITS[unit][1] + 1
@@ -391,17 +441,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def marked(settled: DataFrame) -> DataFrame:
         # the same left join each time, so that one exchange of the texts serves all passes
-        return packed.join(settled.groupBy("doc").agg(F.collect_list("pk").alias("marks")), "doc", "left").select("doc", "z", "marks")
+        return packed.join(settled.groupBy("doc").agg(F.collect_list("pk").alias("marks")), "doc", "left").select("doc", "z", "size", "marks")
 
-    settled = settle_spans(file_documents(base, unit, threshold), threshold)
+    settled = settle_spans(file_documents(base, unit, threshold, piece), threshold)
     for width in (-(-reach // 4), 1):
-        settled = settle_spans(file_again(marked(settled), unit, threshold, width), threshold)
-    out = _cut(marked(settled), unit)
+        settled = settle_spans(file_again(marked(settled), unit, threshold, width, piece), threshold)
+    out = _cut(marked(settled), unit, piece, keep_digest)
     if ranked is None:
         return out.withColumnRenamed("doc", "id")
-    every = docs.select(F.col(f"`{id_col}`").cast("long").alias("rid"), F.sha2(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), 256).alias("rdigest"))
-    found = ranked.join(out, "doc").drop("doc")
-    return every.join(found, F.expr("rid <=> id") & F.expr("rdigest = digest")).drop("rid", "rdigest", "digest")
+    # every row comes back, repeats too: they are counted by partition, and expanded after the cut
+    every = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_digest(F.col(f"`{text_col}`")).alias("digest"), F.spark_partition_id().alias("part"))
+    every = every.groupBy("id", "digest", "part").agg(F.count("*").alias("copies"))
+    named = ranked.join(every, F.expr("id <=> rid and digest = rdigest")).select("doc", "id", "copies")
+    return named.join(out, "doc").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("doc", "copies", "copy")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
