@@ -19,8 +19,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from leafmill.llm.arrowtext import U64, lowered, mix64, sliced, utf8
+from leafmill.llm.arrowtext import U64, lowered, mix64, released, sliced, utf8
 from leafmill.operators.graph import connected_components
 from leafmill.storage import stored
 
@@ -289,21 +290,22 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 DIGEST = 2
 
 
-def set_prints(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, n_bits: int) -> DataFrame:
-    """``(id, text, fp)`` for every row: the fingerprint of the distinct shingles, and a 128-bit digest of their set."""
+def set_prints(docs: DataFrame, text_col: str, shingle_words: int, n_bits: int) -> DataFrame:
+    """``(row, fp)``: rows as structs, and the fingerprint of each text's distinct shingles with a 128-bit digest of their set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, 1):
             raw, at = utf8(batch.column(1))
             data = lowered(raw).tobytes()
             prints = []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 h = np.unique(shingles(data[a:b], shingle_words))
                 prints.append(_majority(h, n_bits // 64).tobytes() + xxhash.xxh3_128_digest(h.tobytes()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints, pa.binary())], names=["id", "text", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], names=["row", "fp"])
 
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, text string, fp binary")
+    source = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    schema = StructType([StructField("row", docs.schema), StructField("fp", BinaryType())])
+    return source.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def similar_links(links: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
@@ -328,15 +330,10 @@ def similar_links(links: DataFrame, texts: DataFrame, shingle_words: int, simila
     return links.join(b, "dst").join(a, "src").select("src", "dst", "a", "b").mapInArrow(run, "src binary, dst binary")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, n_bits: int = 256, max_distance: int = 62, similarity: float = 0.8) -> DataFrame:
-    """``(id, component_id)`` for every row: the smallest id reached over links of ``similarity`` or more.
-
-    The fingerprint of the distinct shingles only proposes links, at up to ``max_distance`` bits; each is
-    recounted on the shingles of the two texts. One node stands for all texts of one shingle set. Where a dense
-    bucket proposed a forest and some of its links fail, all of its links between what is still apart are
-    proposed and recounted too. A pair that shares no Golay key is not found. Nulls as in ``simhash_groups``.
-    """
-    prints = stored(set_prints(docs, id_col, text_col, shingle_words, n_bits), "near-prints")
+def _near_groups(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, n_bits: int, max_distance: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Rows ``(row, id, fp, nth)``, nth telling them apart, and ``(fp, component, component_id)`` of every print."""
+    prints = set_prints(docs, text_col, shingle_words, n_bits).select("row", F.col(f"row.`{id_col}`").cast("long").alias("id"), "fp")
+    prints = stored(prints.withColumn("nth", F.monotonically_increasing_id()), "near-prints")
     unique = stored(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "near-unique")
 
     def proposed(nodes: DataFrame) -> DataFrame:
@@ -345,7 +342,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     links = stored(proposed(unique), "near-links")
     linked = stored(links.select(F.col("src").alias("fp")).union(links.select(F.col("dst").alias("fp"))).distinct(), "near-linked")
-    texts = stored(prints.join(linked, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")), "near-texts")
+    texts = prints.select("fp", F.col(f"row.`{text_col}`").cast("string").alias("text"))
+    texts = stored(texts.join(linked, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")), "near-texts")
     kept = stored(similar_links(links, texts, shingle_words, similarity), "near-kept")
     labels = connected_components(kept).select(F.col("node").alias("fp"), "component")
     if kept.count() < links.count():
@@ -356,10 +354,29 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             labels = connected_components(kept.union(found)).select(F.col("node").alias("fp"), "component")
     classes = unique.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     roots = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    ids = classes.join(roots, "component").select("fp", "component_id")
+    return prints, classes.join(roots, "component").select("fp", "component", "component_id")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, n_bits: int = 256, max_distance: int = 62, similarity: float = 0.8) -> DataFrame:
+    """``(id, component_id)`` for every row: the smallest id reached over links of ``similarity`` or more.
+
+    The fingerprint of the distinct shingles only proposes links, at up to ``max_distance`` bits; each is
+    recounted on the shingles of the two texts. One node stands for all texts of one shingle set. Where a dense
+    bucket proposed a forest and some of its links fail, all of its links between what is still apart are
+    proposed and recounted too. A pair that shares no Golay key is not found. Nulls as in ``simhash_groups``.
+    """
+    prints, ids = _near_groups(docs, id_col, text_col, shingle_words, n_bits, max_distance, similarity)
     return prints.select("id", "fp").join(ids, "fp").select("id", "component_id")
 
 
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, n_bits: int = 256, max_distance: int = 62, similarity: float = 0.8) -> DataFrame:
+    """One whole row of each group of ``near_copies``: one with the smallest id (null last). Repeated rows count once."""
+    prints, ids = _near_groups(docs, id_col, text_col, shingle_words, n_bits, max_distance, similarity)
+    own = prints.select("id", "fp", "nth").join(ids, "fp").filter(F.col("id").eqNullSafe(F.col("component_id")))
+    leaders = own.groupBy("component").agg(F.min("nth").alias("nth")).select("nth")
+    return prints.select("nth", "row").join(leaders, "nth", "left_semi").select("row.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     groups = simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

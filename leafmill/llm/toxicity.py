@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from leafmill.llm.arrowtext import U64, mix64, sliced, utf8
+from leafmill.llm.arrowtext import U64, mix64, released, sliced, utf8
 
 #: Characters and the letters that they may stand for.
 LOOKALIKES = {
@@ -416,17 +417,24 @@ def _logistic(d: np.ndarray, f: np.ndarray, y: np.ndarray, width: int, decay: fl
     return float(bias), w
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, score)`` of every row of docs, from its whole text; a null text scores as an empty one."""
+def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """Every row of docs as it is, with its score from its whole text; a null text scores as an empty one."""
+    where = docs.columns.index(text_col)
+    own = docs.select(*(F.col(f"`{c}`").cast("string").alias(c) if k == where else F.col(f"`{c}`") for k, c in enumerate(docs.columns)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
-        for batch in sliced(batches, "text"):
-            scores = [float(x) for x in of([t or "" for t in batch.column(1).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
+        for batch in sliced(batches, where):
+            scores = [float(x) for x in of([t or "" for t in batch.column(where).to_pylist()])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
+
+    schema = StructType([*own.schema.fields, StructField(name, DoubleType())])
+    return own.mapInArrow(lambda batches: released(run(batches)), schema)
 
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, score double")
+
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, score)`` of every row of docs."""
+    return scored(docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text")), model).drop("text")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:

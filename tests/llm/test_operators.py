@@ -121,6 +121,31 @@ def test_repeats_match_brute_force(docs):
     assert got == brute_repeats(corpus(), 100)
 
 
+@pytest.mark.parametrize("unit", ["bytes", "words"])
+def test_long_texts_are_cut_into_pieces(spark, unit):
+    rng = random.Random(8)
+    vocab = [f"w{k}" for k in range(3000)]
+    texts = [[rng.choice(vocab) for _ in range(2500)] for _ in range(3)]
+    for a, b in ((100, 900), (600, 40), (690, 2300), (1399, 1750)):
+        texts[1][b : b + 130] = texts[0][a : a + 130]
+    texts[2][5:2000] = texts[2][10:2005]
+    joined = [" ".join(t) for t in texts]
+    rows = list(enumerate(joined))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), unit=unit, threshold=100 if unit == "bytes" else 50, piece=700).collect()
+    if unit == "bytes":
+        assert collections.Counter((r.id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == brute_repeats(rows, 100)
+    else:
+        seen, want = set(), {}
+        for k, t in enumerate(texts):
+            gone = set()
+            for p in range(len(t) - 49):
+                w = tuple(t[p : p + 50])
+                gone |= set(range(p, p + 50)) if w in seen else set()
+                seen.add(w)
+            want[k] = [w for p, w in enumerate(t) if p not in gone]
+        assert {r.id: bytes(r.kept).decode().split() for r in got} == want
+
+
 def test_repeats_by_words(spark):
     rng = random.Random(5)
     passage = " ".join(f"w{rng.randint(0, 999)}" for _ in range(60))
@@ -134,30 +159,38 @@ def test_repeats_by_words(spark):
 
 def brute_overlap(text, item):
     d, b = ([w for w in re.split(r"[^\w]+|_", t.lower()) if w] for t in (text or "", item or ""))
-    for o in range(-len(b), len(d)):
+    width = min(13, len(b))
+    need = len(b) if len(b) < 9 else width - width * 2 // 13
+    for o in range(-len(b), len(d)) if b else ():
         same = [0 <= o + q < len(d) and d[o + q] == b[q] for q in range(len(b))]
-        if any(sum(same[a : a + 13]) >= 11 for a in range(len(b) - 12)):
+        if any(sum(same[a : a + width]) >= need for a in range(len(b) - width + 1)):
             return True
     return False
 
 
-def test_substituted_overlaps(spark):
+@pytest.mark.parametrize("few", [False, True])
+def test_substituted_overlaps(spark, few):
     rng = random.Random(2)
     vocab = [f"v{k}" for k in range(400)]
-    items = [(k, " ".join(rng.choice(vocab) for _ in range(rng.choice([13, 20, 40])))) for k in range(12)] + [(50, None), (None, "x " * 20), (51, "too short")]
-    rows = [(900, None), (901, ""), (902, "v1"), (None, items[0][1])]
-    for k in range(120):
+    items = [(k, " ".join(rng.choice(vocab) for _ in range(n))) for k, n in enumerate([13, 20, 40, 13, 9, 9, 10, 11, 12, 8, 8, 3])]
+    items += [(50, None), (None, "x " * 20), (51, "What is the capital city of new zealand"), (52, ""), (53, " ".join(rng.choice(vocab) for _ in range(30)) + " " + items[1][1]), (54, "zz")]
+    rows = [(900, None), (901, ""), (902, "v1"), (None, items[0][1]), (903, "so: what is the capital city of New Zealand?"), (904, "what is the capital town of new zealand"), (905, "zz"), (906, items[4][1].split(" ", 1)[1])]
+    for k in range(240):
         w = [rng.choice(vocab) for _ in range(60)]
         part = items[k % 12][1].split()[:13]
-        for at in rng.sample(range(13), rng.randint(0, 4)):
+        for at in rng.sample(range(len(part)), min(len(part), rng.randint(0, 4 if len(part) > 12 else 2))):
             part[at] = "changed"
-        w[20:33] = part
+        w[20 : 20 + len(part)] = part
         rows.append((k, " ".join(w).upper() if k % 2 else ", ".join(w)))
-    bench = spark.createDataFrame([(i, t, "x") for i, t in items], "item_id long, text string, seed string")
-    got = {(r.id, r.item_id) for r in decontaminate.overlaps(frame(spark, [*rows, rows[10]]), bench).collect()}
+    bench = spark.createDataFrame([(i, t, "x") for i, t in [*items, items[1]]], "item_id long, text string, seed string")
+    bounds = {"broadcast_seeds": 60, "broadcast_places": 10} if few else {}
+    once = {(r.id, r.item_id): r.n_seeds for r in decontaminate.overlaps(frame(spark, rows), bench, **bounds).collect()}
+    got = {(r.id, r.item_id): r.n_seeds for r in decontaminate.overlaps(frame(spark, [*rows, *rows[10:40], *rows[10:40]]), bench, **bounds).collect()}
     want = {(i, j) for i, t in rows if i is not None for j, b in items if j is not None and brute_overlap(t, b)}
-    assert got == want and len(want) > 50
-    assert decontaminate.overlaps(frame(spark, rows[:1]).limit(0), bench).count() == 0
+    assert set(got) == want and len(want) > 100 and got == once
+    assert {j for _, j in want} >= {4, 5, 6, 7, 8, 9, 11, 51, 53, 54}
+    assert decontaminate.overlaps(frame(spark, rows[:1]).limit(0), bench, **bounds).count() == 0
+    assert decontaminate.overlaps(frame(spark, rows), bench.limit(0), **bounds).count() == 0
 
 
 def test_masks_miss_no_window():
