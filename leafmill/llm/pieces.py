@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm.arrowtext import U64, mix64, sliced
+from leafmill.llm.arrowtext import U64, mix64, released, sliced
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -138,8 +138,9 @@ def _whole(text: str) -> np.uint64:
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, most: int = 400_000):
-        self.v, self.most = vocabulary, most
+    def __init__(self, vocabulary: Vocabulary, most: int = 100_000_000):
+        #: bytes that the words known may take, roughly
+        self.v, self.most, self.used = vocabulary, most, 0
         self.power = np.cumprod(np.concatenate([[U64(1)], np.full(vocabulary.longest * 2 + 2, U64(BASE))]), dtype=U64)
         self.known: dict[str, array] = {}
         self.parts: dict[str, array] = {}
@@ -248,6 +249,7 @@ class Encoder:
     def learn(self, words: set[str]) -> None:
         inside, parts = self.v.inside, self.parts
         new = [w for w in words if w not in self.known]
+        self.used += 8 * sum(map(len, new)) + 250 * len(new)
         cuts = []
         by_length: dict[int, set[str]] = {}
         for w in new:
@@ -276,9 +278,10 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and row offsets into them; null reads as empty."""
-        if len(self.known) > self.most:
+        if self.used > self.most:
             self.known.clear()
             self.parts.clear()
+            self.used = 0
         lead = SPACE if self.v.prefix else ""
         words = [self.split((lead + t).replace(" ", SPACE)) if t else [] for t in texts]
         self.learn(set().union(*words) if words else set())
@@ -320,7 +323,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), lists, pa.array(decoded), pa.array(same)], names=["id", "n_tokens", "token_ids", "decoded", "round_trip"])
 
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, n_tokens long, token_ids array<int>, decoded string, round_trip boolean")
+    return source.mapInArrow(lambda batches: released(run(batches)), "id long, n_tokens long, token_ids array<int>, decoded string, round_trip boolean")
 
 
 def query(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from leafmill.llm.arrowtext import U64, mix64, released, sliced, utf8
+from leafmill.storage import stored
 
 #: Characters and the letters that they may stand for.
 LOOKALIKES = {
@@ -31,7 +32,11 @@ LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Classes: 0 a word's edge, 1-26 the letters, 27 any other letter.
 CLASSES = 28
 #: Labelled rows that the model is fitted on, at most.
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 12_000
+#: Substrings that the model keeps at most: those in most toxic rows, weighted by how toxic their rows are.
+FEATURES = 4_000
+#: Words whose substrings are hashed at once, and rows whose substrings are counted at once, while fitting.
+WORD_BLOCK, ROW_BLOCK = 20_000, 100
 THRESHOLD = 0.7
 FEATURE_BITS = 22
 _TRIM = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "“”’‘«»…"
@@ -80,7 +85,7 @@ def count_characters(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarra
         yield pa.RecordBatch.from_arrays([pa.array(kept), pa.array(total[kept])], names=["pair", "n"])
 
     source = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = source.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    rows = source.mapInArrow(lambda batches: released(run(batches)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(pairs + codes + 1)
     for pair, n in rows:
         out[pair] = n
@@ -220,14 +225,17 @@ def raw_words(text: str, common: frozenset[str] | None = None) -> set[str]:
 class Words:
     """Forms of each word (as written, trimmed, restored), kept between batches up to a bound."""
 
-    def __init__(self, restorer: Restorer, most: int = 300_000):
-        self.restorer, self.most = restorer, most
+    def __init__(self, restorer: Restorer, most: int = 40_000_000):
+        #: bytes that the words known may take, roughly
+        self.restorer, self.most, self.size = restorer, most, 0
         self.known: dict[str, tuple[str, ...]] = {}
 
     def learn(self, words: set[str]) -> None:
-        if len(self.known) > self.most:
+        if self.size > self.most:
             self.known.clear()
+            self.size = 0
         new = [w for w in words if w not in self.known]
+        self.size += sum(map(len, new)) * 2 + 250 * len(new)
         odd: list[tuple[str, str]] = []
         for w in new:
             if w.isalpha() and not _DOUBLED.search(w):
@@ -283,7 +291,7 @@ class Model:
         weights = self.weights
 
         def score(texts: list[str]) -> list[float]:
-            if len(hits) > 300_000:
+            if words.size > words.most:
                 hits.clear()
             every = [raw_words(text, self.restorer.common) for text in texts]
             # the new words of all texts are decoded together
@@ -305,9 +313,13 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame, restorer: Restorer, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> Model:
-    """Train on at most ``train_rows`` labelled rows (a documented bound); their whole texts count."""
+    """Train on at most ``train_rows`` labelled rows (a documented bound); their whole texts count.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Substrings are counted by Spark, by the leading bits of their hashes; the driver gets the ``FEATURES`` best
+    ones, and which of them each row has.
+    """
+
+    def words_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(restorer)
         for batch in sliced(batches, "text"):
             every = [raw_words(text or "", restorer.common) for text in batch.column(0).to_pylist()]
@@ -316,91 +328,113 @@ def fit(docs: DataFrame, labels: DataFrame, restorer: Restorer, id_col: str = "d
             yield pa.RecordBatch.from_arrays([pa.array(forms, pa.list_(pa.string())), batch.column(1)], names=["words", "toxic"])
 
     rows = _training_rows(docs, labels, id_col, text_col, train_rows).select("text", F.col("toxic").cast("int").alias("toxic"))
-    table = rows.mapInArrow(run, "words array<string>, toxic int").toArrow()
-    y = table["toxic"].to_numpy().astype(np.float64) if table.num_rows else np.zeros(0)
-    if not len(y) or not y.any() or y.all():
-        prior = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.05
+    rows = stored(rows.mapInArrow(lambda batches: released(words_of_rows(batches)), "words array<string>, toxic int"), "toxicity-words")
+    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if not toxic or toxic == n:
+        prior = (toxic + 0.5) / (n + 1) if n else 0.05
         return Model(float(np.log(prior / (1 - prior))), {}, restorer)
-    lists = table["words"].combine_chunks()
-    sizes = lists.value_lengths().to_numpy()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, pos = np.zeros(1 << FEATURE_BITS, np.int32), np.zeros(1 << FEATURE_BITS, np.int32)
+        for part in _row_blocks(batches):
+            y = part.column(1).to_numpy().astype(np.int32)
+            d, f = _row_buckets(part.column(0))
+            np.add.at(df, f, 1)
+            np.add.at(pos, f, y[d])
+        at = np.flatnonzero(df)
+        for k in range(0, len(at), 100_000):
+            own = at[k : k + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(df[own].astype(np.int64)), pa.array(pos[own].astype(np.int64))], names=["bucket", "df", "pos"])
+
+    base = toxic / n
+    sums = rows.mapInArrow(lambda batches: released(counted(batches)), "bucket int, df long, pos long").groupBy("bucket").agg(F.sum("df").alias("df"), F.sum("pos").alias("pos"))
+    lift = (F.col("pos") + base) / (F.col("df") + 1)
+    good = sums.filter((F.col("pos") >= 4) & (lift >= max(0.5, min(0.9, 3 * base))))
+    best = good.orderBy((F.col("pos") * lift * lift).desc(), "bucket").limit(FEATURES).select("bucket").collect()
+    chosen = np.sort(np.array([r.bucket for r in best], np.int32))
+
+    def had(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _row_blocks(batches):
+            d, f = _row_buckets(part.column(0))
+            at = np.minimum(np.searchsorted(chosen, f), max(0, len(chosen) - 1))
+            hit = chosen[at] == f if len(chosen) else np.zeros(len(f), bool)
+            ends = np.searchsorted(d[hit], np.arange(part.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(at[hit].astype(np.int32))), part.column(1)], names=["features", "toxic"])
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, str], float] = defaultdict(float)
+        for part in _row_blocks(batches):
+            lists = part.column(0)
+            coded = lists.flatten().dictionary_encode()
+            vocabulary, y = coded.dictionary.to_pylist(), part.column(1).to_numpy().astype(np.float64)
+            weight = np.bincount(coded.indices.to_numpy(), weights=np.repeat(y, lists.value_lengths().to_numpy()), minlength=len(vocabulary))
+            for word, bucket, cut in _hashed_substrings(vocabulary):
+                for e in np.flatnonzero(np.isin(bucket, chosen) & (weight[word] > 0)):
+                    w, k, i = vocabulary[word[e]], cut[e] >> 32, cut[e] & 0xFFFFFFFF
+                    found[int(bucket[e]), w[i : i + k] if k else f"={w}"] += weight[word[e]]
+        keys = list(found)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([found[k] for k in keys], pa.float64())], names=["bucket", "spelled", "n"])
+
+    table = rows.mapInArrow(lambda batches: released(had(batches)), "features array<int>, toxic int").toArrow()
+    lists = table["features"].combine_chunks()
+    y = table["toxic"].to_numpy().astype(np.float64)
+    f = lists.flatten().to_numpy()
+    bias, weight = _logistic(np.repeat(np.arange(len(y)), lists.value_lengths().to_numpy()), f, y, len(chosen))
+    # of the substrings that share a bucket, the one in most toxic rows stands for it
+    names = rows.mapInArrow(lambda batches: released(spelled(batches)), "bucket int, spelled string, n double").groupBy("bucket", "spelled").agg(F.sum("n").alias("n"))
+    names = names.groupBy("bucket").agg(F.max(F.struct("n", "spelled"))["spelled"].alias("spelled")).collect()
+    at = {int(b): k for k, b in enumerate(chosen)}
+    return Model(bias, {r.spelled: float(weight[at[r.bucket]]) for r in names if weight[at[r.bucket]] > 1e-4}, restorer)
+
+
+def _row_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROW_BLOCK):
+            yield batch.slice(k, ROW_BLOCK)
+
+
+def _row_buckets(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and substring buckets of word lists, each pair once, by row."""
     coded = lists.flatten().dictionary_encode()
-    vocabulary, word_of = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-    doc_of = np.repeat(np.arange(len(sizes)), sizes)
-    # substrings are counted by the leading bits of their hashes
-    word, bucket, cut = _hashed_substrings(vocabulary)
-    toxic_words = np.bincount(word_of, weights=y[doc_of], minlength=len(vocabulary))
-    often = np.bincount(bucket, weights=toxic_words[word], minlength=1 << FEATURE_BITS) >= 5
-    keep = often[bucket]
-    word, bucket, cut = word[keep], bucket[keep], cut[keep]
-    names = np.flatnonzero(often)
-    index = np.cumsum(often) - 1
-    order = np.argsort(word, kind="stable")
-    word, cut, flat = word[order], cut[order], index[bucket[order]].astype(np.int32)
-    lengths = np.bincount(word, minlength=len(vocabulary))
+    size = len(coded.dictionary)
+    parts = [(word, bucket) for word, bucket, _ in _hashed_substrings(coded.dictionary.to_pylist())]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    word, bucket = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    bucket = bucket[np.argsort(word, kind="stable")]
+    lengths = np.bincount(word, minlength=size)
     first = np.cumsum(lengths) - lengths
-    df, pos, pairs = np.zeros(len(names)), np.zeros(len(names)), []
-    bounds = np.concatenate([[0], np.cumsum(sizes)])
-    for lo in range(0, len(sizes), 200):
-        hi = min(lo + 200, len(sizes))
-        w, d = word_of[bounds[lo] : bounds[hi]], doc_of[bounds[lo] : bounds[hi]]
-        n = lengths[w]
-        f = flat[np.repeat(first[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        key = np.unique((np.repeat(d, n) - lo) * len(names) + f)
-        d, f = key // len(names) + lo, key % len(names)
-        df += np.bincount(f, minlength=len(names))
-        pos += np.bincount(f, weights=y[d], minlength=len(names))
-        pairs.append((d.astype(np.int32), f.astype(np.int32)))
-    base = y.mean()
-    lift = (pos + base) / (df + 1)
-    good = np.flatnonzero((pos >= 4) & (lift >= max(0.5, min(0.9, 3 * base))))
-    good = good[np.lexsort((good, -pos[good] * lift[good] ** 2))][:4000]
-    at = np.full(len(names), -1)
-    at[good] = np.arange(len(good))
-    picked = []
-    for d, f in pairs:
-        f = at[f]
-        picked.append((d[f >= 0], f[f >= 0]))
-    d, f = np.concatenate([x[0] for x in picked]), np.concatenate([x[1] for x in picked])
-    bias, weight = _logistic(d, f, y, len(good))
-    # of the substrings that share a bucket, the one in most toxic rows stands for it
-    spelled: list[dict[str, float]] = [defaultdict(float) for _ in good]
-    for e in np.flatnonzero(at[flat] >= 0):
-        w, k, i = vocabulary[word[e]], cut[e] >> 16, cut[e] & 0xFFFF
-        spelled[at[flat[e]]][w[i : i + k] if k else f"={w}"] += toxic_words[word[e]]
-    named = {max(sorted(s), key=s.get): float(w) for s, w in zip(spelled, weight, strict=True) if s and w > 1e-4}
-    return Model(bias, named, restorer)
+    w, d = coded.indices.to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    n = lengths[w]
+    f = bucket[np.repeat(first[w], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)].astype(np.int64)
+    key = np.unique(np.repeat(d, n) << FEATURE_BITS | f)
+    return key >> FEATURE_BITS, key & (1 << FEATURE_BITS) - 1
 
 
-def _hashed_substrings(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word, hash bucket, and place (length << 16 | start; 0 for the word itself) of every substring."""
+def _hashed_substrings(vocabulary: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Word, hash bucket, and place (length << 32 | start; 0 for the word itself) of every substring, by blocks of words of a length."""
     by_length = defaultdict(list)
     for k, w in enumerate(vocabulary):
-        if w and len(w) < 1 << 16:
+        if w:
             by_length[len(w)].append(k)
-    words, buckets, cuts = [], [], []
     shift = U64(64 - FEATURE_BITS)
-    for length, ks in by_length.items():
-        own = np.array(ks, np.int32)
-        chars = mix64(np.array([vocabulary[k] for k in ks], f"<U{length}").view(np.uint32).reshape(-1, length).astype(U64) + U64(1))
-        whole = np.full(len(ks), U64(7))
-        for i in range(length):
-            whole = whole * U64(0x9E3779B97F4A7C15) + chars[:, i]
-        words.append(own)
-        buckets.append((mix64(whole) >> shift).astype(np.int32))
-        cuts.append(np.zeros(len(ks), np.int32))
-        for n in (4, 5, 6):
-            span = length - n + 1
-            if span < 1:
-                continue
-            h = np.full((len(ks), span), U64(n))
-            for i in range(n):
-                h = h * U64(0x9E3779B97F4A7C15) + chars[:, i : i + span]
-            words.append(np.repeat(own, span))
-            buckets.append((mix64(h) >> shift).astype(np.int32).ravel())
-            cuts.append(np.tile(n << 16 | np.arange(span, dtype=np.int32), len(ks)))
-    if not words:
-        return np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
-    return np.concatenate(words), np.concatenate(buckets), np.concatenate(cuts)
+    for length, every in by_length.items():
+        step = max(1, WORD_BLOCK * 8 // length)
+        for ks in (every[k : k + step] for k in range(0, len(every), step)):
+            own = np.array(ks, np.int32)
+            chars = mix64(np.array([vocabulary[k] for k in ks], f"<U{length}").view(np.uint32).reshape(-1, length).astype(U64) + U64(1))
+            whole = np.full(len(ks), U64(7))
+            for i in range(length):
+                whole = whole * U64(0x9E3779B97F4A7C15) + chars[:, i]
+            yield own, (mix64(whole) >> shift).astype(np.int32), np.zeros(len(ks), np.int64)
+            for n in (4, 5, 6):
+                span = length - n + 1
+                if span < 1:
+                    continue
+                h = np.full((len(ks), span), U64(n))
+                for i in range(n):
+                    h = h * U64(0x9E3779B97F4A7C15) + chars[:, i : i + span]
+                yield np.repeat(own, span), (mix64(h) >> shift).astype(np.int32).ravel(), np.tile(np.int64(n) << 32 | np.arange(span, dtype=np.int64), len(ks))
 
 
 def _logistic(d: np.ndarray, f: np.ndarray, y: np.ndarray, width: int, decay: float = 2e-4, steps: int = 150) -> tuple[float, np.ndarray]:
