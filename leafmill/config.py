@@ -43,18 +43,50 @@ class OcrOptions:
     lang: tuple[str, ...] = ()
 
 
+@dataclass(frozen=True)
+class TableOptions:
+    """Passed to the table stage registered for this type."""
+
+    do_cell_matching: bool = True
+    mode: str = "accurate"
+
+
+@dataclass(frozen=True)
+class FigureOptions:
+    """Passed to the figure stage registered for this type."""
+
+    classes: tuple[str, ...] = ()
+
+
 @dataclass(frozen=True)
 class Options:
     limits: Limits = field(default_factory=Limits)
     layout: LayoutOptions = field(default_factory=LayoutOptions)
     ocr: OcrOptions = field(default_factory=OcrOptions)
+    table: TableOptions = field(default_factory=TableOptions)
+    figure: FigureOptions = field(default_factory=FigureOptions)
     allowed_formats: tuple[str, ...] | None = None
     raises_on_error: bool = True
     document_timeout: float | None = None
     images_scale: float = 1.0
-    generate_table_images: bool = False
     score_threshold: float = 0.3
 
     def key(self) -> str:
         """Hash under which anything built from these options can be kept."""
         return hashlib.md5(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()
+
+
+#: Ready-made settings by name: what differs from the defaults.
+PRESETS: dict[str, dict] = {
+    "default": {},
+    "fast": {"layout": LayoutOptions(passes=1), "table": TableOptions(mode="fast")},
+    "layout_only": {"layout": LayoutOptions(skip_cell_assignment=True, create_orphan_clusters=False)},
+    "scans": {"ocr": OcrOptions(force_full_page_ocr=True)},
+}
+
+
+def preset(name: str, **changes) -> Options:
+    """Options of a preset, with changes on top."""
+    if name not in PRESETS:
+        raise ValueError(f"no preset {name}; there are {sorted(PRESETS)}")
+    return Options(**(PRESETS[name] | changes))

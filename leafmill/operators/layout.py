@@ -23,6 +23,8 @@ SPECIAL = (*WRAPPERS, "picture")
 #: By class, the area ratio up to which and the confidence deficit from which a box yields.
 PREFER = {"regular": (1.3, 0.05), "picture": (2.0, 0.3), "wrapper": (2.0, 0.2)}
 CELL_OVERLAP, CONTAINED, FULL_PAGE = 0.2, 0.8, 0.90
+#: How far a wrapper lies in a table, and its lead in confidence, for it to go.
+TWIN, TWIN_CONFIDENCE = 0.9, 0.1
 
 
 def ingest(raw: DataFrame) -> DataFrame:
@@ -169,6 +171,16 @@ def refined(clusters: DataFrame, passes: int = 3) -> DataFrame:
     return out
 
 
+def without_table_twins(specials: DataFrame, regulars: DataFrame) -> DataFrame:
+    """Specials but those wrappers that lie almost wholly in a regular table and are not clearly surer of themselves.
+
+    Tables are special themselves, so no regular cluster is one and nothing goes; the rule is kept for other label sets.
+    """
+    s, r = specials.alias("s"), regulars.filter("label = 'table'").alias("r")
+    twin = [F.col("s.label").isin(*WRAPPERS), over_self(box("s."), box("r.")) > TWIN, F.col("s.conf") - F.col("r.conf") < TWIN_CONFIDENCE]
+    return s.join(r, [*on_page("s", "r"), *twin], "left_anti")
+
+
 def children(specials: DataFrame, regulars: DataFrame) -> DataFrame:
     """``(page, parent_id, child_id, ...)``: regular clusters more than four fifths inside a special one."""
     s, r = specials.alias("s"), regulars.alias("r")
@@ -237,6 +249,7 @@ def clean(dets: DataFrame, cells: DataFrame, pages: DataFrame, options: LayoutOp
         regular = with_cells(regular, assign_cells(regular, cells), cells, dets, options)
     regular = stored(refined(regular, options.passes), "regular-clusters")
     special = not_full_page(kept.filter(is_special()).select(*PAGE, "id", "label", *"ltrb", "conf"), pages)
+    special = without_table_twins(special, regular)
     kids = children(special, regular)
     return regular, special_boxes(special, kids), kids
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.text import clean_lines
+
 PAGE = ("doc_id", "page_no")
 #: What a bullet or number in front of a list item looks like.
 MARKER = r"^\s*([-*•·]|\d+[.)])\s+"
@@ -16,12 +18,13 @@ def in_document():
     return Window.partitionBy("doc_id").orderBy("seq")
 
 
-def reading_order(elements: DataFrame, width: float = 612.0) -> DataFrame:
-    """Adds ``seq``: page headers, then body by column, top and left, then page footers.
+def reading_order(elements: DataFrame, pages: DataFrame) -> DataFrame:
+    """Adds ``width``, ``height`` of the page, and ``seq``: page headers, then body by column, top and left, then page footers.
 
     A page has two columns if some body box lies left and some right of its centre without touching it.
     """
-    mid = width / 2
+    elements = elements.join(pages.select(*PAGE, "width", "height"), list(PAGE), "left")
+    mid = F.col("width") / 2
     body = ~F.col("label").isin("page_header", "page_footer")
     page = Window.partitionBy(*PAGE)
     left = F.max(F.when(body & (F.col("r") <= mid), 1).otherwise(0)).over(page)
@@ -76,14 +79,14 @@ def merge_heads(ordered: DataFrame) -> DataFrame:
 
 
 def merged_texts(ordered: DataFrame) -> DataFrame:
-    """One row for each head: its whole text, and where each part lies in it."""
+    """One row for each head: its whole text, and where each part lies in it and on its page (origin bottom left)."""
     h = merge_heads(ordered)
     run = Window.partitionBy("doc_id", "head").orderBy("seq")
     start = F.coalesce(F.sum(F.length("text") + 1).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = F.struct("seq", "text", "page_no", start.cast("int").alias("start"))
+    part = F.struct("seq", "text", "page_no", start.cast("int").alias("start"), "l", (F.col("height") - F.col("t")).alias("t"), "r", (F.col("height") - F.col("b")).alias("b"))
     parts = h.withColumn("part", part).groupBy("doc_id", "head").agg(F.sort_array(F.collect_list("part")).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["text"]), " ")
-    spans = F.transform("parts", lambda p: F.struct(p["page_no"].alias("page_no"), p["start"].alias("start"), (p["start"] + F.length(p["text"])).alias("end")))
+    spans = F.transform("parts", lambda p: F.struct(p["page_no"].alias("page_no"), p["start"].alias("start"), (p["start"] + F.length(p["text"])).alias("end"), *(p[c].alias(c) for c in "ltrb")))
     return parts.select("doc_id", F.col("head").alias("seq"), text.alias("text"), F.size("parts").alias("n_parts"), spans.alias("prov"))
 
 
@@ -104,19 +107,60 @@ def layer(label: Column) -> Column:
     return F.when(label.isin("page_header", "page_footer"), "furniture").otherwise("body")
 
 
+def ref_of(page_no: Column, ident: Column) -> Column:
+    return F.concat(F.lit("#/"), page_no.cast("string"), F.lit("/"), ident.cast("string"))
+
+
 def items(ordered: DataFrame) -> DataFrame:
-    """Document items: type, layer, text and original text, reference and provenance."""
-    kind = F.when(F.col("label") == "section_header", "heading").when(F.col("kind") == "text", F.col("label")).otherwise(F.col("kind"))
-    prov = F.struct(
-        "page_no", F.lit(0).alias("start"), F.length("text").alias("end"), "l", (F.lit(792.0) - F.col("t")).alias("t"), "r", (F.lit(792.0) - F.col("b")).alias("b")
+    """Document items: ``(doc_id, seq, item_ref, parent_ref, type, content_layer, text, orig, marker, prov, caption_refs, footnote_refs)``.
+
+    Captions and footnotes are children of what they belong to, which lists them; a text that goes on elsewhere is one
+    item with several provenances; list items are children of their group. Only texts have text: a
+    formula's is its ``orig``, a list item's comes without its marker. ordered is read several times: store it first.
+    """
+    notes = caption_links(ordered).withColumn("role", F.lit("caption")).unionByName(footnote_links(ordered).withColumn("role", F.lit("footnote")))
+    notes = notes.withColumns({"note_ref": ref_of(F.col("page_no"), F.col("id")), "target_ref": ref_of(F.col("page_no"), F.col("target_id"))})
+    continued = merge_heads(ordered).filter("head <> seq").select(*PAGE, "id")
+    main = ordered.join(notes.select(*PAGE, "id").union(continued), [*PAGE, "id"], "left_anti")
+    noted = notes.join(ordered.select(*PAGE, "id", "seq"), [*PAGE, "id"]).withColumn("pair", F.struct("seq", "note_ref"))
+    refs = noted.groupBy("doc_id", F.col("target_ref").alias("item_ref")).agg(
+        *(F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == r, F.col("pair")))), lambda p: p["note_ref"]).alias(f"{r}_refs") for r in ("caption", "footnote"))
     )
-    ref = F.concat(F.lit("#/"), F.col("page_no").cast("string"), F.lit("/"), F.col("id").cast("string"))
-    return ordered.select(
-        "doc_id", "seq", ref.alias("item_ref"), kind.alias("type"), layer(F.col("label")).alias("content_layer"),
-        F.when(F.col("label") == "formula", "").otherwise(F.col("text")).alias("text"), F.col("text").alias("orig"), prov.alias("prov"),
+    lists = list_groups(main).select("doc_id", "seq", F.concat(F.lit("#/groups/"), F.col("group_no").cast("string")).alias("parent_ref"))
+    parents = lists.unionByName(noted.select("doc_id", "seq", F.col("target_ref").alias("parent_ref")))
+    kept = main.unionByName(ordered.join(notes.select(*PAGE, "id"), [*PAGE, "id"], "left_semi"))
+    kind = F.when(F.col("label") == "section_header", "heading").when(F.col("kind") == "text", F.col("label")).otherwise(F.col("kind"))
+    is_text = F.col("kind") == "text"
+    whole = merged_texts(ordered).select("doc_id", "seq", F.col("text").alias("whole"), "prov")
+    rows = kept.drop("text").join(whole, ["doc_id", "seq"]).withColumn("item_ref", ref_of(F.col("page_no"), F.col("id")))
+    rows = rows.join(parents, ["doc_id", "seq"], "left").join(refs, ["doc_id", "item_ref"], "left")
+    mark, rest = marker(F.col("whole"))
+    listed = F.col("label") == "list_item"
+    text = F.when(~is_text | (F.col("label") == "formula"), "").when(listed, rest).otherwise(F.col("whole"))
+    blank = F.transform("prov", lambda p: F.struct(p["page_no"].alias("page_no"), F.lit(0).alias("start"), F.lit(0).alias("end"), *(p[c].alias(c) for c in "ltrb")))
+    none = F.array().cast("array<string>")
+    return rows.select(
+        "doc_id", "seq", "item_ref", "parent_ref", kind.alias("type"), layer(F.col("label")).alias("content_layer"), text.alias("text"),
+        F.when(is_text, F.col("whole")).otherwise("").alias("orig"), F.when(listed & (mark != ""), mark).alias("marker"), F.when(is_text, F.col("prov")).otherwise(blank).alias("prov"),
+        F.coalesce("caption_refs", none).alias("caption_refs"), F.coalesce("footnote_refs", none).alias("footnote_refs"),
     )
 
 
+def child_items(kids: DataFrame, specials: DataFrame, cells: DataFrame) -> DataFrame:
+    """``(doc_id, page_no, item_ref, parent_ref, child_no, type, text)``: what lies in figures, containers and tables
+    without a structure (specials: their ids, kind and num_rows), in cell order."""
+    open_ = specials.filter("kind in ('figure', 'container') or kind = 'table' and coalesce(num_rows, 0) = 0").select(*PAGE, F.col("id").alias("parent_id"), F.col("kind").alias("parent_kind"))
+    own = kids.join(open_, [*PAGE, "parent_id"]).select(*PAGE, "parent_id", "parent_kind", "child_id", "child_label", "t", "l", F.explode_outer("cells").alias("cell"))
+    lines = own.withColumn("idx", F.col("cell.idx")).join(cells.select(*PAGE, "idx", F.col("text").alias("line")), [*PAGE, "idx"], "left")
+    made = lines.groupBy(*PAGE, "parent_id", "parent_kind", "child_id", "child_label", "t", "l").agg(F.sort_array(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("idx", "line")))).alias("xs"))
+    first = F.coalesce(F.get("xs", F.lit(0))["idx"].cast("double"), F.lit(float("inf")))
+    nth = F.row_number().over(Window.partitionBy(*PAGE, "parent_id").orderBy(first, "t", "l", "child_id"))
+    text = F.array_join(clean_lines(F.transform("xs", lambda x: x["line"])), " ")
+    parent = F.concat(ref_of(F.col("page_no"), F.col("parent_id")), F.when(F.col("parent_kind") == "table", "/cell").otherwise(""))
+    kind = F.when(F.col("child_label") == "list_item", "list_item").when(F.col("child_label") == "section_header", "heading").otherwise(F.col("child_label"))
+    return made.select("doc_id", "page_no", ref_of(F.col("page_no"), F.col("child_id")).alias("item_ref"), parent.alias("parent_ref"), nth.cast("int").alias("child_no"), kind.alias("type"), text.alias("text"))
+
+
 def container_label(label: Column) -> Column:
     return F.when(label == "form", "form_area").when(label == "key_value_region", "key_value_area")
 

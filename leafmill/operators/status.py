@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.scores import grade, mean_of, quantile_of
@@ -49,9 +49,18 @@ def timings(rows: DataFrame) -> DataFrame:
     )
 
 
-def raise_unless_ok(results: DataFrame) -> None:
-    """Raise with the first unsuccessful document; an empty result raises too."""
-    first = results.select("file", "status", "errors").orderBy(F.when(F.col("status").isin("success", "partial_success"), 1).otherwise(0), "file").limit(1).collect()
+def timed(pages: DataFrame, timeout: float) -> DataFrame:
+    """Adds ``fed`` and ``timed_out``: pages go one after the other, none is begun once ``timeout`` seconds of ``elapsed`` are over."""
+    before = Window.partitionBy("doc_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    spent = F.coalesce(F.sum("elapsed").over(before), F.lit(0.0))
+    total = F.coalesce(F.sum("elapsed").over(Window.partitionBy("doc_id")), F.lit(0.0))
+    return pages.withColumn("fed", spent <= timeout).withColumn("timed_out", total > timeout)
+
+
+def raise_unless_ok(results: DataFrame, order: str = "doc_id") -> None:
+    """Raise for the first unsuccessful document in input order (of ``order``); an empty result raises too."""
+    good = F.col("status").isin("success", "partial_success")
+    first = results.select(order, "file", "status", "errors").orderBy(F.when(good, 1).otherwise(0), order).limit(1).collect()
     if not first:
         raise RuntimeError("nothing was converted")
     if first[0]["status"] not in ("success", "partial_success"):

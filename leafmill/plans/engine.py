@@ -8,10 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill import __version__ as VERSION
 from leafmill.config import Options
 from leafmill.functions.text import quality
-from leafmill.operators import assemble, layout, reading, status
+from leafmill.operators import assemble, layout, ocr, reading, status
 from leafmill.sources import formats
+from leafmill.storage import stored
+
+PAGE = ["doc_id", "page_no"]
 
 _stages: dict[tuple[str, type], Callable] = {}
 
@@ -32,12 +36,14 @@ def stage_for(kind: str, options: object) -> Callable[..., DataFrame]:
 
 @dataclass(frozen=True)
 class Conversion:
-    """Tables of one conversion, all lazy."""
+    """Tables of one conversion. Clusters and reading order are written once; the rest is lazy."""
 
     results: DataFrame
     items: DataFrame
+    children: DataFrame
     pages: DataFrame
     confidence: DataFrame
+    regions: DataFrame
 
 
 class Engine:
@@ -46,29 +52,81 @@ class Engine:
     def __init__(self, options: Options = Options()):
         self.options = options
 
-    def convert_all(self, inputs: DataFrame, cells: DataFrame, detections: DataFrame, pages: DataFrame, raises_on_error: bool | None = None) -> Conversion:
-        """Admission, layout clean-up, assembly, reading order, confidence and status of every document."""
+    def _staged(self, kind: str, options: object, given: DataFrame | None, *inputs: DataFrame) -> DataFrame | None:
+        """A given table, or else what the stage registered for these options makes of its inputs; None without either."""
+        if given is not None or (kind, type(options)) not in _stages:
+            return given
+        return stage_for(kind, options)(*inputs, options)
+
+    def _outcome(self, expected: DataFrame, pages: DataFrame, cells: DataFrame, detections: DataFrame) -> DataFrame:
+        """``(doc_id, page_no, ok, error, timed_out)`` of every expected page: ok is null if it was never begun.
+
+        A page fails through its backend, an error that its reader noted, or rows that no stage can use; it never ends the job.
+        """
         o = self.options
+        error = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
+        spent = F.coalesce(F.col("elapsed").cast("double"), F.lit(0.0)) if "elapsed" in pages.columns else F.lit(0.0)
+        seen = pages.select("doc_id", "page_no", F.coalesce(error, F.when(~F.col("backend_ok"), "page backend failed")).alias("error"), spent.alias("elapsed"))
+        holes = [t.filter(F.greatest(*(F.isnull(c).cast("int") for c in need)) == 1).select("doc_id", "page_no", F.lit(name).alias("fault")) for t, need, name in ((cells, ("idx", "text", *"ltrb"), "cell without text or box"), (detections, ("id", "label", *"ltrb", "conf"), "detection without label, box or confidence"))]
+        faults = holes[0].union(holes[1]).groupBy("doc_id", "page_no").agg(F.min("fault").alias("fault"))
+        known = expected.join(seen, PAGE, "left").join(faults, PAGE, "left").withColumn("known", F.col("elapsed").isNotNull())
+        fault = F.coalesce("error", "fault", F.when(~F.col("known"), "page is missing"))
+        if o.document_timeout is None:
+            return known.select(*PAGE, fault.isNull().alias("ok"), fault.alias("error"), F.lit(False).alias("timed_out"))
+        known = status.timed(known, o.document_timeout)
+        return known.select(*PAGE, (F.col("fed") & fault.isNull()).alias("ok"), F.when(F.col("fed"), fault).otherwise("document timeout exceeded").alias("error"), "timed_out")
+
+    def convert_all(
+        self, inputs: DataFrame, cells: DataFrame, detections: DataFrame | None, pages: DataFrame, bitmaps: DataFrame | None = None, ocr_cells: DataFrame | None = None,
+        table_predictions: DataFrame | None = None, figure_predictions: DataFrame | None = None, raises_on_error: bool | None = None,
+    ) -> Conversion:
+        """Admission, OCR merging, layout clean-up, assembly, reading order, confidence and status of every document.
+
+        Detections, OCR cells, tables and figures come as tables, or from the stages registered for ``options.layout``, ``.ocr``,
+        ``.table`` and ``.figure``; without bitmaps no page is read by OCR.
+        """
+        o = self.options
+        detections = self._staged("layout", o.layout, detections, pages)
+        if detections is None:
+            raise ValueError("no detections, and no layout stage is registered for these options")
         mime, fmt = formats.detect_format(F.col("file"))
         docs = formats.admit(inputs.withColumn("mime", mime).withColumn("format", fmt), o.limits)
         docs = formats.gate(docs, o.allowed_formats or formats.FORMATS)
-        expected = formats.expand_pages(docs.filter("status = 'pending'"), o.limits).select("doc_id", "page_no")
-        todo = pages.join(expected, ["doc_id", "page_no"], "left_semi")
-        own = cells.join(expected, ["doc_id", "page_no"], "left_semi")
-        dets = detections.join(expected, ["doc_id", "page_no"], "left_semi")
-        clusters = layout.postprocess(dets, own, todo, o.layout)
-        elements = assemble.texts(assemble.routed(clusters), own)
-        items = reading.items(reading.reading_order(elements))
-        parse = own.withColumn("q", quality(F.col("text"))).groupBy("doc_id", "page_no").agg(F.expr("percentile(q, 0.1)").alias("parse_score"))
-        scored = layout.page_scores(clusters, own, todo).join(parse, ["doc_id", "page_no"], "left").withColumn("table_score", F.lit(None).cast("double"))
+        expected = formats.expand_pages(docs.filter("status = 'pending'"), o.limits).select(*PAGE)
+        outcome = stored(self._outcome(expected, pages, cells, detections), "page-outcome")
+        done = outcome.filter("ok").select(*PAGE)
+        todo, own, dets = (t.join(done, PAGE, "left_semi") for t in (pages, cells, detections))
+        found = None
+        if bitmaps is not None:
+            rects = ocr.bitmap_rects(bitmaps.join(done, PAGE, "left_semi"))
+            decided = ocr.decide(ocr.coverage(rects, todo), o.ocr)
+            found = ocr.regions(rects, todo)
+            read = self._staged("ocr", o.ocr, ocr_cells, decided, found)
+            if read is not None:
+                read = ocr.in_regions(ocr.accepted(read.join(done, PAGE, "left_semi"), o.ocr), decided, found)
+                own = ocr.combine(own, read if o.ocr.force_full_page_ocr else ocr.without_covered(read, own), o.ocr.force_full_page_ocr)
+        own = stored(own, "merged-cells")
+        regular, special, kids = layout.clean(dets.filter(F.col("conf") >= o.score_threshold), own, todo, o.layout)
+        special = layout.deoverlapped(special)
+        clusters = stored(layout.ordered(layout.final(regular, special, kids)), "final-clusters")
+        routed = assemble.routed(clusters)
+        tables = self._staged("table", o.table, table_predictions, routed.filter("kind = 'table'"), own)
+        figures = self._staged("figure", o.figure, figure_predictions, routed.filter("kind = 'figure'"))
+        elements = assemble.texts(routed, own)
+        elements = elements.withColumns({"num_rows": F.lit(0).cast("long"), "num_cols": F.lit(0).cast("long")}) if tables is None else assemble.with_tables(elements, tables)
+        elements = elements.withColumn("figure_class", F.lit(None).cast("string")) if figures is None else assemble.with_figures(elements, figures)
+        ordered = stored(reading.reading_order(elements, todo).drop("cells"), "reading-order")
+        items = reading.items(ordered).join(ordered.select("doc_id", "seq", "num_rows", "num_cols", "figure_class"), ["doc_id", "seq"])
+        children = reading.child_items(kids, ordered.select(*PAGE, "id", "kind", "num_rows"), own)
+        parse = own.filter(~F.col("from_ocr")).withColumn("q", quality(F.col("text"))).groupBy(*PAGE).agg(F.expr("percentile(q, 0.1)").alias("parse_score"))
+        scored = layout.page_scores(clusters, own, todo).join(parse, PAGE, "left").withColumn("table_score", F.lit(None).cast("double"))
         confidence = status.page_confidence(scored)
-        outcome = expected.join(pages.select("doc_id", "page_no", F.col("backend_ok").alias("ok")), ["doc_id", "page_no"], "left").withColumn("error", F.when(~F.col("ok"), "page backend failed"))
-        made = status.document_status(outcome).join(status.page_errors(outcome), "doc_id", "left")
+        made = status.document_status(outcome, F.col("timed_out")).join(status.page_errors(outcome), "doc_id", "left")
         made = made.join(status.document_confidence(confidence), "doc_id", "left").withColumnRenamed("status", "page_status")
         results = docs.join(made, "doc_id", "left").withColumn("status", F.when(F.col("status") == "pending", F.coalesce("page_status", F.lit("failure"))).otherwise(F.col("status"))).drop("page_status")
         if o.raises_on_error if raises_on_error is None else raises_on_error:
             status.raise_unless_ok(results)
-        return Conversion(results, items, reading.all_pages(expected, todo), confidence)
+        return Conversion(results, items, children, reading.all_pages(expected, todo), confidence, found if found is not None else done.limit(0))
 
     def convert(self, doc_id: int, inputs: DataFrame, cells: DataFrame, detections: DataFrame, pages: DataFrame) -> Conversion:
         """One document: the filter reaches every scan."""
@@ -79,11 +137,40 @@ class Engine:
         return formats.from_strings(rows, content_col, fmt, name_col)
 
 
-def save(results: DataFrame, path: str) -> None:
-    """One JSON document a row."""
-    results.select(F.to_json(F.struct(*results.columns)).alias("value")).write.mode("overwrite").text(path)
+#: Members of a saved document.
+MEMBERS = "version string, saved_at string, status string, errors array<struct<component_type:string,module_name:string,error_message:string>>, pages array<struct<page_no:int,width:double,height:double,missing:boolean>>, timings array<struct<key:string,scope:string,n:long,total:double>>, confidence struct<parse_score:double,layout_score:double,table_score:double,ocr_score:double,mean_score:double,low_score:double,mean_grade:string,low_grade:string>"
+
+
+def saved(conversion: Conversion, timings: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, value)``: one JSON text a document with version, time, status, errors, pages, timings, confidence and items."""
+    r = conversion.results
+    pages = conversion.pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_no", "width", "height", "missing"))).alias("pages"))
+    body = conversion.items.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "item_ref", "parent_ref", "type", "content_layer", "text", "orig", "prov", "caption_refs", "footnote_refs"))).alias("document"))
+    scores = F.struct("parse_score", "layout_score", "table_score", "ocr_score", "mean_score", "low_score", "mean_grade", "low_grade").alias("confidence")
+    out = r.select("doc_id", "status", "errors", scores).join(pages, "doc_id", "left").join(body, "doc_id", "left")
+    if timings is None:
+        out = out.withColumn("timings", F.lit(None))
+    else:
+        took = timings.groupBy("doc_id", "key", "scope").agg(F.count("*").alias("n"), F.sum("elapsed").alias("total"))
+        out = out.join(took.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("key", "scope", "n", "total"))).alias("timings")), "doc_id", "left")
+    stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
+    members = F.struct(F.lit(VERSION).alias("version"), stamp.alias("saved_at"), "status", "errors", "pages", "timings", "confidence", "document")
+    return out.select("doc_id", F.to_json(members).alias("value"))
+
+
+def save(conversion: Conversion, path: str, timings: DataFrame | None = None) -> None:
+    """Write ``saved`` as JSON lines of ``(doc_id, value)``."""
+    saved(conversion, timings).write.mode("overwrite").json(path)
+
+
+def load(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Saved documents by ``schema`` (default: all members but the items); members that are missing, and texts that are no JSON, come back null."""
+    rows = spark.read.schema("doc_id long, value string").json(path)
+    return rows.select("doc_id", F.from_json("value", schema or MEMBERS, {"mode": "PERMISSIVE"}).alias("r")).select("doc_id", "r.*")
 
 
-def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Read saved results; members that are missing come back null."""
-    return spark.read.text(path).select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r")).select("r.*")
+def summaries(conversion: Conversion) -> DataFrame:
+    """``(doc_id, summary)``: status, errors, page count, size and items of each document as JSON."""
+    body = conversion.items.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "type", "text"))).alias("document"))
+    rows = conversion.results.join(body, "doc_id", "left")
+    return rows.select("doc_id", F.to_json(F.struct("status", "errors", "page_count", "filesize", "document")).alias("summary"))

@@ -32,7 +32,8 @@ rated as (select *, case when contains(text, chr(65533)) or regexp_matches(text,
   else 1.0::double end as score from cc)"""
 
 PAGES = """
-page_dim as (select distinct doc_id, page_no, 612.0::double width, 792.0::double height, (doc_id * 3 + page_no) % 11 <> 0 backend_ok from cells)"""
+page_dim as (select distinct doc_id, page_no, ([612.0, 595.0, 842.0])[1 + (doc_id + page_no) % 3]::double width, ([792.0, 842.0, 1191.0])[1 + (doc_id + page_no) % 3]::double height,
+  (doc_id * 3 + page_no) % 11 <> 0 backend_ok from cells)"""
 
 BITMAPS = """
 rects as (select doc_id, page_no, rect_id,
@@ -42,6 +43,23 @@ rects as (select doc_id, page_no, rect_id,
   from page_dim cross join (values (0), (1), (2)) x(rect_id)
   where case when doc_id % 13 = 0 then rect_id = 0 when doc_id % 13 = 1 then false else (doc_id + rect_id) % 3 <> 0 end)"""
 
+#: pixels of bitmaps after the dilation; what they cover, in the grid that their edges cut the page into
+PIXELS = """
+px as (select doc_id, page_no, rect_id, greatest(0, x0 - 10) x0, greatest(0, y0 - 10) y0, least(w - 1, x1 + 9) x1, least(h - 1, y1 + 9) y1 from (
+  select doc_id, page_no, rect_id, round_even(width, 0) w, round_even(height, 0) h, greatest(0, round_even(l, 0)) x0, greatest(0, round_even(t, 0)) y0,
+    least(round_even(width, 0) - 1, round_even(r, 0)) x1, least(round_even(height, 0) - 1, round_even(b, 0)) y1
+  from rects join page_dim using (doc_id, page_no) where (r - l) * (b - t) > 0) where x0 <= x1 and y0 <= y1),
+gx as (select doc_id, page_no, x, lead(x) over (partition by doc_id, page_no order by x) x2 from (select doc_id, page_no, x0 x from px union select doc_id, page_no, x1 + 1 from px)),
+gy as (select doc_id, page_no, y, lead(y) over (partition by doc_id, page_no order by y) y2 from (select doc_id, page_no, y0 y from px union select doc_id, page_no, y1 + 1 from px)),
+cov as (select p.doc_id, p.page_no, coalesce(c.n, 0) / (p.width * p.height) coverage from page_dim p left join (
+  select gx.doc_id, gx.page_no, sum((x2 - x) * (y2 - y)) n from gx join gy on gx.doc_id = gy.doc_id and gx.page_no = gy.page_no
+  where exists (select 1 from px where px.doc_id = gx.doc_id and px.page_no = gx.page_no and px.x0 <= x and x2 <= px.x1 + 1 and px.y0 <= y and y2 <= px.y1 + 1) group by all) c
+  using (doc_id, page_no)),
+ped as (select a.doc_id, a.page_no, a.rect_id x, b.rect_id y from px a join px b on a.doc_id = b.doc_id and a.page_no = b.page_no and a.rect_id <> b.rect_id
+  where (a.x0 <= b.x1 + 1 and b.x0 <= a.x1 + 1 and a.y0 <= b.y1 and b.y0 <= a.y1) or (a.x0 <= b.x1 and b.x0 <= a.x1 and a.y0 <= b.y1 + 1 and b.y0 <= a.y1 + 1)),
+pgr as (select doc_id, page_no, rect_id node, rect_id root from px union select g.doc_id, g.page_no, e.y, g.root from pgr g join ped e on g.doc_id = e.doc_id and g.page_no = e.page_no and g.node = e.x),
+reg as (select doc_id, page_no, region, min(x0) l, min(y0) t, max(x1) r, max(y1) b from px join (select doc_id, page_no, node rect_id, min(root) region from pgr group by all) using (doc_id, page_no, rect_id) group by all)"""
+
 OCR_CELLS = """
 ocr as (select doc_id, page_no, idx, text, l + (case when idx % 4 = 3 then 500 else 0 end) l, t + (case when idx % 4 = 1 then 7 else 0 end) t,
   r + (case when idx % 4 = 3 then 500 else 0 end) r, b + (case when idx % 4 = 1 then 7 else 0 end) b, true from_ocr,
@@ -113,9 +131,10 @@ b{n} as (select distinct l.doc_id, l.page_no, w.win id, l.idx from {prev_b} l jo
 
 REFINED = ASSIGNED + "," + one_pass(1, "k0", "b0") + "," + one_pass(2, "k1", "b1") + "," + one_pass(3, "k2", "b2")
 
-FINAL = REFINED + f""",
-spec as (select s.doc_id, s.page_no, s.id, s.label, s.l, s.t, s.r, s.b, s.conf from special s
-  where not (s.label = 'picture' and {area('s')} / (612.0 * 792.0) > 0.90)),
+SPEC = f"""
+spec as (select s.doc_id, s.page_no, s.id, s.label, s.l, s.t, s.r, s.b, s.conf from special s join page_dim p using (doc_id, page_no)
+  where not (s.label = 'picture' and {area('s')} / (p.width * p.height) > 0.90))"""
+FINAL = REFINED + "," + PAGES + "," + SPEC + f""",
 kids as (select s.doc_id, s.page_no, s.id parent_id, r.id child_id, r.l, r.t, r.r, r.b from spec s join k3 r on s.doc_id = r.doc_id and s.page_no = r.page_no
   where {area('r')} > 0 and ({inter('r', 's')}) / {area('r')} > 0.8),
 kbox as (select doc_id, page_no, parent_id id, min(l) l, min(t) t, max(r) r, max(b) b from kids group by all),
@@ -149,8 +168,38 @@ ex as (select e.*, coalesce(case when c.n <= 1 then c.raw else regexp_replace(tr
 
 #: reading order of the elements
 READING = ELEMENTS + """,
-ra as (select *, max(case when label not in ('page_header', 'page_footer') and r <= 306 then 1 else 0 end) over pg has_left,
-    max(case when label not in ('page_header', 'page_footer') and l >= 306 then 1 else 0 end) over pg has_right,
-    case label when 'page_header' then 0 when 'page_footer' then 2 else 1 end zone from ex window pg as (partition by doc_id, page_no)),
-rb as (select *, case when zone = 1 and has_left = 1 and has_right = 1 and (l + r) / 2 > 306 then 1 else 0 end col from ra),
+ra as (select *, max(case when label not in ('page_header', 'page_footer') and r <= width / 2 then 1 else 0 end) over pg has_left,
+    max(case when label not in ('page_header', 'page_footer') and l >= width / 2 then 1 else 0 end) over pg has_right,
+    case label when 'page_header' then 0 when 'page_footer' then 2 else 1 end zone from ex join (select doc_id, page_no, width, height from page_dim) using (doc_id, page_no) window pg as (partition by doc_id, page_no)),
+rb as (select *, case when zone = 1 and has_left = 1 and has_right = 1 and (l + r) / 2 > width / 2 then 1 else 0 end col from ra),
 ro as (select *, row_number() over (partition by doc_id order by page_no, zone, col, t, l, id) - 1 seq from rb)"""
+
+_REF = "'#/' || page_no::varchar || '/' || {}::varchar"
+_MARK = r"^\s*([-*•·]|\d+[.)])\s+"
+
+#: document items: captions and footnotes under their targets, continued texts as one, list items under their groups
+ITEMS = READING + f""",
+nb as (select *, lag(kind) over d pk, lag(label) over d pl, lag(page_no) over d pp, lag(id) over d pid, lead(kind) over d nk, lead(label) over d nl, lead(page_no) over d np, lead(id) over d nid from ro window d as (partition by doc_id order by seq)),
+cap as (select doc_id, page_no, id, seq, case when (nk in ('table', 'figure') or nl = 'code') and np = page_no then nid when (pk in ('table', 'figure') or pl = 'code') and pp = page_no then pid end as target_id from nb where label = 'caption'),
+fno as (select *, max(case when label <> 'footnote' then seq end) over (partition by doc_id, page_no order by seq rows between unbounded preceding and 1 preceding) a from ro),
+nt as (select doc_id, page_no, id, seq, target_id, 'caption' note from cap where target_id is not null
+  union all select f.doc_id, f.page_no, f.id, f.seq, x.id, 'footnote' from fno f join ro x on f.doc_id = x.doc_id and f.a = x.seq where f.label = 'footnote' and (x.kind in ('table', 'figure') or x.label = 'code')),
+mg as (select *, coalesce(label = 'text' and lag(label) over d = 'text' and (lag(page_no) over d < page_no or lag(col) over d < col)
+  and not regexp_matches(lag(text) over d, '[.!?:;]\\s*$') and lag(text) over d <> '' and regexp_matches(text, '^\\p{{Ll}}'), false) goes from ro window d as (partition by doc_id order by seq)),
+mh as (select *, max(case when not goes then seq end) over (partition by doc_id order by seq rows between unbounded preceding and current row) head from mg),
+ms as (select *, coalesce(sum(length(text) + 1) over (partition by doc_id, head order by seq rows between unbounded preceding and 1 preceding), 0)::bigint st from mh),
+mt as (select doc_id, head seq, string_agg(text, ' ' order by seq) whole, count(*) n_parts,
+  string_agg(page_no::varchar || ':' || case when kind = 'text' then st::varchar || '-' || (st + length(text))::varchar else '0-0' end || ':' || concat_ws('/', l::bigint, (height - t)::bigint, r::bigint, (height - b)::bigint), ',' order by seq) prov from ms group by doc_id, head),
+mn as (select * from mh m where head = seq and not exists (select 1 from nt where nt.doc_id = m.doc_id and nt.page_no = m.page_no and nt.id = m.id)),
+lr as (select *, sum(case when kind = 'text' and label not in ('list_item', 'code') then 1 else 0 end) over (partition by doc_id order by seq) run from mn),
+par as (select doc_id, seq, '#/groups/' || (dense_rank() over (partition by doc_id order by run) - 1)::varchar parent_ref from lr where label = 'list_item'
+  union all select doc_id, seq, {_REF.format('target_id')} from nt),
+rf as (select doc_id, {_REF.format('target_id')} item_ref, string_agg({_REF.format('id')}, ',' order by seq) filter (note = 'caption') cr, string_agg({_REF.format('id')}, ',' order by seq) filter (note = 'footnote') fr from nt group by all),
+al as (select * from mn union all select m.* from mh m join nt using (doc_id, page_no, id)),
+it as (select a.doc_id, a.seq, a.page_no, {_REF.format('a.id').replace('page_no', 'a.page_no')} item_ref, parent_ref, case when label = 'section_header' then 'heading' when kind = 'text' then label else kind end as type,
+  case when label in ('page_header', 'page_footer') then 'furniture' else 'body' end as content_layer,
+  case when kind <> 'text' or label = 'formula' then '' when label = 'list_item' then regexp_replace(whole, '{_MARK}', '') else whole end as text,
+  case when kind = 'text' then whole else '' end as orig, case when label = 'list_item' then nullif(regexp_extract(whole, '{_MARK}', 1), '') end as marker, n_parts, prov,
+  case when kind = 'text' then length(whole) else 0 end charspan_end, l, height - t as top, r, height - b as bottom
+  from al a join mt using (doc_id, seq) left join par using (doc_id, seq)),
+itr as (select it.*, coalesce(cr, '') caption_refs, coalesce(fr, '') footnote_refs from it left join rf using (doc_id, item_ref))"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.sources.backends import frame_sizes
+
 
 def batch_scorer(rows: DataFrame, vector_col: str, centre: list[float]) -> DataFrame:
     """Adds ``score``: cosine to a centre. The iterator form sets a model up once for each worker; null vectors score null."""
@@ -19,7 +20,13 @@ def batch_scorer(rows: DataFrame, vector_col: str, centre: list[float]) -> DataF
         c = np.array(centre)
         c = c / (np.linalg.norm(c) or 1.0)
         for batch in batches:
-            yield batch.map(lambda v: None if v is None else float(np.dot(np.asarray(v, float), c) / (np.linalg.norm(np.asarray(v, float)) or 1.0)))
+            there = batch.notna().to_numpy()
+            out = np.full(len(batch), np.nan)
+            if there.any():
+                vectors = np.stack(batch[there].to_numpy()).astype(float)  # the batch as one matrix
+                lengths = np.linalg.norm(vectors, axis=1)
+                out[there] = vectors @ c / np.where(lengths > 0, lengths, 1.0)
+            yield pd.Series(pd.array(out, "Float64"))
 
     return rows.withColumn("score", score(vector_col))
 
@@ -34,18 +41,12 @@ class Chunks:
 
 
 def image_size(content: bytes | None) -> tuple[str, int, int] | None:
-    """Kind, width and height of a PNG or JPEG from its header."""
-    if not content:
+    """Kind, width and height of an image's first frame, from its header."""
+    found = frame_sizes(content) if content else []
+    if not found:
         return None
-    if content[:8] == b"\x89PNG\r\n\x1a\n" and len(content) >= 24:
-        return ("png", *struct.unpack(">II", content[16:24]))
-    at = 2
-    while content[:2] == b"\xff\xd8" and at + 9 <= len(content) and content[at] == 0xFF:
-        if content[at + 1] in (0xC0, 0xC1, 0xC2):
-            h, w = struct.unpack(">HH", content[at + 5 : at + 9])
-            return "jpeg", w, h
-        at += 2 + struct.unpack(">H", content[at + 2 : at + 4])[0]
-    return None
+    kinds = {b"\x89P": "png", b"\xff\xd8": "jpeg", b"BM": "bmp", b"GI": "gif", b"II": "tiff", b"MM": "tiff"}
+    return (kinds[content[:2]], *found[0])
 
 
 def image_pages(files: DataFrame) -> DataFrame:

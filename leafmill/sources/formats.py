@@ -15,42 +15,42 @@ FORMATS = (
 OUTPUT_FORMATS = ("md", "json", "yaml", "html", "html_split_page", "text", "doctags")
 #: File extensions of each format.
 EXTENSIONS = {
-    "docx": "docx dotx docm dotm",
-    "pptx": "pptx potx ppsx pptm potm ppsm",
-    "html": "html htm xhtml",
-    "image": "jpg jpeg png tif tiff bmp webp",
-    "pdf": "pdf",
-    "asciidoc": "adoc asciidoc asc",
-    "md": "md",
-    "csv": "csv",
-    "xlsx": "xlsx xlsm",
-    "xml_uspto": "xml txt",
-    "xml_jats": "xml nxml",
-    "mets_gbs": "tar.gz",
-    "json_document": "json",
-    "audio": "wav mp3 m4a aac ogg flac mp4 avi mov",
-    "vtt": "vtt",
-    "latex": "tex latex",
-}
+    "docx": ("docx", "dotx", "docm", "dotm"),
+    "pptx": ("pptx", "potx", "ppsx", "pptm", "potm", "ppsm"),
+    "pdf": ("pdf",),
+    "md": ("md",),
+    "html": ("html", "htm", "xhtml"),
+    "xml_jats": ("xml", "nxml"),
+    "image": ("jpg", "jpeg", "png", "tif", "tiff", "bmp", "webp"),
+    "asciidoc": ("adoc", "asciidoc", "asc"),
+    "csv": ("csv",),
+    "xlsx": ("xlsx", "xlsm"),
+    "xml_uspto": ("xml", "txt"),
+    "mets_gbs": ("tar.gz",),
+    "json_document": ("json",),
+    "audio": ("wav", "mp3", "m4a", "aac", "ogg", "flac", "mp4", "avi", "mov"),
+    "vtt": ("vtt",),
+    "latex": ("tex", "latex"),
+}
 #: MIME types of each format, in the order in which a MIME type's formats are tried.
 MIME_TYPES = {
-    "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document application/vnd.openxmlformats-officedocument.wordprocessingml.template",
-    "pptx": "application/vnd.openxmlformats-officedocument.presentationml.template application/vnd.openxmlformats-officedocument.presentationml.slideshow application/vnd.openxmlformats-officedocument.presentationml.presentation",
-    "html": "text/html application/xhtml+xml",
-    "xml_jats": "application/xml",
-    "image": "image/png image/jpeg image/tiff image/gif image/bmp image/webp",
-    "pdf": "application/pdf",
-    "asciidoc": "text/asciidoc",
-    "md": "text/markdown text/x-markdown",
-    "csv": "text/csv",
-    "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",
-    "xml_uspto": "application/xml text/plain",
-    "mets_gbs": "application/mets+xml",
-    "json_document": "application/json",
-    "audio": "audio/x-wav audio/mpeg audio/wav audio/mp3 audio/mp4 audio/m4a audio/aac audio/ogg audio/flac audio/x-flac video/mp4 video/avi video/x-msvideo video/quicktime",
-    "vtt": "text/vtt",
-    "latex": "text/x-tex application/x-tex text/x-latex",
-}
+    "docx": ("application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/vnd.openxmlformats-officedocument.wordprocessingml.template"),
+    "pptx": ("application/vnd.openxmlformats-officedocument.presentationml.template", "application/vnd.openxmlformats-officedocument.presentationml.slideshow", "application/vnd.openxmlformats-officedocument.presentationml.presentation"),
+    "html": ("text/html", "application/xhtml+xml"),
+    "xml_jats": ("application/xml",),
+    "image": ("image/png", "image/jpeg", "image/tiff", "image/gif", "image/bmp", "image/webp"),
+    "pdf": ("application/pdf",),
+    "asciidoc": ("text/asciidoc",),
+    "md": ("text/markdown", "text/x-markdown"),
+    "csv": ("text/csv",),
+    "xlsx": ("application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",),
+    "xml_uspto": ("application/xml", "text/plain"),
+    "mets_gbs": ("application/mets+xml",),
+    "json_document": ("application/json",),
+    "audio": ("audio/x-wav", "audio/mpeg", "audio/wav", "audio/mp3", "audio/mp4", "audio/m4a", "audio/aac", "audio/ogg", "audio/flac", "audio/x-flac", "video/mp4", "video/avi", "video/x-msvideo", "video/quicktime"),
+    "vtt": ("text/vtt",),
+    "latex": ("text/x-tex", "application/x-tex", "text/x-latex"),
+}
 #: Leading bytes (hex) of recognised content, and their MIME types.
 MAGIC = (
     ("25504446", "application/pdf"), ("89504E470D0A1A0A", "image/png"), ("FFD8FF", "image/jpeg"), ("47494638", "image/gif"),
@@ -64,15 +64,15 @@ def mime_of_extension() -> dict[str, str]:
     """The first format that lists an extension gives its first MIME type."""
     out: dict[str, str] = {}
     for fmt in FORMATS:
-        for ext in EXTENSIONS[fmt].split():
-            out.setdefault(ext, MIME_TYPES[fmt].split()[0])
+        for ext in EXTENSIONS[fmt]:
+            out.setdefault(ext, MIME_TYPES[fmt][0])
     return out
 
 
 def format_of_mime() -> dict[str, str]:
     out: dict[str, str] = {}
     for fmt, types in MIME_TYPES.items():
-        for mime in types.split():
+        for mime in types:
             out.setdefault(mime, fmt)
     return out
 

@@ -1,7 +1,7 @@
 """Text documents laid out as pages: the cells, detections and side tables that page operators read.
 
-A page is 612 x 792 with forty lines of sixteen units. All numbers are integer formulas of document, page
-and line, so any engine derives the same rows.
+A page has forty lines of sixteen units, and one of three sizes. All numbers are integer formulas of document,
+page and line, so any engine derives the same rows.
 """
 
 from __future__ import annotations
@@ -55,8 +55,10 @@ def corrupted(cell: DataFrame) -> DataFrame:
 
 
 def page_dim(cell: DataFrame) -> DataFrame:
+    """Pages of three sizes; one in eleven fails to load."""
     pages = cell.select(*PAGE).distinct()
-    return pages.selectExpr("doc_id", "page_no", "612.0d width", "792.0d height", "(doc_id * 3 + page_no) % 11 <> 0 backend_ok")
+    size = "case (doc_id + page_no) % 3 when 0 then {0}d when 1 then {1}d else {2}d end"
+    return pages.selectExpr("doc_id", "page_no", f"{size.format(612.0, 595.0, 842.0)} width", f"{size.format(792.0, 842.0, 1191.0)} height", "(doc_id * 3 + page_no) % 11 <> 0 backend_ok")
 
 
 def bitmaps(pages: DataFrame) -> DataFrame:
