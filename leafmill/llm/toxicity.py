@@ -137,30 +137,40 @@ class Restorer:
 
     def _equal(self, tokens: list[str], length: int, ks: list[int], out: list[str]) -> None:
         n = len(tokens)
+        grid = np.array(tokens, f"<U{length}").view(np.uint32).reshape(n, length) if length else np.zeros((n, 0), np.uint32)
         score = np.full((n, CLASSES), -np.inf)
         score[:, 0] = 0.0
-        back = np.zeros((length, n, CLASSES), np.int8)  # the state before; -1: the character stands for nothing
+        back = np.full((length, n, CLASSES), -1, np.int8)  # the state before; -1: the character stands for nothing
         for i in range(length):
-            emit = np.stack([self.cost(t[i])[0] for t in tokens])
-            drop = np.array([self.cost(t[i])[1] for t in tokens])
-            if i:
-                again = np.array([t[i] == t[i - 1] and t[i].isalpha() for t in tokens])
-                drop = np.where(again, -1.0, drop)
-            reach = score[:, :, None] + self.step
-            best = reach.argmax(1)
-            emitted = np.take_along_axis(reach, best[:, None], 1)[:, 0] + emit
-            dropped = score + drop[:, None]
-            back[i] = np.where(dropped > emitted, -1, best)
-            score = np.maximum(emitted, dropped)
+            column = grid[:, i]
+            again = column == grid[:, i - 1] if i else np.zeros(n, bool)
+            after = np.full((n, CLASSES), -np.inf)
+            for code in np.unique(column):
+                # few classes can emit a character, so only these columns of the step are worked out
+                char = chr(code)
+                emit, drop = self.cost(char)
+                rows = np.flatnonzero(column == code)
+                before = score[rows]
+                dropped = before + (np.where(again[rows], -1.0, drop)[:, None] if char.isalpha() else drop)
+                after[rows] = dropped
+                for state in np.flatnonzero(emit > -np.inf):
+                    reach = before + self.step[:, state]
+                    best = reach.argmax(1)
+                    emitted = reach[np.arange(len(rows)), best] + emit[state]
+                    better = emitted >= dropped[:, state]
+                    at = rows[better]
+                    after[at, state], back[i, at, state] = emitted[better], best[better]
+            score = after
         state = (score + self.step[:, 0]).argmax(1)
         stuck = ~np.isfinite(score.max(1))
         for row, k in enumerate(ks):
             if stuck[row]:
                 out[k] = tokens[row]
                 continue
-            s, chars = state[row], []
+            s, chars = int(state[row]), []
+            own = back[:, row].tolist()
             for i in range(length - 1, -1, -1):
-                before = back[i, row, s]
+                before = own[i][s]
                 if before >= 0:
                     chars.append(tokens[row][i] if s == 27 else LETTERS[s - 1] if s else " ")
                     s = before
@@ -184,42 +194,52 @@ def _fragment(word: str, common: frozenset[str] | None) -> bool:
     return len(core) == 1 or common is not None and 2 <= len(core) <= 3 and core not in common and (core.isascii() and core.isalpha() or bool(_MIXED.search(core)))
 
 
-def raw_words(text: str, common: frozenset[str] | None = None) -> set[str]:
-    """A text's distinct words, lower-cased, and runs of fragments, joined by single spaces.
+#: Runs of single characters, and of short words of which some are fragments.
+_SINGLES, _SHORTS = re.compile("s{3,}"), re.compile("[so]*f[sof]*")
+
+
+class Runs:
+    """A text's distinct words, lower-cased, and its runs of fragments, joined by single spaces.
 
     A run: three single characters or more; or words of up to four characters, of which one at least is a
-    fragment of two or three. Two of a run's characters at least are letters.
+    fragment of two or three. Two of a run's characters at least are letters. A word's kind is looked up, and runs are found in the
+    string of a text's kinds: s a single character, f a fragment, o another short word.
     """
-    every = text.lower().split()
-    words = set(every)
-    odd = {w for w in words if len(w) <= 8 and _fragment(w, common)}
-    if not odd:
-        return words
-    single, short, broken = [], [], False
-
-    def done_single() -> None:
-        if len(single) >= 3 and sum(c.isalpha() for c in single) >= 2:
-            words.add(" ".join(single))
-        single.clear()
 
-    def done_short() -> None:
-        if broken and len(short) >= 2:
-            words.add(" ".join(short))
-        short.clear()
+    def __init__(self, common: frozenset[str] | None = None, most: int = 200_000):
+        self.common, self.most = common, most
+        self.kinds: dict[str, str] = {}
 
-    for w in [*every, ""]:
-        core = w.strip(_EDGE) if 0 < len(w) <= 8 else ""
+    def kind(self, word: str) -> str:
+        core = word.strip(_EDGE) if len(word) <= 8 else ""
         if len(core) == 1:
-            single.append(core)
-        elif single:
-            done_single()
-        if 1 <= len(core) <= 4:
-            short.append(core)
-            broken = broken or w in odd and len(core) > 1
-        elif short:
-            done_short()
-            broken = False
-    return words
+            return "s"
+        if 2 <= len(core) <= 4:
+            return "f" if _fragment(word, self.common) else "o"
+        return "-"
+
+    def __call__(self, text: str) -> set[str]:
+        every = text.lower().split()
+        words = set(every)
+        kinds = self.kinds
+        if len(kinds) > self.most:
+            kinds.clear()
+        for w in words:
+            if w not in kinds:
+                kinds[w] = self.kind(w)
+        spelled = "".join([kinds[w] for w in every])
+        for run in _SINGLES.finditer(spelled):
+            own = [w.strip(_EDGE) for w in every[run.start() : run.end()]]
+            if sum(c.isalpha() for c in own) >= 2:
+                words.add(" ".join(own))
+        for run in _SHORTS.finditer(spelled):
+            if run.end() - run.start() >= 2:
+                words.add(" ".join([w.strip(_EDGE) for w in every[run.start() : run.end()]]))
+        return words
+
+
+def raw_words(text: str, common: frozenset[str] | None = None) -> set[str]:
+    return Runs(common)(text)
 
 
 class Words:
@@ -285,27 +305,43 @@ class Model:
     def __init__(self, bias: float, weights: dict[str, float], restorer: Restorer):
         self.bias, self.weights, self.restorer = bias, weights, restorer
 
+    def _may_have(self) -> np.ndarray:
+        """Hash buckets of the substrings that have a weight: most words have none, and are told by that."""
+        table = np.zeros(1 << FEATURE_BITS, bool)
+        whole, parts = [k[1:] for k in self.weights if k[0] == "="], [k for k in self.weights if k[0] != "="]
+        for _, bucket, cut in _hashed_substrings(whole):
+            table[bucket[cut == 0]] = True
+        sizes = np.array([len(k) for k in parts], np.int64)
+        for word, bucket, cut in _hashed_substrings(parts):
+            table[bucket[cut == sizes[word] << 32]] = True
+        return table
+
     def scorer(self):
-        words = Words(self.restorer)
+        words, runs, weights = Words(self.restorer), Runs(self.restorer.common), self.weights
         hits: dict[str, tuple[str, ...]] = {}
-        weights = self.weights
+        table = self._may_have()
 
         def score(texts: list[str]) -> list[float]:
             if words.size > words.most:
                 hits.clear()
-            every = [raw_words(text, self.restorer.common) for text in texts]
+            every = [runs(text) for text in texts]
             # the new words of all texts are decoded together
-            new = set().union(*every) - hits.keys()
+            new = {w for w in set().union(*every) if w not in hits}
             if new:
                 words.learn(new)
+                forms = sorted({form for w in new for form in words.known[w]})
+                maybe: set[int] = set()
+                for word, bucket, _ in _hashed_substrings(forms):
+                    maybe.update(word[table[bucket]].tolist())
+                found = {forms[k]: tuple(s for s in substrings(forms[k]) if s in weights) for k in maybe}
                 for w in new:
-                    hits[w] = tuple({s for form in words.known[w] for s in substrings(form) if s in weights})
+                    hits[w] = tuple({s for form in words.known[w] for s in found.get(form, ())})
             return [one(own) for own in every]
 
         def one(own: set[str]) -> float:
             found: set[str] = set()
-            for w in own:
-                if h := hits[w]:
+            for h in map(hits.__getitem__, own):
+                if h:
                     found.update(h)
             return round(1 / (1 + np.exp(-max(-30.0, min(30.0, self.bias + sum(weights[s] for s in sorted(found)))))), 6)
 
@@ -320,9 +356,9 @@ def fit(docs: DataFrame, labels: DataFrame, restorer: Restorer, id_col: str = "d
     """
 
     def words_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(restorer)
+        words, runs = Words(restorer), Runs(restorer.common)
         for batch in sliced(batches, "text"):
-            every = [raw_words(text or "", restorer.common) for text in batch.column(0).to_pylist()]
+            every = [runs(text or "") for text in batch.column(0).to_pylist()]
             words.learn(set().union(*every))
             forms = [sorted({f for w in own for f in words.known[w]}) for own in every]
             yield pa.RecordBatch.from_arrays([pa.array(forms, pa.list_(pa.string())), batch.column(1)], names=["words", "toxic"])
