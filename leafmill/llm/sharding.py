@@ -64,7 +64,7 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     size: UTF-8 bytes of the text plus one (null: one); text_crc32: unsigned, of an empty text if null.
     Repeated rows are rows of their own; null ids are dealt like any other; empty tables give an empty
-    result.
+    result. With repeated rows the order depends on the input's partitions too.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
@@ -76,12 +76,16 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = max(1, min(100_000, -(-n // BUCKET_ROWS) * 8))
 
     def hashed(salt: int) -> Column:
-        return F.xxhash64(F.lit(seed + salt), "id", "size", "text_crc32", "copy")
+        return F.xxhash64(F.lit(seed + salt), "id", "size", "text_crc32", "part", "copy")
 
-    # equal rows would all fall into one bucket: number the copies first, so that each is dealt alone
+    # equal rows would all fall into one bucket: number the copies first, so that each is dealt alone. They are numbered
+    # within their input partition, which is part of the key, so no task ever has more of them than one input split holds
     every = F.xxhash64(*(F.col(f"row.`{c}`") for c in docs.columns if "map<" not in docs.schema[c].dataType.simpleString()))
-    same = Window.partitionBy("id", "size", "text_crc32").orderBy("text_hash", every)
-    rows = rows.withColumn("copy", F.row_number().over(same)) if _has_copies(rows) else rows.withColumn("copy", F.lit(1))
+    same = Window.partitionBy("id", "size", "text_crc32", "part").orderBy("text_hash", every)
+    if _has_copies(rows):
+        rows = rows.withColumn("part", F.spark_partition_id()).withColumn("copy", F.row_number().over(same))
+    else:
+        rows = rows.withColumns({"part": F.lit(0), "copy": F.lit(1)})
     rows = rows.drop("text_hash").withColumn("bucket", F.pmod(hashed(0), F.lit(buckets)).cast("int"))
     counts = {b: c for b, c in rows.groupBy("bucket").count().collect()}  # at most 100 000 numbers
     present = sorted(counts)
@@ -90,11 +94,11 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     matrix = communication_matrix([counts[b] for b in present], sizes, seed)
     ends = np.cumsum(matrix, axis=1)
     cuts = spark.createDataFrame([(int(b), [int(e) for e in ends[k]]) for k, b in enumerate(present)], "bucket int, ends array<long>")
-    order = Window.partitionBy("bucket").orderBy(hashed(1), "id", "size", "text_crc32", "copy")
+    order = Window.partitionBy("bucket").orderBy(hashed(1), "id", "size", "text_crc32", "part", "copy")
     ranked = rows.withColumn("rank", F.row_number().over(order)).join(F.broadcast(cuts), "bucket")
     shard = F.size(F.filter("ends", lambda e: e < F.col("rank")))
     slices = max(1, min(100_000 // shards, -(-total // shards // BUCKET_ROWS) * 2))
-    dealt = ranked.select("row", "id", "size", "text_crc32", "copy", shard.cast("int").alias("shard"), F.pmod(hashed(2), F.lit(slices)).cast("int").alias("slice"))
+    dealt = ranked.select("row", "id", "size", "text_crc32", "part", "copy", shard.cast("int").alias("shard"), F.pmod(hashed(2), F.lit(slices)).cast("int").alias("slice"))
     held = {(s, k): c for s, k, c in dealt.groupBy("shard", "slice").count().collect()}
     starts, at = [], 0
     for s in range(shards):
@@ -103,7 +107,7 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             starts.append((s, k, at))
             at += held.get((s, k), 0)
     starts = spark.createDataFrame(starts, "shard int, slice int, start long")
-    within = Window.partitionBy("shard", "slice").orderBy(hashed(3), "id", "size", "text_crc32", "copy")
+    within = Window.partitionBy("shard", "slice").orderBy(hashed(3), "id", "size", "text_crc32", "part", "copy")
     placed = dealt.withColumn("nth", F.row_number().over(within)).join(F.broadcast(starts), ["shard", "slice"])
     out = placed.select("id", "size", "text_crc32", "row", "shard", (F.col("start") + F.col("nth") - 1).alias("slot"))
     path = fresh_path(spark, "shards")
