@@ -215,10 +215,24 @@ def links_apart(keys: np.ndarray, prints: np.ndarray, labels: np.ndarray, most:
     return np.concatenate(src), np.concatenate(dst)
 
 
-def golay_links(prints: DataFrame, n_bits: int = 64, max_distance: int = 3, tail: int = 0) -> DataFrame:
+#: Prints of one key that a task compares with each other; larger buckets are split by further bits.
+OVERSIZE = 4_000
+#: Bytes of a 64-bit print that a sub-key reads: prints within three bits agree on five of eight bytes.
+SUBSETS = tuple(combinations(range(8), 5))
+
+
+def exact_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, key)`` of the 56 sub-keys of 64-bit prints: five of the eight bytes as they are."""
+    octets = prints[:, :1].astype("<u8").view(np.uint8).astype(np.int64)
+    keys = [sum(octets[:, b] << 8 * k for k, b in enumerate(subset)) | n << 40 for n, subset in enumerate(SUBSETS)]
+    return np.tile(np.arange(len(prints)), len(SUBSETS)), np.concatenate(keys)
+
+
+def golay_links(prints: DataFrame, n_bits: int = 64, max_distance: int = 3, tail: int = 0, oversize: int = OVERSIZE) -> DataFrame:
     """Verified links ``(src, dst)`` between different fingerprints (column ``fp``, distinct values).
 
-    Exact for ``n_bits=64, max_distance=3``. Wider prints are joined through the keys of each 64-bit
+    Exact for ``n_bits=64, max_distance=3``; there, prints of a key that over ``oversize`` prints share are compared
+    by ``exact_keys`` instead. Wider prints are joined through the keys of each 64-bit
     part and verified on all bits: a link is found if some part has a pair of segments with two
     differing bits or fewer. The last ``tail`` 64-bit words of fp tell prints apart but are not compared.
 
@@ -229,43 +243,82 @@ def golay_links(prints: DataFrame, n_bits: int = 64, max_distance: int = 3, tail
     wide = parts + tail
     labelled = "label" in prints.columns
     columns, schema = (["key", "fp", "label"], "key long, fp binary, label long") if labelled else (["key", "fp"], "key long, fp binary")
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows, keys = golay_keys(_as_prints(batch.column(0), wide)[:, :parts])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(c.take(pa.array(rows)) for c in batch.columns)], names=columns)
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def done(parted: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            keys, fps, *labels = (np.concatenate(c) for c in zip(*parted, strict=True))
-            a, b = links_apart(keys, fps[:, :parts], labels[0], max_distance) if labelled else links_of(keys, fps[:, :parts], max_distance)
-            pairs = np.concatenate([fps[a], fps[b]], axis=1)
-            if len(pairs):
-                pairs = np.unique(pairs, axis=0)
-            big = pairs.astype(">u8")
-            side = [pa.array([x.tobytes() for x in big[:, k * wide : (k + 1) * wide]], pa.binary()) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays(side, names=["src", "dst"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, fps = batch.column(0).to_numpy(), _as_prints(batch.column(1), wide)
-            every = (keys, fps, batch.column(2).to_numpy()) if labelled else (keys, fps)
-            cut = int(np.searchsorted(keys, keys[-1]))
-            if cut:
-                yield done([*held, tuple(c[:cut] for c in every)])
-                held = []
-            elif held and held[-1][0][-1] != keys[-1]:
-                yield done(held)
-                held = []
-            held.append(tuple(c[cut:] for c in every))
-        if held:
-            yield done(held)
-
-    keyed = prints.select(*columns[1:]).mapInArrow(spread, schema)
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(link, "src binary, dst binary").distinct()
+    splits = parts == 1 and max_distance <= 3 and not labelled
+
+    def spread(keys_of):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows, keys = keys_of(_as_prints(batch.column(0), wide)[:, :parts])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(c.take(pa.array(rows)) for c in batch.columns)], names=columns)
+
+        return run
+
+    def link(most: int | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple[np.ndarray, ...]] = []
+            large = None  # the key whose prints are passed on
+
+            def sides(pairs: np.ndarray) -> list[pa.Array]:
+                big = pairs.astype(">u8")
+                return [pa.array([x.tobytes() for x in big[:, k * wide : (k + 1) * wide]], pa.binary()) for k in range(big.shape[1] // wide)]
+
+            def passed_on(fps: np.ndarray) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([*sides(fps), pa.nulls(len(fps), pa.binary())], names=["src", "dst"])
+
+            def done(parted: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+                keys, fps, *labels = (np.concatenate(c) for c in zip(*parted, strict=True))
+                if most:
+                    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+                    sizes = np.diff(np.append(first, len(keys)))
+                    over = np.repeat(sizes > most, sizes)
+                    if over.any():
+                        yield passed_on(fps[over])
+                        keys, fps = keys[~over], fps[~over]
+                a, b = links_apart(keys, fps[:, :parts], labels[0], max_distance) if labelled else links_of(keys, fps[:, :parts], max_distance)
+                pairs = np.concatenate([fps[a], fps[b]], axis=1)
+                if len(pairs):
+                    pairs = np.unique(pairs, axis=0)
+                yield pa.RecordBatch.from_arrays(sides(pairs), names=["src", "dst"])
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                keys, fps = batch.column(0).to_numpy(), _as_prints(batch.column(1), wide)
+                if large is not None:
+                    n = int(np.searchsorted(keys, large, side="right")) if keys[0] == large else 0
+                    if n:
+                        yield passed_on(fps[:n])
+                        keys, fps = keys[n:], fps[n:]
+                    if not len(keys):
+                        continue
+                    large = None
+                every = (keys, fps, batch.column(2).to_numpy()) if labelled else (keys, fps)
+                cut = int(np.searchsorted(keys, keys[-1]))
+                if cut:
+                    yield from done([*held, tuple(c[:cut] for c in every)])
+                    held = []
+                elif held and held[-1][0][-1] != keys[-1]:
+                    yield from done(held)
+                    held = []
+                held.append(tuple(c[cut:] for c in every))
+                if most and sum(len(h[0]) for h in held) > most:
+                    yield passed_on(np.concatenate([h[1] for h in held]))
+                    held, large = [], keys[-1]
+            if held:
+                yield from done(held)
+
+        return run
+
+    def linked(nodes: DataFrame, keys_of, most: int | None) -> DataFrame:
+        keyed = nodes.select(*columns[1:]).mapInArrow(spread(keys_of), schema)
+        return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(link(most), "src binary, dst binary").distinct()
+
+    if not splits:
+        return linked(prints, golay_keys, None)
+    found = stored(linked(prints, golay_keys, oversize), "golay-links")
+    left = found.filter("dst is null").select(F.col("src").alias("fp"))
+    links = found.filter("dst is not null")
+    return links if left.isEmpty() else links.union(linked(left, exact_keys, None)).distinct()
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, n_bits: int = 64, max_distance: int = 3) -> DataFrame:
