@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import base64
 import collections
+import glob
+import gzip
 import hashlib
+import json
+import os
 import random
 import re
 import zlib
@@ -85,6 +89,30 @@ def test_golay_keys_meet_within_three_bits():
     assert all(a & b for a, b in zip(*keys, strict=True))
 
 
+def test_large_buckets_are_split(spark):
+    rng = np.random.default_rng(7)
+    base = int(rng.integers(0, 1 << 62))
+    values = {base}
+    while len(values) < 400:
+        x = list(values)[int(rng.integers(len(values)))]
+        for b in rng.choice(64, int(rng.integers(1, 9)), replace=False):
+            x ^= 1 << int(b)
+        values.add(x)
+    prints = spark.createDataFrame([(bytearray(v.to_bytes(8, "big")),) for v in values], "fp binary")
+
+    def components(links):
+        group = {v: v for v in values}
+        for a, b in links:
+            old, new = group[a], group[b]
+            group = {k: new if g == old else g for k, g in group.items()}
+        return collections.Counter(frozenset(k for k, g in group.items() if g == x) for x in set(group.values()))
+
+    want = components([(a, b) for a in values for b in values if a < b and (a ^ b).bit_count() <= 3])
+    for oversize in (2, 30, 10_000):
+        links = [(int.from_bytes(r.src, "big"), int.from_bytes(r.dst, "big")) for r in simhash.golay_links(prints, oversize=oversize).collect()]
+        assert all((a ^ b).bit_count() <= 3 for a, b in links) and components(links) == want
+
+
 def test_dense_bucket_gives_a_forest():
     base = np.uint64(0x123456789ABCDEF0)
     prints = np.array([[base ^ np.uint64(1 << a) ^ np.uint64(1 << b)] for a in range(40) for b in range(a)])
@@ -318,6 +346,30 @@ def test_shards(docs):
     assert sharding.shard_rows(docs.limit(0)).count() == 0
 
 
+def test_shards_are_uniform(spark):
+    rows = [(k % 4000, f"t{k % 4000}") for k in range(8000)] + [(9999, "same")] * 4000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = sharding.shard_rows(docs).select("id", "shard", "slot").collect()
+    assert collections.Counter(r.shard for r in got) == {s: 1500 for s in range(8)}
+    # 8 shards by 16 classes of ids, and 10 tenths of slots by these classes: chi-square within its 99.99 % bounds
+    for cut, n in ((lambda r: r.shard, 8), (lambda r: r.slot * 10 // 1500, 10)):
+        seen = np.zeros((16, n))
+        for r in got:
+            seen[r.id % 15 if r.id < 9999 else 15, cut(r)] += 1
+        expected = seen.sum(1, keepdims=True) * seen.sum(0, keepdims=True) / seen.sum()
+        chi, free = ((seen - expected) ** 2 / expected).sum(), 15 * (n - 1)
+        assert free - 4 * (2 * free) ** 0.5 < chi < free + 5 * (2 * free) ** 0.5
+
+
+def test_communication_matrix_follows_its_law():
+    from math import comb
+
+    draws = np.array([sharding.communication_matrix([4, 6], [5, 5], seed)[0, 0] for seed in range(4000)])
+    law = np.array([comb(5, k) * comb(5, 4 - k) / comb(10, 4) for k in range(5)])
+    seen = np.bincount(draws, minlength=5)
+    assert ((seen - 4000 * law) ** 2 / (4000 * law)).sum() < 23.5  # chi-square, four degrees of freedom, 99.99 %
+
+
 def test_communication_matrix():
     m = sharding.communication_matrix([10, 0, 7, 1], [6, 6, 6], 1)
     assert m.sum(1).tolist() == [10, 0, 7, 1] and m.sum(0).tolist() == [6, 6, 6]
@@ -334,9 +386,23 @@ def test_urls(spark):
     pages = spark.createDataFrame([(k, u, "c") for k, u in enumerate(urls)], "page_id long, url string, host string")
     got = {r.id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(pages).collect()}
     assert [got[k][3] for k in range(len(urls))] == ["allow", "allow", "block", "allow", "allow", "block", "block", "allow", "block", "allow", "block", "allow", "block", "block", "block"]
+    assert url_filter.judge_urls(pages.limit(0)).count() == 0
     assert got[3] == ("a.example.net", "/en/x", "example.net/en/", "allow") and got[4][:3] == ("b.net", "", None) and got[2][:2] == ("", "")
 
 
+def test_url_weights_and_rules(spark):
+    table = spark.createDataFrame([("Bad", None), ("lone", 9), ("soft", 2), ("mild", 1), ("mild", 3), ("weak", 1), ("soft", None), (None, 1), ("", 2)], "term string, weight int")
+    strict, soft = url_filter.load_vocabulary(table)
+    assert strict == {"bad", "soft"} and soft == {"lone": 9, "mild": 3, "weak": 1}
+    with pytest.raises(ValueError):
+        url_filter.load_vocabulary(table, most=2)
+    urls = ["http://h/lone", "http://h/mild-weak", "http://h/weak-lone", "http://h/weak", "http://h/a-bad-b", "http://h/badly", "http://h/mild/mild", "http://x.y.z/a/b", "http://y.z/a", "http://z/q"]
+    rules = [("allow", "z", "/"), ("block", "y.z", "/a"), ("allow", "y.z", "/a/b"), ("block", "nowhere", "/")]
+    got = {r.id: (r.verdict, r.rule, r.weight) for r in url_filter.judge_urls(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules=rules, strict={"bad"}, soft=soft, limit=4).collect()}
+    assert [got[k][0] for k in range(10)] == ["allow", "block", "block", "allow", "block", "allow", "allow", "allow", "block", "allow"]
+    assert got[7][1] == "y.z/a/b" and got[8][1] == "y.z/a" and got[9][1] == "z/" and got[1][2] == 4
+
+
 # ---- WARC
 
 
@@ -349,10 +415,23 @@ def test_archive(spark):
     got = collections.Counter()
     for r in warc.read_archive(spark, path, keep_payload=True).collect():
         own = r.record_id.split(":")[2]
-        got[own, r.kind, r.refers_to and r.refers_to.split(":")[2], r.status, None if r.payload is None else bytes(r.payload).decode()] += r.copies
+        got[own, r.kind, r.refers_to and r.refers_to.split(":")[2], r.status, None if r.payload is None else bytes(r.payload).decode()] += 1
     want = {("2", "response", None, "ok", "a"): 1, ("1", "revisit", "2", "ok", None): 1, ("none", "revisit", "2", "ok", None): 1, ("4", "response", None, "ok", ""): 1, ("3", "revisit", "4", "ok", None): 1,
             ("7", "response", None, "ok", big): 2, ("5", "revisit", "7", "ok", None): 1, ("6", "response", None, "ok", html[5][2]): 1, ("9", "response", None, "ok", "b"): 2}
     assert got == want
+    # the rows of the query, by brute force
+    bodies = [(i, (t or "").encode()) for i, _, t in html]
+    keeper = {b: max((i for i, x in bodies if x == b and i is not None), default=None) for _, b in bodies}
+    rows = collections.Counter((i, len(b), base64.b32encode(hashlib.sha1(b).digest()).decode(), "response" if i == keeper[b] else "revisit", None if i == keeper[b] else keeper[b], "ok") for i, b in bodies)
+    assert collections.Counter(map(tuple, warc.page_records(spark, path).collect())) == rows
+    # each record is a gzip member that can be read at its offset
+    for name in glob.glob(f"{path.removeprefix('file://')}/part-*"):
+        data = open(name, "rb").read()
+        at = data.find(b"\x1f\x8b", 30)
+        assert list(warc.parse(warc.inflated(data[at:]))) and list(warc.parse(warc.inflated(gzip.decompress(data))))
+    empty = fresh_path(spark, "warc-empty")
+    warc.archive_pages(pages.limit(0), empty)
+    assert warc.page_records(spark, empty).count() == 0
 
 
 def test_framing_and_lost_segments(spark, tmp_path):
@@ -360,8 +439,6 @@ def test_framing_and_lost_segments(spark, tmp_path):
     assert warc.unchunked(warc.chunked(body, 100)) == body and warc.unchunked(warc.chunked(b"")) == b""
     assert warc.unchunked(b"3;ext=1\r\nabc\r\n0\r\nTrailer: x\r\n\r\n") == b"abc"
     assert warc.unchunked(b"5\r\nabc\r\n0\r\n\r\n") is None and warc.unchunked(b"zz\r\n") is None and warc.unchunked(b"") is None
-    import gzip
-
     whole = list(warc._records("urn:a:1:x", "u", None, body, 4000))
     assert len(whole) > 2
     records = {"all": whole[::-1], "first": whole[1:], "middle": whole[:1] + whole[2:], "last": whole[:-1]}
@@ -377,17 +454,60 @@ def test_framing_and_lost_segments(spark, tmp_path):
 # ---- token totals
 
 
-def test_rollups(spark, docs):
-    counted = token_rollup.count_tokens(docs.select("doc_id", "source", "lang", "text"), "byte-bpe-50k")
-    again = token_rollup.count_tokens(docs.select("doc_id", "source", "lang", "text"), "byte-bpe-multi-50k")
+def library_counts(version):
+    import public_tokenizers
+    import tiktoken
+
+    with open(token_rollup.TOKENIZERS[version], "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encode = tiktoken.Encoding(version, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda t: (len(encode(t or "")), len((t or "").encode()))
+
+
+def test_rollups(spark):
+    rows = [(i, t, None if k % 7 == 0 else "s" + str(k % 2), None if k % 5 == 0 else "en") for k, (i, t) in enumerate(corpus())]
+    docs = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, source string, lang string, tokens int, bytes string")
+    one, two = "byte-bpe-50k", "byte-bpe-multi-50k"
+    counts = {v: [library_counts(v)(t) for _, t, _, _ in rows] for v in (one, two)}
+    odd = [k for k, r in enumerate(rows) if (r[0] or 0) % 2]
+
+    def sums(keep):
+        out = collections.Counter()
+        for k, v, sign in keep:
+            out.update({(rows[k][2], rows[k][3], v, c): sign * n for c, n in zip(("docs", "tokens", "bytes"), (1, *counts[v][k]), strict=True)})
+        return {x: n for x, n in out.items() if n}
+
+    def held(store):
+        return {(r.source, r.lang, r.tokenizer_version, c): r[c] for r in store.totals().collect() for c in ("docs", "tokens", "bytes") if r[c]}
+
+    counted, again = token_rollup.count_tokens(docs, one), token_rollup.count_tokens(docs, two)
+    assert counted.count() == len(rows) and counted.limit(0).count() == 0
     store = token_rollup.RollupStore(spark, fresh_path(spark, "rollup-test"))
     assert store.totals().count() == 0
     assert store.commit("a", token_rollup.inserted(counted)) and not store.commit("a", token_rollup.inserted(counted))
-    odd = F.coalesce(F.col("doc_id"), F.lit(0)) % 2 == 1
-    assert store.commit("b", token_rollup.revised(counted.filter(odd), again.filter(odd)))
-    store.compact()
-    assert not token_rollup.RollupStore(spark, store.path).commit("b", token_rollup.deleted(again))
-    want = token_rollup.inserted(counted.filter(~odd).unionByName(again.filter(odd))).groupBy(*token_rollup.KEYS).agg(*(F.sum(c).alias(c) for c in token_rollup.SUMS))
-    assert sorted(map(tuple, store.totals().collect())) == sorted(map(tuple, want.collect()))
-    assert store.commit("c", token_rollup.deleted(counted.filter(~odd).unionByName(again.filter(odd))))
-    assert store.totals().count() == 0
+    every = [(k, one, 1) for k in range(len(rows))]
+    assert held(store) == sums(every)
+    is_odd = F.coalesce(F.col("doc_id"), F.lit(0)) % 2 == 1
+    assert store.commit("b", token_rollup.revised(counted.filter(is_odd), again.filter(is_odd)))
+    revised = every + [(k, one, -1) for k in odd] + [(k, two, 1) for k in odd]
+    assert held(store) == sums(revised)
+    # a writer that died: sums without an entry, and an entry that was not renamed
+    log = store.path.removeprefix("file://")
+    os.makedirs(f"{log}/tmp", exist_ok=True)
+    open(f"{log}/tmp/half", "w").write('{"bat')
+    token_rollup.deleted(counted).write.parquet(f"{store.path}/deltas/lost")
+    assert held(token_rollup.RollupStore(spark, store.path)) == sums(revised)
+    # two writers of one batch: the entry names one folder
+    other = token_rollup.RollupStore(spark, store.path)
+    late = token_rollup.deleted(counted.filter(~is_odd))
+    other._log = lambda: (set(), [], 0)
+    assert store.commit("c", late) and other.commit("c", late)
+    left = revised + [(k, one, -1) for k in range(len(rows)) if k not in odd]
+    assert held(store) == sums(left)
+    for k in range(3):
+        store.compact()
+        assert held(token_rollup.RollupStore(spark, store.path)) == sums(left) and not store.commit("b", late)
+        assert store.commit(f"more {k}", token_rollup.inserted(counted.limit(0)))
+    assert len([n for n in os.listdir(f"{log}/log") if n.startswith(("batch", "base"))]) <= 5
+    assert json.load(open(max(glob.glob(f"{log}/log/base-*"))))["folders"]
+    assert store.commit("d", token_rollup.deleted(again.filter(is_odd))) and store.totals().count() == 0
