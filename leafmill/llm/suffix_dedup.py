@@ -459,3 +459,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def query(spark, sf_dir: str) -> DataFrame:
     cut = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Every window of 100 bytes as hex digits, compared as it is.
+SQL = """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) h from documents),
+w as (select doc_id, p, substr(h, 2 * p + 1, 200) s from (select doc_id, h, unnest(range(0, len(h) // 2 - 99)) p from d where len(h) >= 200)),
+again as (select doc_id, p from (select doc_id, p, row_number() over (partition by s order by doc_id, p) n from w) where n > 1),
+runs as (select doc_id, p, sum(new) over (partition by doc_id order by p) run from (
+  select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 100 then 0 else 1 end new from again)),
+spans as (select doc_id, run, min(p) a, max(p) + 100 b from runs group by all),
+cut as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) before from spans),
+left_over as (select c.doc_id, sum(b - a)::bigint n_removed, count(*) n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) || substr(any_value(h), 2 * max(b) + 1) kept from cut c join d using (doc_id) group by c.doc_id)
+select d.doc_id, len(h) // 2 as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
+from d left join left_over using (doc_id)"""
