@@ -67,37 +67,52 @@ def assign_cells(clusters: DataFrame, cells: DataFrame) -> DataFrame:
     return ranked.filter("rank = 1").drop("rank")
 
 
-def orphans(assigned: DataFrame, cells: DataFrame, dets: DataFrame) -> DataFrame:
+def placed_cells(clusters: DataFrame, cells: DataFrame) -> DataFrame:
+    """``(page, idx, l, t, r, b, conf, id)``: every usable cell with its cluster as ``assign_cells`` gives it, or null."""
+    share = over_self(box("c."), box("k."))
+    pairs = usable(cells).alias("c").join(clusters.alias("k"), [*on_page("c", "k"), share > CELL_OVERLAP], "left")
+    best = Window.partitionBy("c.doc_id", "c.page_no", "c.idx").orderBy(share.desc_nulls_last(), F.col("k.id"))
+    own = (F.col(f"c.{x}") for x in (*PAGE, "idx", *"ltrb", "conf"))
+    return pairs.select(*own, "k.id", F.row_number().over(best).alias("rank")).filter("rank = 1").drop("rank")
+
+
+def orphans(places: DataFrame, dets: DataFrame) -> DataFrame:
     """A text cluster for each usable cell without one, with ids above all of the page's detections."""
-    left = usable(cells).join(assigned, [*PAGE, "idx"], "left_anti")
     top = dets.groupBy(*PAGE).agg(F.max("id").alias("top"))
     order = Window.partitionBy(*PAGE).orderBy("idx")
-    out = left.join(top, list(PAGE), "left")
+    out = places.filter("id is null").join(top, list(PAGE), "left")
     ident = (F.coalesce("top", F.lit(0)) + F.row_number().over(order)).cast("int")
     return out.select(*PAGE, ident.alias("id"), F.lit("text").alias("label"), *"ltrb", "conf", F.col("idx"))
 
 
-def with_cells(clusters: DataFrame, assigned: DataFrame, cells: DataFrame, dets: DataFrame, options: LayoutOptions = LayoutOptions()) -> DataFrame:
-    """Regular clusters with their cells' boxes, empty ones dropped, orphans added: what refining starts from."""
-    boxes = assigned.join(cells.select(*PAGE, "idx", *"ltrb"), [*PAGE, "idx"])
-    own = boxes.groupBy(*PAGE, "id").agg(F.sort_array(F.collect_list(F.struct("idx", *"ltrb"))).alias("cells"))
+def with_cells(clusters: DataFrame, cells: DataFrame, dets: DataFrame, options: LayoutOptions = LayoutOptions()) -> DataFrame:
+    """Regular clusters with their cells' boxes, empty ones dropped, orphans added: what refining starts from.
+
+    Where the cells lie is read twice from here on, so it is written to the shared folder once.
+    """
+    places = stored(placed_cells(clusters, cells), "placed-cells")
+    own = places.filter("id is not null").groupBy(*PAGE, "id").agg(F.sort_array(F.collect_list(F.struct("idx", *"ltrb"))).alias("cells"))
     joined = clusters.select(*PAGE, "id", "label", *"ltrb", "conf").join(own, [*PAGE, "id"], "left")
     empty = "array<struct<idx:int,l:double,t:double,r:double,b:double>>"
     joined = joined.withColumn("cells", F.coalesce("cells", F.array().cast(empty))).withColumn("is_orphan", F.lit(False))
     if not options.keep_empty_clusters:
         joined = joined.filter((F.size("cells") > 0) | (F.col("label") == "formula"))
     if options.create_orphan_clusters:
-        extra = orphans(assigned, cells, dets)
+        extra = orphans(places, dets)
         extra = extra.withColumn("cells", F.array(F.struct("idx", *"ltrb")).cast(empty)).withColumn("is_orphan", F.lit(True)).drop("idx")
         joined = joined.unionByName(extra)
     return joined.withColumn("ord", F.col("id"))
 
 
-def tightened(clusters: DataFrame) -> DataFrame:
-    """Boxes drawn in to the union of their cells; empty clusters keep theirs."""
+def _tight() -> dict[str, Column]:
     low = {c: F.coalesce(F.array_min(F.transform("cells", member(c))), F.col(c)) for c in "lt"}
     high = {c: F.coalesce(F.array_max(F.transform("cells", member(c))), F.col(c)) for c in "rb"}
-    return clusters.withColumns(low | high)
+    return low | high
+
+
+def tightened(clusters: DataFrame) -> DataFrame:
+    """Boxes drawn in to the union of their cells; empty clusters keep theirs."""
+    return clusters.withColumns(_tight())
 
 
 def overlap_pairs(clusters: DataFrame) -> DataFrame:
@@ -128,16 +143,21 @@ def _limits(cls: Column, which: int) -> Column:
 MEMBER = ("ord", "id", "label", "l", "t", "r", "b", "conf", "is_orphan", "cells")
 
 
-def grouped(clusters: DataFrame) -> DataFrame:
-    """``(page, cls, members)``: connected groups of strongly overlapping clusters, members in list order."""
-    page = clusters.groupBy(*PAGE, "cls").agg(F.sort_array(F.collect_list(F.struct(*MEMBER))).alias("cs"))
+def _components() -> Column:
+    """Sets of ids of a page's clusters ``cs`` that overlap strongly."""
 
     def edge(a):
         near = F.filter("cs", lambda b: (b["id"] > a["id"]) & ~(a["is_orphan"] & b["is_orphan"]) & overlaps(fields(a), fields(b)))
         return F.transform(near, lambda b: F.array(a["id"], b["id"]))
 
-    sets = merged_sets(F.transform("cs", lambda c: c["id"]), F.flatten(F.transform("cs", edge)))
-    return page.withColumn("part", F.explode(sets)).select(*PAGE, "cls", F.filter("cs", lambda c: F.array_contains("part", c["id"])).alias("members"))
+    return merged_sets(F.transform("cs", lambda c: c["id"]), F.flatten(F.transform("cs", edge)))
+
+
+def grouped(clusters: DataFrame, components: Column | None = None) -> DataFrame:
+    """``(page, cls, members)``: connected groups of strongly overlapping clusters, members in list order."""
+    page = clusters.groupBy(*PAGE, "cls").agg(F.sort_array(F.collect_list(F.struct(*MEMBER))).alias("cs"))
+    page = page.withColumn("part", F.explode(_components() if components is None else components))
+    return page.select(*PAGE, "cls", F.filter("cs", lambda c: F.array_contains("part", c["id"])).alias("members"))
 
 
 def winner(members: Column, cls: Column) -> Column:
@@ -153,21 +173,26 @@ def winner(members: Column, cls: Column) -> Column:
     return F.when(F.size(stands) > 0, F.aggregate(rest, F.get(stands, F.lit(0)), fold)).otherwise(F.get(members, F.lit(0)))
 
 
-def merged(clusters: DataFrame) -> DataFrame:
-    """One cluster of each group, with the cells of all, in the place of the group's first."""
-    g = grouped(clusters)
+def _merging() -> tuple[Column, list[Column]]:
+    """The expressions of ``merged``: components, and what a group's members become. Large, so passes share them."""
     cells = F.array_sort(F.array_distinct(F.flatten(F.transform("members", lambda m: m["cells"]))))
     first = F.array_min(F.transform("members", lambda m: m["ord"]))
     # a generator of one row: the winner is worked out once, not once for each of its fields
-    best = g.select(*PAGE, "cls", cells.alias("cells"), first.alias("ord"), F.explode(F.array(winner(F.col("members"), F.col("cls")))).alias("best"))
+    return _components(), [cells.alias("cells"), first.alias("ord"), F.explode(F.array(winner(F.col("members"), F.col("cls")))).alias("best")]
+
+
+def merged(clusters: DataFrame, merging: tuple[Column, list[Column]] | None = None) -> DataFrame:
+    """One cluster of each group, with the cells of all, in the place of the group's first."""
+    components, taken = merging or _merging()
+    best = grouped(clusters, components).select(*PAGE, "cls", *taken)
     return best.select(*PAGE, *(F.col(f"best.{c}").alias(c) for c in ("id", "label", *"ltrb", "conf")), "cells", F.col("best.is_orphan").alias("is_orphan"), "ord", "cls")
 
 
 def refined(clusters: DataFrame, passes: int = 3) -> DataFrame:
     """Tighten and merge until nothing changes, three times at most (a pass over settled pages changes nothing)."""
-    out = clusters.withColumn("cls", F.lit("regular"))
+    out, tight, merging = clusters.withColumn("cls", F.lit("regular")), _tight(), _merging()
     for _ in range(passes):
-        out = merged(tightened(out))
+        out = merged(out.withColumns(tight), merging)
     return out
 
 
@@ -246,7 +271,7 @@ def clean(dets: DataFrame, cells: DataFrame, pages: DataFrame, options: LayoutOp
         none = "array<struct<idx:int,l:double,t:double,r:double,b:double>>"
         regular = regular.select(*PAGE, "id", "label", *"ltrb", "conf").withColumn("cells", F.array().cast(none)).withColumn("is_orphan", F.lit(False)).withColumn("ord", F.col("id"))
     else:
-        regular = with_cells(regular, assign_cells(regular, cells), cells, dets, options)
+        regular = with_cells(regular, cells, dets, options)
     regular = stored(refined(regular, options.passes), "regular-clusters")
     special = not_full_page(kept.filter(is_special()).select(*PAGE, "id", "label", *"ltrb", "conf"), pages)
     special = without_table_twins(special, regular)

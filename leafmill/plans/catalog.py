@@ -278,12 +278,12 @@ def _(t):
 @query("orphan_clusters", f"with {o.ASSIGNED} select doc_id, page_no, id, label, round(conf, 6) as conf, idx from orphan")
 def _(t):
     cells, dets, regular, _ = _gated(t)
-    return layout.orphans(layout.assign_cells(regular, cells), cells, dets).select(*PAGE, "id", "label", "conf", "idx")
+    return layout.orphans(layout.placed_cells(regular, cells), dets).select(*PAGE, "id", "label", "conf", "idx")
 
 
 def _start(t) -> DataFrame:
     cells, dets, regular, _ = _gated(t)
-    return layout.with_cells(regular, layout.assign_cells(regular, cells), cells, dets)
+    return layout.with_cells(regular, cells, dets)
 
 
 _P1 = f"with recursive {o.ASSIGNED}, {o.one_pass(1, 'k0', 'b0')}"
