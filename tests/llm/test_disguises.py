@@ -43,3 +43,40 @@ def test_separators_and_doubled_letters(restorer, text, word):
 def test_common_short_words(spark):
     docs = spark.createDataFrame([("the cat is 12",), ("the é",), (None,)], "text string")
     assert toxicity.count_characters(docs)[1] == {"the", "cat", "is"}
+
+
+def best_by_hand(restorer, token):
+    """Every reading of a token, one after the other."""
+    readings = {((), 0): 0.0}
+    for i, char in enumerate(token):
+        emit, drop = restorer.cost(char)
+        if i and char == token[i - 1] and char.isalpha():
+            drop = -1.0
+        new = {}
+        for (text, state), value in readings.items():
+            options = [((text, state), value + drop)]
+            options += [(((*text, char if c == 27 else toxicity.LETTERS[c - 1] if c else " "), c), value + restorer.step[state, c] + emit[c]) for c in np.flatnonzero(emit > -np.inf)]
+            for key, v in options:
+                new[key] = max(v, new.get(key, -np.inf))
+        readings = new
+    ends = sorted(((v + restorer.step[state, 0], "".join(text)) for (text, state), v in readings.items()), reverse=True)
+    return ends
+
+
+def test_viterbi_finds_the_best_reading(restorer):
+    rng = np.random.default_rng(3)
+    chars = list("aisto10$@!*-.7é")
+    checked = 0
+    for _ in range(400):
+        token = "".join(rng.choice(chars, int(rng.integers(1, 7))))
+        ends = best_by_hand(restorer, token)
+        if len(ends) == 1 or ends[0][0] - ends[1][0] > 1e-9:
+            assert restorer.restore([token]) == [ends[0][1]], token
+            checked += 1
+    assert checked > 300
+
+
+def test_empty_table_and_odd_rows(spark):
+    docs = spark.createDataFrame([(1, "x"), (1, "x"), (None, None), (2, "")], "doc_id long, text string")
+    model = toxicity.train(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.score(docs.limit(0), model).count() == 0 and {r.score for r in toxicity.score(docs, model).collect()} == {0.05}

@@ -256,6 +256,18 @@ def test_quality_base_and_model(spark, docs):
     assert all(r.kept != r.base_failed for r in quality.judge(docs, quality.train(docs, labels.limit(0))).collect())
 
 
+def test_quality_model_on_held_out_rows(spark):
+    rng = random.Random(6)
+    good, bad = ([f"{c}{k}" for k in range(400)] for c in "gb")
+    rows = [(k, " ".join(rng.choice(good if (k % 2 == 0) == (rng.random() < 0.8) else bad) for _ in range(80))) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(200)], "doc_id long, quality int")
+    got = {r.id: (r.kept, r.quality) for r in quality.judge(docs, quality.train(docs, labels)).collect()}
+    assert sum(got[k][0] == (k % 2 == 0) for k in range(200, 400)) >= 190
+    # calibrated: the probabilities of held-out rows add up to the share that is good
+    assert abs(sum(got[k][1] for k in range(200, 400)) / 200 - 0.5) < 0.1
+
+
 # ---- toxicity
 
 
@@ -306,6 +318,7 @@ def test_pieces_match_the_library(spark, docs, vocabulary):
     for k, t in enumerate(texts):
         assert ids[at[k] : at[k + 1]].tolist() == (library.encode(t) if t else [])
     rows = pieces.encode(docs, vocabulary).collect()
+    assert pieces.encode(docs.limit(0), vocabulary).count() == 0
     assert len(rows) == len(corpus()) and all(r.round_trip and r.n_tokens == len(r.token_ids) for r in rows)
 
 
