@@ -27,6 +27,8 @@ SPACE = "▁"
 NORMAL, UNKNOWN, BYTE, USER = 1, 2, 6, 4
 UNIGRAM, BPE = 1, 2
 BASE = 0x9E3779B97F4A7C15
+#: Characters from which a word is encoded in blocks of this size and overlap.
+LONG, BLOCK, OVERLAP = 4096, 1024, 128
 #: What an unknown character costs a unigram model below its worst piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -191,6 +193,49 @@ class Encoder:
 
     def _equal(self, words: list[str], length: int) -> None:
         """Encode words of one length together."""
+        for word, path in zip(words, self._paths(words, length), strict=True):
+            self.parts[word] = self._spelled(word, path)
+
+    def _spelled(self, word: str, path: list[tuple[int, int]]) -> array:
+        """Ids of a path: pieces as they are, unknown characters as their bytes."""
+        v = self.v
+        ids: list[int] = []
+        for end, piece in path:
+            if piece != self.unk:
+                ids.append(piece)
+            elif v.bytes:
+                ids.extend(v.bytes[x] for x in word[end - 1].encode("utf-8", "surrogatepass"))
+            else:
+                ids.append(v.unknown)
+        return array("i", ids)
+
+    def _long(self, word: str) -> array:
+        """A long word in blocks that overlap, all advanced together, and put together where two blocks share a piece's end.
+
+        BPE has one encoding whose neighbouring pieces all stand side by side, so what is put together that way
+        is that encoding. Without such an end the word is encoded as one.
+        """
+        starts = list(range(0, len(word) - OVERLAP, BLOCK - OVERLAP))
+        blocks = [word[a : a + BLOCK] for a in starts]
+        paths = self._paths(blocks[:-1], BLOCK) + self._paths(blocks[-1:], len(blocks[-1]))
+        whole = paths[0]
+        for start, path in zip(starts[1:], paths[1:], strict=True):
+            later = {start + end: k for k, (end, _) in enumerate(path[:-1])}
+            # what lies deep in the overlap is the likeliest to be settled in both blocks
+            meet = [k for k, (end, _) in enumerate(whole) if end in later]
+            for k in sorted(meet, key=lambda k: abs(whole[k][0] - start - OVERLAP // 2)):
+                at = later[whole[k][0]]
+                if self._side_by_side(np.array([whole[k][1]]), np.array([path[at + 1][1]]))[0]:
+                    whole = whole[: k + 1] + [(start + end, piece) for end, piece in path[at + 1 :]]
+                    break
+            else:
+                return self._spelled(word, self._paths([word], len(word))[0])
+        return self._spelled(word, whole)
+
+    def _paths(self, words: list[str], length: int) -> list[list[tuple[int, int]]]:
+        """``(end, piece)`` of the best paths through words of one length."""
+        if not words:
+            return []
         v, n = self.v, len(words)
         chars = np.array(words, f"<U{length}").view(np.uint32).reshape(n, length)
         codes = mix64(chars.astype(U64))
@@ -222,18 +267,14 @@ class Encoder:
                         self._take(single, np.full(len(single), self.unk), j, 1, value, best, last, taken)
             best[j] = value
         steps, ends = taken.T.tolist(), last.T.tolist()
-        for step, end, word in zip(steps, ends, words, strict=True):
-            ids: list[int] = []
-            j = length
+        paths = []
+        for step, end in zip(steps, ends, strict=True):
+            path, j = [], length
             while j:
-                k, piece = step[j], end[j]
-                if piece == self.unk:
-                    raw = word[j - 1].encode("utf-8", "surrogatepass")
-                    ids.extend(v.bytes[x] for x in reversed(raw)) if v.bytes else ids.append(v.unknown)
-                else:
-                    ids.append(piece)
-                j -= k
-            self.parts[word] = array("i", ids[::-1])
+                path.append((j, end[j]))
+                j -= step[j]
+            paths.append(path[::-1])
+        return paths
 
     def _take(self, rows, piece, j, back, value, best, last, taken) -> None:
         before = best[j - back, rows]
@@ -264,6 +305,10 @@ class Encoder:
                 if part not in parts:
                     by_length.setdefault(len(part), set()).add(part)
         for length, found in by_length.items():
+            if length > LONG and self.v.kind == BPE:
+                for word in found:
+                    parts[word] = self._long(word)
+                continue
             same, step = sorted(found), max(1, 200_000 // length)
             for k in range(0, len(same), step):
                 self._equal(same[k : k + step], length)

@@ -322,6 +322,17 @@ def test_pieces_match_the_library(spark, docs, vocabulary):
     assert len(rows) == len(corpus()) and all(r.round_trip and r.n_tokens == len(r.token_ids) for r in rows)
 
 
+def test_long_words_match_the_library(vocabulary):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rng = random.Random(12)
+    syllables = ["in", "ter", "na", "tion", "al", "is", "the", "qu", "x", "é", "zz", "ing", "1", "0", "汉", "😀", "ess"]
+    words = ["".join(rng.choice(syllables) for _ in range(n)) for n in (3000, 20_000)] + ["a" * 30_000, "ab" * 9000, "".join(rng.choice("abcdefghij") for _ in range(9000))]
+    ids, at = pieces.Encoder(vocabulary).encode(words)
+    for k, w in enumerate(words):
+        assert ids[at[k] : at[k + 1]].tolist() == library.encode(w)
+
+
 def test_unigram_viterbi_is_optimal(vocabulary):
     import copy
 
