@@ -13,6 +13,8 @@ from leafmill.llm import pieces, simhash, suffix_dedup, toxicity
 SHINGLE_WORDS, SIMILARITY, PRINT_BITS, PRINT_DISTANCE = 5, 0.8, 256, 62
 #: Repeated passages: words.
 REPEAT_WORDS = 50
+#: Benchmark items of fewer tokens are no sign of a leak by themselves.
+LEAK_TOKENS = 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     and empty texts hold nothing; an empty table gives an empty one; all columns stay.
     """
     own = suffix_dedup.text_digest(F.col("text"))
-    found = seeds.overlaps(docs.select(own.alias("own digest"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="own digest")
+    found = seeds.overlaps(docs.select(own.alias("own digest"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="own digest", min_tokens=LEAK_TOKENS)
     return docs.join(found.select(F.col("id").alias("own digest")).distinct(), own == F.col("own digest"), "left_anti")
 
 
