@@ -43,6 +43,8 @@ _TRIM = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "“
 _EDGE = "".join(c for c in _TRIM if c not in "@$!|+(")
 _DOUBLED = re.compile(r"(.)\1")
 _RUN = re.compile(r"([^\W\d_])\1{3,}")
+#: Bytes of text whose new words are decoded together.
+BATCH_BYTES = 4 << 20
 #: Characters of a token that are decoded together.
 PART = 64
 _LIKE = "".join(re.escape(c) for c in LOOKALIKES)
@@ -145,11 +147,12 @@ class Restorer:
             column = grid[:, i]
             again = column == grid[:, i - 1] if i else np.zeros(n, bool)
             after = np.full((n, CLASSES), -np.inf)
-            for code in np.unique(column):
+            order = np.argsort(column, kind="stable")
+            cuts = np.flatnonzero(np.diff(column[order])) + 1
+            for rows in np.split(order, cuts):
                 # few classes can emit a character, so only these columns of the step are worked out
-                char = chr(code)
+                char = chr(column[rows[0]])
                 emit, drop = self.cost(char)
-                rows = np.flatnonzero(column == code)
                 before = score[rows]
                 dropped = before + (np.where(again[rows], -1.0, drop)[:, None] if char.isalpha() else drop)
                 after[rows] = dropped
@@ -245,7 +248,7 @@ def raw_words(text: str, common: frozenset[str] | None = None) -> set[str]:
 class Words:
     """Forms of each word (as written, trimmed, restored), kept between batches up to a bound."""
 
-    def __init__(self, restorer: Restorer, most: int = 40_000_000):
+    def __init__(self, restorer: Restorer, most: int = 90_000_000):
         #: bytes that the words known may take, roughly
         self.restorer, self.most, self.size = restorer, most, 0
         self.known: dict[str, tuple[str, ...]] = {}
@@ -357,7 +360,7 @@ def fit(docs: DataFrame, labels: DataFrame, restorer: Restorer, id_col: str = "d
 
     def words_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, runs = Words(restorer), Runs(restorer.common)
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", BATCH_BYTES):
             every = [runs(text or "") for text in batch.column(0).to_pylist()]
             words.learn(set().union(*every))
             forms = [sorted({f for w in own for f in words.known[w]}) for own in every]
@@ -494,7 +497,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
-        for batch in sliced(batches, where):
+        for batch in sliced(batches, where, BATCH_BYTES):
             scores = [float(x) for x in of([t or "" for t in batch.column(where).to_pylist()])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, name])
 
