@@ -359,7 +359,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary)
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", 4 << 20):
             texts = batch.column(1).to_pylist()
             ids, at = encoder.encode(texts)
             decoded = [decode(vocabulary, ids[a:b].tolist()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
