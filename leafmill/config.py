@@ -58,6 +58,14 @@ class FigureOptions:
     classes: tuple[str, ...] = ()
 
 
+@dataclass(frozen=True)
+class EnrichmentOptions:
+    """Passed to the enrichment stage registered for this type: item types that it reads, and how far their boxes grow."""
+
+    types: tuple[str, ...] = ("figure", "formula", "code")
+    expansion: float = 0.0
+
+
 @dataclass(frozen=True)
 class Options:
     limits: Limits = field(default_factory=Limits)
@@ -65,6 +73,7 @@ class Options:
     ocr: OcrOptions = field(default_factory=OcrOptions)
     table: TableOptions = field(default_factory=TableOptions)
     figure: FigureOptions = field(default_factory=FigureOptions)
+    enrichment: EnrichmentOptions = field(default_factory=EnrichmentOptions)
     allowed_formats: tuple[str, ...] | None = None
     raises_on_error: bool = True
     document_timeout: float | None = None

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from leafmill import __version__ as VERSION
 from leafmill.config import Options
+from leafmill.functions.geometry import box, expanded
 from leafmill.functions.text import quality
 from leafmill.operators import assemble, layout, ocr, reading, status
 from leafmill.sources import formats
@@ -117,6 +118,7 @@ class Engine:
         elements = elements.withColumn("figure_class", F.lit(None).cast("string")) if figures is None else assemble.with_figures(elements, figures)
         ordered = stored(reading.reading_order(elements, todo).drop("cells"), "reading-order")
         items = reading.items(ordered).join(ordered.select("doc_id", "seq", "num_rows", "num_cols", "figure_class"), ["doc_id", "seq"])
+        items = self._enriched(items, ordered)
         children = reading.child_items(kids, ordered.select(*PAGE, "id", "kind", "num_rows"), own)
         parse = own.filter(~F.col("from_ocr")).withColumn("q", quality(F.col("text"))).groupBy(*PAGE).agg(F.expr("percentile(q, 0.1)").alias("parse_score"))
         scored = layout.page_scores(clusters, own, todo).join(parse, PAGE, "left").withColumn("table_score", F.lit(None).cast("double"))
@@ -128,15 +130,34 @@ class Engine:
             status.raise_unless_ok(results)
         return Conversion(results, items, children, reading.all_pages(expected, todo), confidence, found if found is not None else done.limit(0))
 
-    def convert(self, doc_id: int, inputs: DataFrame, cells: DataFrame, detections: DataFrame, pages: DataFrame) -> Conversion:
-        """One document: the filter reaches every scan."""
+    def convert(self, doc_id: int, inputs: DataFrame, cells: DataFrame, detections: DataFrame, pages: DataFrame, **tables: DataFrame) -> Conversion:
+        """One document: the filter reaches every scan. Further tables as for ``convert_all``."""
         one = [t.filter(F.col("doc_id") == doc_id) for t in (inputs, cells, detections, pages)]
-        return self.convert_all(*one)
+        return self.convert_all(*one, **{name: t.filter(F.col("doc_id") == doc_id) for name, t in tables.items()})
+
+    def _enriched(self, items: DataFrame, ordered: DataFrame) -> DataFrame:
+        """Adds ``enrichment``: what the stage registered for ``options.enrichment`` says of items of its types, from their
+        boxes (grown by ``expansion`` of their size) and texts; null without a stage."""
+        o = self.options.enrichment
+        if ("enrichment", type(o)) not in _stages:
+            return items.withColumn("enrichment", F.lit(None).cast("string"))
+        grown = expanded(box(), o.expansion)
+        crops = ordered.select(*PAGE, "seq", *(x.alias(c) for x, c in zip(grown, "ltrb", strict=True)))
+        wanted = items.filter(F.col("type").isin(*o.types)).select("doc_id", "seq", "type", "text").join(crops, ["doc_id", "seq"])
+        return items.join(stage_for("enrichment", o)(wanted, o).select("doc_id", "seq", "enrichment"), ["doc_id", "seq"], "left")
 
     def convert_string(self, rows: DataFrame, content_col: str, fmt: str, name_col: str | None = None) -> DataFrame:
         return formats.from_strings(rows, content_col, fmt, name_col)
 
 
+_engines: dict[str, Engine] = {}
+
+
+def engine_for(options: Options) -> Engine:
+    """The engine of these options; equal options share one."""
+    return _engines.setdefault(options.key(), Engine(options))
+
+
 #: Members of a saved document.
 MEMBERS = "version string, saved_at string, status string, errors array<struct<component_type:string,module_name:string,error_message:string>>, pages array<struct<page_no:int,width:double,height:double,missing:boolean>>, timings array<struct<key:string,scope:string,n:long,total:double>>, confidence struct<parse_score:double,layout_score:double,table_score:double,ocr_score:double,mean_score:double,low_score:double,mean_grade:string,low_grade:string>"
 

@@ -145,6 +145,14 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(name.alias("file"), F.col("length").alias("filesize"), "content", mime.alias("mime"), fmt.alias("format"), content_hash(F.col("content")).alias("document_hash"))
 
 
+def from_streams(rows: DataFrame, content_col: str, name_col: str) -> DataFrame:
+    """Rows of bytes as input documents: by their leading bytes, else by the extension in any case; null contents are empty."""
+    content = F.coalesce(F.col(content_col), F.lit(b""))
+    mime, fmt = detect_format(F.col(name_col), content, stream=True)
+    own = {"file": F.col(name_col), "filesize": F.octet_length(content).cast("long"), "mime": mime, "format": fmt, "document_hash": content_hash(content)}
+    return rows.select("*", *(v.alias(k) for k, v in own.items() if k != name_col))
+
+
 def from_strings(rows: DataFrame, content_col: str, fmt: str, name_col: str | None = None) -> DataFrame:
     """Text rows as input documents; only Markdown and HTML can come as strings."""
     if fmt not in ("md", "html"):

@@ -3,9 +3,9 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.config import FigureOptions, Limits, OcrOptions, Options, TableOptions, preset
+from leafmill.config import EnrichmentOptions, FigureOptions, Limits, OcrOptions, Options, TableOptions, preset
 from leafmill.plans import engine, plugins, resources
-from leafmill.sources import backends
+from leafmill.sources import backends, formats
 from leafmill.sources import text_pages as tp
 
 OPTIONS = Options(limits=Limits(max_num_pages=2), allowed_formats=("pdf", "html", "md", "image", "docx", "pptx"), raises_on_error=False)
@@ -68,10 +68,14 @@ def test_registered_stages_run(spark, tables, monkeypatch):
     engine.register_stage("table", TableOptions, tables_of)
     engine.register_stage("figure", FigureOptions, lambda found, options: found.select("doc_id", "page_no", F.col("id").alias("cluster_id"), F.lit("chart").alias("figure_class")))
     engine.register_stage("ocr", OcrOptions, read)
+    engine.register_stage("enrichment", EnrichmentOptions, lambda found, options: found.withColumn("enrichment", F.concat("type", F.lit(" "), F.round("l").cast("int").cast("string"))))
     pages = tables[3].withColumn("backend_ok", F.lit(True))
     made = engine.Engine(OPTIONS).convert_all(*tables[:3], pages, tp.bitmaps(pages))
     rows = made.items.collect()
-    assert seen == ["auto", "accurate"] and {(r.num_rows, r.num_cols) for r in rows if r.type == "table"} == {(2, 3)}
+    assert {r.enrichment for r in rows if r.type == "text"} == {None} and all(r.enrichment.startswith(r.type) for r in rows if r.type in EnrichmentOptions().types)
+    one = engine.Engine(OPTIONS).convert(2, *tables[:3], pages, bitmaps=tp.bitmaps(pages))
+    assert {r.seq for r in one.items.collect()} == {r.seq for r in rows if r.doc_id == 2}
+    assert seen == ["auto", "accurate"] * 2 and {(r.num_rows, r.num_cols) for r in rows if r.type == "table"} == {(2, 3)}
     assert {r.figure_class for r in rows if r.type == "figure"} <= {"chart"} and any(r.text.endswith("read") for r in rows)
     with pytest.raises(ValueError):
         engine.Engine(OPTIONS).convert_all(tables[0], tables[1], None, pages)
@@ -113,6 +117,13 @@ def _gif(frames):
     return b"GIF89a" + struct.pack("<HHBBB", 5, 7, 0x80, 0, 0) + b"\0" * 6 + (b"\x21\xf9\x04\0\0\0\0\0" + image) * frames + b"\x3b"
 
 
+def test_streams_and_kept_engines(spark):
+    rows = [("a.PDF", b"x"), ("b.bin", b"%PDF-1.7"), ("c.MD", None), ("d", b"x")]
+    got = {r.name: (r.format, r.filesize) for r in formats.from_streams(spark.createDataFrame(rows, "name string, content binary"), "content", "name").collect()}
+    assert got == {"a.PDF": ("pdf", 1), "b.bin": ("pdf", 8), "c.MD": ("md", 0), "d": ("xml_uspto", 1)}
+    assert engine.engine_for(Options()) is engine.engine_for(Options()) is not engine.engine_for(OPTIONS)
+
+
 def test_page_sources(spark):
     png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 5, 7)
     files = [("a.png", "image", png), ("b.tif", "image", _tiff([(3, 4), (70000 % 65536, 6)])), ("c.gif", "image", _gif(3)), ("d.md", "md", b"x\n" * 45), ("e.pdf", "pdf", b"%PDF"), ("f.md", "md", b"\xff"), ("g.gif", "image", b"GIF89a"), ("h.png", "image", None)]
