@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": suffix_dedup.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": warc.SQL, "op3_url_filter": url_filter.SQL, "op4_decontaminate": decontaminate.SQL, "op10_suffix_dedup": suffix_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": warc.SQL, "op3_url_filter": url_filter.SQL, "op4_decontaminate": decontaminate.SQL, "op8_simhash": simhash.SQL, "op10_suffix_dedup": suffix_dedup.SQL}

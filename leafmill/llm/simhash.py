@@ -433,3 +433,53 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def query(spark, sf_dir: str) -> DataFrame:
     groups = simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def _sql() -> str:
+    """Fingerprints with XXH64 written out in 128-bit integers, then links by all pairs of distinct fingerprints."""
+    p1, p2, p3, p4, p5 = (f"{x}::uhugeint" for x in (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261))
+    whole = f"{1 << 64}::uhugeint"
+
+    def turned(x: str, bits: int) -> str:
+        return f"(({x} * {1 << bits}::uhugeint) % {whole} + {x} // {1 << 64 - bits}::uhugeint)"
+
+    def mixed(acc: str, lane: str) -> str:
+        return f"({turned(f'(({acc} + {lane} * {p2}) % {whole})', 31)} * {p1} % {whole})"
+
+    def lane(at: str, size: int) -> str:
+        return "('0x' || " + " || ".join(f"substr(hx, cast({at} as bigint) * 2 + {2 * k + 1}, 2)" for k in reversed(range(size))) + ")::ubigint::uhugeint"
+
+    def stripe(k: int, start: int) -> str:
+        own = f"list_transform(range(0, n // 32), lambda s: lanes[cast(s * 4 + {k} as int)])"
+        return f"list_reduce({own}, lambda a, x: {mixed('a', 'x')}, {start % (1 << 64)}::uhugeint)"
+
+    starts = (42 + 11400714785074694791 + 14029467366897019727, 42 + 14029467366897019727, 42, 42 - 11400714785074694791)
+    ones = ", ".join(f"sum((h >> {b}) & 1) c{b}" for b in range(64))
+    bits = " + ".join(f"(case when c{b} * 2 > n then {1 << b}::uhugeint else 0::uhugeint end)" for b in range(64))
+
+    def joined(acc: str, k: int) -> str:
+        return f"((xor({acc}, {mixed('0::uhugeint', f'v{k}')}) * {p1} + {p4}) % {whole})"
+
+    return f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') w from documents),
+sh as (select doc_id, unnest(case when len(w) >= 3 then list_transform(range(1, len(w) - 1), lambda i: w[cast(i as int)] || ' ' || w[cast(i + 1 as int)] || ' ' || w[cast(i + 2 as int)]) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) s from w),
+x0 as (select s, lower(hex(encode(s))) hx, strlen(s) n from (select distinct s from sh)),
+x1 as (select *, list_transform(range(0, n // 8), lambda k: {lane('k * 8', 8)}) lanes from x0),
+x2 as (select *, {", ".join(f"{stripe(k + 1, start)} v{k + 1}" for k, start in enumerate(starts))} from x1),
+x3 as (select *, {" + ".join(turned(f"v{k}", r) for k, r in zip((1, 2, 3, 4), (1, 7, 12, 18), strict=True))} big from x2),
+x4 as (select *, {joined(f"(big % {whole})", 1)} m1 from x3), x5 as (select *, {joined("m1", 2)} m2 from x4), x6 as (select *, {joined("m2", 3)} m3 from x5),
+x7 as (select *, ((case when n >= 32 then {joined("m3", 4)} else 42::uhugeint + {p5} end) + n::uhugeint) % {whole} acc from x6),
+x8 as (select * replace (list_reduce(lanes[cast(n // 32 * 4 + 1 as int):], lambda a, x: ({turned(f"xor(a, {mixed('0::uhugeint', 'x')})", 27)} * {p1} + {p4}) % {whole}, acc) as acc) from x7),
+x9 as (select * replace (case when n % 8 >= 4 then ({turned(f"xor(acc, ({lane('n // 8 * 8', 4)} * {p1}) % {whole})", 23)} * {p2} + {p3}) % {whole} else acc end as acc) from x8),
+xa as (select * replace (list_reduce(list_transform(range(n - n % 4, n), lambda k: {lane('k', 1)}), lambda a, x: ({turned(f"xor(a, x * {p5} % {whole})", 11)} * {p1}) % {whole}, acc) as acc) from x9),
+xb as (select s, xor(acc, acc // {1 << 33}::uhugeint) * {p2} % {whole} h from xa), xc as (select s, xor(h, h // {1 << 29}::uhugeint) * {p3} % {whole} h from xb),
+xd as (select s, xor(h, h // {1 << 32}::uhugeint)::ubigint h from xc),
+cnt as (select doc_id, count(*) n, {ones} from sh join xd using (s) group by doc_id),
+fp as (select d.doc_id, coalesce({bits}, 0::uhugeint)::ubigint fp from documents d left join cnt using (doc_id)),
+f as (select fp, min(doc_id) first_id from fp group by fp),
+e as (select a.fp a, b.fp b from f a join f b on bit_count(xor(a.fp, b.fp)) <= 3 and a.fp <> b.fp),
+r as (select fp node, first_id root from f union select e.b, r.root from r join e on r.node = e.a)
+select fp.doc_id, lpad(lower(hex(fp.fp)), 16, '0') as fingerprint, m.root as component_id from fp join (select node, min(root) root from r group by node) m on fp.fp = m.node"""
+
+
+SQL = _sql()
