@@ -140,7 +140,7 @@ def _whole(text: str) -> np.uint64:
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, most: int = 100_000_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 130_000_000):
         #: bytes that the words known may take, roughly
         self.v, self.most, self.used = vocabulary, most, 0
         self.power = np.cumprod(np.concatenate([[U64(1)], np.full(vocabulary.longest * 2 + 2, U64(BASE))]), dtype=U64)
@@ -193,8 +193,19 @@ class Encoder:
 
     def _equal(self, words: list[str], length: int) -> None:
         """Encode words of one length together."""
-        for word, path in zip(words, self._paths(words, length), strict=True):
-            self.parts[word] = self._spelled(word, path)
+        v, unk = self.v, self.unk
+        for word, step, end in zip(words, *self._steps(words, length), strict=True):
+            ids: list[int] = []
+            j = length
+            while j:
+                piece = end[j]
+                if piece == unk:
+                    raw = word[j - 1].encode("utf-8", "surrogatepass")
+                    ids.extend(v.bytes[x] for x in reversed(raw)) if v.bytes else ids.append(v.unknown)
+                else:
+                    ids.append(piece)
+                j -= step[j]
+            self.parts[word] = array("i", ids[::-1])
 
     def _spelled(self, word: str, path: list[tuple[int, int]]) -> array:
         """Ids of a path: pieces as they are, unknown characters as their bytes."""
@@ -234,8 +245,19 @@ class Encoder:
 
     def _paths(self, words: list[str], length: int) -> list[list[tuple[int, int]]]:
         """``(end, piece)`` of the best paths through words of one length."""
+        paths = []
+        for step, end in zip(*self._steps(words, length), strict=True):
+            path, j = [], length
+            while j:
+                path.append((j, end[j]))
+                j -= step[j]
+            paths.append(path[::-1])
+        return paths
+
+    def _steps(self, words: list[str], length: int) -> tuple[list[list[int]], list[list[int]]]:
+        """For words of one length, by place: how far back the best last piece begins, and that piece."""
         if not words:
-            return []
+            return [], []
         v, n = self.v, len(words)
         chars = np.array(words, f"<U{length}").view(np.uint32).reshape(n, length)
         codes = mix64(chars.astype(U64))
@@ -266,15 +288,7 @@ class Encoder:
                     if len(single):
                         self._take(single, np.full(len(single), self.unk), j, 1, value, best, last, taken)
             best[j] = value
-        steps, ends = taken.T.tolist(), last.T.tolist()
-        paths = []
-        for step, end in zip(steps, ends, strict=True):
-            path, j = [], length
-            while j:
-                path.append((j, end[j]))
-                j -= step[j]
-            paths.append(path[::-1])
-        return paths
+        return taken.T.tolist(), last.T.tolist()
 
     def _take(self, rows, piece, j, back, value, best, last, taken) -> None:
         before = best[j - back, rows]
