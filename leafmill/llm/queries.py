@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import decontaminate, pieces, quality, sharding, simhash, suffix_dedup, token_rollup, toxicity, url_filter, warc
+from leafmill.llm import decontaminate, ngram_join, pieces, quality, sharding, simhash, suffix_dedup, token_rollup, toxicity, url_filter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": warc.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash": simhash.query,
     "op9_pieces": pieces.query,
     "op10_suffix_dedup": suffix_dedup.query,
+    "op11_ngram_join": ngram_join.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_warc": warc.SQL, "op3_url_filter": url_filter.SQL, "op4_decontaminate": decontaminate.SQL, "op8_simhash": simhash.SQL, "op10_suffix_dedup": suffix_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_warc": warc.SQL, "op3_url_filter": url_filter.SQL, "op4_decontaminate": decontaminate.SQL, "op8_simhash": simhash.SQL, "op10_suffix_dedup": suffix_dedup.SQL, "op11_ngram_join": ngram_join.SQL}
