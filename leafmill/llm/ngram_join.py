@@ -41,8 +41,8 @@ SMALL = 32
 HEAVY = 50_000
 #: Sets and shingles of a block; a group of several blocks is verified by pairs of blocks.
 BLOCK_SETS, BLOCK_SHINGLES = 500, 2_000_000
-#: Rows of numbers that are broadcast to filter a scan; beyond, the scan is shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Sets whose groups are broadcast to the scan that brings their texts (some 100 bytes each); beyond, the scan is shuffled.
+BROADCAST_ROWS = 400_000
 
 
 def need(n: np.ndarray, percent: int) -> np.ndarray:
@@ -258,38 +258,45 @@ def linked_sets(sets: list[np.ndarray], sides: np.ndarray | None, copies: np.nda
 KEY = ("component", "c1", "i", "c2", "j")
 
 
-def _placed(groups: DataFrame, percent: int, block_sets: int, block_shingles: int) -> DataFrame:
-    """``(nth, digest, copies, key columns, side)``: the pairs of blocks that each set is verified in."""
-    place = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) + 1e-6)).cast("int")
-    own = groups.withColumn("c", place)
-    by_class = own.groupBy("component", "c").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+def _planned(groups: DataFrame, percent: int, block_sets: int, block_shingles: int) -> DataFrame:
+    """``(nth, component, copies, ks)`` of the sets of groups of two or more; ks: blocks of each size class, null where one block is enough."""
+    by_class = groups.withColumn("c", _class(F.col("n"), percent)).groupBy("component", "c").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
     blocks = F.ceil(F.greatest(F.col("sets") / block_sets, F.col("shingles") / block_shingles)).cast("int")
-    by_group = by_class.groupBy("component").agg(F.sum("sets").alias("all_sets"), F.sum("shingles").alias("all_shingles"), F.map_from_entries(F.collect_list(F.struct("c", blocks.alias("k")))).alias("ks"))
-    by_group = by_group.filter("all_sets > 1")
-    own = own.join(by_group, "component")
-    one = (F.col("all_sets") <= block_sets) & (F.col("all_shingles") <= block_shingles)
-    number = F.pmod(F.xxhash64("digest"), F.col("ks")[F.col("c")].cast("long")).cast("int")
+    by_group = by_class.groupBy("component").agg(F.sum("sets").alias("sets"), F.sum("shingles").alias("shingles"), F.map_from_entries(F.collect_list(F.struct("c", blocks.alias("k")))).alias("ks"))
+    one = (F.col("sets") <= block_sets) & (F.col("shingles") <= block_shingles)
+    by_group = by_group.filter("sets > 1").select("component", F.when(~one, F.col("ks")).alias("ks"))
+    return groups.join(by_group, "component").select("nth", "component", "copies", "ks")
 
-    def pairs(first: Column, other: Column, side: int, above: bool) -> Column:
+
+def _class(n: Column, percent: int) -> Column:
+    return F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / percent) + 1e-6)).cast("int")
+
+
+def _placed(sets: DataFrame, percent: int) -> DataFrame:
+    """Sets ``(digest, n, component, copies, ks, text)`` once for each pair of blocks that they are verified in: key columns and side."""
+    c, number, ks = F.col("c"), F.col("number"), F.col("ks")
+    sets = sets.withColumn("c", _class(F.col("n"), percent))
+    k = F.coalesce(F.try_element_at(ks, c), F.lit(1))
+    sets = sets.withColumn("number", F.pmod(F.xxhash64("digest"), k.cast("long")).cast("int"))
+
+    def pairs(other: Column, above: bool) -> Column:
         """This set's block with each block of the class ``other``."""
-        many = F.coalesce(F.try_element_at("ks", other), F.lit(0))
+        many = F.coalesce(F.try_element_at(ks, other), F.lit(0))
         every = F.when(many > 0, F.sequence(F.lit(0), many - 1)).otherwise(F.array().cast("array<int>"))
         if above:
-            return F.transform(every, lambda x: F.struct(first.alias("c1"), F.col("number").alias("i"), other.alias("c2"), x.alias("j"), F.lit(side).alias("side")))
-        return F.transform(every, lambda x: F.struct(other.alias("c1"), x.alias("i"), first.alias("c2"), F.col("number").alias("j"), F.lit(side).alias("side")))
+            return F.transform(every, lambda x: F.struct(c.alias("c1"), number.alias("i"), other.alias("c2"), x.alias("j"), F.lit(0).alias("side")))
+        return F.transform(every, lambda x: F.struct(other.alias("c1"), x.alias("i"), c.alias("c2"), number.alias("j"), F.lit(1).alias("side")))
 
-    c = F.col("c")
-    k = F.coalesce(F.try_element_at("ks", c), F.lit(1))
     same = F.transform(
         F.sequence(F.lit(0), k - 1),
-        lambda x: F.struct(c.alias("c1"), F.least("number", x).alias("i"), c.alias("c2"), F.greatest("number", x).alias("j"), F.when(F.col("number") > x, 1).otherwise(0).alias("side")),
+        lambda x: F.struct(c.alias("c1"), F.least(number, x).alias("i"), c.alias("c2"), F.greatest(number, x).alias("j"), F.when(number > x, 1).otherwise(0).alias("side")),
     )
     whole = F.array(F.struct(F.lit(0).alias("c1"), F.lit(0).alias("i"), F.lit(0).alias("c2"), F.lit(0).alias("j"), F.lit(0).alias("side")))
-    keys = F.when(one, whole).otherwise(F.concat(same, pairs(c, c + 1, 0, True), pairs(c, c - 1, 1, False)))
-    return own.withColumn("number", number).select("nth", "digest", "copies", "component", F.explode(keys).alias("key")).select("nth", "digest", "copies", "component", "key.*")
+    keys = F.when(ks.isNull(), whole).otherwise(F.concat(same, pairs(c + 1, True), pairs(c - 1, False)))
+    return sets.select("component", "digest", "copies", "text", F.explode(keys).alias("key")).select("component", "key.*", "digest", "copies", "text")
 
 
-def verified(placed: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+def verified(placed: DataFrame, words: int, percent: int) -> DataFrame:
     """``(a, b, links)``: a forest of exact links by digest (links null), and of each set (b null) the documents that it links with in one place."""
 
     def group(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
@@ -314,7 +321,7 @@ def verified(placed: DataFrame, texts: DataFrame, words: int, percent: int) -> D
         if rows:
             yield group(last, rows)
 
-    brought = placed.join(texts, "nth").select(*KEY, "side", "digest", "copies", "text")
+    brought = placed.select(*KEY, "side", "digest", "copies", "text")
     return brought.repartition(*KEY).sortWithinPartitions(*KEY, "side", "digest").mapInArrow(lambda batches: released(run(batches)), "a binary, b binary, links long")
 
 
@@ -333,12 +340,12 @@ def groups_of(
     rows = table.filter("n > 0")
     own = rows.groupBy("digest").agg(F.first("node").alias("node"), F.first("n").alias("n"), F.min("nth").alias("nth"), F.min(id_col.cast("long")).alias("first_id"), F.count("*").alias("copies"))
     own = stored(own, "ngram-sets")
-    groups = stored(own.join(labels, "node").select("digest", "nth", "n", "copies", "component"), "ngram-groups")
-    texts = rows.select("nth", text.cast("string").alias("text"))
-    picked = groups.select("nth")
-    # the scan is filtered before its texts are shuffled, where the numbers of the rows wanted are few enough to send around
-    texts = texts.join(F.broadcast(picked) if groups.count() <= broadcast_rows else picked, "nth", "left_semi")
-    found = stored(verified(_placed(groups, percent, block_sets, block_shingles), texts, words, percent), "ngram-links")
+    groups = stored(own.join(labels, "node").select("nth", "n", "copies", "component"), "ngram-groups")
+    planned = _planned(groups, percent, block_sets, block_shingles)
+    texts = rows.select("nth", "digest", "n", text.cast("string").alias("text"))
+    # texts are shuffled once, to their groups, where the numbers of the rows wanted are few enough to send around; else twice
+    texts = texts.join(F.broadcast(planned) if groups.count() <= broadcast_rows else planned, "nth")
+    found = stored(verified(_placed(texts, percent), words, percent), "ngram-links")
     classes = connected_components(found.filter("b is not null"), "a", "b").select(F.col("node").alias("digest"), F.col("component").alias("class"))
     degrees = found.filter("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))
     classes = own.join(classes, "digest", "left").join(degrees, "digest", "left").withColumn("component", F.coalesce("class", "digest"))
