@@ -15,7 +15,7 @@ from leafmill.operators import assemble, layout, ocr, reading, status
 from leafmill.plans import oracle as o
 from leafmill.plans import plugins
 from leafmill.plans.engine import Engine
-from leafmill.sources import formats, html
+from leafmill.sources import backends, formats, html
 from leafmill.sources import text_pages as tp
 from leafmill.storage import stored
 
@@ -767,6 +767,32 @@ def _(t):
     return _converted(t).children
 
 
+# ---- PDF
+
+_PDF_LINES = r"""ln as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 li from documents),
+st as (select doc_id, cast(li // 60 + 1 as bigint) page_no, li % 60 k, regexp_replace(line, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') as text from ln)"""
+
+
+@query("pdf_cells", f"""
+with {_PDF_LINES} select doc_id, page_no, row_number() over (partition by doc_id, page_no order by k) - 1 as idx, text, 72.0::double as l, (72 + 12 * k)::double as t, (72 + 6 * length(text))::double as r, (82 + 12 * k)::double as b from st where text <> ''""")
+def _(t):
+    files = plugins.pdf_documents(t("documents")).select(F.col("doc_id").cast("string").alias("file"), F.lit("pdf").alias("format"), "content")
+    read = backends.read_pages(files)
+    return read.select(F.col("file").cast("long").alias("doc_id"), "page_no", F.explode("cells").alias("x")).select("doc_id", "page_no", "x.*")
+
+
+@query("pdf_results", f"""
+with {_PDF_LINES}, up as (select *, lag(text) over (partition by doc_id, page_no order by k) above from st),
+bl as (select doc_id, page_no, k, coalesce(above, '') = '' or regexp_matches(text, '{reading.MARKER}') starts, regexp_matches(text, '{reading.MARKER}') item from up where text <> '')
+select st.doc_id, 'doc' || st.doc_id::varchar || '.pdf' as name, 'pdf' as format, 'success' as status, max(page_no) as page_count, coalesce(any_value(n_blocks), 0) as n_blocks, coalesce(any_value(n_list_items), 0) as n_list_items
+from st left join (select doc_id, count(*) filter (starts) n_blocks, count(*) filter (item) n_list_items from bl group by doc_id) using (doc_id) group by st.doc_id""")
+def _(t):
+    made = Engine().convert_streams(plugins.pdf_documents(t("documents")), "content", "name")
+    counted = made.items.groupBy("doc_id").agg(F.sum(F.size("prov").cast("long")).alias("n_blocks"), F.count(F.when(F.col("type") == "list_item", 1)).alias("n_list_items"))
+    out = made.results.join(counted, "doc_id", "left")
+    return out.select("doc_id", "name", "format", "status", "page_count", F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), F.coalesce("n_list_items", F.lit(0)).alias("n_list_items"))
+
+
 # ---- HTML
 
 _BLOCKS = r"""raw as (select page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g') h from pages),

@@ -12,8 +12,8 @@ from leafmill import __version__ as VERSION
 from leafmill.config import Options
 from leafmill.functions.geometry import box, expanded
 from leafmill.functions.text import quality
-from leafmill.operators import assemble, layout, ocr, reading, status
-from leafmill.sources import formats
+from leafmill.operators import assemble, blocks, layout, ocr, reading, status
+from leafmill.sources import backends, formats
 from leafmill.storage import stored
 
 PAGE = ["doc_id", "page_no"]
@@ -90,8 +90,10 @@ class Engine:
         detections = self._staged("layout", o.layout, detections, pages)
         if detections is None:
             raise ValueError("no detections, and no layout stage is registered for these options")
-        mime, fmt = formats.detect_format(F.col("file"))
-        docs = formats.admit(inputs.withColumn("mime", mime).withColumn("format", fmt), o.limits)
+        if "format" not in inputs.columns:
+            mime, fmt = formats.detect_format(F.col("file"))
+            inputs = inputs.withColumn("mime", mime).withColumn("format", fmt)
+        docs = formats.admit(inputs, o.limits)
         docs = formats.gate(docs, o.allowed_formats or formats.FORMATS)
         expected = formats.expand_pages(docs.filter("status = 'pending'"), o.limits).select(*PAGE)
         outcome = stored(self._outcome(expected, pages, cells, detections), "page-outcome")
@@ -130,6 +132,40 @@ class Engine:
             status.raise_unless_ok(results)
         return Conversion(results, items, children, reading.all_pages(expected, todo), confidence, found if found is not None else done.limit(0))
 
+    def convert_files(self, spark: SparkSession, path: str, **settings) -> Conversion:
+        """Every file below ``path``, on any store that Spark reads (it lists no file of no bytes). doc_id: a hash of the path, which
+        ``results`` has as ``path``.
+        """
+        files = formats.read_files(spark, path).withColumn("doc_id", F.xxhash64("path"))
+        return self.convert_contents(files, **settings)
+
+    def convert_streams(self, rows: DataFrame, content_col: str, name_col: str, **settings) -> Conversion:
+        """Rows ``(doc_id, name, bytes)``; formats by the leading bytes, else by the name."""
+        return self.convert_contents(formats.from_streams(rows, content_col, name_col).withColumn("content", F.coalesce(F.col(content_col), F.lit(b""))), **settings)
+
+    def convert_contents(self, files: DataFrame, backend_options: dict[str, str] | None = None, raises_on_error: bool | None = False) -> Conversion:
+        """Input documents with ``content``: pages by the backend of their format, proposals by the layout stage registered, or from
+        the lines themselves, then as ``convert_all``. What cannot be opened, and pages that cannot be read, are errors of their document.
+
+        Contents are read once; the pages made of them are written, as several stages read them. Files that are too large or not
+        of an allowed format are not opened.
+        """
+        o = self.options
+        wanted = F.coalesce(F.col("format").isin(*(o.allowed_formats or formats.FORMATS)), F.lit(False))
+        if o.limits.enforce_file_size:
+            wanted &= F.col("filesize") <= o.limits.max_file_size
+        opened = files.filter(wanted).select(F.col("doc_id").cast("string").alias("file"), "format", "content")
+        made = stored(backends.read_pages(opened, backend_options), "read-pages")
+        made = made.withColumn("doc_id", F.col("file").cast("long")).drop("file")
+        read = made.filter("page_no is not null")
+        pages = read.select(*PAGE, "width", "height", F.lit(True).alias("backend_ok"), "error")
+        cells = read.select(*PAGE, F.explode("cells").alias("x")).select(*PAGE, "x.*", F.lit(False).alias("from_ocr"), F.lit(1.0).alias("conf"))
+        bitmaps = read.select(*PAGE, F.explode("bitmaps").alias("x")).select(*PAGE, "x.*")
+        counts = made.groupBy("doc_id").agg(F.max("page_no").alias("page_count"), F.max(F.when(F.isnull("page_no"), F.col("error"))).alias("open_error"))
+        inputs = files.drop("content").join(counts, "doc_id", "left")
+        detections = None if ("layout", type(o.layout)) in _stages else blocks.proposals(cells)
+        return self.convert_all(inputs, cells, detections, pages, bitmaps, raises_on_error=raises_on_error)
+
     def convert(self, doc_id: int, inputs: DataFrame, cells: DataFrame, detections: DataFrame, pages: DataFrame, **tables: DataFrame) -> Conversion:
         """One document: the filter reaches every scan. Further tables as for ``convert_all``."""
         one = [t.filter(F.col("doc_id") == doc_id) for t in (inputs, cells, detections, pages)]

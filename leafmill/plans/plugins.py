@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,3 +85,23 @@ def header_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHUNK_SQL = """select item_id, unnest(range((length(text) + 63) // 64)) as chunk, unnest([substr(text, cast(k * 64 + 1 as bigint), 64) for k in range((length(text) + 63) // 64)]) as part from benchmark"""
 HEADER_SQL = """select cast(page_id as varchar) as file, case when page_id % 2 = 0 then 'png' else 'jpeg' end as kind, page_id % 4000 + 1 as width, page_id % 300 + 1 as height, true as valid from pages"""
 SCORE_SQL = """select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double)) / 8.0 / sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as score from embeddings"""
+
+
+#: Lines of a page of ``pdf_documents``, and their pitch.
+PDF_LINES, PDF_PITCH = 60, 12
+
+
+def pdf_documents(docs: DataFrame) -> DataFrame:
+    """``(doc_id, name, content)``: each document's lines as a PDF, every other one without compression; null texts have one empty page."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from leafmill.sources.pdf import written
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                rows = (text or "").split("\n")
+                pages = [[(x.strip(), 72.0, 80.0 + PDF_PITCH * k) for k, x in enumerate(rows[n : n + PDF_LINES])] for n in range(0, len(rows), PDF_LINES)]
+                content = written(pages, packed=(doc_id or 0) % 2 == 0)
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([f"doc{doc_id}.pdf"]), pa.array([content], pa.binary())], names=["doc_id", "name", "content"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, name string, content binary")

@@ -138,12 +138,28 @@ _backends: dict[str, type[Backend]] = {"md": TextBackend, "csv": TextBackend, "i
 
 
 def register_backend(fmt: str, backend: type[Backend]) -> None:
-    """Use ``backend`` for a format; a PDF parser, say. A second one for a format is an error."""
+    """Use ``backend`` for a format. A second one for a format is an error."""
     if fmt in _backends:
         raise ValueError(f"a backend for {fmt} is registered already")
     _backends[fmt] = backend
 
 
+def known(fmt: str | None) -> type[Backend] | None:
+    """The backend of a format, or None."""
+    if "pdf" not in _backends:
+        import leafmill.sources.pdf
+
+        _backends["pdf"] = leafmill.sources.pdf.PdfBackend
+    return _backends.get(fmt)
+
+
+def backend_of(fmt: str | None) -> type[Backend]:
+    own = known(fmt)
+    if own is None:
+        raise ValueError(f"no backend for format {fmt}")
+    return own
+
+
 PAGES = "file string, page_no int, width double, height double, error string, cells array<struct<idx:int,text:string,l:double,t:double,r:double,b:double>>, bitmaps array<struct<rect_id:int,l:double,t:double,r:double,b:double>>"
 
 
@@ -153,17 +169,19 @@ def read_pages(files: DataFrame, options: dict[str, str] | None = None) -> DataF
     A file that cannot be opened, or whose format has no backend, is one row without a page number; a page
     that cannot be loaded has an error and no size.
     """
+    known(None)
     chosen, own = dict(_backends), options or {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [r for name, fmt, content in zip(batch["file"], batch["format"], batch["content"], strict=True) for r in _rows(name, chosen.get(fmt), fmt, content, own)]
+            rows = [r for name, fmt, content in zip(batch["file"], batch["format"], batch["content"], strict=True) for r in rows_of(name, chosen.get(fmt), fmt, content, own)]
             yield pd.DataFrame(rows, columns=["file", "page_no", "width", "height", "error", "cells", "bitmaps"]).astype({"page_no": "Int32"})
 
     return files.select("file", "format", "content").mapInPandas(run, PAGES)
 
 
-def _rows(name: str, backend: type[Backend] | None, fmt: str | None, content: bytes | None, options: dict[str, str]) -> Iterator[tuple]:
+def rows_of(name: str, backend: type[Backend] | None, fmt: str | None, content: bytes | None, options: dict[str, str], first: int = 1, last: int | None = None) -> Iterator[tuple]:
+    """Rows of the pages of one file, from ``first`` to ``last``."""
     try:
         if backend is None:
             raise ValueError(f"no backend for format {fmt}")
@@ -172,7 +190,7 @@ def _rows(name: str, backend: type[Backend] | None, fmt: str | None, content: by
     except Exception as e:  # whatever a parser raises belongs to this file
         yield name, None, None, None, f"{type(e).__name__}: {e}", None, None
         return
-    for number in range(1, count + 1):
+    for number in range(first, count + 1 if last is None else min(count, last) + 1):
         try:
             page = opened.page(number)
             cells = [{"idx": k, "text": x[0], "l": x[1], "t": x[2], "r": x[3], "b": x[4]} for k, x in enumerate(page.cells)]

@@ -107,6 +107,11 @@ def detect_format(name: Column, content: Column | None = None, stream: bool = Fa
     return mime, _looked_up(mime, format_of_mime())
 
 
+def format_of_name(name: str) -> str | None:
+    """The format of a file name, as ``detect_format`` has it for paths."""
+    return format_of_mime().get(mime_of_extension().get(name.rpartition(".")[2] if "." in name else "", DEFAULT_MIME))
+
+
 def content_hash(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
@@ -138,11 +143,11 @@ def expand_pages(docs: DataFrame, limits: Limits) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files as input documents: ``(file, filesize, content, mime, format, document_hash)``."""
-    raw = spark.read.format("binaryFile").load(path)
+    """Files as input documents: ``(path, file, filesize, content, mime, format, document_hash)``."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.substring_index("path", "/", -1)
     mime, fmt = detect_format(name, F.col("content"))
-    return raw.select(name.alias("file"), F.col("length").alias("filesize"), "content", mime.alias("mime"), fmt.alias("format"), content_hash(F.col("content")).alias("document_hash"))
+    return raw.select("path", name.alias("file"), F.col("length").alias("filesize"), "content", mime.alias("mime"), fmt.alias("format"), content_hash(F.col("content")).alias("document_hash"))
 
 
 def from_streams(rows: DataFrame, content_col: str, name_col: str) -> DataFrame:
