@@ -6,15 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.llm import decontaminate as seeds
-from leafmill.llm import pieces, simhash, suffix_dedup, toxicity
+from leafmill.llm import near_copies, pieces, suffix_dedup, toxicity
 
-#: Near copies: similarity of sets of five-word shingles, and differing bits of a 256-bit fingerprint up to which
-#: it is counted. Sets of similarity 0.8 lie 27 degrees apart: 39 of 256 bits with a deviation of 5.7, and four of these more.
-SHINGLE_WORDS, SIMILARITY, PRINT_BITS, PRINT_DISTANCE = 5, 0.8, 256, 62
+#: Near copies: words of a shingle, and the least similarity of two sets, in hundredths.
+SHINGLE_WORDS, SIMILARITY = 5, 80
 #: Repeated passages: words.
 REPEAT_WORDS = 50
-#: Benchmark items of fewer tokens are no sign of a leak by themselves.
-LEAK_TOKENS = 5
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +29,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts without words (null, empty, white space) are copies of each other. An empty table gives an empty one; all columns stay.
     """
-    return simhash.without_near_copies(docs, shingle_words=SHINGLE_WORDS, n_bits=PRINT_BITS, max_distance=PRINT_DISTANCE, similarity=SIMILARITY)
+    return near_copies.without_near_copies(docs, shingle_words=SHINGLE_WORDS, percent=SIMILARITY)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +54,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     and empty texts hold nothing; an empty table gives an empty one; all columns stay.
     """
     own = suffix_dedup.text_digest(F.col("text"))
-    found = seeds.overlaps(docs.select(own.alias("own digest"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="own digest", min_tokens=LEAK_TOKENS)
+    found = seeds.overlaps(docs.select(own.alias("own digest"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="own digest")
     return docs.join(found.select(F.col("id").alias("own digest")).distinct(), own == F.col("own digest"), "left_anti")
 
 

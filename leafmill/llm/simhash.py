@@ -19,9 +19,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
-from leafmill.llm.arrowtext import U64, lowered, mix64, released, sliced, utf8
+from leafmill.llm.arrowtext import U64, lowered, mix64, utf8
 from leafmill.operators.graph import connected_components
 from leafmill.storage import stored
 
@@ -199,22 +198,6 @@ def _as_prints(column: pa.Array, parts: int) -> np.ndarray:
     return raw.view(">u8").astype(U64).reshape(-1, parts) if len(raw) else np.zeros((0, parts), U64)
 
 
-def links_apart(keys: np.ndarray, prints: np.ndarray, labels: np.ndarray, most: int, small: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """Of the buckets over ``small``, every link between rows of different labels (others have all their pairs in ``links_of``)."""
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    sizes = np.diff(np.append(first, len(keys)))
-    src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for g in np.flatnonzero(sizes > small):
-        own = slice(first[g], first[g] + sizes[g])
-        if (labels[own] == labels[first[g]]).all():
-            continue
-        for x in range(own.start, own.stop - 1):
-            near = np.flatnonzero((labels[x + 1 : own.stop] != labels[x]) & (_popcount(prints[x + 1 : own.stop] ^ prints[x]) <= most))
-            src.append(np.full(len(near), x))
-            dst.append(near + x + 1)
-    return np.concatenate(src), np.concatenate(dst)
-
-
 #: Prints of one key that a task compares with each other; larger buckets are split by further bits.
 OVERSIZE = 4_000
 #: Bytes of a 64-bit print that a sub-key reads: prints within three bits agree on five of eight bytes.
@@ -228,27 +211,21 @@ def exact_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.tile(np.arange(len(prints)), len(SUBSETS)), np.concatenate(keys)
 
 
-def golay_links(prints: DataFrame, n_bits: int = 64, max_distance: int = 3, tail: int = 0, oversize: int = OVERSIZE) -> DataFrame:
+def golay_links(prints: DataFrame, n_bits: int = 64, max_distance: int = 3, oversize: int = OVERSIZE) -> DataFrame:
     """Verified links ``(src, dst)`` between different fingerprints (column ``fp``, distinct values).
 
     Exact for ``n_bits=64, max_distance=3``; there, prints of a key that over ``oversize`` prints share are compared
-    by ``exact_keys`` instead. Wider prints are joined through the keys of each 64-bit
-    part and verified on all bits: a link is found if some part has a pair of segments with two
-    differing bits or fewer. The last ``tail`` 64-bit words of fp tell prints apart but are not compared.
-
-    Buckets of over 24 prints give a spanning forest. With a column ``label`` (long) they give every link
-    between different labels instead, and smaller buckets none.
+    by ``exact_keys`` instead (of those that share such a key, 24 bits are left: 2**24 prints at most, 134 MB). Wider prints are
+    joined through the keys of each 64-bit part and verified on all bits: a link is found if some part has a pair of segments
+    with two differing bits or fewer. Buckets of over 24 prints give a spanning forest.
     """
     parts = n_bits // 64
-    wide = parts + tail
-    labelled = "label" in prints.columns
-    columns, schema = (["key", "fp", "label"], "key long, fp binary, label long") if labelled else (["key", "fp"], "key long, fp binary")
-    splits = parts == 1 and max_distance <= 3 and not labelled
+    columns, schema = ["key", "fp"], "key long, fp binary"
 
     def spread(keys_of):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows, keys = keys_of(_as_prints(batch.column(0), wide)[:, :parts])
+                rows, keys = keys_of(_as_prints(batch.column(0), parts))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *(c.take(pa.array(rows)) for c in batch.columns)], names=columns)
 
         return run
@@ -260,13 +237,13 @@ def golay_links(prints: DataFrame, n_bits: int = 64, max_distance: int = 3, tail
 
             def sides(pairs: np.ndarray) -> list[pa.Array]:
                 big = pairs.astype(">u8")
-                return [pa.array([x.tobytes() for x in big[:, k * wide : (k + 1) * wide]], pa.binary()) for k in range(big.shape[1] // wide)]
+                return [pa.array([x.tobytes() for x in big[:, k * parts : (k + 1) * parts]], pa.binary()) for k in range(big.shape[1] // parts)]
 
             def passed_on(fps: np.ndarray) -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([*sides(fps), pa.nulls(len(fps), pa.binary())], names=["src", "dst"])
 
             def done(parted: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-                keys, fps, *labels = (np.concatenate(c) for c in zip(*parted, strict=True))
+                keys, fps = (np.concatenate(c) for c in zip(*parted, strict=True))
                 if most:
                     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
                     sizes = np.diff(np.append(first, len(keys)))
@@ -274,7 +251,7 @@ def golay_links(prints: DataFrame, n_bits: int = 64, max_distance: int = 3, tail
                     if over.any():
                         yield passed_on(fps[over])
                         keys, fps = keys[~over], fps[~over]
-                a, b = links_apart(keys, fps[:, :parts], labels[0], max_distance) if labelled else links_of(keys, fps[:, :parts], max_distance)
+                a, b = links_of(keys, fps, max_distance)
                 pairs = np.concatenate([fps[a], fps[b]], axis=1)
                 if len(pairs):
                     pairs = np.unique(pairs, axis=0)
@@ -283,7 +260,7 @@ def golay_links(prints: DataFrame, n_bits: int = 64, max_distance: int = 3, tail
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                keys, fps = batch.column(0).to_numpy(), _as_prints(batch.column(1), wide)
+                keys, fps = batch.column(0).to_numpy(), _as_prints(batch.column(1), parts)
                 if large is not None:
                     n = int(np.searchsorted(keys, large, side="right")) if keys[0] == large else 0
                     if n:
@@ -292,15 +269,14 @@ def golay_links(prints: DataFrame, n_bits: int = 64, max_distance: int = 3, tail
                     if not len(keys):
                         continue
                     large = None
-                every = (keys, fps, batch.column(2).to_numpy()) if labelled else (keys, fps)
                 cut = int(np.searchsorted(keys, keys[-1]))
                 if cut:
-                    yield from done([*held, tuple(c[:cut] for c in every)])
+                    yield from done([*held, (keys[:cut], fps[:cut])])
                     held = []
                 elif held and held[-1][0][-1] != keys[-1]:
                     yield from done(held)
                     held = []
-                held.append(tuple(c[cut:] for c in every))
+                held.append((keys[cut:], fps[cut:]))
                 if most and sum(len(h[0]) for h in held) > most:
                     yield passed_on(np.concatenate([h[1] for h in held]))
                     held, large = [], keys[-1]
@@ -313,7 +289,7 @@ def golay_links(prints: DataFrame, n_bits: int = 64, max_distance: int = 3, tail
         keyed = nodes.select(*columns[1:]).mapInArrow(spread(keys_of), schema)
         return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(link(most), "src binary, dst binary").distinct()
 
-    if not splits:
+    if parts > 1 or max_distance > 3:
         return linked(prints, golay_keys, None)
     found = stored(linked(prints, golay_keys, oversize), "golay-links")
     left = found.filter("dst is null").select(F.col("src").alias("fp"))
@@ -339,97 +315,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return prints.join(ids, "fp").select("id", "fp", "component_id")
 
 
-#: 64-bit words of the digest that follows a print in ``set_prints``.
-DIGEST = 2
-
-
-def set_prints(docs: DataFrame, text_col: str, shingle_words: int, n_bits: int) -> DataFrame:
-    """``(row, fp)``: rows as structs, and the fingerprint of each text's distinct shingles with a 128-bit digest of their set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 1):
-            raw, at = utf8(batch.column(1))
-            data = lowered(raw).tobytes()
-            prints = []
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                h = np.unique(shingles(data[a:b], shingle_words))
-                prints.append(_majority(h, n_bits // 64).tobytes() + xxhash.xxh3_128_digest(h.tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], names=["row", "fp"])
-
-    source = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    schema = StructType([StructField("row", docs.schema), StructField("fp", BinaryType())])
-    return source.mapInArrow(lambda batches: released(run(batches)), schema)
-
-
-def similar_links(links: DataFrame, texts: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """Those links ``(src, dst)`` whose texts ``(fp, text)`` have a Jaccard similarity of distinct shingles of ``similarity`` or more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, U64))
-        for batch in sliced(sliced(batches, "a"), "b"):
-            (raw_a, at_a), (raw_b, at_b) = utf8(batch.column(2)), utf8(batch.column(3))
-            one, two = lowered(raw_a).tobytes(), lowered(raw_b).tobytes()
-            keep = np.zeros(batch.num_rows, bool)
-            for k, src in enumerate(batch.column(0).to_pylist()):
-                if src != last[0]:
-                    last = src, np.unique(shingles(one[at_a[k] : at_a[k + 1]], shingle_words))
-                other = np.unique(shingles(two[at_b[k] : at_b[k + 1]], shingle_words))
-                both = len(np.intersect1d(last[1], other, assume_unique=True))
-                every = len(last[1]) + len(other) - both
-                keep[k] = every > 0 and both >= similarity * every
-            yield batch.select(["src", "dst"]).filter(pa.array(keep))
-
-    a, b = (texts.select(F.col("fp").alias(end), F.col("text").alias(name)) for end, name in (("src", "a"), ("dst", "b")))
-    return links.join(b, "dst").join(a, "src").select("src", "dst", "a", "b").mapInArrow(run, "src binary, dst binary")
-
-
-def _near_groups(docs: DataFrame, id_col: str, text_col: str, shingle_words: int, n_bits: int, max_distance: int, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Rows ``(row, id, fp, nth)``, nth telling them apart, and ``(fp, component, component_id)`` of every print."""
-    prints = set_prints(docs, text_col, shingle_words, n_bits).select("row", F.col(f"row.`{id_col}`").cast("long").alias("id"), "fp")
-    prints = stored(prints.withColumn("nth", F.monotonically_increasing_id()), "near-prints")
-    unique = stored(prints.groupBy("fp").agg(F.min("id").alias("first_id")), "near-unique")
-
-    def proposed(nodes: DataFrame) -> DataFrame:
-        links = golay_links(nodes, n_bits, max_distance, DIGEST)
-        return links.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
-
-    links = stored(proposed(unique), "near-links")
-    linked = stored(links.select(F.col("src").alias("fp")).union(links.select(F.col("dst").alias("fp"))).distinct(), "near-linked")
-    texts = prints.select("fp", F.col(f"row.`{text_col}`").cast("string").alias("text"))
-    texts = stored(texts.join(linked, "fp", "left_semi").groupBy("fp").agg(F.first("text").alias("text")), "near-texts")
-    kept = stored(similar_links(links, texts, shingle_words, similarity), "near-kept")
-    labels = connected_components(kept).select(F.col("node").alias("fp"), "component")
-    if kept.count() < links.count():
-        apart = linked.join(labels, "fp", "left").select("fp", F.xxhash64(F.coalesce("component", "fp")).alias("label"))
-        more = stored(proposed(apart).join(links, ["src", "dst"], "left_anti"), "near-more")
-        if not more.isEmpty():
-            found = similar_links(more, texts, shingle_words, similarity)
-            labels = connected_components(kept.union(found)).select(F.col("node").alias("fp"), "component")
-    classes = unique.join(labels, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    roots = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return prints, classes.join(roots, "component").select("fp", "component", "component_id")
-
-
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, n_bits: int = 256, max_distance: int = 62, similarity: float = 0.8) -> DataFrame:
-    """``(id, component_id)`` for every row: the smallest id reached over links of ``similarity`` or more.
-
-    The fingerprint of the distinct shingles only proposes links, at up to ``max_distance`` bits; each is
-    recounted on the shingles of the two texts. One node stands for all texts of one shingle set. Where a dense
-    bucket proposed a forest and some of its links fail, all of its links between what is still apart are
-    proposed and recounted too. A pair that shares no Golay key is not found. Nulls as in ``simhash_groups``.
-    """
-    prints, ids = _near_groups(docs, id_col, text_col, shingle_words, n_bits, max_distance, similarity)
-    return prints.select("id", "fp").join(ids, "fp").select("id", "component_id")
-
-
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, n_bits: int = 256, max_distance: int = 62, similarity: float = 0.8) -> DataFrame:
-    """One whole row of each group of ``near_copies``: one with the smallest id (null last). Repeated rows count once."""
-    prints, ids = _near_groups(docs, id_col, text_col, shingle_words, n_bits, max_distance, similarity)
-    own = prints.select("id", "fp", "nth").join(ids, "fp").filter(F.col("id").eqNullSafe(F.col("component_id")))
-    leaders = own.groupBy("component").agg(F.min("nth").alias("nth")).select("nth")
-    return prints.select("nth", "row").join(leaders, "nth", "left_semi").select("row.*")
-
-
 def query(spark, sf_dir: str) -> DataFrame:
     groups = simhash_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return groups.select(F.col("id").alias("doc_id"), F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

@@ -1,36 +1,43 @@
-"""Near copies of the pipeline: links are recounted on the shingles, whatever the fingerprint says."""
+"""Near copies of the pipeline: every link by brute force, whatever the fingerprint says."""
 
 from __future__ import annotations
 
 import random
 
-import numpy as np
+from leafmill.llm import near_copies
+from test_ngram_join import brute
 
-from leafmill.llm import simhash
 
-
-def test_links_are_recounted(spark):
+def corpus() -> list[tuple]:
     rng = random.Random(4)
-    rows, want, at = [], {}, 0
-    for pair in range(60):
+    rows, at = [], 0
+    for pair in range(30):
         words = [f"w{rng.randrange(10**6)}" for _ in range(204)]
         # one changed word changes five of 200 shingles: 4 leave 0.818, 5 leave 0.778
         changed = list(words)
         for k in range(4 + pair % 2):
             changed[20 + 30 * k] = "changed"
         rows += [(at, " ".join(words)), (at + 1, " ".join(changed))]
-        want[at + 1] = at if pair % 2 == 0 else at + 1
         at += 2
-    rows += [(900, None), (901, ""), (None, rows[0][1]), (902, rows[0][1])]
-    got = {r.id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    right = [got[k] == v for k, v in want.items()]
-    below = [got[k] == v for k, v in want.items() if k == v]
-    assert all(below) and sum(right) >= 55  # what shares no Golay key is not found
-    assert got[901] == got[900] == 900 and got[None] == got[902] == 0
-
-
-def test_dense_bucket_gives_all_links_apart():
-    prints = np.zeros((40, 1), np.uint64)
-    labels = np.array([0] * 39 + [1])
-    a, b = simhash.links_apart(np.zeros(40, np.int64), prints, labels, 3)
-    assert set(zip(a.tolist(), b.tolist())) == {(k, 39) for k in range(39)}
+    base = [f"b{k}" for k in range(150)]
+    for _ in range(40):  # one large group, from near to far
+        own = list(base)
+        for _ in range(rng.randrange(1, 9)):
+            own[rng.randrange(len(own))] = f"y{rng.randrange(50)}"
+        rows.append((at, " ".join(own)))
+        at += 1
+    return rows + [(None, rows[0][1]), (902, rows[0][1]), (903, "one two"), (904, "ONE two")]
+
+
+def test_all_links_by_brute_force(spark):
+    rows = corpus()
+    frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, digest string").repartition(3)
+    got = sorted(((r.id, r.component_id) for r in near_copies.near_copies(frame).collect()), key=str)
+    assert got == sorted(((i, c) for i, _, c, _ in brute(rows, 5, 80)), key=str)
+
+
+def test_texts_without_words_are_copies(spark):
+    rows = [(5, None, "a"), (4, "", "b"), (6, " \n", "c"), (7, "word", "d"), (None, "word", "e"), (7, "word", "d")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n string")
+    out = near_copies.without_near_copies(frame)
+    assert out.columns == ["doc_id", "text", "n"] and sorted(tuple(r) for r in out.collect()) == [(4, "", "b"), (7, "word", "d")]
