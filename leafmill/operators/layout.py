@@ -1,7 +1,7 @@
 """Layout clean-up: cell assignment, overlap resolution, containment.
 
-Tables are keyed by (doc_id, page_no). What must be decided together on a page (components, group winners)
-is gathered there once per pass as an array and settled by higher-order functions; pages bound the arrays.
+Tables are keyed by (doc_id, page_no). Overlapping clusters are found by a spatial join over tiles of a page, and only what
+overlaps is grouped and settled together, as an array of its group; all other clusters pass by as rows.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from leafmill.config import LayoutOptions
 from leafmill.functions.geometry import area, box, fields, over_self, overlaps
 from leafmill.functions.text import strip
+from leafmill.operators.graph import connected_components
 from leafmill.operators.ocr import member, merged_sets
 from leafmill.storage import stored
 
@@ -115,12 +116,62 @@ def tightened(clusters: DataFrame) -> DataFrame:
     return clusters.withColumns(_tight())
 
 
+#: Clusters to a tile, about; a page of fewer than four times as many is one tile.
+TILE = 16
+
+
+def tiled(clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clusters by the tile of their centre, and by every tile that they touch: ``tx``, ``ty`` in a grid of the page's clusters of a class."""
+    page = Window.partitionBy(*PAGE, "cls")
+    side = F.greatest(F.floor(F.sqrt(F.count("*").over(page) / TILE)), F.lit(1))
+    own = clusters.withColumns({"side": side, "x0": F.min("l").over(page), "y0": F.min("t").over(page), "x1": F.max("r").over(page), "y1": F.max("b").over(page)})
+
+    def place(at: Column, axis: str) -> Column:
+        part = F.try_divide(at - F.col(f"{axis}0"), F.col(f"{axis}1") - F.col(f"{axis}0"))
+        return F.greatest(F.least(F.floor(F.coalesce(part, F.lit(0.0)) * F.col("side")), F.col("side") - 1), F.lit(0))
+
+    extra = ("side", "x0", "y0", "x1", "y1")
+    centres = own.withColumns({"tx": place((F.col("l") + F.col("r")) / 2, "x"), "ty": place((F.col("t") + F.col("b")) / 2, "y")}).drop(*extra)
+    whole = own.filter("l <= r and t <= b")
+    spread = whole.withColumn("tx", F.explode(F.sequence(place(F.col("l"), "x"), place(F.col("r"), "x")))).withColumn("ty", F.explode(F.sequence(place(F.col("t"), "y"), place(F.col("b"), "y")))).drop(*extra)
+    return centres, spread
+
+
 def overlap_pairs(clusters: DataFrame) -> DataFrame:
-    """``(page, a, b)``, a < b: clusters of a class that overlap strongly; two orphans never do."""
-    x, y = clusters.alias("x"), clusters.alias("y")
+    """``(page, cls, a, b)``, a < b: clusters of a class that overlap strongly; two orphans never do.
+
+    Of two that do, the smaller one lies by over four fifths in the larger one, so its centre does: each pair is found once, in the
+    one tile of that centre.
+    """
+    boxes = clusters.select(*PAGE, "cls", "id", "is_orphan", *"ltrb")
+    centres, spread = tiled(boxes)
+    x, y = centres.alias("x"), spread.alias("y")
     free = ~(F.col("x.is_orphan") & F.col("y.is_orphan"))
-    pairs = x.join(y, [*on_page("x", "y"), F.col("x.cls") == F.col("y.cls"), F.col("x.id") < F.col("y.id"), free, overlaps(box("x."), box("y."))])
-    return pairs.select("x.doc_id", "x.page_no", "x.cls", F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    small, large = area(box("x.")), area(box("y."))
+    smaller = (small < large) | (small == large) & (F.col("x.id") < F.col("y.id"))
+    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in (*PAGE, "cls", "tx", "ty")]
+    pairs = x.join(y, [*same, F.col("x.id") != F.col("y.id"), smaller, free, overlaps(box("x."), box("y."))])
+    return pairs.select("x.doc_id", "x.page_no", "x.cls", F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+#: Pairs of a page up to which its groups are folded in one row.
+FOLDED = 64
+KEY = (*PAGE, "cls")
+
+
+def group_roots(pairs: DataFrame) -> DataFrame:
+    """``(page, cls, id, root)``: for all members of pairs (stored, as they are read several times) the smallest id of their group."""
+    counted = Window.partitionBy(*KEY)
+    sized = pairs.withColumn("n", F.count("*").over(counted))
+    pages = sized.filter(F.col("n") <= FOLDED).groupBy(*KEY).agg(F.collect_list(F.array("a", "b")).alias("edges"))
+    parts = merged_sets(F.array_distinct(F.flatten("edges")), F.col("edges"))
+    roots = pages.select(*KEY, F.explode(parts).alias("part")).select(*KEY, F.explode("part").alias("id"), F.array_min("part").alias("root"))
+    dense = sized.filter(F.col("n") > FOLDED)
+    if dense.isEmpty():
+        return roots
+    node = lambda c: F.struct(*KEY, F.col(c).alias("id"))
+    found = connected_components(dense.select(node("a").alias("src"), node("b").alias("dst")))
+    return roots.unionByName(found.select(*(F.col(f"node.{k}").alias(k) for k in KEY), F.col("node.id").alias("id"), F.col("component.id").alias("root")))
 
 
 def preferred(candidate: Column, other: Column, ratio_limit: Column, conf_limit: Column) -> Column:
@@ -143,21 +194,16 @@ def _limits(cls: Column, which: int) -> Column:
 MEMBER = ("ord", "id", "label", "l", "t", "r", "b", "conf", "is_orphan", "cells")
 
 
-def _components() -> Column:
-    """Sets of ids of a page's clusters ``cs`` that overlap strongly."""
-
-    def edge(a):
-        near = F.filter("cs", lambda b: (b["id"] > a["id"]) & ~(a["is_orphan"] & b["is_orphan"]) & overlaps(fields(a), fields(b)))
-        return F.transform(near, lambda b: F.array(a["id"], b["id"]))
+def _labelled(clusters: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """Clusters with the ``root`` of their group; null where they overlap none."""
+    return clusters.join(group_roots(stored(overlap_pairs(clusters), "overlaps") if pairs is None else pairs), [*KEY, "id"], "left")
 
-    return merged_sets(F.transform("cs", lambda c: c["id"]), F.flatten(F.transform("cs", edge)))
 
-
-def grouped(clusters: DataFrame, components: Column | None = None) -> DataFrame:
-    """``(page, cls, members)``: connected groups of strongly overlapping clusters, members in list order."""
-    page = clusters.groupBy(*PAGE, "cls").agg(F.sort_array(F.collect_list(F.struct(*MEMBER))).alias("cs"))
-    page = page.withColumn("part", F.explode(_components() if components is None else components))
-    return page.select(*PAGE, "cls", F.filter("cs", lambda c: F.array_contains("part", c["id"])).alias("members"))
+def grouped(clusters: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """``(page, cls, members)``: connected groups of strongly overlapping clusters, also of one, members in list order."""
+    own = _labelled(clusters, pairs)
+    groups = own.groupBy(*KEY, F.coalesce("root", "id").alias("root")).agg(F.sort_array(F.collect_list(F.struct(*MEMBER))).alias("members"))
+    return groups.drop("root")
 
 
 def winner(members: Column, cls: Column) -> Column:
@@ -173,27 +219,36 @@ def winner(members: Column, cls: Column) -> Column:
     return F.when(F.size(stands) > 0, F.aggregate(rest, F.get(stands, F.lit(0)), fold)).otherwise(F.get(members, F.lit(0)))
 
 
-def _merging() -> tuple[Column, list[Column]]:
-    """The expressions of ``merged``: components, and what a group's members become. Large, so passes share them."""
+def merged(clusters: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """One cluster of each group, with the cells of all, in the place of the group's first; ``joined`` tells those of several."""
+    own = _labelled(clusters, pairs)
+    columns = (*PAGE, "id", "label", *"ltrb", "conf", "cells", "is_orphan", "ord", "cls")
+    alone = own.filter("root is null").select(*columns, F.lit(False).alias("joined"))
+    groups = own.filter("root is not null").groupBy(*KEY, "root").agg(F.sort_array(F.collect_list(F.struct(*MEMBER))).alias("members"))
     cells = F.array_sort(F.array_distinct(F.flatten(F.transform("members", lambda m: m["cells"]))))
     first = F.array_min(F.transform("members", lambda m: m["ord"]))
     # a generator of one row: the winner is worked out once, not once for each of its fields
-    return _components(), [cells.alias("cells"), first.alias("ord"), F.explode(F.array(winner(F.col("members"), F.col("cls")))).alias("best")]
-
-
-def merged(clusters: DataFrame, merging: tuple[Column, list[Column]] | None = None) -> DataFrame:
-    """One cluster of each group, with the cells of all, in the place of the group's first."""
-    components, taken = merging or _merging()
-    best = grouped(clusters, components).select(*PAGE, "cls", *taken)
-    return best.select(*PAGE, *(F.col(f"best.{c}").alias(c) for c in ("id", "label", *"ltrb", "conf")), "cells", F.col("best.is_orphan").alias("is_orphan"), "ord", "cls")
+    best = groups.select(*KEY, cells.alias("cells"), first.alias("ord"), F.explode(F.array(winner(F.col("members"), F.col("cls")))).alias("best"))
+    best = best.select(*PAGE, *(F.col(f"best.{c}").alias(c) for c in ("id", "label", *"ltrb", "conf")), "cells", F.col("best.is_orphan").alias("is_orphan"), "ord", "cls", F.lit(True).alias("joined"))
+    return alone.unionByName(best)
 
 
 def refined(clusters: DataFrame, passes: int = 3) -> DataFrame:
-    """Tighten and merge until nothing changes, three times at most (a pass over settled pages changes nothing)."""
-    out, tight, merging = clusters.withColumn("cls", F.lit("regular")), _tight(), _merging()
-    for _ in range(passes):
-        out = merged(out.withColumns(tight), merging)
-    return out
+    """Tighten and merge until nothing changes, ``passes`` times at most.
+
+    After the first pass only clusters that came of a merge can have changed, so only pairs with one of them are looked for, on
+    pages that have one. Every pass that merges writes its clusters; one that finds no pair ends the work.
+    """
+    out = stored(clusters.withColumn("cls", F.lit("regular")).withColumns(_tight()).withColumn("joined", F.lit(True)), "tight-clusters")
+    for done in range(passes):
+        live = out.join(out.filter("joined").select(*PAGE).distinct(), list(PAGE), "left_semi") if done else out
+        pairs = stored(overlap_pairs(live), "overlaps")
+        if pairs.isEmpty():
+            break
+        out = merged(out, pairs)
+        if done < passes - 1:
+            out = stored(out.withColumns(_tight()), "merged-clusters")
+    return out.drop("joined")
 
 
 def without_table_twins(specials: DataFrame, regulars: DataFrame) -> DataFrame:
@@ -236,7 +291,7 @@ def special_boxes(specials: DataFrame, kids: DataFrame) -> DataFrame:
 def deoverlapped(specials: DataFrame) -> DataFrame:
     """Pictures and wrappers, each class among its own."""
     own = specials.withColumn("cls", box_class()).withColumn("is_orphan", F.lit(False)).withColumn("ord", F.col("id"))
-    return merged(own)
+    return merged(own).drop("joined")
 
 
 def final(regulars: DataFrame, specials: DataFrame, kids: DataFrame) -> DataFrame:
@@ -263,7 +318,7 @@ def page_scores(clusters: DataFrame, cells: DataFrame, pages: DataFrame) -> Data
 def clean(dets: DataFrame, cells: DataFrame, pages: DataFrame, options: LayoutOptions = LayoutOptions()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Refined regular clusters, special ones with their boxes and cells, and the children that link them.
 
-    The regular clusters are read three times from here on, so they are written to the shared folder once.
+    Both are read several times from here on, so they are written to the shared folder once.
     """
     kept = gated(ingest(dets))
     regular = remapped(kept.filter(~is_special()))
@@ -276,7 +331,7 @@ def clean(dets: DataFrame, cells: DataFrame, pages: DataFrame, options: LayoutOp
     special = not_full_page(kept.filter(is_special()).select(*PAGE, "id", "label", *"ltrb", "conf"), pages)
     special = without_table_twins(special, regular)
     kids = children(special, regular)
-    return regular, special_boxes(special, kids), kids
+    return regular, stored(special_boxes(special, kids), "special-clusters"), kids
 
 
 def postprocess(dets: DataFrame, cells: DataFrame, pages: DataFrame, options: LayoutOptions = LayoutOptions()) -> DataFrame:
