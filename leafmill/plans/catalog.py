@@ -15,7 +15,7 @@ from leafmill.operators import assemble, layout, ocr, reading, status
 from leafmill.plans import oracle as o
 from leafmill.plans import plugins
 from leafmill.plans.engine import Engine
-from leafmill.sources import backends, formats, html
+from leafmill.sources import backends, formats, html, markup
 from leafmill.sources import text_pages as tp
 from leafmill.storage import stored
 
@@ -823,5 +823,21 @@ def _(t):
 
 # ---- plug-ins
 
+@query("html_items", r"""
+with raw as (select page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', '', 'g') h from pages),
+tx as (select page_id, h, regexp_replace(replace(replace(replace(replace(regexp_replace(h, '(?s)<[^>]*>', '', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\s', '', 'g') squeezed from raw)
+select page_id, len(regexp_extract_all(h, '(?i)<title\b')) as n_titles, len(regexp_extract_all(h, '(?i)<h[1-6]\b')) as n_headings, len(regexp_extract_all(h, '(?i)<[uo]l\b')) as n_lists, len(regexp_extract_all(h, '(?i)<li\b')) as n_list_items,
+  len(regexp_extract_all(h, '(?i)<li\b')) as n_in_lists, sha256(squeezed) as squeezed_sha256 from tx where squeezed <> ''""")
+def _(t):
+    """Items of whole pages: counts by type, list items whose parent is a list, and a digest of all text without its white space."""
+    made = markup.items(t("pages"), "page_id", "html")
+    lists = made.filter("type in ('list', 'ordered_list')").select("page_id", F.col("ord").alias("list"))
+    inside = made.filter("type = 'list_item'").join(lists, ["page_id"]).filter("parent = list").groupBy("page_id").agg(F.count("*").alias("n_in_lists"))
+    counts = {"n_titles": "title", "n_headings": "section_header", "n_list_items": "list_item"}
+    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "")
+    out = made.groupBy("page_id").agg(*(F.count_if(F.col("type") == v).alias(k) for k, v in counts.items()), F.count_if(F.col("type").isin("list", "ordered_list")).alias("n_lists"), F.sha2(F.regexp_replace(whole, r"(?U)\s", ""), 256).alias("squeezed_sha256"))
+    return out.join(inside, "page_id", "left").withColumn("n_in_lists", F.coalesce("n_in_lists", F.lit(0)))
+
+
 QUERIES |= {"batch_scorer": plugins.scored_embeddings, "udtf_chunks": plugins.chunked_documents, "binary_image_headers": plugins.header_sizes}
 ORACLE_SQL |= {"batch_scorer": plugins.SCORE_SQL, "udtf_chunks": plugins.CHUNK_SQL, "binary_image_headers": plugins.HEADER_SQL}

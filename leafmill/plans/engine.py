@@ -13,7 +13,7 @@ from leafmill.config import Options
 from leafmill.functions.geometry import box, expanded
 from leafmill.functions.text import quality
 from leafmill.operators import assemble, blocks, layout, ocr, reading, status
-from leafmill.sources import backends, formats
+from leafmill.sources import backends, formats, markup
 from leafmill.storage import stored
 
 PAGE = ["doc_id", "page_no"]
@@ -47,6 +47,14 @@ class Conversion:
     regions: DataFrame
 
 
+@dataclass(frozen=True)
+class Declared:
+    """Results and items of documents that declare their structure."""
+
+    results: DataFrame
+    items: DataFrame
+
+
 class Engine:
     """Converts tables of documents: ``inputs`` with doc_id, file, filesize, page_count; their cells and detections."""
 
@@ -182,8 +190,19 @@ class Engine:
         wanted = items.filter(F.col("type").isin(*o.types)).select("doc_id", "seq", "type", "text").join(crops, ["doc_id", "seq"])
         return items.join(stage_for("enrichment", o)(wanted, o).select("doc_id", "seq", "enrichment"), ["doc_id", "seq"], "left")
 
-    def convert_string(self, rows: DataFrame, content_col: str, fmt: str, name_col: str | None = None) -> DataFrame:
-        return formats.from_strings(rows, content_col, fmt, name_col)
+    def convert_string(self, rows: DataFrame, content_col: str, fmt: str, name_col: str | None = None) -> Declared:
+        """Rows ``(doc_id, text)`` of HTML or Markdown: each row's result and its items with their parents."""
+        files = formats.from_strings(rows, content_col, fmt, name_col)
+        return self.convert_markup(files, content_col)
+
+    def convert_markup(self, files: DataFrame, content_col: str) -> Declared:
+        """Input documents of a declarative format: nothing is laid out, structure comes from the markup. Items are written once."""
+        made = stored(markup.items(files, "doc_id", content_col, "format"), "markup-items")
+        ref = lambda c: F.concat(F.lit("#/"), F.col(c).cast("string"))
+        items = made.filter("error is null").select("doc_id", F.col("ord").alias("seq"), ref("ord").alias("item_ref"), F.coalesce(ref("parent"), ref("heading")).alias("parent_ref"), "type", "level", F.col("layer").alias("content_layer"), "row", "col", "row_span", "col_span", "text")
+        errors = made.filter("error is not null").groupBy("doc_id").agg(F.min("error").alias("error"))
+        status = F.when(F.col("error").isNull(), "success").otherwise("failure")
+        return Declared(files.drop(content_col).join(errors, "doc_id", "left").withColumn("status", status), items)
 
 
 _engines: dict[str, Engine] = {}
