@@ -51,6 +51,11 @@ class TableOptions:
     mode: str = "accurate"
 
 
+@dataclass(frozen=True)
+class GridOptions:
+    """Tables by where their texts stand; the stage for it is built in."""
+
+
 @dataclass(frozen=True)
 class FigureOptions:
     """Passed to the figure stage registered for this type."""
@@ -71,7 +76,7 @@ class Options:
     limits: Limits = field(default_factory=Limits)
     layout: LayoutOptions = field(default_factory=LayoutOptions)
     ocr: OcrOptions = field(default_factory=OcrOptions)
-    table: TableOptions = field(default_factory=TableOptions)
+    table: TableOptions | GridOptions = field(default_factory=TableOptions)
     figure: FigureOptions = field(default_factory=FigureOptions)
     enrichment: EnrichmentOptions = field(default_factory=EnrichmentOptions)
     allowed_formats: tuple[str, ...] | None = None

@@ -9,16 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill import __version__ as VERSION
-from leafmill.config import Options
+from leafmill.config import GridOptions, Options
 from leafmill.functions.geometry import box, expanded
 from leafmill.functions.text import quality
 from leafmill.operators import assemble, blocks, layout, ocr, reading, status
+from leafmill.operators import tables as grids
 from leafmill.sources import backends, formats, markup
 from leafmill.storage import stored
 
 PAGE = ["doc_id", "page_no"]
 
-_stages: dict[tuple[str, type], Callable] = {}
+_stages: dict[tuple[str, type], Callable] = {("table", GridOptions): grids.stage}
 
 
 def register_stage(kind: str, options_type: type, run: Callable[..., DataFrame]) -> None:
@@ -131,7 +132,11 @@ class Engine:
         items = self._enriched(items, ordered)
         children = reading.child_items(kids, ordered.select(*PAGE, "id", "kind", "num_rows"), own)
         parse = own.filter(~F.col("from_ocr")).withColumn("q", quality(F.col("text"))).groupBy(*PAGE).agg(F.expr("percentile(q, 0.1)").alias("parse_score"))
-        scored = layout.page_scores(clusters, own, todo).join(parse, PAGE, "left").withColumn("table_score", F.lit(None).cast("double"))
+        scored = layout.page_scores(clusters, own, todo).join(parse, PAGE, "left")
+        if tables is not None and "score" in tables.columns:
+            scored = scored.join(tables.groupBy(*PAGE).agg(F.avg("score").alias("table_score")), PAGE, "left")
+        else:
+            scored = scored.withColumn("table_score", F.lit(None).cast("double"))
         confidence = status.page_confidence(scored)
         made = status.document_status(outcome, F.col("timed_out")).join(status.page_errors(outcome), "doc_id", "left")
         made = made.join(status.document_confidence(confidence), "doc_id", "left").withColumnRenamed("status", "page_status")
