@@ -1,6 +1,6 @@
 """Quality rules: fixed base rules, then a calibrated n-gram logistic model with a fixed threshold.
 
-Features are hashed words, word pairs and byte 4-grams, each kind mean-pooled over the whole text, in one
+Features are hashed words, word pairs and runs of four characters (code points), each kind mean-pooled over the whole text, in one
 table of 2**18 weights. The model is fitted on a bounded sample of labelled rows, and its logit is mapped to
 a probability (Platt scaling) on a third of that sample that the fit does not see.
 """
@@ -24,7 +24,9 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 #: The characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
-#: Scale of a kind's mean-pooled features: words, word pairs, byte 4-grams.
+#: Characters of a gram.
+GRAM = 4
+#: Scale of a kind's mean-pooled features: words, word pairs, grams of characters.
 SCALES = (12.0, 12.0, 24.0)
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
@@ -108,20 +110,12 @@ class Texts:
         same = row[:-1] == row[1:]
         pairs = (mix64(w[:-1] * U64(3) + w[1:]) >> shift)[same]
         pair_at = np.concatenate([[0], np.cumsum(same)])[np.minimum(self.word_at, len(same))] if len(w) else np.zeros(len(self.at), np.int64)
-        raw = self.raw.astype(np.uint32)
-        if len(raw) >= 4:
-            four = raw[:-3] | raw[1:-2] << 8 | raw[2:-1] << 16 | raw[3:] << 24
-            grams = (four * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
-            gram_at = np.minimum(self.at, len(grams))
-            # grams that run into the next row belong to no row
-            lengths = np.maximum(0, np.diff(self.at) - 3)
-            keep = np.zeros(len(grams) + 1, np.int64)
-            np.add.at(keep, gram_at[:-1][lengths > 0], 1)
-            np.add.at(keep, (gram_at[:-1] + lengths)[lengths > 0], -1)
-            inside = np.cumsum(keep[:-1]) > 0
-            grams, gram_at = grams[inside], np.concatenate([[0], np.cumsum(lengths)])
-        else:
-            grams, gram_at = np.zeros(0, np.uint32), np.zeros(len(self.at), np.int64)
+        chars = np.flatnonzero(_STARTS_CHAR[self.raw])
+        edges, char_at = np.append(chars, len(self.raw)), np.searchsorted(chars, self.at)
+        lengths = np.maximum(0, np.diff(char_at) - (GRAM - 1))  # grams that run into the next row belong to none
+        first = np.repeat(char_at[:-1] - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+        grams = mix64(self.roller.slices(edges[first], edges[first + GRAM])) >> shift
+        gram_at = np.concatenate([[0], np.cumsum(lengths)])
         return [(words.astype(np.int64), self.word_at), (pairs.astype(np.int64), pair_at), (grams.astype(np.int64), gram_at)]
 
 
