@@ -82,6 +82,7 @@ class Options:
     allowed_formats: tuple[str, ...] | None = None
     raises_on_error: bool = True
     document_timeout: float | None = None
+    wall_clock_limit: float | None = None
     images_scale: float = 1.0
     score_threshold: float = 0.3
 

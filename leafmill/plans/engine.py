@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import threading
+import time
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +49,61 @@ class Conversion:
     pages: DataFrame
     confidence: DataFrame
     regions: DataFrame
+    #: (key, scope, elapsed, n_rows) of each stage that was run: wall seconds, and the rows that it wrote
+    timings: DataFrame
+
+
+class Stopwatch:
+    """Writes the tables of a conversion, and notes what each took."""
+
+    def __init__(self) -> None:
+        self.began, self.took = time.perf_counter(), []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        """The seconds are those since the table before, so nothing that ran is left out; rows are counted by the files' footers,
+        as an observation is never told of a plan that turns out to be empty.
+        """
+        out = stored(df, name)
+        n_rows, now = out.count(), time.perf_counter()
+        self.took.append((name, "stage", now - self.began, n_rows))
+        self.began = now
+        return out
+
+    def timings(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.took, "key string, scope string, elapsed double, n_rows long")
+
+
+class Overrun(RuntimeError):
+    """The wall-clock limit was reached; what ran has been interrupted."""
+
+
+def within(spark: SparkSession, limit: float | None, work: Callable[[], Conversion]) -> Conversion:
+    """Run ``work``; after ``limit`` seconds its jobs, found by a tag of their own, are interrupted, and no others."""
+    if limit is None:
+        return work()
+    tag, over, context = f"leafmill-{uuid.uuid4().hex}", threading.Event(), spark.sparkContext
+
+    def stop() -> None:
+        over.set()
+        while not ended.is_set():  # a job that is begun meanwhile ends too
+            context.cancelJobsWithTag(tag)
+            ended.wait(0.2)
+
+    ended = threading.Event()
+    timer = threading.Timer(limit, stop)
+    timer.daemon = True
+    context.addJobTag(tag)
+    timer.start()
+    try:
+        return work()
+    except Exception as e:
+        if over.is_set():
+            raise Overrun(f"{limit} seconds are over") from e
+        raise
+    finally:
+        ended.set()
+        timer.cancel()
+        context.removeJobTag(tag)
 
 
 @dataclass(frozen=True)
@@ -93,19 +151,41 @@ class Engine:
         """Admission, OCR merging, layout clean-up, assembly, reading order, confidence and status of every document.
 
         Detections, OCR cells, tables and figures come as tables, or from the stages registered for ``options.layout``, ``.ocr``,
-        ``.table`` and ``.figure``; without bitmaps no page is read by OCR.
+        ``.table`` and ``.figure``; without bitmaps no page is read by OCR. If ``options.wall_clock_limit`` seconds are over before the
+        stages have run, they are interrupted: every admitted document is a partial success without items, its pages errors.
         """
+        given = (inputs, cells, detections, pages, bitmaps, ocr_cells, table_predictions, figure_predictions)
+        o = self.options
+        try:
+            return within(cells.sparkSession, o.wall_clock_limit, lambda: self._converted(*given, raises_on_error=raises_on_error))
+        except Overrun:
+            nothing = Engine(replace(o, wall_clock_limit=None))._converted(*(t if t is None else t.limit(0) for t in given), raises_on_error=False)
+            docs = self._admitted(inputs)
+            expected = formats.expand_pages(docs.filter("status = 'pending'"), o.limits).select(*PAGE)
+            cut = expected.select(*PAGE, F.lit(False).alias("ok"), F.lit("wall-clock limit exceeded").alias("error"))
+            made = status.document_status(cut, F.lit(True)).join(status.page_errors(cut), "doc_id", "left").withColumnRenamed("status", "page_status")
+            results = docs.join(made, "doc_id", "left").withColumn("status", F.when(F.col("status") == "pending", F.coalesce("page_status", F.lit("failure"))).otherwise(F.col("status"))).drop("page_status")
+            return replace(nothing, results=nothing.results.unionByName(results, allowMissingColumns=True))
+
+    def _admitted(self, inputs: DataFrame) -> DataFrame:
+        """Inputs with format, validity and a first status."""
         o = self.options
-        detections = self._staged("layout", o.layout, detections, pages)
-        if detections is None:
-            raise ValueError("no detections, and no layout stage is registered for these options")
         if "format" not in inputs.columns:
             mime, fmt = formats.detect_format(F.col("file"))
             inputs = inputs.withColumn("mime", mime).withColumn("format", fmt)
-        docs = formats.admit(inputs, o.limits)
-        docs = formats.gate(docs, o.allowed_formats or formats.FORMATS)
+        return formats.gate(formats.admit(inputs, o.limits), o.allowed_formats or formats.FORMATS)
+
+    def _converted(
+        self, inputs: DataFrame, cells: DataFrame, detections: DataFrame | None, pages: DataFrame, bitmaps: DataFrame | None, ocr_cells: DataFrame | None,
+        table_predictions: DataFrame | None, figure_predictions: DataFrame | None, raises_on_error: bool | None,
+    ) -> Conversion:
+        o, watch = self.options, Stopwatch()
+        detections = self._staged("layout", o.layout, detections, pages)
+        if detections is None:
+            raise ValueError("no detections, and no layout stage is registered for these options")
+        docs = self._admitted(inputs)
         expected = formats.expand_pages(docs.filter("status = 'pending'"), o.limits).select(*PAGE)
-        outcome = stored(self._outcome(expected, pages, cells, detections), "page-outcome")
+        outcome = watch.stored(self._outcome(expected, pages, cells, detections), "page-outcome")
         done = outcome.filter("ok").select(*PAGE)
         todo, own, dets = (t.join(done, PAGE, "left_semi") for t in (pages, cells, detections))
         found = None
@@ -117,17 +197,17 @@ class Engine:
             if read is not None:
                 read = ocr.in_regions(ocr.accepted(read.join(done, PAGE, "left_semi"), o.ocr), decided, found)
                 own = ocr.combine(own, read if o.ocr.force_full_page_ocr else ocr.without_covered(read, own), o.ocr.force_full_page_ocr)
-        own = stored(own, "merged-cells")
+        own = watch.stored(own, "merged-cells")
         regular, special, kids = layout.clean(dets.filter(F.col("conf") >= o.score_threshold), own, todo, o.layout)
         special = layout.deoverlapped(special)
-        clusters = stored(layout.ordered(layout.final(regular, special, kids)), "final-clusters")
+        clusters = watch.stored(layout.ordered(layout.final(regular, special, kids)), "final-clusters")
         routed = assemble.routed(clusters)
         tables = self._staged("table", o.table, table_predictions, routed.filter("kind = 'table'"), own)
         figures = self._staged("figure", o.figure, figure_predictions, routed.filter("kind = 'figure'"))
         elements = assemble.texts(routed, own)
         elements = elements.withColumns({"num_rows": F.lit(0).cast("long"), "num_cols": F.lit(0).cast("long")}) if tables is None else assemble.with_tables(elements, tables)
         elements = elements.withColumn("figure_class", F.lit(None).cast("string")) if figures is None else assemble.with_figures(elements, figures)
-        ordered = stored(reading.reading_order(elements, todo).drop("cells"), "reading-order")
+        ordered = watch.stored(reading.reading_order(elements, todo).drop("cells"), "reading-order")
         items = reading.items(ordered).join(ordered.select("doc_id", "seq", "num_rows", "num_cols", "figure_class"), ["doc_id", "seq"])
         items = self._enriched(items, ordered)
         children = reading.child_items(kids, ordered.select(*PAGE, "id", "kind", "num_rows"), own)
@@ -143,7 +223,7 @@ class Engine:
         results = docs.join(made, "doc_id", "left").withColumn("status", F.when(F.col("status") == "pending", F.coalesce("page_status", F.lit("failure"))).otherwise(F.col("status"))).drop("page_status")
         if o.raises_on_error if raises_on_error is None else raises_on_error:
             status.raise_unless_ok(results)
-        return Conversion(results, items, children, reading.all_pages(expected, todo), confidence, found if found is not None else done.limit(0))
+        return Conversion(results, items, children, reading.all_pages(expected, todo), confidence, found if found is not None else done.limit(0), watch.timings(cells.sparkSession))
 
     def convert_files(self, spark: SparkSession, path: str, **settings) -> Conversion:
         """Every file below ``path``, on any store that Spark reads (it lists no file of no bytes). doc_id: a hash of the path, which
