@@ -71,6 +71,18 @@ class EnrichmentOptions:
     expansion: float = 0.0
 
 
+@dataclass(frozen=True)
+class ReadingOptions:
+    """``columns``: page headers, two columns at most, footers. ``cuts``: any number of columns and sidebars, by recursive cuts."""
+
+    method: str = "columns"
+    slack: float = 1.0
+
+    def __post_init__(self) -> None:
+        if self.method not in ("columns", "cuts"):
+            raise ValueError(f"no reading order {self.method}; there are columns, cuts")
+
+
 @dataclass(frozen=True)
 class Options:
     limits: Limits = field(default_factory=Limits)
@@ -79,6 +91,7 @@ class Options:
     table: TableOptions | GridOptions = field(default_factory=TableOptions)
     figure: FigureOptions = field(default_factory=FigureOptions)
     enrichment: EnrichmentOptions = field(default_factory=EnrichmentOptions)
+    reading: ReadingOptions = field(default_factory=ReadingOptions)
     allowed_formats: tuple[str, ...] | None = None
     raises_on_error: bool = True
     document_timeout: float | None = None

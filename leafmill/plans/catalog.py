@@ -11,7 +11,7 @@ from leafmill.config import Limits, OcrOptions, Options
 from leafmill.functions import scores
 from leafmill.functions.geometry import box, expanded, flipped, over_self
 from leafmill.functions.text import clean_lines, joined, quality
-from leafmill.operators import assemble, layout, ocr, reading, status, tables
+from leafmill.operators import assemble, cuts, layout, ocr, reading, status, tables
 from leafmill.plans import oracle as o
 from leafmill.plans import plugins
 from leafmill.plans.engine import Engine
@@ -505,6 +505,15 @@ def _(t):
     return _reading(t).select(*PAGE, "id", "seq", "zone", "column")
 
 
+@query("reading_cuts", """
+with ln as (select doc_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) - 1 li from documents)
+select doc_id, li // 13 + 1 as page_no, (li % 13 * 7 + 3) % 13 as id, li as seq, length(line) as n_chars from ln""")
+def _(t):
+    """Every line as a block of a page of three or four columns with spanning headings, a sidebar or a wide foot, in the order drawn."""
+    elements, pages = tp.drawn_columns(t("documents"))
+    return cuts.reading_order(elements, pages).select(*PAGE, "id", "seq", "n_chars")
+
+
 _NEAR = f"""{_READ}, nb as (select *, lag(kind) over d pk, lag(label) over d pl, lag(page_no) over d pp, lag(id) over d pid, lead(kind) over d nk, lead(label) over d nl, lead(page_no) over d np, lead(id) over d nid from ro window d as (partition by doc_id order by seq))"""
 
 

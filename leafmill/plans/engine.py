@@ -15,7 +15,7 @@ from leafmill import __version__ as VERSION
 from leafmill.config import GridOptions, Options
 from leafmill.functions.geometry import box, expanded
 from leafmill.functions.text import quality
-from leafmill.operators import assemble, blocks, layout, ocr, reading, status
+from leafmill.operators import assemble, blocks, cuts, layout, ocr, reading, status
 from leafmill.operators import tables as grids
 from leafmill.sources import backends, formats, markup
 from leafmill.storage import stored
@@ -207,7 +207,8 @@ class Engine:
         elements = assemble.texts(routed, own)
         elements = elements.withColumns({"num_rows": F.lit(0).cast("long"), "num_cols": F.lit(0).cast("long")}) if tables is None else assemble.with_tables(elements, tables)
         elements = elements.withColumn("figure_class", F.lit(None).cast("string")) if figures is None else assemble.with_figures(elements, figures)
-        ordered = watch.stored(reading.reading_order(elements, todo).drop("cells"), "reading-order")
+        placed = cuts.reading_order(elements, todo, o.reading.slack) if o.reading.method == "cuts" else reading.reading_order(elements, todo)
+        ordered = watch.stored(placed.drop("cells"), "reading-order")
         items = reading.items(ordered).join(ordered.select("doc_id", "seq", "num_rows", "num_cols", "figure_class"), ["doc_id", "seq"])
         items = self._enriched(items, ordered)
         children = reading.child_items(kids, ordered.select(*PAGE, "id", "kind", "num_rows"), own)

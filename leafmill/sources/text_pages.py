@@ -93,3 +93,44 @@ def pipe_tables(docs: DataFrame) -> DataFrame:
     rows = lines.filter(F.instr("line", " | ") > 0)
     ranked = rows.selectExpr("doc_id", "line", "cast(row_number() over (partition by doc_id order by li) - 1 as int) row")
     return ranked.select("doc_id", "row", F.posexplode(F.split("line", r" \| ", -1)).alias("col", "text"))
+
+
+def drawn_slots() -> list[tuple[int, int, str, float, float, float, float]]:
+    """``(layout, slot, label, l, t, r, b)``: three page layouts of 13 blocks each, slots in the order in which they are to be read.
+
+    0: a title, three columns, a heading over all of them, three columns. 1: headings over two columns, a sidebar beside all.
+    2: four columns and a wide foot. The first blocks of neighbouring columns start at one height.
+    """
+    out: list[tuple[int, int, str, float, float, float, float]] = []
+
+    def draw(layout: int, left: float, right: float, top: float, count: int, pitch: float, label: str = "text") -> None:
+        for k in range(count):
+            out.append((layout, sum(x[0] == layout for x in out), label, *map(float, (left, top + pitch * k, right, top + pitch * k + pitch - 12))))
+
+    thirds = [(40.0, 205.0), (215.0, 390.0), (400.0, 570.0)]
+    for top, head, counts in ((40.0, "title", (2, 2, 2)), (360.0, "section_header", (2, 2, 1))):
+        draw(0, 40, 570, top, 1, 40, head)
+        for (left, right), n, pitch in zip(thirds, counts, (90, 90, 120), strict=True):
+            draw(0, left, right, top + 40, n, pitch)
+    for top, counts in ((40.0, (3, 3)), (400.0, (2, 1))):
+        draw(1, 40, 390, top, 1, 40, "section_header")
+        for (left, right), n, pitch in zip(thirds, counts, (80, 100), strict=False):
+            draw(1, left, right, top + 40, n, pitch)
+    draw(1, *thirds[2], 40, 2, 300)
+    for left, n, pitch in ((40.0, 4, 100), (180.0, 4, 110), (320.0, 3, 150)):
+        draw(2, left, left + 125, 40, n, pitch)
+    draw(2, 460, 570, 40, 1, 440)
+    draw(2, 40, 570, 600, 1, 60)
+    return out
+
+
+def drawn_columns(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Elements and pages of documents of which every line is a block, 13 a page; ids are no guide to the order."""
+    spark = docs.sparkSession
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("li", "line"))
+    slot = F.col("li") % 13
+    own = lines.select("doc_id", (F.expr("li div 13") + 1).alias("page_no"), slot.alias("slot"), ((slot * 7 + 3) % 13).alias("id"), F.length("line").alias("n_chars"))
+    own = own.withColumn("layout", (F.col("page_no") % 3).cast("int"))
+    places = spark.createDataFrame(drawn_slots(), "layout int, slot int, label string, l double, t double, r double, b double")
+    elements = own.join(F.broadcast(places), ["layout", "slot"]).drop("layout", "slot")
+    return elements, own.select("doc_id", "page_no").distinct().select("doc_id", "page_no", F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
