@@ -97,6 +97,9 @@ class Options:
     document_timeout: float | None = None
     wall_clock_limit: float | None = None
     images_scale: float = 1.0
+    page_images: bool = False
+    table_images: bool = False
+    figure_images: bool = True
     score_threshold: float = 0.3
 
     def key(self) -> str:

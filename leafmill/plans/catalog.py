@@ -15,7 +15,7 @@ from leafmill.operators import assemble, cuts, layout, ocr, reading, status, tab
 from leafmill.plans import oracle as o
 from leafmill.plans import plugins
 from leafmill.plans.engine import Engine
-from leafmill.sources import backends, formats, html, markup
+from leafmill.sources import backends, formats, html, markup, pixels
 from leafmill.sources import text_pages as tp
 from leafmill.storage import stored
 
@@ -819,6 +819,24 @@ def _(t):
     return out.select("doc_id", "name", "format", "status", "page_count", F.coalesce("n_blocks", F.lit(0)).alias("n_blocks"), F.coalesce("n_list_items", F.lit(0)).alias("n_list_items"))
 
 
+# ---- pixels
+
+@query("image_crops", """
+with px as (select doc_id, lower(hex(encode(coalesce(text, '')))) h from documents),
+sz as (select *, greatest(1, (length(h) + 127) // 128) height from px), pd as (select doc_id, height, rpad(h, cast(height * 128 as int), '0') h from sz),
+ct as (select doc_id, height, string_agg(substr(rw, cast(1 + 2 * (doc_id % 5) as int), cast(2 * (64 - doc_id % 7 - doc_id % 5) as int)), '' order by k) samples from (
+  select doc_id, height, unnest(range(0, height)) k, unnest(list_transform(range(0, height), lambda k: substr(h, cast(1 + 128 * k as bigint), 128))) rw from pd) group by doc_id, height)
+select doc_id, 64 - doc_id % 7 - doc_id % 5 as width, height, 72 as dpi, sha256(samples) as samples_sha256 from ct""")
+def _(t):
+    """The bytes of each text as a picture, of which some columns on both sides are cut off; what is left is written, read again and hashed."""
+    made = plugins.text_pictures(t("documents"))
+    left, right = F.col("doc_id") % 5, 64 - F.col("doc_id") % 7
+    sizes = t("documents").select("doc_id", F.greatest(F.lit(1), F.ceil(F.octet_length(F.coalesce("text", F.lit(""))) / 64)).alias("height"))
+    boxes = sizes.select("doc_id", F.lit(1).alias("page_no"), F.lit(0).alias("id"), left.alias("l"), F.lit(0).alias("t"), right.alias("r"), F.col("height").alias("b"), F.lit(64).alias("page_width"), F.col("height").alias("page_height"))
+    cut = plugins.samples_of(pixels.images(made, boxes))
+    return cut.select("doc_id", "width", "height", "dpi", F.sha2("samples", 256).alias("samples_sha256"))
+
+
 # ---- HTML
 
 _BLOCKS = r"""raw as (select page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->', ' ', 'g') h from pages),

@@ -17,7 +17,7 @@ from leafmill.functions.geometry import box, expanded
 from leafmill.functions.text import quality
 from leafmill.operators import assemble, blocks, cuts, layout, ocr, reading, status
 from leafmill.operators import tables as grids
-from leafmill.sources import backends, formats, markup
+from leafmill.sources import backends, formats, markup, pixels
 from leafmill.storage import stored
 
 PAGE = ["doc_id", "page_no"]
@@ -260,6 +260,26 @@ class Engine:
         detections = None if ("layout", type(o.layout)) in _stages else blocks.proposals(cells)
         return self.convert_all(inputs, cells, detections, pages, bitmaps, raises_on_error=raises_on_error)
 
+    def images(self, conversion: Conversion, files: DataFrame) -> DataFrame:
+        """Pictures, as PNG at ``options.images_scale``, of what the options ask for: whole pages, tables, figures.
+
+        ``(doc_id, item_ref, page_no, width, height, dpi, png, error)``; item_ref is null for a page. ``files`` (doc_id, content) are those that
+        were converted. Pages without a size have no picture.
+        """
+        o = self.options
+        sized = conversion.pages.filter("not missing").select(*PAGE, F.col("width").alias("page_width"), F.col("height").alias("page_height"))
+        kinds = [k for k, on in (("table", o.table_images), ("figure", o.figure_images)) if on]
+        p = F.col("prov")[0]
+        own = conversion.items.filter(F.col("type").isin(*kinds)).select("doc_id", p["page_no"].alias("page_no"), "item_ref", *(p[c].alias(c) for c in "ltrb"))
+        own = own.join(sized, PAGE).withColumns({"t": F.col("page_height") - F.col("t"), "b": F.col("page_height") - F.col("b")})
+        own = own.withColumn("id", F.substring_index("item_ref", "/", -1).cast("int"))
+        if o.page_images:
+            whole = sized.select(*PAGE, F.lit(None).cast("string").alias("item_ref"), F.lit(0.0).alias("l"), F.lit(0.0).alias("t"), F.col("page_width").alias("r"), F.col("page_height").alias("b"), "page_width", "page_height", F.lit(-1).alias("id"))
+            own = own.unionByName(whole)
+        made = pixels.images(files, own, o.images_scale)
+        ref = F.when(F.col("id") >= 0, reading.ref_of(F.col("page_no"), F.col("id")))
+        return made.select("doc_id", ref.alias("item_ref"), "page_no", "width", "height", "dpi", "png", "error")
+
     def convert(self, doc_id: int, inputs: DataFrame, cells: DataFrame, detections: DataFrame, pages: DataFrame, **tables: DataFrame) -> Conversion:
         """One document: the filter reaches every scan. Further tables as for ``convert_all``."""
         one = [t.filter(F.col("doc_id") == doc_id) for t in (inputs, cells, detections, pages)]

@@ -105,3 +105,40 @@ def pdf_documents(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([f"doc{doc_id}.pdf"]), pa.array([content], pa.binary())], names=["doc_id", "name", "content"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, name string, content binary")
+
+
+#: Pixels in a row of ``text_pictures``.
+TEXT_WIDTH = 64
+
+
+def text_pictures(docs: DataFrame) -> DataFrame:
+    """``(doc_id, content, width, height)``: the bytes of each text as grey samples of a PNG whose rows take the five filters in turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        from leafmill.sources.pixels import encode
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                data = np.frombuffer((text or "").encode(), np.uint8)
+                height = max(1, -(-len(data) // TEXT_WIDTH))
+                grey = np.zeros(height * TEXT_WIDTH, dtype=np.uint8)
+                grey[: len(data)] = data
+                content = encode(grey.reshape(height, TEXT_WIDTH, 1), kinds=(np.arange(height) + (doc_id or 0)) % 5)
+                columns = [pa.array([doc_id], pa.int64()), pa.array([content], pa.binary()), pa.array([TEXT_WIDTH], pa.int32()), pa.array([height], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "width", "height"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, content binary, width int, height int")
+
+
+def samples_of(pictures: DataFrame) -> DataFrame:
+    """Adds ``samples``: what the column ``png`` shows, as lower-case hex digits."""
+
+    @F.pandas_udf("string")
+    def samples(png: pd.Series) -> pd.Series:
+        from leafmill.sources.pixels import decode
+
+        return png.map(lambda x: None if x is None else decode(x).tobytes().hex())
+
+    return pictures.withColumn("samples", samples("png"))
