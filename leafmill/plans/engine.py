@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import importlib.metadata
+import logging
 import threading
 import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill import __version__ as VERSION
@@ -39,6 +41,28 @@ def stage_for(kind: str, options: object) -> Callable[..., DataFrame]:
     return _stages[kind, type(options)]
 
 
+def load_stages(allow_external: bool = False, group: str = "leafmill.stages") -> dict[str, str]:
+    """Register the stages that installed packages offer, and say for each entry point what became of it.
+
+    An entry point of ``group`` names a function that returns ``(kind, options type, run)`` tuples. Those of other packages than
+    this one are not even imported unless ``allow_external``; a stage whose place is taken is left out with a warning.
+    """
+    told = {}
+    for point in importlib.metadata.entry_points(group=group):
+        if not allow_external and point.module.partition(".")[0] != __name__.partition(".")[0]:
+            told[point.name] = "refused"
+            logging.getLogger(__name__).warning("plug-in %s is not loaded: external plug-ins are not allowed", point.name)
+            continue
+        told[point.name] = "loaded"
+        for kind, options_type, run in point.load()():
+            try:
+                register_stage(kind, options_type, run)
+            except ValueError as e:
+                told[point.name] = "in part"
+                logging.getLogger(__name__).warning("plug-in %s: %s", point.name, e)
+    return told
+
+
 @dataclass(frozen=True)
 class Conversion:
     """Tables of one conversion. Clusters and reading order are written once; the rest is lazy."""
@@ -320,23 +344,29 @@ def engine_for(options: Options) -> Engine:
 
 
 #: Members of a saved document.
-MEMBERS = "version string, saved_at string, status string, errors array<struct<component_type:string,module_name:string,error_message:string>>, pages array<struct<page_no:int,width:double,height:double,missing:boolean>>, timings array<struct<key:string,scope:string,n:long,total:double>>, confidence struct<parse_score:double,layout_score:double,table_score:double,ocr_score:double,mean_score:double,low_score:double,mean_grade:string,low_grade:string>"
+MEMBERS = "version string, saved_at string, origin struct<mimetype:string,filename:string,binary_hash:string>, status string, errors array<struct<component_type:string,module_name:string,error_message:string>>, pages array<struct<page_no:int,width:double,height:double,missing:boolean>>, timings array<struct<key:string,scope:string,n:long,total:double>>, confidence struct<parse_score:double,layout_score:double,table_score:double,ocr_score:double,mean_score:double,low_score:double,mean_grade:string,low_grade:string>"
+
+
+def origin(results: DataFrame) -> Column:
+    """Where a document comes from: MIME type, file name and content hash, each null where the inputs did not have it."""
+    given = lambda *names: F.coalesce(*(F.col(n).cast("string") for n in names if n in results.columns), F.lit(None).cast("string"))
+    return F.struct(given("mime").alias("mimetype"), given("name", "file").alias("filename"), given("document_hash").alias("binary_hash"))
 
 
 def saved(conversion: Conversion, timings: DataFrame | None = None) -> DataFrame:
-    """``(doc_id, value)``: one JSON text a document with version, time, status, errors, pages, timings, confidence and items."""
+    """``(doc_id, value)``: one JSON text a document with version, time, origin, status, errors, pages, timings, confidence and items."""
     r = conversion.results
     pages = conversion.pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page_no", "width", "height", "missing"))).alias("pages"))
     body = conversion.items.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "item_ref", "parent_ref", "type", "content_layer", "text", "orig", "prov", "caption_refs", "footnote_refs"))).alias("document"))
     scores = F.struct("parse_score", "layout_score", "table_score", "ocr_score", "mean_score", "low_score", "mean_grade", "low_grade").alias("confidence")
-    out = r.select("doc_id", "status", "errors", scores).join(pages, "doc_id", "left").join(body, "doc_id", "left")
+    out = r.select("doc_id", origin(r).alias("origin"), "status", "errors", scores).join(pages, "doc_id", "left").join(body, "doc_id", "left")
     if timings is None:
         out = out.withColumn("timings", F.lit(None))
     else:
         took = timings.groupBy("doc_id", "key", "scope").agg(F.count("*").alias("n"), F.sum("elapsed").alias("total"))
         out = out.join(took.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("key", "scope", "n", "total"))).alias("timings")), "doc_id", "left")
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
-    members = F.struct(F.lit(VERSION).alias("version"), stamp.alias("saved_at"), "status", "errors", "pages", "timings", "confidence", "document")
+    members = F.struct(F.lit(VERSION).alias("version"), stamp.alias("saved_at"), "origin", "status", "errors", "pages", "timings", "confidence", "document")
     return out.select("doc_id", F.to_json(members).alias("value"))
 
 
