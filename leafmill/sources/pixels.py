@@ -99,30 +99,56 @@ def _predicted(kind: np.ndarray, left: np.ndarray, up: np.ndarray, corner: np.nd
     return np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, up, (left + up) // 2, paeth], 0)
 
 
+#: What a diagonal costs, in samples undone one after the other.
+DIAGONAL = 200
+
+
 def _unfiltered(kinds: np.ndarray, lines: np.ndarray, step: int) -> np.ndarray:
-    """Rows without their filters. Rows that lean on the row above alone, or on their left alone, are done at once; if any needs
-    both, the picture is done by diagonals, as samples on one are independent of each other.
+    """Rows without their filters. Rows that lean on one side alone are done at once. Of those that need both their left and the row
+    above, few samples are done one by one; if there are many, the picture is done by diagonals, whose samples are independent.
     """
     if kinds.max() > 4:
         raise ValueError("an unknown row filter")
     height, row = lines.shape
-    if kinds.max() <= 2:
-        out = lines.copy()
-        for y in np.flatnonzero(kinds):
-            if kinds[y] == 1:
-                out[y] = np.cumsum(out[y].reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)
-            elif y:
-                out[y] += out[y - 1]
-        return out
     width = row // step
-    given = lines.reshape(height, width, step)
+    if np.count_nonzero(kinds > 2) * row > DIAGONAL * (height + width):
+        return _by_diagonals(kinds, lines.reshape(height, width, step)).reshape(height, row)
+    out = lines.copy()
+    for y in np.flatnonzero(kinds):
+        if kinds[y] == 1:
+            out[y] = np.cumsum(out[y].reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)
+        elif kinds[y] == 2 and y:
+            out[y] += out[y - 1]
+        elif kinds[y] > 2:
+            out[y] = _one_by_one(int(kinds[y]), lines[y].tolist(), out[y - 1].tolist() if y else [0] * row, step)
+    return out
+
+
+def _one_by_one(kind: int, given: list[int], above: list[int], step: int) -> list[int]:
+    """A row of filter three or four."""
+    out = [0] * step
+    corners = [0] * step + above
+    for x, (sample, up) in enumerate(zip(given, above, strict=True)):
+        left = out[x]
+        if kind == 3:
+            guess = (left + up) >> 1
+        else:
+            corner = corners[x]
+            near_left, near_up, near_corner = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+            guess = left if near_left <= near_up and near_left <= near_corner else up if near_up <= near_corner else corner
+        out.append((sample + guess) & 255)
+    return out[step:]
+
+
+def _by_diagonals(kinds: np.ndarray, given: np.ndarray) -> np.ndarray:
+    height, width, step = given.shape
     out = np.zeros((height + 1, width + 1, step), dtype=np.int16)
     for diagonal in range(height + width - 1):
         y = np.arange(max(0, diagonal - width + 1), min(height, diagonal + 1))
         x = diagonal - y
         guess = _predicted(kinds[y][:, None], out[y + 1, x], out[y, x + 1], out[y, x])
         out[y + 1, x + 1] = (given[y, x] + guess) & 255
-    return out[1:, 1:].astype(np.uint8).reshape(height, row)
+    return out[1:, 1:].astype(np.uint8)
 
 
 def encode(pixels: np.ndarray, dpi: int | None = None, kinds: np.ndarray | int = 0) -> bytes:

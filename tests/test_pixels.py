@@ -23,6 +23,14 @@ def test_png_round_trip(height, width, channels, random):
         assert (pixels.decode(pixels.encode(own, 72, kinds)) == own).all()
 
 
+@pytest.mark.parametrize("diagonal", [0, 1 << 40])
+def test_both_ways_of_undoing_filters(monkeypatch, diagonal):
+    monkeypatch.setattr(pixels, "DIAGONAL", diagonal)
+    for channels in (1, 3):
+        own = RNG.integers(0, 256, (40, 33, channels), dtype=np.uint8)
+        assert all((pixels.decode(pixels.encode(own, kinds=k)) == own).all() for k in (3, 4, np.arange(40) % 5))
+
+
 def chunked(*parts):
     return pixels.SIGNATURE + b"".join(struct.pack(">I", len(d)) + k + d + struct.pack(">I", zlib.crc32(k + d)) for k, d in parts)
 
