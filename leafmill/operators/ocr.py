@@ -133,6 +133,22 @@ def in_regions(cells: DataFrame, decided: DataFrame, found: DataFrame) -> DataFr
     return whole.unionByName(a.join(b, [*on, touches(box("a."), box("b."))], "left_semi"))
 
 
+def by_unit(cells: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Text lines, and the words and characters beside them, by ``granularity`` (missing or null: lines), which lines come without."""
+    if "granularity" not in cells.columns:
+        return cells, None
+    unit = F.coalesce("granularity", F.lit("line"))
+    return cells.filter(unit == "line").drop("granularity"), cells.filter(unit != "line")
+
+
+def finer(programmatic: DataFrame | None, ocr: DataFrame | None, forced: bool = False) -> DataFrame | None:
+    """Words and characters of both sources, None without either. Once OCR was forced, those of the file are no longer relied on."""
+    parts = [t for t in (None if forced else programmatic, ocr) if t is not None]
+    if len(parts) == 2:
+        return parts[0].unionByName(parts[1], allowMissingColumns=True)
+    return parts[0] if parts else None
+
+
 def page_flags(cells: DataFrame, pages: DataFrame, forced: bool = False) -> DataFrame:
     """Per page: its cells that stay (if forced, those from OCR) by ``granularity`` (line, word, char; none: lines), and whether any do."""
     own = cells.withColumn("unit", F.col("granularity") if "granularity" in cells.columns else F.lit("line"))

@@ -75,6 +75,8 @@ class Conversion:
     regions: DataFrame
     #: (key, scope, elapsed, n_rows) of each stage that was run: wall seconds, and the rows that it wrote
     timings: DataFrame
+    #: (doc_id, page_no, n_lines, has_lines, ...) of each page: the cells that stages may use, by lines, words and characters
+    cell_flags: DataFrame
 
 
 class Stopwatch:
@@ -174,7 +176,8 @@ class Engine:
     ) -> Conversion:
         """Admission, OCR merging, layout clean-up, assembly, reading order, confidence and status of every document.
 
-        Detections, OCR cells, tables and figures come as tables, or from the stages registered for ``options.layout``, ``.ocr``,
+        Cells may be lines, words and characters (``granularity``; without it all are lines): texts are made of lines, and ``cell_flags`` tells
+        what a page has. Detections, OCR cells, tables and figures come as tables, or from the stages registered for ``options.layout``, ``.ocr``,
         ``.table`` and ``.figure``; without bitmaps no page is read by OCR. If ``options.wall_clock_limit`` seconds are over before the
         stages have run, they are interrupted: every admitted document is a partial success without items, its pages errors.
         """
@@ -212,6 +215,7 @@ class Engine:
         outcome = watch.stored(self._outcome(expected, pages, cells, detections), "page-outcome")
         done = outcome.filter("ok").select(*PAGE)
         todo, own, dets = (t.join(done, PAGE, "left_semi") for t in (pages, cells, detections))
+        own, fine = ocr.by_unit(own)
         found = None
         if bitmaps is not None:
             rects = ocr.bitmap_rects(bitmaps.join(done, PAGE, "left_semi"))
@@ -219,8 +223,9 @@ class Engine:
             found = ocr.regions(rects, todo)
             read = self._staged("ocr", o.ocr, ocr_cells, decided, found)
             if read is not None:
-                read = ocr.in_regions(ocr.accepted(read.join(done, PAGE, "left_semi"), o.ocr), decided, found)
-                own = ocr.combine(own, read if o.ocr.force_full_page_ocr else ocr.without_covered(read, own), o.ocr.force_full_page_ocr)
+                read, forced = ocr.in_regions(ocr.accepted(read.join(done, PAGE, "left_semi"), o.ocr), decided, found), o.ocr.force_full_page_ocr
+                read, fine_read = ocr.by_unit(read if forced else ocr.without_covered(read, own))
+                own, fine = ocr.combine(own, read, forced), ocr.finer(fine, fine_read, forced)
         own = watch.stored(own, "merged-cells")
         regular, special, kids = layout.clean(dets.filter(F.col("conf") >= o.score_threshold), own, todo, o.layout)
         special = layout.deoverlapped(special)
@@ -248,7 +253,9 @@ class Engine:
         results = docs.join(made, "doc_id", "left").withColumn("status", F.when(F.col("status") == "pending", F.coalesce("page_status", F.lit("failure"))).otherwise(F.col("status"))).drop("page_status")
         if o.raises_on_error if raises_on_error is None else raises_on_error:
             status.raise_unless_ok(results)
-        return Conversion(results, items, children, reading.all_pages(expected, todo), confidence, found if found is not None else done.limit(0), watch.timings(cells.sparkSession))
+        lines = own.select(*PAGE, F.lit("line").alias("granularity"))
+        flags = ocr.page_flags(lines if fine is None else lines.union(fine.select(*PAGE, "granularity")), todo)
+        return Conversion(results, items, children, reading.all_pages(expected, todo), confidence, found if found is not None else done.limit(0), watch.timings(cells.sparkSession), flags)
 
     def convert_files(self, spark: SparkSession, path: str, **settings) -> Conversion:
         """Every file below ``path``, on any store that Spark reads (it lists no file of no bytes). doc_id: a hash of the path, which

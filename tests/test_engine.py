@@ -138,3 +138,21 @@ def test_page_sources(spark):
 def test_image_headers():
     assert plugins.image_size(b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + b"\0\0\0\x05\0\0\0\x07") == ("png", 5, 7)
     assert plugins.image_size(b"") is None and plugins.image_size(b"\xff\xd8\xff") is None
+
+
+@pytest.mark.parametrize("forced", [False, True])
+def test_words_and_characters_beside_lines(spark, forced):
+    """Texts are made of lines alone; once OCR is forced, only its own words and characters count."""
+    inputs = spark.createDataFrame([(1, "a.pdf", 10, 2)], "doc_id long, file string, filesize long, page_count int")
+    pages = spark.createDataFrame([(1, k, 100.0, 100.0, True) for k in (1, 2)], "doc_id long, page_no int, width double, height double, backend_ok boolean")
+    schema = "doc_id long, page_no int, idx int, text string, l double, t double, r double, b double, from_ocr boolean, conf double, granularity string"
+    box = (10.0, 10.0, 60.0, 20.0)
+    own = [(1, 1, 0, "two words", *box, False, 1.0, None), (1, 1, 1, "two", *box, False, 1.0, "word"), (1, 1, 2, "words", *box, False, 1.0, "word"), (1, 1, 3, "t", *box, False, 1.0, "char")]
+    low = (10.0, 50.0, 60.0, 60.0)
+    read = [(1, 1, 0, "seen line", *low, True, 0.9, "line"), (1, 1, 1, "seen", *low, True, 0.9, "word"), (1, 2, 0, "s", *low, True, 0.9, "char")]
+    dets = spark.createDataFrame([(1, 1, 0, "text", 5.0, 5.0, 95.0, 95.0, 0.9)], "doc_id long, page_no int, id int, label string, l double, t double, r double, b double, conf double")
+    maps = spark.createDataFrame([(1, k, 0, 0.0, 0.0, 100.0, 100.0) for k in (1, 2)], "doc_id long, page_no int, rect_id int, l double, t double, r double, b double")
+    made = engine.Engine(Options(ocr=OcrOptions(force_full_page_ocr=forced))).convert_all(inputs, spark.createDataFrame(own, schema), dets, pages, maps, spark.createDataFrame(read, schema))
+    flags = {r.page_no: (r.n_lines, r.n_words, r.n_chars, r.has_words, r.has_chars) for r in made.cell_flags.collect()}
+    assert flags == {1: (1, 1, 0, True, False) if forced else (2, 3, 1, True, True), 2: (0, 0, 1, False, True)}
+    assert [r.text for r in made.items.collect()] == ["seen line" if forced else "two words seen line"]
