@@ -117,17 +117,19 @@ def text_pictures(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        from leafmill.sources.pixels import encode
+        from leafmill.sources.pixels import encode, handed_on
 
-        for batch in batches:
+        def drawn(batch: pa.RecordBatch) -> Iterator[tuple]:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 data = np.frombuffer((text or "").encode(), np.uint8)
                 height = max(1, -(-len(data) // TEXT_WIDTH))
                 grey = np.zeros(height * TEXT_WIDTH, dtype=np.uint8)
                 grey[: len(data)] = data
-                content = encode(grey.reshape(height, TEXT_WIDTH, 1), kinds=(np.arange(height) + (doc_id or 0)) % 5)
-                columns = [pa.array([doc_id], pa.int64()), pa.array([content], pa.binary()), pa.array([TEXT_WIDTH], pa.int32()), pa.array([height], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "content", "width", "height"])
+                yield doc_id, encode(grey.reshape(height, TEXT_WIDTH, 1), kinds=(np.arange(height) + (doc_id or 0)) % 5), TEXT_WIDTH, height
+
+        schema = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("width", pa.int32()), ("height", pa.int32())])
+        for batch in batches:
+            yield from handed_on(drawn(batch), schema, 1)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, content binary, width int, height int")
 

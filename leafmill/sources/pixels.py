@@ -127,16 +127,19 @@ def _unfiltered(kinds: np.ndarray, lines: np.ndarray, step: int) -> np.ndarray:
 def _one_by_one(kind: int, given: list[int], above: list[int], step: int) -> list[int]:
     """A row of filter three or four."""
     out = [0] * step
-    corners = [0] * step + above
-    for x, (sample, up) in enumerate(zip(given, above, strict=True)):
+    add = out.append
+    if kind == 3:
+        for x, (sample, up) in enumerate(zip(given, above, strict=True)):
+            add((sample + ((out[x] + up) >> 1)) & 255)
+        return out[step:]
+    for x, (sample, up, corner) in enumerate(zip(given, above, [0] * step + above)):
         left = out[x]
-        if kind == 3:
-            guess = (left + up) >> 1
+        to_left, to_up = up - corner, left - corner
+        near_left, near_up, near_corner = abs(to_left), abs(to_up), abs(to_left + to_up)
+        if near_left <= near_up and near_left <= near_corner:
+            add((sample + left) & 255)
         else:
-            corner = corners[x]
-            near_left, near_up, near_corner = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
-            guess = left if near_left <= near_up and near_left <= near_corner else up if near_up <= near_corner else corner
-        out.append((sample + guess) & 255)
+            add((sample + (up if near_up <= near_corner else corner)) & 255)
     return out[step:]
 
 
@@ -155,10 +158,12 @@ def encode(pixels: np.ndarray, dpi: int | None = None, kinds: np.ndarray | int =
     """A PNG of 8-bit samples; ``kinds`` are the row filters to use."""
     height, width, channels = pixels.shape
     kinds = np.broadcast_to(np.asarray(kinds, dtype=np.uint8), height)
-    around = np.zeros((height + 1, width + 1, channels), dtype=np.int16)
-    around[1:, 1:] = pixels
-    guess = _predicted(kinds[:, None, None], around[1:, :-1], around[:-1, 1:], around[:-1, :-1])
-    rows = ((pixels - guess) & 255).astype(np.uint8).reshape(height, width * channels)
+    rows = np.ascontiguousarray(pixels, dtype=np.uint8).reshape(height, width * channels)
+    if kinds.any():
+        around = np.zeros((height + 1, width + 1, channels), dtype=np.int16)
+        around[1:, 1:] = pixels
+        guess = _predicted(kinds[:, None, None], around[1:, :-1], around[:-1, 1:], around[:-1, :-1])
+        rows = ((around[1:, 1:] - guess) & 255).astype(np.uint8).reshape(height, width * channels)
     colour = next(c for c, n in CHANNELS.items() if n == channels)
     parts = [(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, colour, 0, 0, 0))]
     if dpi is not None:
@@ -231,10 +236,33 @@ def cut(pixels: np.ndarray, box: tuple[float, float, float, float], page: tuple[
     top, bottom = (min(size[1], max(0, round(v * scale))) for v in (box[1], box[3]))
     if right <= left or bottom <= top:
         raise ValueError("nothing of the box is on the page")
-    rows = _resampled(pixels.astype(np.float64) if size != [pixels.shape[1], pixels.shape[0]] else pixels.astype(np.int64), 0, top, bottom, size[1])
+    if size == [pixels.shape[1], pixels.shape[0]]:
+        return pixels[top:bottom, left:right].astype(np.uint8)
+    rows = _resampled(pixels.astype(np.float64), 0, top, bottom, size[1])
     return np.rint(_resampled(rows, 1, left, right, size[0])).astype(np.uint8)
 
 
+#: Bytes of pictures that are handed on together, about.
+HANDED_ON = 1 << 20
+
+
+def handed_on(rows: Iterator[tuple], schema: pa.Schema, picture: int) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of some megabyte of the bytes in their column ``picture``, so that many small ones cost no batch each."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[picture] or b"") + 256
+        if size >= HANDED_ON:
+            yield _batch(held, schema)
+            held, size = [], 0
+    if held:
+        yield _batch(held, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
 IMAGES = "page_no int, id int, width int, height int, dpi int, png binary, error string"
 
 
@@ -243,40 +271,41 @@ def images(files: DataFrame, boxes: DataFrame, scale: float = 1.0) -> DataFrame:
 
     Returns ``(doc_id, page_no, id, width, height, dpi, png, error)``. A box without sides, a page that cannot be decoded and a file that
     is missing are rows with an error. Each file goes to one task with the boxes of its document; a page is decoded once,
-    and pictures are handed on one by one.
+    and pictures are handed on in batches of about a megabyte.
     """
     names = ["page_no", "id", "l", "t", "r", "b", "page_width", "page_height"]
     kinds = ["int", "int"] + ["double"] * 6
     wanted = boxes.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*(F.col(c).cast(k).alias(c) for c, k in zip(names, kinds, strict=True))))).alias("boxes"))
     key = dict(files.dtypes)["doc_id"]
 
+    columns = [("page_no", pa.int32()), ("id", pa.int32()), ("width", pa.int32()), ("height", pa.int32()), ("dpi", pa.int32()), ("png", pa.binary()), ("error", pa.string())]
+
+    def drawn(doc_id: object, content: bytes | None, wanted: list[dict]) -> Iterator[tuple]:
+        seen, pixels, fault = None, None, None
+        for x in wanted:
+            if x["page_no"] != seen or pixels is None and fault is None:
+                seen, pixels, fault = x["page_no"], None, None
+                try:
+                    pixels = decode(content or b"", seen or 0)
+                except Exception as e:  # whatever a file makes the reader raise belongs to its pages
+                    fault = f"{type(e).__name__}: {e}"
+            made, error = (None, None, None, None), fault
+            try:
+                if not fault and any(x[c] is None for c in names[2:]):
+                    error = "a box or page without sides"
+                elif not fault:
+                    part = cut(pixels, tuple(x[c] for c in "ltrb"), (x["page_width"], x["page_height"]), scale)
+                    made = (part.shape[1], part.shape[0], int(72 * scale), encode(part, int(72 * scale)))
+            except Exception as e:
+                error = f"{type(e).__name__}: {e}"
+            yield doc_id, x["page_no"], x["id"], *made, error
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n in range(batch.num_rows):
-                content, seen, pixels, fault = batch.column("content")[n].as_py(), None, None, None
-                for x in batch.column("boxes")[n].as_py():
-                    row = dict.fromkeys(("width", "height", "dpi", "png", "error")) | {"page_no": x["page_no"], "id": x["id"]}
-                    if x["page_no"] != seen or pixels is None and fault is None:
-                        seen, pixels, fault = x["page_no"], None, None
-                        try:
-                            pixels = decode(content or b"", seen or 0)
-                        except Exception as e:  # whatever a file makes the reader raise belongs to its pages
-                            fault = f"{type(e).__name__}: {e}"
-                    try:
-                        if fault:
-                            row["error"] = fault
-                        elif any(x[c] is None for c in names[2:]):
-                            row["error"] = "a box or page without sides"
-                        else:
-                            part = cut(pixels, tuple(x[c] for c in "ltrb"), (x["page_width"], x["page_height"]), scale)
-                            row |= {"width": part.shape[1], "height": part.shape[0], "dpi": int(72 * scale), "png": encode(part, int(72 * scale))}
-                    except Exception as e:
-                        row["error"] = f"{type(e).__name__}: {e}"
-                    columns = [batch.column("doc_id").slice(n, 1)]
-                    types = {"png": pa.binary(), "error": pa.string()}
-                    order = ["page_no", "id", "width", "height", "dpi", "png", "error"]
-                    columns += [pa.array([row[c]], types.get(c, pa.int32())) for c in order]
-                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", *order])
+            ids, contents, lists = (batch.column(c) for c in ("doc_id", "content", "boxes"))
+            schema = pa.schema([("doc_id", ids.type), *columns])
+            rows = (row for n in range(batch.num_rows) for row in drawn(ids[n].as_py(), contents[n].as_py(), lists[n].as_py()))
+            yield from handed_on(rows, schema, schema.names.index("png"))
 
     joined = wanted.join(files.select("doc_id", "content"), "doc_id", "left")
     return joined.select("doc_id", "content", "boxes").mapInArrow(run, f"doc_id {key}, {IMAGES}")
