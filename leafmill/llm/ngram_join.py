@@ -41,7 +41,7 @@ SMALL = 32
 HEAVY = 50_000
 #: Sets and shingles of a block; a group of several blocks is verified by pairs of blocks.
 BLOCK_SETS, BLOCK_SHINGLES = 500, 2_000_000
-#: Sets whose groups are broadcast to the scan that brings their texts (some 100 bytes each); beyond, the scan is shuffled.
+#: Sets whose groups are broadcast to the scan that brings their texts (some 100 bytes each); beyond, the scan is sent their numbers as bits.
 BROADCAST_ROWS = 400_000
 
 
@@ -325,6 +325,18 @@ def verified(placed: DataFrame, words: int, percent: int) -> DataFrame:
     return brought.repartition(*KEY).sortWithinPartitions(*KEY, "side", "digest").mapInArrow(lambda batches: released(run(batches)), "a binary, b binary, links long")
 
 
+def marked(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``rows`` (with ``nth``) and whether each one's number is among ``numbers``, as ``marked``.
+
+    The numbers go to the scan as bits, one for each row of the table at most (400 KB for three million), so no row is shuffled.
+    """
+    bits = numbers.groupBy(F.bitmap_bucket_number("nth").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("nth")).alias("bits"))
+    at = F.bitmap_bit_position("nth")
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("bucket", F.bitmap_bucket_number("nth")).join(F.broadcast(bits), "bucket", "left")
+    return found.withColumn("marked", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("bucket", "bits")
+
+
 def groups_of(
     table: DataFrame, id_col: Column, text: Column, words: int, percent: int, more: DataFrame | None = None,
     small: int = SMALL, heavy: int = HEAVY, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES, broadcast_rows: int = BROADCAST_ROWS,
@@ -343,8 +355,9 @@ def groups_of(
     groups = stored(own.join(labels, "node").select("nth", "n", "copies", "component"), "ngram-groups")
     planned = _planned(groups, percent, block_sets, block_shingles)
     texts = rows.select("nth", "digest", "n", text.cast("string").alias("text"))
-    # texts are shuffled once, to their groups, where the numbers of the rows wanted are few enough to send around; else twice
-    texts = texts.join(F.broadcast(planned) if groups.count() <= broadcast_rows else planned, "nth")
+    # texts are shuffled once, to their groups, where the rows wanted are few enough to send around; else twice, but never those of no group
+    few = groups.count() <= broadcast_rows
+    texts = texts.join(F.broadcast(planned), "nth") if few else marked(texts, planned).filter("marked").drop("marked").join(planned, "nth")
     found = stored(verified(_placed(texts, percent), words, percent), "ngram-links")
     classes = connected_components(found.filter("b is not null"), "a", "b").select(F.col("node").alias("digest"), F.col("component").alias("class"))
     degrees = found.filter("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("links").alias("links"))
