@@ -80,6 +80,6 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = rows.select(F.col(f"row.`{id_col}`").cast("long").alias("id"), "digest", "nth").join(groups, "digest")
     first = F.min(F.when(F.col("id").eqNullSafe(F.col("component_id")), F.col("nth")))
     leaders = known.groupBy("component").agg(first.alias("leader"))
-    # few rows go, so their numbers are sent to the scan, if few enough; whole rows are not shuffled then
+    # the numbers of rows that go are sent to the scan as bits; whole rows are not shuffled
     gone = stored(known.join(leaders, "component").filter("nth <> leader").select("nth"), "near-gone")
-    return rows.join(F.broadcast(gone) if gone.count() <= ngram_join.BROADCAST_ROWS else gone, "nth", "left_anti").select("row.*")
+    return ngram_join.marked(rows, gone).filter("not marked").select("row.*")

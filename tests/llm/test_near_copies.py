@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from leafmill.llm import near_copies
+from leafmill.llm import near_copies, ngram_join
 from test_ngram_join import brute
 
 
@@ -41,3 +41,28 @@ def test_texts_without_words_are_copies(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string, n string")
     out = near_copies.without_near_copies(frame)
     assert out.columns == ["doc_id", "text", "n"] and sorted(tuple(r) for r in out.collect()) == [(4, "", "b"), (7, "word", "d")]
+
+
+def test_rows_that_go_are_no_shuffle_of_whole_rows(spark, monkeypatch):
+    """Beyond the rows that are sent around, the numbers of those that go reach the scan as bits."""
+    rows = [(k, " ".join(f"w{k % 30}x{i}" for i in range(20))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngram_join.groups_of, "__defaults__", (*ngram_join.groups_of.__defaults__[:-1], 0))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = near_copies.without_near_copies(docs)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in out.collect()) == list(range(30))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_marked_rows(spark):
+    numbers = [0, 1, 7, 8, 32767, 32768, 32769, 65536, (1 << 33) - 1, 1 << 33, (1 << 33) + 1, 5 << 33]
+    rows = spark.createDataFrame([(n,) for n in sorted({x + d for x in numbers for d in (-1, 0, 1) if x + d >= 0})], "nth long")
+    out = ngram_join.marked(rows, spark.createDataFrame([(n,) for n in numbers], "nth long")).filter("marked").collect()
+    assert sorted(r.nth for r in out) == numbers
+    assert ngram_join.marked(rows, rows.filter("false")).filter("marked").isEmpty()
