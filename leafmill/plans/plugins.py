@@ -89,6 +89,8 @@ SCORE_SQL = """select vec_id, round(list_sum(list_transform(embedding, lambda x:
 
 #: Lines of a page of ``pdf_documents``, and their pitch.
 PDF_LINES, PDF_PITCH = 60, 12
+#: Bytes of files that ``pdf_documents`` hands on at once.
+PDF_BATCH_BYTES = 4 << 20
 
 
 def pdf_documents(docs: DataFrame) -> DataFrame:
@@ -97,12 +99,22 @@ def pdf_documents(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from leafmill.sources.pdf import written
 
+        def batch_of(ids: list, contents: list[bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([f"doc{k}.pdf" for k in ids]), pa.array(contents, pa.binary())], names=["doc_id", "name", "content"])
+
         for batch in batches:
+            ids, contents, size = [], [], 0
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows = (text or "").split("\n")
                 pages = [[(x.strip(), 72.0, 80.0 + PDF_PITCH * k) for k, x in enumerate(rows[n : n + PDF_LINES])] for n in range(0, len(rows), PDF_LINES)]
-                content = written(pages, packed=(doc_id or 0) % 2 == 0)
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([f"doc{doc_id}.pdf"]), pa.array([content], pa.binary())], names=["doc_id", "name", "content"])
+                ids.append(doc_id)
+                contents.append(written(pages, packed=(doc_id or 0) % 2 == 0))
+                size += len(contents[-1])
+                if size > PDF_BATCH_BYTES:
+                    yield batch_of(ids, contents)
+                    ids, contents, size = [], [], 0
+            if ids:
+                yield batch_of(ids, contents)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, name string, content binary")
 

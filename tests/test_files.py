@@ -127,3 +127,25 @@ def test_page_source_by_ranges(spark, folder):
     assert every.filter("page_no >= 1").filter("file in ('bad.pdf', 'a.pdf')").count() == 3
     assert source.load(str(folder / "none")).count() == 0
     assert every.filter("file = 'a.pdf' and width > 600").count() == 3
+
+
+def test_a_line_is_shown_without_a_call_for_each_character():
+    import sys
+
+    from leafmill.sources import backends, pdf
+
+    text = "abc äöü " * 2500
+    content, calls = pdf.written([[(text, 72.0, 80.0)]]), []
+    sys.setprofile(lambda frame, event, arg: calls.append(event))
+    try:
+        (row,) = backends.rows_of("a", pdf.PdfBackend, "pdf", content, {})
+    finally:
+        sys.setprofile(None)
+    assert [(c["text"], c["r"]) for c in row[5]] == [(text.strip(), 72 + 6.0 * len(text))]
+    assert len(calls) < len(text) / 2
+
+
+def test_white_space_before_an_object_is_tried_once():
+    from leafmill.sources.pdf import Reader
+
+    assert Reader(b" \n" * 5000 + b"% x\n" * 500 + b"[<4 1> /a#20b (c(d)\\051)]").object() == [b"A", "a b", b"c(d))"]
