@@ -272,8 +272,8 @@ class Engine:
         """Input documents with ``content``: pages by the backend of their format, proposals by the layout stage registered, or from
         the lines themselves, then as ``convert_all``. What cannot be opened, and pages that cannot be read, are errors of their document.
 
-        Contents are read once; the pages made of them are written, as several stages read them. Files that are too large or not
-        of an allowed format are not opened.
+        Contents are read twice, for their pages and for what is told of each file; both are written, as several stages read them. Files
+        that are too large or not of an allowed format are not opened.
         """
         o = self.options
         wanted = F.coalesce(F.col("format").isin(*(o.allowed_formats or formats.FORMATS)), F.lit(False))
@@ -287,7 +287,7 @@ class Engine:
         cells = read.select(*PAGE, F.explode("cells").alias("x")).select(*PAGE, "x.*", F.lit(False).alias("from_ocr"), F.lit(1.0).alias("conf"))
         bitmaps = read.select(*PAGE, F.explode("bitmaps").alias("x")).select(*PAGE, "x.*")
         counts = made.groupBy("doc_id").agg(F.max("page_no").alias("page_count"), F.max(F.when(F.isnull("page_no"), F.col("error"))).alias("open_error"))
-        inputs = files.drop("content").join(counts, "doc_id", "left")
+        inputs = stored(files.drop("content"), "read-files").join(counts, "doc_id", "left")
         detections = None if ("layout", type(o.layout)) in _stages else blocks.proposals(cells)
         return self.convert_all(inputs, cells, detections, pages, bitmaps, raises_on_error=raises_on_error)
 

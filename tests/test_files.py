@@ -149,3 +149,13 @@ def test_white_space_before_an_object_is_tried_once():
     from leafmill.sources.pdf import Reader
 
     assert Reader(b" \n" * 5000 + b"% x\n" * 500 + b"[<4 1> /a#20b (c(d)\\051)]").object() == [b"A", "a b", b"c(d))"]
+
+
+def test_contents_are_not_made_again_for_results(spark):
+    from leafmill.plans import plugins
+    from leafmill.plans.engine import Engine
+
+    docs = spark.createDataFrame([(1, "one\ntwo"), (2, None)], "doc_id long, text string")
+    out = Engine().convert_streams(plugins.pdf_documents(docs), "content", "name").results
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.status, r.page_count) for r in out.collect()) == [(1, "success", 1), (2, "success", 1)]
