@@ -14,11 +14,13 @@ WHOLE_WORD = r"^[\p{L}\p{N}]+$"
 REPLACEMENT = "�"
 #: Typographic characters and their plain forms.
 TYPOGRAPHIC, PLAIN = "⁄’‘“”•", "/''\"\"·"
+#: Unicode white space, as ``(?U)\s`` matches it.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
-    """Unicode white space off both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Unicode white space off both ends. It is looked for at the ends alone; a pattern would be tried at every character."""
+    return F.btrim(text, F.lit(SPACES))
 
 
 def quality(text: Column) -> Column:
@@ -30,7 +32,7 @@ def quality(text: Column) -> Column:
 
 def clean_line(text: Column) -> Column:
     """Control hyphens made plain, stripped."""
-    return strip(F.translate(text, "\x02", "-"))
+    return strip(F.replace(text, F.lit("\x02"), F.lit("-")))
 
 
 def clean_lines(lines: Column) -> Column:
@@ -39,7 +41,9 @@ def clean_lines(lines: Column) -> Column:
 
 
 def plain(text: Column) -> Column:
-    return strip(F.translate(text, TYPOGRAPHIC, PLAIN))
+    for fancy, simple in zip(TYPOGRAPHIC, PLAIN, strict=True):
+        text = F.replace(text, F.lit(fancy), F.lit(simple))
+    return strip(text)
 
 
 def joined(lines: Column) -> Column:

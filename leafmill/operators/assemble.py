@@ -31,13 +31,22 @@ def routed(clusters: DataFrame) -> DataFrame:
     return own.withColumn("is_header", F.col("label").isin(*HEADERS))
 
 
-def texts(clusters: DataFrame, cells: DataFrame) -> DataFrame:
-    """Adds ``text``: the cleaned lines of a cluster's cells, joined with hyphenation mended."""
+def line_texts(clusters: DataFrame, cells: DataFrame) -> DataFrame:
+    """``(page, id, text)``: the cleaned lines of a cluster's cells, joined with hyphenation mended; clusters without lines have no row."""
     own = clusters.select(*PAGE, "id", F.explode("cells").alias("cell")).select(*PAGE, "id", F.col("cell.idx").alias("idx"))
     lines = own.join(cells.select(*PAGE, "idx", "text"), [*PAGE, "idx"]).groupBy(*PAGE, "id").agg(F.sort_array(F.collect_list(F.struct("idx", "text"))).alias("lines"))
     lines = lines.withColumn("lines", clean_lines(F.transform("lines", lambda x: x["text"])))
-    made = lines.select(*PAGE, "id", joined(F.col("lines")).alias("text"))
-    return clusters.join(made, [*PAGE, "id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return lines.select(*PAGE, "id", joined(F.col("lines")).alias("text"))
+
+
+def with_texts(elements: DataFrame, texts: DataFrame) -> DataFrame:
+    """Adds ``text``, empty where there is none. Texts come last, so that what orders the elements does not move them."""
+    return elements.join(texts, [*PAGE, "id"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def texts(clusters: DataFrame, cells: DataFrame) -> DataFrame:
+    """Adds ``text``: the cleaned lines of a cluster's cells, joined with hyphenation mended."""
+    return with_texts(clusters, line_texts(clusters, cells))
 
 
 def with_tables(elements: DataFrame, predictions: DataFrame) -> DataFrame:

@@ -120,8 +120,10 @@ def tightened(clusters: DataFrame) -> DataFrame:
 TILE = 16
 
 
-def tiled(clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Clusters by the tile of their centre, and by every tile that they touch: ``tx``, ``ty`` in a grid of the page's clusters of a class."""
+def tiled(clusters: DataFrame) -> DataFrame:
+    """Clusters by the tiles that they touch and that of their centre (``home``): ``tx``, ``ty`` in a grid of the page's clusters of a class.
+    Those whose sides are the wrong way round touch none (``whole`` is false).
+    """
     page = Window.partitionBy(*PAGE, "cls")
     side = F.greatest(F.floor(F.sqrt(F.count("*").over(page) / TILE)), F.lit(1))
     own = clusters.withColumns({"side": side, "x0": F.min("l").over(page), "y0": F.min("t").over(page), "x1": F.max("r").over(page), "y1": F.max("b").over(page)})
@@ -130,28 +132,30 @@ def tiled(clusters: DataFrame) -> tuple[DataFrame, DataFrame]:
         part = F.try_divide(at - F.col(f"{axis}0"), F.col(f"{axis}1") - F.col(f"{axis}0"))
         return F.greatest(F.least(F.floor(F.coalesce(part, F.lit(0.0)) * F.col("side")), F.col("side") - 1), F.lit(0))
 
-    extra = ("side", "x0", "y0", "x1", "y1")
-    centres = own.withColumns({"tx": place((F.col("l") + F.col("r")) / 2, "x"), "ty": place((F.col("t") + F.col("b")) / 2, "y")}).drop(*extra)
-    whole = own.filter("l <= r and t <= b")
-    spread = whole.withColumn("tx", F.explode(F.sequence(place(F.col("l"), "x"), place(F.col("r"), "x")))).withColumn("ty", F.explode(F.sequence(place(F.col("t"), "y"), place(F.col("b"), "y")))).drop(*extra)
-    return centres, spread
+    own = own.withColumns({"cx": place((F.col("l") + F.col("r")) / 2, "x"), "cy": place((F.col("t") + F.col("b")) / 2, "y"), "whole": F.coalesce(F.expr("l <= r and t <= b"), F.lit(False))})
+
+    def touched(low: str, high: str, axis: str, centre: str) -> Column:
+        return F.when(F.col("whole"), F.sequence(place(F.col(low), axis), place(F.col(high), axis))).otherwise(F.array(centre))
+
+    own = own.withColumn("tx", F.explode(touched("l", "r", "x", "cx"))).withColumn("ty", F.explode(touched("t", "b", "y", "cy")))
+    return own.withColumn("home", (F.col("tx") == F.col("cx")) & (F.col("ty") == F.col("cy"))).drop("side", "x0", "y0", "x1", "y1", "cx", "cy")
 
 
 def overlap_pairs(clusters: DataFrame) -> DataFrame:
     """``(page, cls, a, b)``, a < b: clusters of a class that overlap strongly; two orphans never do.
 
     Of two that do, the smaller one lies by over four fifths in the larger one, so its centre does: each pair is found once, in the
-    one tile of that centre.
+    one tile of that centre. Boxes are dealt once, by page; a tile's boxes are a row, as there are few of them.
     """
-    boxes = clusters.select(*PAGE, "cls", "id", "is_orphan", *"ltrb")
-    centres, spread = tiled(boxes)
-    x, y = centres.alias("x"), spread.alias("y")
-    free = ~(F.col("x.is_orphan") & F.col("y.is_orphan"))
-    small, large = area(box("x.")), area(box("y."))
-    smaller = (small < large) | (small == large) & (F.col("x.id") < F.col("y.id"))
-    same = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in (*PAGE, "cls", "tx", "ty")]
-    pairs = x.join(y, [*same, F.col("x.id") != F.col("y.id"), smaller, free, overlaps(box("x."), box("y."))])
-    return pairs.select("x.doc_id", "x.page_no", "x.cls", F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+    found = tiled(clusters.select(*PAGE, "cls", "id", "is_orphan", *"ltrb"))
+    tiles = found.groupBy(*PAGE, "cls", "tx", "ty").agg(F.collect_list(F.struct("id", "is_orphan", *"ltrb", "home", "whole")).alias("boxes"))
+    x, y = F.col("x"), F.col("y")
+    free = ~(x["is_orphan"] & y["is_orphan"])
+    small, large = area(fields(x)), area(fields(y))
+    smaller = (small < large) | (small == large) & (x["id"] < y["id"])
+    pairs = tiles.filter(F.size("boxes") > 1).select(*PAGE, "cls", "boxes", F.explode("boxes").alias("x")).filter(x["home"]).select(*PAGE, "cls", "x", F.explode("boxes").alias("y"))
+    pairs = pairs.filter(y["whole"] & (x["id"] != y["id"]) & smaller & free & overlaps(fields(x), fields(y)))
+    return pairs.select(*PAGE, "cls", F.least(x["id"], y["id"]).alias("a"), F.greatest(x["id"], y["id"]).alias("b"))
 
 
 #: Pairs of a page up to which its groups are folded in one row.
@@ -318,7 +322,7 @@ def page_scores(clusters: DataFrame, cells: DataFrame, pages: DataFrame) -> Data
 def clean(dets: DataFrame, cells: DataFrame, pages: DataFrame, options: LayoutOptions = LayoutOptions()) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Refined regular clusters, special ones with their boxes and cells, and the children that link them.
 
-    Both are read several times from here on, so they are written to the shared folder once.
+    All are read several times from here on, so they are written to the shared folder once.
     """
     kept = gated(ingest(dets))
     regular = remapped(kept.filter(~is_special()))
@@ -330,7 +334,7 @@ def clean(dets: DataFrame, cells: DataFrame, pages: DataFrame, options: LayoutOp
     regular = stored(refined(regular, options.passes), "regular-clusters")
     special = not_full_page(kept.filter(is_special()).select(*PAGE, "id", "label", *"ltrb", "conf"), pages)
     special = without_table_twins(special, regular)
-    kids = children(special, regular)
+    kids = stored(children(special, regular), "children")
     return regular, stored(special_boxes(special, kids), "special-clusters"), kids
 
 

@@ -46,12 +46,15 @@ def takes_caption(kind: Column, label: Column) -> Column:
     return kind.isin(*CAPTIONED) | (label == "code")
 
 
+def caption_target() -> Column:
+    """The id of the table, figure or code next to an element with its neighbours on its page, that after it first."""
+    beside = {side: takes_caption(F.col(f"{side}_kind"), F.col(f"{side}_label")) & (F.col(f"{side}_page_no") == F.col("page_no")) for side in ("next", "prev")}
+    return F.when(beside["next"], F.col("next_id")).when(beside["prev"], F.col("prev_id"))
+
+
 def caption_links(ordered: DataFrame) -> DataFrame:
     """``(page, id, target_id)``: each caption with the table, figure or code next to it on its page, that after it first."""
-    n = neighbours(ordered).filter("label = 'caption'")
-    after = takes_caption(F.col("next_kind"), F.col("next_label")) & (F.col("next_page_no") == F.col("page_no"))
-    before = takes_caption(F.col("prev_kind"), F.col("prev_label")) & (F.col("prev_page_no") == F.col("page_no"))
-    return n.withColumn("target_id", F.when(after, F.col("next_id")).when(before, F.col("prev_id"))).filter("target_id is not null").select(*PAGE, "id", "target_id")
+    return neighbours(ordered).filter("label = 'caption'").withColumn("target_id", caption_target()).filter("target_id is not null").select(*PAGE, "id", "target_id")
 
 
 def footnote_links(ordered: DataFrame) -> DataFrame:
@@ -64,23 +67,41 @@ def footnote_links(ordered: DataFrame) -> DataFrame:
     return notes.filter(fits).select(*PAGE, "id", F.col("anchor.id").alias("target_id"))
 
 
+def open_end(text: Column) -> Column:
+    """Whether a text has no end punctuation, so that it may go on elsewhere."""
+    return ~text.rlike(r"[.!?:;]\s*$") & (text != "")
+
+
+def goes_on() -> Column:
+    """Whether an element goes on from the one before: of columns label, page_no, column, open_end and low (begins in lower case)."""
+    before = lambda c: F.lag(c).over(in_document())
+    same = (F.col("label") == "text") & (before("label") == "text")
+    moved = (before("page_no") < F.col("page_no")) | (before("column") < F.col("column"))
+    return F.coalesce(same & moved & before("open_end") & F.col("low"), F.lit(False))
+
+
+def with_ends(ordered: DataFrame) -> DataFrame:
+    return ordered.withColumns({"open_end": open_end(F.col("text")), "low": F.col("text").rlike(r"^\p{Ll}")})
+
+
 def merge_heads(ordered: DataFrame) -> DataFrame:
     """Adds ``head``: the seq of the text that an element goes on from; its own otherwise.
 
     A text goes on in the next element if that is a text on the next page (or column), the first lacks
     end punctuation and the second starts in lower case.
     """
-    same = (F.col("label") == "text") & (F.lag("label").over(in_document()) == "text")
-    moved = (F.lag("page_no").over(in_document()) < F.col("page_no")) | (F.lag("column").over(in_document()) < F.col("column"))
-    open_end = ~F.lag("text").over(in_document()).rlike(r"[.!?:;]\s*$") & (F.lag("text").over(in_document()) != "")
-    goes_on = F.coalesce(same & moved & open_end & F.col("text").rlike(r"^\p{Ll}"), F.lit(False))
-    heads = F.max(F.when(~goes_on, F.col("seq"))).over(in_document().rowsBetween(Window.unboundedPreceding, 0))
-    return ordered.withColumn("head", heads)
+    own = with_ends(ordered).withColumn("goes_on", goes_on())
+    heads = F.max(F.when(~F.col("goes_on"), F.col("seq"))).over(in_document().rowsBetween(Window.unboundedPreceding, 0))
+    return own.withColumn("head", heads).drop("open_end", "low", "goes_on")
 
 
 def merged_texts(ordered: DataFrame) -> DataFrame:
     """One row for each head: its whole text, and where each part lies in it and on its page (origin bottom left)."""
-    h = merge_heads(ordered)
+    return joined_parts(merge_heads(ordered))
+
+
+def joined_parts(h: DataFrame) -> DataFrame:
+    """The texts of each ``head`` as one."""
     run = Window.partitionBy("doc_id", "head").orderBy("seq")
     start = F.coalesce(F.sum(F.length("text") + 1).over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     part = F.struct("seq", "text", "page_no", start.cast("int").alias("start"), "l", (F.col("height") - F.col("t")).alias("t"), "r", (F.col("height") - F.col("b")).alias("b"))
@@ -111,38 +132,69 @@ def ref_of(page_no: Column, ident: Column) -> Column:
     return F.concat(F.lit("#/"), page_no.cast("string"), F.lit("/"), ident.cast("string"))
 
 
+def links(ordered: DataFrame) -> DataFrame:
+    """``(doc_id, seq, goes_on, head, joins, parent_ref, caption_refs, footnote_refs)`` of every element, by windows over documents.
+
+    What the texts have to say is two flags, so no text is sorted here. ``joins``: whether an element is part of a text of several.
+    """
+    own = neighbours(with_ends(ordered).select("doc_id", "seq", "page_no", "id", "kind", "label", "column", "open_end", "low"))
+    is_note = F.col("label") == "footnote"
+    so_far = in_document().rowsBetween(Window.unboundedPreceding, 0)
+    before = in_document().rowsBetween(Window.unboundedPreceding, -1)
+    anchor = F.last(F.when(~is_note, F.struct("kind", "label", "page_no", "id")), ignorenulls=True).over(before)
+    own = own.withColumns({"goes_on": goes_on(), "anchor": anchor})
+    noted = is_note & (F.col("anchor.page_no") == F.col("page_no")) & takes_caption(F.col("anchor.kind"), F.col("anchor.label"))
+    own = own.withColumn("target_id", F.coalesce(F.when(F.col("label") == "caption", caption_target()), F.when(noted, F.col("anchor.id"))))
+    main = F.isnull("target_id") & ~F.col("goes_on")
+    closes = main & (F.col("kind") == "text") & ~F.col("label").isin("list_item", "code")
+    own = own.withColumns({"ref": ref_of(F.col("page_no"), F.col("id")), "item": main & (F.col("label") == "list_item")})
+    beside = {f"{side}_{c}": f(c).over(in_document()) for side, f in (("prev", F.lag), ("next", F.lead)) for c in ("target_id", "ref")}
+    own = own.withColumns(
+        {
+            "head": F.max(F.when(~F.col("goes_on"), F.col("seq"))).over(so_far), "joins": F.col("goes_on") | F.coalesce(F.lead("goes_on").over(in_document()), F.lit(False)),
+            "run": F.sum(F.when(closes, 1).otherwise(0)).over(so_far),
+        } | beside
+    )
+    last_run = F.last(F.when(F.col("item"), F.col("run")), ignorenulls=True).over(before)
+    own = own.withColumn("opens", F.col("item") & F.coalesce(last_run != F.col("run"), F.lit(True)))
+    own = own.withColumn("group_no", F.sum(F.col("opens").cast("int")).over(so_far) - 1)
+    mine = lambda side: (F.col(f"{side}_label") == "caption") & (F.col(f"{side}_page_no") == F.col("page_no")) & (F.col(f"{side}_target_id") == F.col("id"))
+    captions = F.array_compact(F.array(*(F.when(mine(side), F.col(f"{side}_ref")) for side in ("prev", "next"))))
+    # a footnote lies in the group of what it belongs to, all else in one of its own
+    group = Window.partitionBy("doc_id", "page_no", "group")
+    own = own.withColumn("group", F.when(is_note, F.coalesce("target_id", "id")).otherwise(F.col("id")))
+    notes = F.sort_array(F.collect_list(F.when(is_note & F.col("target_id").isNotNull(), F.struct("seq", "ref"))).over(group))
+    parent = F.when(F.col("target_id").isNotNull(), ref_of(F.col("page_no"), F.col("target_id"))).when(F.col("item"), F.concat(F.lit("#/groups/"), F.col("group_no").cast("string")))
+    footnotes = F.when(is_note, F.array().cast("array<string>")).otherwise(F.transform("notes", lambda p: p["ref"]))
+    own = own.withColumn("notes", notes)
+    return own.select("doc_id", "seq", "goes_on", "head", "joins", parent.alias("parent_ref"), captions.alias("caption_refs"), footnotes.alias("footnote_refs"))
+
+
 def items(ordered: DataFrame) -> DataFrame:
     """Document items: ``(doc_id, seq, item_ref, parent_ref, type, content_layer, text, orig, marker, prov, caption_refs, footnote_refs)``.
 
     Captions and footnotes are children of what they belong to, which lists them; a text that goes on elsewhere is one
     item with several provenances; list items are children of their group. Only texts have text: a
     formula's is its ``orig``, a list item's comes without its marker. ordered is read several times: store it first.
+    Texts are moved once, to their links; only parts of texts that go on are moved again.
     """
-    notes = caption_links(ordered).withColumn("role", F.lit("caption")).unionByName(footnote_links(ordered).withColumn("role", F.lit("footnote")))
-    notes = notes.withColumns({"note_ref": ref_of(F.col("page_no"), F.col("id")), "target_ref": ref_of(F.col("page_no"), F.col("target_id"))})
-    continued = merge_heads(ordered).filter("head <> seq").select(*PAGE, "id")
-    main = ordered.join(notes.select(*PAGE, "id").union(continued), [*PAGE, "id"], "left_anti")
-    noted = notes.join(ordered.select(*PAGE, "id", "seq"), [*PAGE, "id"]).withColumn("pair", F.struct("seq", "note_ref"))
-    refs = noted.groupBy("doc_id", F.col("target_ref").alias("item_ref")).agg(
-        *(F.transform(F.sort_array(F.collect_list(F.when(F.col("role") == r, F.col("pair")))), lambda p: p["note_ref"]).alias(f"{r}_refs") for r in ("caption", "footnote"))
-    )
-    lists = list_groups(main).select("doc_id", "seq", F.concat(F.lit("#/groups/"), F.col("group_no").cast("string")).alias("parent_ref"))
-    parents = lists.unionByName(noted.select("doc_id", "seq", F.col("target_ref").alias("parent_ref")))
-    kept = main.unionByName(ordered.join(notes.select(*PAGE, "id"), [*PAGE, "id"], "left_semi"))
+    found = links(ordered)
+    may_join = with_ends(ordered).filter("label = 'text' and (open_end or low)")
+    parts = may_join.join(found.filter("joins").select("doc_id", "seq", "head"), ["doc_id", "seq"])
+    several = joined_parts(parts).select("doc_id", "seq", F.col("text").alias("joined_text"), F.col("prov").alias("joined_prov"))
+    rows = ordered.join(found.filter("not goes_on").drop("goes_on", "head", "joins"), ["doc_id", "seq"]).join(several, ["doc_id", "seq"], "left")
+    alone = F.struct("page_no", F.lit(0).alias("start"), F.length("text").alias("end"), "l", (F.col("height") - F.col("t")).alias("t"), "r", (F.col("height") - F.col("b")).alias("b"))
+    rows = rows.withColumns({"whole": F.coalesce("joined_text", "text"), "prov": F.coalesce("joined_prov", F.array(alone)), "item_ref": ref_of(F.col("page_no"), F.col("id"))}).drop("text")
     kind = F.when(F.col("label") == "section_header", "heading").when(F.col("kind") == "text", F.col("label")).otherwise(F.col("kind"))
     is_text = F.col("kind") == "text"
-    whole = merged_texts(ordered).select("doc_id", "seq", F.col("text").alias("whole"), "prov")
-    rows = kept.drop("text").join(whole, ["doc_id", "seq"]).withColumn("item_ref", ref_of(F.col("page_no"), F.col("id")))
-    rows = rows.join(parents, ["doc_id", "seq"], "left").join(refs, ["doc_id", "item_ref"], "left")
     mark, rest = marker(F.col("whole"))
     listed = F.col("label") == "list_item"
     text = F.when(~is_text | (F.col("label") == "formula"), "").when(listed, rest).otherwise(F.col("whole"))
     blank = F.transform("prov", lambda p: F.struct(p["page_no"].alias("page_no"), F.lit(0).alias("start"), F.lit(0).alias("end"), *(p[c].alias(c) for c in "ltrb")))
-    none = F.array().cast("array<string>")
     return rows.select(
         "doc_id", "seq", "item_ref", "parent_ref", kind.alias("type"), layer(F.col("label")).alias("content_layer"), text.alias("text"),
         F.when(is_text, F.col("whole")).otherwise("").alias("orig"), F.when(listed & (mark != ""), mark).alias("marker"), F.when(is_text, F.col("prov")).otherwise(blank).alias("prov"),
-        F.coalesce("caption_refs", none).alias("caption_refs"), F.coalesce("footnote_refs", none).alias("footnote_refs"),
+        "caption_refs", "footnote_refs",
     )
 
 

@@ -233,11 +233,11 @@ class Engine:
         routed = assemble.routed(clusters)
         tables = self._staged("table", o.table, table_predictions, routed.filter("kind = 'table'"), own)
         figures = self._staged("figure", o.figure, figure_predictions, routed.filter("kind = 'figure'"))
-        elements = assemble.texts(routed, own)
+        elements = routed.drop("cells")
         elements = elements.withColumns({"num_rows": F.lit(0).cast("long"), "num_cols": F.lit(0).cast("long")}) if tables is None else assemble.with_tables(elements, tables)
         elements = elements.withColumn("figure_class", F.lit(None).cast("string")) if figures is None else assemble.with_figures(elements, figures)
         placed = cuts.reading_order(elements, todo, o.reading.slack) if o.reading.method == "cuts" else reading.reading_order(elements, todo)
-        ordered = watch.stored(placed.drop("cells"), "reading-order")
+        ordered = watch.stored(assemble.with_texts(placed, assemble.line_texts(routed, own)), "reading-order")
         items = reading.items(ordered).join(ordered.select("doc_id", "seq", "num_rows", "num_cols", "figure_class"), ["doc_id", "seq"])
         items = self._enriched(items, ordered)
         children = reading.child_items(kids, ordered.select(*PAGE, "id", "kind", "num_rows"), own)
