@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.operators.layout import PAGE
+from leafmill.storage import stored
 
 TABLE = (*PAGE, "id")
 #: In heights of a text: how far rows may overlap, and the least width of a gap between columns.
@@ -68,10 +69,11 @@ def columns_of(texts: DataFrame) -> DataFrame:
 def grid(tables: DataFrame, cells: DataFrame) -> DataFrame:
     """``(table, row, col, col_span, text)``: cells of the grid, texts of one place joined in reading order.
 
-    A text spans the columns that it overlaps; one that overlaps none belongs to the next on its right, or to the last.
+    A text spans the columns that it overlaps; one that overlaps none belongs to the next on its right, or to the last. Texts and
+    columns are read several times, so they are written to the shared folder once.
     """
-    texts = rows_of(cells_of(tables, cells))
-    columns = columns_of(texts)
+    texts = stored(rows_of(cells_of(tables, cells)), "table-texts")
+    columns = stored(columns_of(texts), "table-columns")
     last = columns.groupBy(*TABLE).agg(F.max("col").alias("last"))
     t, c = texts.alias("t"), columns.alias("c")
     on = [F.col(f"t.{k}") == F.col(f"c.{k}") for k in TABLE]

@@ -76,3 +76,8 @@ def test_boxes_of_overlaps_are_dealt_once(spark):
     pairs = layout.overlap_pairs(own)
     assert pairs._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert pairs.count() == pairs.distinct().count() > 0
+
+
+def test_texts_of_grid_tables_are_read_once(spark):
+    own = plan(catalog.QUERIES["grid_tables"](spark, SMALL))
+    assert "split(" not in own and own.count("LogicalRDD") + own.count("Relation [") <= 4
