@@ -9,6 +9,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from leafmill.sources.backends import frame_sizes
 
@@ -132,7 +133,9 @@ def text_pictures(docs: DataFrame) -> DataFrame:
         from leafmill.sources.pixels import encode, handed_on
 
         def drawn(batch: pa.RecordBatch) -> Iterator[tuple]:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            # row by row: of a batch of many long texts, one at a time is held beside it
+            for n in range(batch.num_rows):
+                doc_id, text = batch.column(0)[n].as_py(), batch.column(1)[n].as_py()
                 data = np.frombuffer((text or "").encode(), np.uint8)
                 height = max(1, -(-len(data) // TEXT_WIDTH))
                 grey = np.zeros(height * TEXT_WIDTH, dtype=np.uint8)
@@ -147,12 +150,19 @@ def text_pictures(docs: DataFrame) -> DataFrame:
 
 
 def samples_of(pictures: DataFrame) -> DataFrame:
-    """Adds ``samples``: what the column ``png`` shows, as lower-case hex digits."""
+    """What the column ``png`` shows as ``samples``, lower-case hex digits, in its place; rows are decoded one at a time and handed on by the megabyte."""
+    kept = [f for f in pictures.schema.fields if f.name not in ("png", "samples")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from leafmill.sources.pixels import decode, handed_on
 
-    @F.pandas_udf("string")
-    def samples(png: pd.Series) -> pd.Series:
-        from leafmill.sources.pixels import decode
+        def told(batch: pa.RecordBatch) -> Iterator[tuple]:
+            for n in range(batch.num_rows):
+                *own, png = (c[n].as_py() for c in batch.columns)
+                yield *own, None if png is None else decode(png).tobytes().hex()
 
-        return png.map(lambda x: None if x is None else decode(x).tobytes().hex())
+        for batch in batches:
+            schema = pa.schema([*list(batch.schema)[:-1], pa.field("samples", pa.string())])
+            yield from handed_on(told(batch), schema, len(schema) - 1)
 
-    return pictures.withColumn("samples", samples("png"))
+    return pictures.select(*(f.name for f in kept), "png").mapInArrow(run, StructType([*kept, StructField("samples", StringType())]))
