@@ -60,6 +60,8 @@ _CLASS_OF_BYTE = np.zeros(256, np.uint8)
 _CLASS_OF_BYTE[97:123] = np.arange(1, 27)
 _CLASS_OF_BYTE[65:91] = np.arange(1, 27)
 _CLASS_OF_BYTE[0xC3:0xF5] = 27
+#: what a class is spelled as; any other letter as it is
+_SPELLED = np.array([ord(" "), *map(ord, LETTERS), 0], np.uint32)
 _GO_ON = np.zeros(256, bool)
 _GO_ON[0x80:0xC0] = True
 
@@ -138,46 +140,50 @@ class Restorer:
         return out
 
     def _equal(self, tokens: list[str], length: int, ks: list[int], out: list[str]) -> None:
+        if not length:
+            return
         n = len(tokens)
-        grid = np.array(tokens, f"<U{length}").view(np.uint32).reshape(n, length) if length else np.zeros((n, 0), np.uint32)
+        rows = np.arange(n)
+        grid = np.array(tokens, f"<U{length}").view(np.uint32).reshape(n, length)
+        chars, code = np.unique(grid, return_inverse=True)
+        code = code.reshape(n, length)
+        costs = [self.cost(chr(c)) for c in chars.tolist()]
+        emit, drop = np.array([e for e, _ in costs]), np.array([d for _, d in costs])
+        letter = np.array([chr(c).isalpha() for c in chars.tolist()])
+        # a character's classes first: all tokens take their first class together, then those with a second, and so on
+        classes = np.argsort(emit == -np.inf, axis=1, kind="stable")
+        count = (emit > -np.inf).sum(1)
+        into = np.ascontiguousarray(self.step.T)
         score = np.full((n, CLASSES), -np.inf)
         score[:, 0] = 0.0
         back = np.full((length, n, CLASSES), -1, np.int8)  # the state before; -1: the character stands for nothing
         for i in range(length):
-            column = grid[:, i]
-            again = column == grid[:, i - 1] if i else np.zeros(n, bool)
-            after = np.full((n, CLASSES), -np.inf)
-            order = np.argsort(column, kind="stable")
-            cuts = np.flatnonzero(np.diff(column[order])) + 1
-            for rows in np.split(order, cuts):
-                # few classes can emit a character, so only these columns of the step are worked out
-                char = chr(column[rows[0]])
-                emit, drop = self.cost(char)
-                before = score[rows]
-                dropped = before + (np.where(again[rows], -1.0, drop)[:, None] if char.isalpha() else drop)
-                after[rows] = dropped
-                for state in np.flatnonzero(emit > -np.inf):
-                    reach = before + self.step[:, state]
-                    best = reach.argmax(1)
-                    emitted = reach[np.arange(len(rows)), best] + emit[state]
-                    better = emitted >= dropped[:, state]
-                    at = rows[better]
-                    after[at, state], back[i, at, state] = emitted[better], best[better]
+            c = code[:, i]
+            own = drop[c]
+            if i:
+                own[letter[c] & (c == code[:, i - 1])] = -1.0
+            dropped = score + own[:, None]
+            after = dropped.copy()
+            for k in range(count[c].max()):
+                at = np.flatnonzero(count[c] > k)
+                state = classes[c[at], k]
+                reach = score[at] + into[state]
+                best = reach.argmax(1)
+                emitted = reach[rows[: len(at)], best] + emit[c[at], state]
+                better = emitted >= dropped[at, state]
+                at, state = at[better], state[better]
+                after[at, state], back[i, at, state] = emitted[better], best[better]
             score = after
         state = (score + self.step[:, 0]).argmax(1)
+        spelled = np.zeros((n, length), np.uint32)
+        for i in range(length - 1, -1, -1):
+            before = back[i, rows, state]
+            read = before >= 0
+            spelled[:, i] = np.where(read, np.where(state == 27, grid[:, i], _SPELLED[state]), 0)
+            state = np.where(read, before, state)
         stuck = ~np.isfinite(score.max(1))
-        for row, k in enumerate(ks):
-            if stuck[row]:
-                out[k] = tokens[row]
-                continue
-            s, chars = int(state[row]), []
-            own = back[:, row].tolist()
-            for i in range(length - 1, -1, -1):
-                before = own[i][s]
-                if before >= 0:
-                    chars.append(tokens[row][i] if s == 27 else LETTERS[s - 1] if s else " ")
-                    s = before
-            out[k] = "".join(reversed(chars))
+        for k, token, restored, as_is in zip(ks, tokens, spelled.view(f"<U{length}").ravel().tolist(), stuck.tolist(), strict=True):
+            out[k] = token if as_is else restored.replace("\0", "")
 
 
 def disguised(token: str) -> bool:
@@ -198,7 +204,7 @@ def _fragment(word: str, common: frozenset[str] | None) -> bool:
 
 
 #: Runs of single characters, and of short words of which some are fragments.
-_SINGLES, _SHORTS = re.compile("s{3,}"), re.compile("[so]*f[sof]*")
+_SINGLES, _SHORTS = re.compile("s{3,}"), re.compile("[sof]{2,}")
 
 
 class Runs:
@@ -227,16 +233,15 @@ class Runs:
         kinds = self.kinds
         if len(kinds) > self.most:
             kinds.clear()
-        for w in words:
-            if w not in kinds:
-                kinds[w] = self.kind(w)
-        spelled = "".join([kinds[w] for w in every])
+        for w in words.difference(kinds):
+            kinds[w] = self.kind(w)
+        spelled = "".join(map(kinds.__getitem__, every))
         for run in _SINGLES.finditer(spelled):
             own = [w.strip(_EDGE) for w in every[run.start() : run.end()]]
             if sum(c.isalpha() for c in own) >= 2:
                 words.add(" ".join(own))
         for run in _SHORTS.finditer(spelled):
-            if run.end() - run.start() >= 2:
+            if "f" in run[0]:
                 words.add(" ".join([w.strip(_EDGE) for w in every[run.start() : run.end()]]))
         return words
 
@@ -253,10 +258,13 @@ class Words:
         self.restorer, self.most, self.size = restorer, most, 0
         self.known: dict[str, tuple[str, ...]] = {}
 
+    def clear(self) -> None:
+        self.known.clear()
+        self.size = 0
+
     def learn(self, words: set[str]) -> None:
         if self.size > self.most:
-            self.known.clear()
-            self.size = 0
+            self.clear()
         new = [w for w in words if w not in self.known]
         self.size += sum(map(len, new)) * 2 + 250 * len(new)
         odd: list[tuple[str, str]] = []
@@ -274,8 +282,11 @@ class Words:
             if core and _ODD.search(core) and disguised(core):
                 odd += [(w, part) for part in parts(core)]
         if odd:
-            for (w, _), restored in zip(odd, self.restorer.restore([c for _, c in odd]), strict=True):
-                for form in restored.split():
+            # words differ more than their cores do, and each is decoded once
+            each = list({c: None for _, c in odd})
+            restored = dict(zip(each, self.restorer.restore(each), strict=True))
+            for w, c in odd:
+                for form in restored[c].split():
                     if form not in self.known[w]:
                         self.known[w] += (form,)
 
@@ -321,31 +332,33 @@ class Model:
 
     def scorer(self):
         words, runs, weights = Words(self.restorer), Runs(self.restorer.common), self.weights
+        #: what the words known have, where that is any
         hits: dict[str, tuple[str, ...]] = {}
         table = self._may_have()
 
         def score(texts: list[str]) -> list[float]:
             if words.size > words.most:
+                words.clear()
                 hits.clear()
             every = [runs(text) for text in texts]
             # the new words of all texts are decoded together
-            new = {w for w in set().union(*every) if w not in hits}
+            new = set().union(*every).difference(words.known)
             if new:
                 words.learn(new)
                 forms = sorted({form for w in new for form in words.known[w]})
                 maybe: set[int] = set()
                 for word, bucket, _ in _hashed_substrings(forms):
                     maybe.update(word[table[bucket]].tolist())
-                found = {forms[k]: tuple(s for s in substrings(forms[k]) if s in weights) for k in maybe}
+                found = {forms[k]: own for k in maybe if (own := substrings(forms[k]) & weights.keys())}
                 for w in new:
-                    hits[w] = tuple({s for form in words.known[w] for s in found.get(form, ())})
+                    if not found.keys().isdisjoint(words.known[w]):
+                        hits[w] = tuple({s for form in words.known[w] for s in found.get(form, ())})
             return [one(own) for own in every]
 
         def one(own: set[str]) -> float:
             found: set[str] = set()
-            for h in map(hits.__getitem__, own):
-                if h:
-                    found.update(h)
+            for w in own & hits.keys():
+                found.update(hits[w])
             return round(1 / (1 + np.exp(-max(-30.0, min(30.0, self.bias + sum(weights[s] for s in sorted(found)))))), 6)
 
         return score

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
 
@@ -80,3 +82,27 @@ def test_empty_table_and_odd_rows(spark):
     docs = spark.createDataFrame([(1, "x"), (1, "x"), (None, None), (2, "")], "doc_id long, text string")
     model = toxicity.train(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(docs.limit(0), model).count() == 0 and {r.score for r in toxicity.score(docs, model).collect()} == {0.05}
+
+
+def test_words_of_one_core_are_decoded_once(restorer, monkeypatch):
+    decoded = []
+    own = restorer.restore
+    monkeypatch.setattr(restorer, "restore", lambda tokens: decoded.extend(tokens) or own(tokens))
+    words = toxicity.Words(restorer)
+    words.learn({"stu-pid.", "stu-pid,", "“stu-pid"})
+    assert decoded == ["stu-pid"] and all("stupid" in forms for forms in words.known.values())
+
+
+def test_many_short_words_in_a_row(restorer):
+    began = time.process_time()
+    words = toxicity.raw_words("is the " * 60_000 + "nothing stu pid", restorer.common)
+    assert words == {"is", "the", "nothing", "stu", "pid", "stu pid"} and time.process_time() - began < 5
+
+
+def test_scores_when_known_words_are_dropped(restorer, monkeypatch):
+    model = toxicity.Model(-3.0, {"=stupid": 6.0, "=moron": 5.0}, restorer)
+    whole = model.scorer()
+    monkeypatch.setattr(toxicity.Words, "__init__", lambda words, restorer, most=0, own=toxicity.Words.__init__: own(words, restorer, most))
+    small = model.scorer()
+    texts = [f"a {a} stu-pid word {k}" if k % 3 else f"m-o-r-o-n {k}" for k, a in enumerate("xyzxyzxyz")]
+    assert [small([t])[0] for t in texts] == whole(texts)
