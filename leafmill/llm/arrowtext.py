@@ -100,10 +100,11 @@ def sliced(batches: Iterator[pa.RecordBatch], column: str | int, most: int = PIE
 
 
 def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same batches; at the end of the task its free memory goes back, since workers live on between stages."""
+    """The same batches; at the end of the task its free memory and the powers kept go back, since workers live on between stages."""
     try:
         yield from batches
     finally:
+        Roller._powers.clear()
         pa.default_memory_pool().release_unused()
         try:
             ctypes.CDLL(None).malloc_trim(0)

@@ -200,7 +200,7 @@ def candidates(listed: DataFrame, percent: int, small: int = SMALL) -> DataFrame
             rows = held[0]
             yield edges(rows[:, 0], rows[:, 1], rows[:, 2], np.full(len(rows), bool(large)))
 
-    met = listed.mapInArrow(run, "a long, b long, least int")
+    met = listed.mapInArrow(lambda batches: released(run(batches)), "a long, b long, least int")
     counted = met.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("least").alias("least"))
     return counted.filter("met >= least").select("a", "b")
 

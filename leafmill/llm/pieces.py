@@ -12,7 +12,9 @@ from __future__ import annotations
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -140,12 +142,14 @@ def _whole(text: str) -> np.uint64:
 
 
 class Encoder:
-    def __init__(self, vocabulary: Vocabulary, most: int = 130_000_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 50_000_000):
         #: bytes that the words known may take, roughly
         self.v, self.most, self.used = vocabulary, most, 0
         self.power = np.cumprod(np.concatenate([[U64(1)], np.full(vocabulary.longest * 2 + 2, U64(BASE))]), dtype=U64)
-        self.known: dict[str, array] = {}
-        self.parts: dict[str, array] = {}
+        #: words and parts of words by number; those of number k have the ids from ends[k] to ends[k + 1]
+        self.known: dict[str, int] = {}
+        self.parts: dict[str, int] = {}
+        self.ids, self.ends = array("i"), array("i", [0])
         #: the latest verdicts on pairs of pieces, each in the slot of its hash
         self.fits = np.full(1 << 21, -1, np.int64), np.zeros(1 << 21, bool)
         end = re.escape(vocabulary.apart)
@@ -205,7 +209,12 @@ class Encoder:
                 else:
                     ids.append(piece)
                 j -= step[j]
-            self.parts[word] = array("i", ids[::-1])
+            self.parts[word] = self._keep(ids[::-1])
+
+    def _keep(self, ids: Iterable[int]) -> int:
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+        return len(self.ends) - 2
 
     def _spelled(self, word: str, path: list[tuple[int, int]]) -> array:
         """Ids of a path: pieces as they are, unknown characters as their bytes."""
@@ -301,7 +310,7 @@ class Encoder:
         at = rows[better]
         value[at], last[j, at], taken[j, at] = worth[better], piece[better], back
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: Iterable[str]) -> None:
         inside, parts = self.v.inside, self.parts
         new = [w for w in words if w not in self.known]
         self.used += 8 * sum(map(len, new)) + 250 * len(new)
@@ -321,7 +330,7 @@ class Encoder:
         for length, found in by_length.items():
             if length > LONG and self.v.kind == BPE:
                 for word in found:
-                    parts[word] = self._long(word)
+                    parts[word] = self._keep(self._long(word))
                 continue
             same, step = sorted(found), max(1, 200_000 // length)
             for k in range(0, len(same), step):
@@ -331,25 +340,34 @@ class Encoder:
                 self.known[w] = parts[w]
             else:
                 whole = array("i")
-                for part in own:
-                    whole.extend(parts[part])
-                self.known[w] = whole
+                for k in map(parts.__getitem__, own):
+                    whole.extend(self.ids[self.ends[k] : self.ends[k + 1]])
+                self.known[w] = self._keep(whole)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and row offsets into them; null reads as empty."""
         if self.used > self.most:
             self.known.clear()
             self.parts.clear()
+            self.ids, self.ends = array("i"), array("i", [0])
             self.used = 0
         lead = SPACE if self.v.prefix else ""
-        words = [self.split((lead + t).replace(" ", SPACE)) if t else [] for t in texts]
-        self.learn(set().union(*words) if words else set())
-        out, ends, known = array("i"), [0], self.known
-        for own in words:
-            for w in own:
-                out.extend(known[w])
-            ends.append(len(out))
-        return np.frombuffer(out, np.int32) if len(out) else np.zeros(0, np.int32), np.array(ends)
+        # each word is held once, however often texts have it
+        number: defaultdict[str, int] = defaultdict(count().__next__)
+        numbers, ends = array("i"), [0]
+        for t in texts:
+            if t:
+                numbers.extend(map(number.__getitem__, self.split((lead + t).replace(" ", SPACE))))
+            ends.append(len(numbers))
+        self.learn(number)
+        own = np.fromiter(map(self.known.__getitem__, number), np.int32, len(number))[np.frombuffer(numbers, np.int32)] if numbers else np.zeros(0, np.int32)
+        known, begin = np.array(self.ids, np.int32), np.array(self.ends, np.int32)
+        size = np.diff(begin)[own]
+        at = np.zeros(len(own) + 1, np.int32)
+        np.cumsum(size, out=at[1:])
+        place = np.repeat(begin[own] - at[:-1], size)
+        place += np.arange(at[-1], dtype=np.int32)
+        return known[place], at[ends].astype(np.int64)
 
 
 def decode(vocabulary: Vocabulary, ids) -> str:

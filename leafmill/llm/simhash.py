@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.arrowtext import U64, lowered, mix64, utf8
+from leafmill.llm.arrowtext import U64, lowered, mix64, released, utf8
 from leafmill.operators.graph import connected_components
 from leafmill.storage import stored
 
@@ -286,8 +286,8 @@ def golay_links(prints: DataFrame, n_bits: int = 64, max_distance: int = 3, over
         return run
 
     def linked(nodes: DataFrame, keys_of, most: int | None) -> DataFrame:
-        keyed = nodes.select(*columns[1:]).mapInArrow(spread(keys_of), schema)
-        return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(link(most), "src binary, dst binary").distinct()
+        keyed = nodes.select(*columns[1:]).mapInArrow(lambda batches: released(spread(keys_of)(batches)), schema)
+        return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: released(link(most)(batches)), "src binary, dst binary").distinct()
 
     if parts > 1 or max_distance > 3:
         return linked(prints, golay_keys, None)

@@ -263,7 +263,7 @@ def settle_spans(filed: DataFrame, threshold: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out_pk))], names=["doc", "pk"])
 
     ordered = filed.repartition("kh").sortWithinPartitions("kh", "ch", "doc", "pk")
-    return ordered.mapInArrow(lambda batches: _grouped(batches, settle), "doc long, pk long")
+    return ordered.mapInArrow(lambda batches: released(_grouped(batches, settle)), "doc long, pk long")
 
 
 def _squeezed(docs: DataFrame) -> DataFrame:
