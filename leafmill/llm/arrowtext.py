@@ -31,7 +31,7 @@ def byte_values(seed: int) -> np.ndarray:
 
 
 #: Bytes (or tokens) that are hashed at once; longer texts are cut into overlapping pieces of this size.
-PIECE = 1_000_000
+PIECE = 250_000
 _KEPT = 1 << 20
 
 

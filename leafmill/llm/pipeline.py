@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafmill.llm import decontaminate as seeds
 from leafmill.llm import near_copies, pieces, suffix_dedup, toxicity
+from leafmill.storage import bounded_batches
 
 #: Near copies: words of a shingle, and the least similarity of two sets, in hundredths.
 SHINGLE_WORDS, SIMILARITY = 5, 80
@@ -20,6 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Every row is judged by its own text, also rows without an id, of one id, or that repeat; null and empty texts
     are not toxic by themselves (they score the prior); an empty table gives an empty one; all columns stay.
     """
+    bounded_batches(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.scored(docs, model, name="own score").filter(F.col("own score") < toxicity.THRESHOLD).drop("own score")
 
@@ -29,6 +31,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts without words (null, empty, white space) are copies of each other. An empty table gives an empty one; all columns stay.
     """
+    bounded_batches(spark)
     return near_copies.without_near_copies(docs, shingle_words=SHINGLE_WORDS, percent=SIMILARITY)
 
 
@@ -38,6 +41,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Rows are told apart by id and text, so rows of one id keep their own texts; repeated rows are one text, rows
     without an id come last. Null texts stay null; n_chars follows the text; an empty table gives an empty one.
     """
+    bounded_batches(spark)
     cut = suffix_dedup.remove_repeats(docs, unit="words", threshold=REPEAT_WORDS, keep_digest=True)
     changed = cut.filter("n_removed > 0").select(F.struct("id", "digest").alias("cut of"), F.col("kept").cast("string").alias("kept text")).dropDuplicates(["cut of"])
     own = F.struct(F.col("doc_id").cast("long").alias("id"), suffix_dedup.text_digest(F.col("text")).alias("digest"))
@@ -60,5 +64,6 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row, with the round trip through decoding verified; null and empty texts have none."""
+    bounded_batches(spark)
     coded = pieces.encode(docs, pieces.load())
     return coded.select(F.col("id").alias("doc_id"), "n_tokens", "token_ids", "round_trip")

@@ -33,8 +33,8 @@ from leafmill.storage import stored
 
 #: Odd multipliers of the rolling hashes.
 BASE_BLOCK, BASE_SPAN, BASE_WORD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
-#: Records that a task holds before it files them.
-FLUSH = 1_000_000
+#: Records that a task holds before it files them; sorting them takes some 150 bytes each.
+FLUSH = 250_000
 ALONE, MARKER, OPEN, GONE = 0, 1, 2, 3
 
 Tokens = tuple[np.ndarray, np.ndarray, np.ndarray | None, np.ndarray | None]
@@ -155,6 +155,13 @@ def _rows(kh: np.ndarray, ch: np.ndarray, doc: np.ndarray, pk: np.ndarray) -> pa
 FILED = "kh long, ch long, doc long, pk long"
 
 
+def _taken(held: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    """All records held, joined by column; none are held after that."""
+    out = {n: np.concatenate([h.pop(n) for h in held]) for n in list(held[0])}
+    held.clear()
+    return out
+
+
 def _settle_task(r: dict[str, np.ndarray], threshold: int) -> Iterator[pa.RecordBatch]:
     """What one task knows of its own records: repeats are gone, blocks with several spans open."""
     order = np.lexsort((r["p0"], r["doc"], r["ch"], r["kh"]))
@@ -193,10 +200,10 @@ def file_documents(docs: DataFrame, unit: str, threshold: int, piece: int = PIEC
                 held.append({"kh": r["kh"], "ch": r["ch"], "doc": ids[lo:hi][r.pop("row")], "p0": r["p0"] + skipped, "length": r["length"]})
                 count += len(r["kh"])
                 if count > FLUSH:
-                    yield from _settle_task({n: np.concatenate([h[n] for h in held]) for n in held[0]}, threshold)
-                    held, count = [], 0
+                    yield from _settle_task(_taken(held), threshold)
+                    count = 0
         if held:
-            yield from _settle_task({n: np.concatenate([h[n] for h in held]) for n in held[0]}, threshold)
+            yield from _settle_task(_taken(held), threshold)
 
     return docs.select("doc", "text").mapInArrow(lambda batches: released(run(batches)), FILED)
 
@@ -339,10 +346,10 @@ def file_again(texts: DataFrame, unit: str, threshold: int, width: int, piece: i
                 held.append(found)
                 count += len(found["kh"])
                 if count > FLUSH:
-                    yield from _settle_task({n: np.concatenate([h[n] for h in held]) for n in held[0]}, threshold)
-                    held, count = [], 0
+                    yield from _settle_task(_taken(held), threshold)
+                    count = 0
         if held:
-            yield from _settle_task({n: np.concatenate([h[n] for h in held]) for n in held[0]}, threshold)
+            yield from _settle_task(_taken(held), threshold)
 
     return texts.mapInArrow(lambda batches: released(run(batches)), FILED)
 

@@ -44,7 +44,7 @@ _EDGE = "".join(c for c in _TRIM if c not in "@$!|+(")
 _DOUBLED = re.compile(r"(.)\1")
 _RUN = re.compile(r"([^\W\d_])\1{3,}")
 #: Bytes of text whose new words are decoded together.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Characters of a token that are decoded together.
 PART = 64
 _LIKE = "".join(re.escape(c) for c in LOOKALIKES)
