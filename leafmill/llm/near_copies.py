@@ -57,7 +57,7 @@ def proposed(table: DataFrame, text, words: int) -> DataFrame:
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """The table of rows (see ``ngram_join.shingled``), and the groups of its sets; texts without words are one group of their own."""
-    table = ngram_join.shingled(docs, F.col(f"`{text_col}`"), words, "near-rows")
+    table = ngram_join.shingled(docs, F.col(f"`{text_col}`"), words, "near-rows", percent)
     own, text = F.col(f"row.`{id_col}`").cast("long"), F.col(f"row.`{text_col}`")
     groups = ngram_join.groups_of(table, own, text, words, percent, proposed(table, text, words))
     rows = table.filter("n >= 0")

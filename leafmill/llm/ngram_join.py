@@ -5,10 +5,13 @@ are shared, so their first ``n - need(n) + k`` shingles share ``k`` or more. A d
 prefix is estimated to cost least: each further token is one more row to shuffle and one more list to scan, but lets
 only those pairs through that meet in ``k`` tokens. Two documents must meet in the smaller of their depths.
 
-1. ``shingled`` writes the rows once, with the digest and size of their set, and counts all shingles in a fixed number
-   of counters, which give the order (any order is right; a good one is short).
-2. ``candidates`` brings the prefixes together by token. Small lists give pairs, which are counted against the depths;
-   in large ones a document meets one or two virtual nodes for its range of sizes instead, so a list of n costs O(n).
+1. ``shingled`` writes the rows once, with the digest, size and parity bits of their set, and counts all shingles in a fixed
+   number of counters, which give the order (any order is right; a good one is short).
+2. ``candidates`` brings the prefixes together by token. Small lists give pairs, which are counted against the depths; the rows
+   of larger ones are dealt once more. Either are kept only where the parity bits allow a link: sets differ in as many
+   shingles at least as their bits differ in places, so no link is lost, while sets that merely share frequent shingles,
+   of which there are more with every document, do not grow into groups. In lists of over ``WIDE`` sets a document meets one
+   or two virtual nodes for its range of sizes instead, so these cost O(n).
 3. Components of these edges are groups, whose distinct sets come together once (large groups in pairs of blocks), are
    verified exactly, and give a spanning forest and a number of links for each set, never the pairs themselves.
 """
@@ -37,6 +40,10 @@ COUNTERS, COUNTED = 1 << 20, 1 << 12
 DEEPEST, VERIFYING = 4, 8.0
 #: A token's list up to this length gives pairs.
 SMALL = 32
+#: Lists up to this length are compared by the sets' parity bits; in longer ones (and in those of ``HEAVY`` tokens) virtual nodes are met.
+WIDE = 4096
+#: Least and most parity bits of a set (powers of two; over some 60 000 shingles they tell less, but nothing wrong).
+FEWEST_BITS, MOST_BITS = 64, 1 << 16
 #: Estimated documents of a token from which its list is spread over many tasks.
 HEAVY = 50_000
 #: Sets and shingles of a block; a group of several blocks is verified by pairs of blocks.
@@ -55,9 +62,36 @@ def size_class(n: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / (math.log(100 / percent) + 1e-6)).astype(np.int64)
 
 
-def shingled(rows: DataFrame, text: Column, words: int, name: str) -> DataFrame:
-    """``(row, digest, node, n, nth)``, written once: each row as a struct with its set's digest (128 bits), the digest's
-    first half, its size, and a number that tells rows apart. Rows with a negative n hold counters instead (see ``counters``).
+def slack(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles that two sets of a and b shingles may differ in, at most, if they link."""
+    return a + b - 2 * -(-percent * (a + b) // (100 + percent))
+
+
+def parity_bits(sets: np.ndarray, at: np.ndarray, percent: int) -> list[bytes]:
+    """Of each set, the parity of the number of its shingles at each of a power of two of places, which grows with its size.
+
+    Two sets' bits differ in no more places than the sets in shingles. Halves laid over each other (exclusive or) are the
+    bits at half as many places.
+    """
+    n = np.diff(at)
+    width = 1 << np.ceil(np.log2(np.clip(9 * (100 - percent) * n / (100 + percent), FEWEST_BITS, MOST_BITS))).astype(np.int64)
+    begin = np.concatenate([[0], np.cumsum(width)])
+    place = np.repeat(begin[:-1], n) + ((sets >> U64(24)).astype(np.int64) & np.repeat(width - 1, n))
+    flat = np.packbits((np.bincount(place, minlength=int(begin[-1])) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [flat[a:b] for a, b in zip((begin[:-1] // 8).tolist(), (begin[1:] // 8).tolist(), strict=True)]
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Rows of 64-bit words of parity bits, at as many places as ``words`` hold."""
+    while bits.shape[1] > words:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def shingled(rows: DataFrame, text: Column, words: int, name: str, percent: int) -> DataFrame:
+    """``(row, digest, node, n, parity, nth)``, written once: each row as a struct with its set's digest (128 bits), the digest's
+    first half, its size, its parity bits, and a number that tells rows apart. Rows with a negative n hold counters instead (see ``counters``).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,13 +103,13 @@ def shingled(rows: DataFrame, text: Column, words: int, name: str) -> DataFrame:
             counts += np.bincount(_counter(sets), minlength=COUNTERS)
             digests = [xxhash.xxh3_128_digest(sets[a:b].tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
             nodes = np.frombuffer(b"".join(digests), np.int64)[::2]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(nodes), pa.array(np.diff(at).astype(np.int32))], names=["row", "digest", "node", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(nodes), pa.array(np.diff(at).astype(np.int32)), pa.array(parity_bits(sets, at, percent), pa.binary())], names=["row", "digest", "node", "n", "parity"])
         if kind is not None:
             packed = [zstandard.compress(x.tobytes()) for x in counts.reshape(-1, COUNTED)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(packed), kind), pa.array(packed, pa.binary()), pa.nulls(len(packed), pa.int64()), pa.array(-1 - np.arange(len(packed), dtype=np.int32))], names=["row", "digest", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(packed), kind), pa.array(packed, pa.binary()), pa.nulls(len(packed), pa.int64()), pa.array(-1 - np.arange(len(packed), dtype=np.int32)), pa.nulls(len(packed), pa.binary())], names=["row", "digest", "node", "n", "parity"])
 
     source = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("row"), text.cast("string").alias("text"))
-    schema = StructType([StructField("row", rows.schema), StructField("digest", BinaryType()), StructField("node", LongType()), StructField("n", IntegerType())])
+    schema = StructType([StructField("row", rows.schema), StructField("digest", BinaryType()), StructField("node", LongType()), StructField("n", IntegerType()), StructField("parity", BinaryType())])
     made = source.mapInArrow(lambda batches: released(run(batches)), schema)
     return stored(made.withColumn("nth", F.monotonically_increasing_id()), name)
 
@@ -111,7 +145,8 @@ def prefixes(table: DataFrame, text: Column, words: int, percent: int, counts: n
     """``(token, node, packed)``, sorted by these within tasks that hold a token's whole list: prefixes of all sets.
 
     packed: for sorting, the set's size in the upper bits, then its depth. The list of a token of over ``heavy`` documents is split
-    by ``slot`` and marked by a slot that is not negative. A task gives the prefix of equal sets once.
+    by ``slot`` and marked by a slot that is not negative. A task gives the prefix of equal sets once; sets so small that one
+    shingle more or less is too much have none, as they link with nothing but copies.
     """
     shared = table.sparkSession.sparkContext.broadcast(counts)
 
@@ -130,7 +165,7 @@ def prefixes(table: DataFrame, text: Column, words: int, percent: int, counts: n
             tokens, nodes, packed, slots = [], [], [], []
             for k, node in enumerate(batch.column(1).to_pylist()):
                 n = int(at[k + 1] - at[k])
-                if not n or node in seen:
+                if 100 * n < percent * (n + 1) or node in seen:
                     continue
                 seen.add(node)
                 must = -(-percent * n // 100)
@@ -149,60 +184,156 @@ def prefixes(table: DataFrame, text: Column, words: int, percent: int, counts: n
     return source.mapInArrow(lambda batches: released(run(batches)), "token long, node long, packed long, slot short").repartition("token", "slot").sortWithinPartitions("token", "slot", "packed", "node")
 
 
-def candidates(listed: DataFrame, percent: int, small: int = SMALL) -> DataFrame:
-    """Edges ``(a, b)`` of nodes and virtual nodes whose components hold every pair of sets that may link."""
+def candidates(listed: DataFrame, table: DataFrame, own: DataFrame, percent: int, small: int = SMALL, wide: int = WIDE) -> DataFrame:
+    """Edges ``(a, b)`` of nodes and virtual nodes whose components hold every pair of sets that link.
+
+    listed: see ``prefixes``; table: see ``shingled``; own: ``(node, nth)``, one row of the table for each set.
+    """
+    met = listed.mapInArrow(lambda batches: released(_meetings(batches, percent, small)), "a long, b long, n int, least int")
+    counted = met.groupBy("a", "b", "n").agg(F.count("*").alias("met"), F.max("least").alias("least"))
+    met = stored(counted.filter("n <> 0 or met >= least").select("a", "b", "n"), "ngram-met")
+    pairs, rows = met.filter("n = 0").select("a", "b"), met.filter("n > 0").select(F.col("a").alias("token"), F.col("b").alias("node"))
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(rows.select("node")).distinct()
+    sets = marked(table.filter("n > 0").select("nth", "node", "n", "parity"), own.join(nodes, "node").select("nth"))
+    sets = stored(sets.filter("marked").select("node", "n", "parity"), "ngram-bits")
+    first, second = (sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"parity_{c}")) for c in "ab")
+    alike = pairs.join(first, "a").join(second, "b").select("a", "b", "n_a", "n_b", "parity_a", "parity_b")
+    alike = alike.mapInArrow(lambda batches: released(_alike_pairs(batches, percent)), "a long, b long")
+    dealt = rows.join(sets, "node").select("token", "node", "n", "parity").repartition("token").sortWithinPartitions("token", "n", "node")
+    linked = dealt.mapInArrow(lambda batches: released(_alike_lists(batches, percent, wide)), "a long, b long")
+    return alike.union(linked).union(met.filter("n < 0").select("a", "b"))
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], percent: int, small: int) -> Iterator[pa.RecordBatch]:
+    """``(a, b, n, least)`` of sorted prefixes: pairs of nodes (n is 0) that must meet ``least`` times; token, node and size of the rows
+    of lists of over ``small`` sets; edges to virtual nodes (n is -1) for lists that are split by slot.
+    """
 
-    def edges(tokens: np.ndarray, nodes: np.ndarray, packed: np.ndarray, large: np.ndarray) -> pa.RecordBatch:
-        """large: rows whose list is met through virtual nodes; all other lists are whole here."""
-        n, depth = packed >> 8, packed & 255
+    def edges(rows: np.ndarray, large: np.ndarray) -> pa.RecordBatch:
+        """large: rows of lists that are not met in pairs; all other lists are whole here."""
+        tokens, nodes, n, depth = rows[:, 0], rows[:, 1], rows[:, 2] >> 8, rows[:, 2] & 255
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         cold = np.flatnonzero(~large)
         for shift in range(1, small):
             x, y = cold[:-shift], cold[shift:]
-            met = tokens[x] == tokens[y]
-            if not met.any():
+            same = tokens[x] == tokens[y]
+            if not same.any():
                 break
-            x, y = x[met], y[met]
+            x, y = x[same], y[same]
             near = 100 * n[x] >= percent * n[y]
             a.append(x[near])
             b.append(y[near])
         a, b = np.concatenate(a), np.concatenate(b)
-        hot = np.flatnonzero(large)
-        place = size_class(n[hot], percent)
-        virtual = [_virtual(tokens[hot], place + k) for k in (0, 1)]
-        first = np.concatenate([np.minimum(nodes[a], nodes[b]), nodes[hot], nodes[hot]])
-        second = np.concatenate([np.maximum(nodes[a], nodes[b]), *virtual])
-        least = np.concatenate([np.minimum(depth[a], depth[b]), np.ones(2 * len(hot), np.int64)])
-        return pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(least.astype(np.int32))], names=["a", "b", "least"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # rows of the last token so far, of which more may come
-        large = False  # whether that token's list is a large one
-        for batch in batches:
-            rows = np.stack([batch.column(k).to_numpy() for k in range(3)] + [batch.column(3).to_numpy().astype(np.int64)], axis=1)
-            rows = np.concatenate([*held, rows])
-            if len(rows) > 1:
-                rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
-            if not len(rows):
+        hot, split = np.flatnonzero(large & (rows[:, 3] < 0)), np.flatnonzero(large & (rows[:, 3] >= 0))
+        split_a, split_b = _met_virtually(tokens[split], nodes[split], n[split], percent)
+        first = np.concatenate([np.minimum(nodes[a], nodes[b]), tokens[hot], split_a])
+        second = np.concatenate([np.maximum(nodes[a], nodes[b]), nodes[hot], split_b])
+        kind = np.concatenate([np.zeros(len(a), np.int64), n[hot], np.full(len(split_a), -1)])
+        least = np.concatenate([np.minimum(depth[a], depth[b]), np.ones(len(hot) + len(split_a), np.int64)])
+        return pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(kind.astype(np.int32)), pa.array(least.astype(np.int32))], names=["a", "b", "n", "least"])
+
+    held: list[np.ndarray] = []  # rows of the last token so far, of which more may come
+    large = False  # whether that token's list is a large one
+    for batch in batches:
+        rows = np.stack([batch.column(k).to_numpy() for k in range(3)] + [batch.column(3).to_numpy().astype(np.int64)], axis=1)
+        rows = np.concatenate([*held, rows])
+        if len(rows) > 1:
+            rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
+        if not len(rows):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 3] != rows[:-1, 3])]))
+        sizes = np.diff(np.append(first, len(rows)))
+        over = np.repeat(sizes > small, sizes) | (rows[:, 3] >= 0)
+        if large is not False and tuple(rows[0, [0, 3]]) == large:
+            over[: sizes[0]] = True
+        last = first[-1]
+        large = tuple(rows[-1, [0, 3]]) if over[-1] else False
+        cut = len(rows) - 1 if large else last  # of a large list only its last row is held, to know it again
+        held = [rows[cut:]]
+        if cut:
+            yield edges(rows[:cut], over[:cut])
+    if held and len(held[0]):
+        yield edges(held[0], np.full(len(held[0]), bool(large)))
+
+
+def _alike_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs ``(a, b)`` of rows ``(a, b, n_a, n_b, parity_a, parity_b)`` whose bits allow a link."""
+    for batch in sliced(batches, "parity_a", 1 << 20):
+        most = slack(*(batch.column(k).to_numpy().astype(np.int64) for k in (2, 3)), percent)
+        sides = [utf8(batch.column(k)) for k in (4, 5)]
+        words = [np.diff(at) // 8 for _, at in sides]
+        apart = np.zeros(batch.num_rows, np.int64)
+        for w, v in np.unique(np.stack(words, axis=1), axis=0).tolist():
+            own = np.flatnonzero((words[0] == w) & (words[1] == v))
+            x, y = (folded(raw[at[own][:, None] + np.arange(8 * k)].view(U64), min(w, v)) for (raw, at), k in zip(sides, (w, v), strict=True))
+            apart[own] = np.bitwise_count(x ^ y).sum(axis=1)
+        kept = pa.array((most > 0) & (apart <= most))
+        yield pa.RecordBatch.from_arrays([batch.column(k).filter(kept) for k in (0, 1)], names=["a", "b"])
+
+
+def _alike_lists(batches: Iterator[pa.RecordBatch], percent: int, wide: int) -> Iterator[pa.RecordBatch]:
+    """Edges ``(a, b)`` of sorted rows ``(token, node, n, parity)``: a forest of the pairs of each token whose bits allow a link, or virtual nodes for lists of over ``wide``."""
+    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    token, held, count, made = None, [], 0, [empty]
+
+    def settled() -> tuple[np.ndarray, np.ndarray]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        nodes, n = rows.column(1).to_numpy(), rows.column(2).to_numpy().astype(np.int64)
+        if count > wide:
+            return _met_virtually(rows.column(0).to_numpy(), nodes, n, percent)
+        return tuple(nodes[x] for x in alike(n, *utf8(rows.column(3)), percent))
+
+    def packed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*made, strict=True)], names=["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        tokens = batch.column(0).to_numpy()
+        first = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
+        for begin, end in zip(first.tolist(), np.append(first[1:], len(tokens)).tolist(), strict=True):
+            if tokens[begin] != token:
+                if held:
+                    made.append(settled())
+                token, held, count = tokens[begin], [], 0
+            held.append(batch.slice(begin, end - begin))
+            count += end - begin
+            if count > wide:  # such a list is not held
+                made.append(settled())
+                held = []
+        yield packed()
+        made = [empty]
+    if held:
+        made.append(settled())
+    yield packed()
+
+
+def alike(n: np.ndarray, raw: np.ndarray, at: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest, as two arrays of places, of the pairs of sets whose parity bits allow a link. n: sizes, ascending; raw, at: bits and where they begin."""
+    root, words = np.arange(len(n)), np.diff(at) // 8
+    reach = np.searchsorted(n, 100 * n // percent, side="right")
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    cuts = [0, *(np.flatnonzero(np.diff(words)) + 1).tolist(), len(n)]
+    blocks = [raw[at[x] : at[y]].copy().view(U64).reshape(y - x, -1) for x, y in zip(cuts[:-1], cuts[1:], strict=True) if y > x]
+    for k, start in enumerate(cuts[: len(blocks)]):
+        own = np.concatenate([folded(bits, blocks[k].shape[1]) for bits, x in zip(blocks[k:], cuts[k:], strict=False) if x < reach[cuts[k + 1] - 1]])
+        for x in range(start, cuts[k + 1]):
+            y = x + 1 + np.flatnonzero(root[x + 1 : reach[x]] != root[x])
+            if not len(y):
                 continue
-            first = np.flatnonzero(np.concatenate([[True], (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 3] != rows[:-1, 3])]))
-            sizes = np.diff(np.append(first, len(rows)))
-            over = np.repeat(sizes > small, sizes) | (rows[:, 3] >= 0)
-            if large is not False and tuple(rows[0, [0, 3]]) == large:
-                over[: sizes[0]] = True
-            last = first[-1]
-            large = tuple(rows[-1, [0, 3]]) if over[-1] else False
-            cut = len(rows) - 1 if large else last  # of a large list only its last row is held, to know it again
-            held = [rows[cut:]]
-            if cut:
-                yield edges(rows[:cut, 0], rows[:cut, 1], rows[:cut, 2], over[:cut])
-        if held and len(held[0]):
-            rows = held[0]
-            yield edges(rows[:, 0], rows[:, 1], rows[:, 2], np.full(len(rows), bool(large)))
-
-    met = listed.mapInArrow(lambda batches: released(run(batches)), "a long, b long, least int")
-    counted = met.groupBy("a", "b").agg(F.count("*").alias("met"), F.max("least").alias("least"))
-    return counted.filter("met >= least").select("a", "b")
+            most = slack(n[x], n[y], percent)
+            y = y[(most > 0) & (np.bitwise_count(own[y - start] ^ own[x - start]).sum(axis=1) <= most)]
+            joined, place = np.unique(root[y], return_index=True)
+            a.append(np.full(len(place), x))
+            b.append(y[place])
+            root[np.isin(root, joined)] = root[x]
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _met_virtually(tokens: np.ndarray, nodes: np.ndarray, n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of each node to the virtual nodes of its token for its class of sizes and the next."""
+    place = size_class(n, percent)
+    return np.concatenate([nodes, nodes]), np.concatenate([_virtual(tokens, place + k) for k in (0, 1)])
 
 
 def _virtual(tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -339,19 +470,20 @@ def marked(rows: DataFrame, numbers: DataFrame) -> DataFrame:
 
 def groups_of(
     table: DataFrame, id_col: Column, text: Column, words: int, percent: int, more: DataFrame | None = None,
-    small: int = SMALL, heavy: int = HEAVY, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES, broadcast_rows: int = BROADCAST_ROWS,
+    small: int = SMALL, heavy: int = HEAVY, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES, wide: int = WIDE, broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """``(digest, component, component_id, n_links)`` of every set of ``table`` (see ``shingled``) that is not empty.
 
     component_id: the smallest id reachable; n_links: other documents that link, copies included. more: further candidate edges
     ``(a, b)`` of nodes, which are verified like the own ones.
     """
-    edges = candidates(prefixes(table, text, words, percent, counters(table), heavy), percent, small)
-    edges = edges if more is None else edges.union(more.select("a", "b"))
-    labels = connected_components(edges, "a", "b")
     rows = table.filter("n > 0")
     own = rows.groupBy("digest").agg(F.first("node").alias("node"), F.first("n").alias("n"), F.min("nth").alias("nth"), F.min(id_col.cast("long")).alias("first_id"), F.count("*").alias("copies"))
     own = stored(own, "ngram-sets")
+    listed = prefixes(table, text, words, percent, counters(table), heavy)
+    edges = candidates(listed, table, own.select("node", "nth"), percent, small, wide)
+    edges = edges if more is None else edges.union(more.select("a", "b"))
+    labels = connected_components(edges, "a", "b")
     groups = stored(own.join(labels, "node").select("nth", "n", "copies", "component"), "ngram-groups")
     planned = _planned(groups, percent, block_sets, block_shingles)
     texts = rows.select("nth", "digest", "n", text.cast("string").alias("text"))
@@ -376,7 +508,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
     of ``docs``, whatever their names, are not looked at.
     """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    table = shingled(rows, F.col("text"), shingle_words, "ngram-rows")
+    table = shingled(rows, F.col("text"), shingle_words, "ngram-rows", percent)
     own, text = F.col("row.id"), F.col("row.text")
     groups = groups_of(table, own, text, shingle_words, percent, **limits)
     every = table.filter("n >= 0").select(own.alias("id"), F.when(F.col("n") > 0, F.col("digest")).alias("digest"), F.col("n").cast("long").alias("n_shingles"))

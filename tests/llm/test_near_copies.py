@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 from leafmill.llm import near_copies, ngram_join
-from test_ngram_join import brute
+from test_ngram_join import brute, frequent, grouped
 
 
 def corpus() -> list[tuple]:
@@ -66,3 +66,10 @@ def test_marked_rows(spark):
     out = ngram_join.marked(rows, spark.createDataFrame([(n,) for n in numbers], "nth long")).filter("marked").collect()
     assert sorted(r.nth for r in out) == numbers
     assert ngram_join.marked(rows, rows.filter("false")).filter("marked").isEmpty()
+
+
+def test_frequent_shingles_make_no_groups(spark, monkeypatch):
+    rows, sizes = frequent(60, 3), grouped(monkeypatch)
+    got = sorted(((r.id, r.component_id) for r in near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=str)
+    assert got == sorted(((i, c) for i, _, c, _ in brute(rows, 5, 80)), key=str)
+    assert sizes[0] < 20

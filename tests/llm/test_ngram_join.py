@@ -86,3 +86,41 @@ def test_depth_follows_costs():
     cheap, dear = np.ones(30), np.concatenate([np.ones(20), np.full(10, 1e6)])
     assert ngram_join.depths(cheap, 10, 4) == 4
     assert ngram_join.depths(dear, 20, 4) == 1
+
+
+def frequent(words: int, vocabulary: int) -> list[tuple]:
+    """Texts of few different words: each of their shingles is in many of them, but no two are alike, save the last two."""
+    rng = random.Random(5)
+    rows = [(k, " ".join(rng.choice("abcdefgh"[:vocabulary]) for _ in range(words))) for k in range(400)]
+    return rows + [(400, rows[0][1] + " new"), (401, rows[0][1] + " other")]
+
+
+def grouped(monkeypatch) -> list[int]:
+    """Gets how many sets come together to be verified."""
+    sizes, planned = [], ngram_join._planned
+    monkeypatch.setattr(ngram_join, "_planned", lambda groups, *more: sizes.append(groups.count()) or planned(groups, *more))
+    return sizes
+
+
+def test_parity_bits_allow_every_link():
+    rng = np.random.default_rng(3)
+    for percent in (50, 80, 90, 99):
+        for n in (3, 20, 150, 700, 5000, 90_000 if percent == 90 else 1000):
+            base = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            sets = [base]
+            for _ in range(12):
+                gone, new = rng.integers(0, 1 + n * (100 - percent) // 90, 2)
+                sets.append(np.concatenate([base[gone:], rng.integers(0, 1 << 63, new, dtype=np.uint64)]))
+            sets = sorted((x for x in sets if len(x)), key=len)
+            at = np.cumsum([0, *map(len, sets)])
+            bits = ngram_join.parity_bits(np.concatenate(sets), at, percent)
+            a, b = ngram_join.alike(np.diff(at), np.frombuffer(b"".join(bits), np.uint8), np.cumsum([0, *map(len, bits)]), percent)
+            root = list(range(len(sets)))
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                old, new = root[y], root[x]
+                root = [new if r == old else r for r in root]
+            for x in range(len(sets)):
+                for y in range(x):
+                    shared = len(np.intersect1d(sets[x], sets[y]))
+                    union = len(sets[x]) + len(sets[y]) - shared
+                    assert root[x] == root[y] or 100 * shared < percent * union or shared == union
