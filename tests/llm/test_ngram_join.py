@@ -88,6 +88,14 @@ def test_depth_follows_costs():
     assert ngram_join.depths(dear, 20, 4) == 1
 
 
+@pytest.mark.parametrize(("words", "percent", "limits"), [(3, 90, {"small": 2, "wide": 3}), (1, 70, {"small": 1}), (2, 50, {"small": 2}), (3, 80, {"small": 1, "wide": 0})])
+def test_all_links_through_large_lists(spark, words, percent, limits):
+    rows = corpus()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [tuple(r) for r in ngram_join.similar(docs, shingle_words=words, percent=percent, **limits).collect()]
+    assert sorted(got, key=str) == brute(rows, words, percent)
+
+
 def frequent(words: int, vocabulary: int) -> list[tuple]:
     """Texts of few different words: each of their shingles is in many of them, but no two are alike, save the last two."""
     rng = random.Random(5)
@@ -102,6 +110,13 @@ def grouped(monkeypatch) -> list[int]:
     return sizes
 
 
+def test_frequent_shingles_make_no_groups(spark, monkeypatch):
+    rows, sizes = frequent(40, 5), grouped(monkeypatch)
+    got = [tuple(r) for r in ngram_join.similar(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(got, key=str) == brute(rows, 3, 90)
+    assert sizes == [3]
+
+
 def test_parity_bits_allow_every_link():
     rng = np.random.default_rng(3)
     for percent in (50, 80, 90, 99):
